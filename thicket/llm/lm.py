@@ -16,7 +16,8 @@ Defined cases: a null or empty text is the end token alone; repeated rows and
 ids are rows like any other (a null id counts as empty text in the split); with
 no training rows every count is 0; an empty table gives an empty result; other
 columns are ignored. Words are told apart by XXH64, so two share a count with a
-chance of about n**2 / 2**65 among n distinct words.
+chance of about n**2 / 2**65 among n distinct words; bigrams by 48 bits, so one of n
+shares its count with a chance of n / 2**48.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_crc, stored
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Hash keys that a bucket holds at the mean.
 BUCKET_KEYS = 1 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +44,8 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 CLASSES = 40
 #: Log-ratio bins of the held-out statistics: step of a nat / 4.
 STEP = 0.25
+#: Bins on each side; the number of the bin of an estimate that is zero.
+NONE = 500
 ROUNDS = 100
 
 
@@ -54,17 +58,39 @@ class Numbers(dict):
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hash of a bigram from those of its words."""
+    """Hash of a bigram from those of its words: 48 bits in the upper end of the number."""
     x = (first ^ (first >> np.uint64(29))) * MIX
     x = (x ^ second) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of x, and which of them each element is."""
+    order = np.argsort(x)
+    line = x[order]
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(line[1:], line[:-1], out=new[1:])
+    of = np.empty(len(x), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return line[new], of
+
+
+def pack(x: np.ndarray) -> bytes:
+    """An array of integers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, chunk: int) -> DataFrame:
     """One row a chunk: doc ids, held-out flags, token numbers and their vocabulary; stored."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("k"), (fold_crc(F.col(id_col), folds) == held).alias("h"), F.col(text_col).cast("string").alias("t"))
-    schema = f"chunk string, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary"
+    schema = f"chunk string, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -73,9 +99,9 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
 
         def close() -> pa.RecordBatch:
             vocabulary = np.array([END, *[np.uint64(xxhash.xxh64_intdigest(w, 42)) for w in memo]], np.uint64)
-            row = [uuid.uuid4().hex, keys, held_out, lengths, np.concatenate(tokens).astype("<u4").tobytes(), vocabulary.tobytes()]
-            types = [pa.string(), pa.list_(kinds), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["chunk", "ids", "held", "lengths", "tokens", "vocabulary"])
+            row = [uuid.uuid4().hex, keys, held_out, lengths, pack(np.concatenate(tokens)), vocabulary.tobytes(), n]
+            types = [pa.string(), pa.list_(kinds), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["chunk", "ids", "held", "lengths", "tokens", "vocabulary", "n"])
 
         kinds, last = None, np.zeros(1, "<u4")  # the end token
         for b in batches:
@@ -98,95 +124,109 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int,
 
 
 class Chunk:
-    """A chunk's tokens as hashes, and the distinct keys that it asks counts for."""
+    """A chunk's tokens by local number, and its distinct bigrams."""
 
     def __init__(self, row: dict):
-        vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = unpack(row["tokens"], "<u4").astype(np.int32)
         self.lengths = np.asarray(row["lengths"], np.int64)
         self.held = np.asarray(row["held"], bool)
-        self.vocabulary = vocabulary
+        size = int(self.tokens.max()) + 1
         starts = np.cumsum(self.lengths) - self.lengths
-        before = np.empty_like(self.tokens)
+        before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
-        before[starts] = len(vocabulary)  # the start of a text, a context only
-        self.before = before
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.train = ~self.held[self.doc]
-        # Distinct bigrams by their local numbers.
-        code = before * len(vocabulary) + self.tokens
-        self.pairs, self.pair_of = np.unique(code, return_inverse=True)
-        own = np.append(vocabulary, START)
-        self.pair_first, self.pair_second = self.pairs // len(vocabulary), self.pairs % len(vocabulary)
-        self.pair_keys = pair_key(own[self.pair_first], vocabulary[self.pair_second])
-        self.contexts = own
-
-    def own_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Training counts of the words, of the contexts (start last) and of the bigrams."""
-        n = len(self.vocabulary)
-        return (
-            np.bincount(self.tokens[self.train], minlength=n),
-            np.bincount(self.before[self.train], minlength=n + 1),
-            np.bincount(self.pair_of[self.train], minlength=len(self.pairs)),
-        )
-
-
-def spread(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts keys by bucket and key, and the bounds of each bucket in it."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets)), np.searchsorted(bucket[order], np.arange(buckets), "right")
-
-
-#: A unigram row counts words and contexts alike: the count as a word, and as a context (they differ by starts and ends).
+        before[starts] = size  # the start of a text, a context only
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.size = size
+        pairs, self.pair_of = distinct(before * size + self.tokens)
+        self.pair_first, self.pair_second = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
+
+    def keys(self, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and of the bigrams."""
+        words = np.frombuffer(vocabulary, np.uint64)
+        return words, pair_key(np.append(words, START)[self.pair_first], words[self.pair_second])
+
+    def train_pairs(self) -> np.ndarray:
+        """How often the training texts of the chunk hold each bigram."""
+        return np.bincount(self.pair_of[~self.held[self.doc]], minlength=len(self.pair_first))
+
+
+def spread(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, and where each bucket (a range of keys) starts in it."""
+    order = np.argsort(keys)
+    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return order, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
 REQUEST = "bucket int, chunk string, kind int, keys binary, counts binary"
 
 
 def requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk, bucket and kind (1 words, 2 bigrams): the sorted keys, and their training counts in the chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                uni, _, bi = c.own_counts()
-                for kind, keys, counts in ((1, c.vocabulary, uni), (2, c.pair_keys, bi)):
-                    order, low, high = spread(keys, buckets)
-                    full = np.flatnonzero(high > low).tolist()
-                    keys, counts = keys[order], counts[order].astype("<u4")
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.string()), pa.array([kind] * len(full), pa.int32()), pa.array([keys[low[k] : high[k]].tobytes() for k in full], pa.binary()), pa.array([counts[low[k] : high[k]].tobytes() for k in full], pa.binary())], names=["bucket", "chunk", "kind", "keys", "counts"])
+        for row in rows_of(batches):
+            c = Chunk(row)
+            words, pairs = c.keys(row["vocabulary"])
+            own = c.train_pairs()
+            uni = np.bincount(c.pair_second, weights=own, minlength=c.size).astype("<u4")
+            for kind, keys, counts in ((1, words, uni), (2, pairs, own.astype("<u4"))):
+                order, at = spread(keys, buckets)
+                full = np.flatnonzero(np.diff(at)).tolist()
+                keys, counts = keys[order], counts[order]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.string()), pa.array([kind] * len(full), pa.int32()), pa.array([pack(np.diff(keys[at[k] : at[k + 1]], prepend=np.uint64(0))) for k in full], pa.binary()), pa.array([pack(counts[at[k] : at[k + 1]]) for k in full], pa.binary())], names=["bucket", "chunk", "kind", "keys", "counts"])
+
+    return chunks.select("chunk", "held", "lengths", "tokens", "vocabulary").mapInArrow(run, REQUEST)
 
-    return chunks.select("chunk", "ids", "held", "lengths", "tokens", "vocabulary").mapInArrow(run, REQUEST)
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as a chunk is large."""
+    for b in batches:
+        for k in range(len(b)):
+            yield b.slice(k, 1).to_pylist()[0]
 
 
 def answers(asked: DataFrame) -> DataFrame:
     """bucket, chunk, kind, counts: the total training counts in the order asked; and by bucket the sums of kind 1 (chunk null)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in group["keys"]]
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(of, weights=np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"]]).astype(np.float64), minlength=len(distinct)).astype("<u8")
+        keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]]
+        found, of = distinct(np.concatenate(keys))
         bounds = np.cumsum([len(k) for k in keys])[:-1]
+        del keys
+        counts = np.bincount(of, weights=np.concatenate([unpack(x, "<u4") for x in group["counts"]]), minlength=len(found)).astype("<u4")
         out = group[["bucket", "chunk", "kind"]].copy()
-        out["counts"] = [counts[part].astype("<u4").tobytes() for part in np.split(of, bounds)]
+        out["counts"] = [pack(counts[part]) for part in np.split(of, bounds)]
         if group["kind"].iloc[0] == 1:
-            sums = np.array([counts.sum(), np.count_nonzero(counts)], "<u8").tobytes()
+            sums = np.array([counts.sum(dtype=np.uint64), np.count_nonzero(counts)], "<u8").tobytes()
             out = pd.concat([out, pd.DataFrame({"bucket": [out["bucket"].iloc[0]], "chunk": [None], "kind": [1], "counts": [sums]})])
         return out
 
     return stored(asked.groupBy("bucket", "kind").applyInPandas(run, "bucket int, chunk string, kind int, counts binary"), "lm-answers")
 
 
-def estimates(c: Chunk, parts: dict[int, list[tuple[int, bytes]]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Total training counts of the chunk's words and bigrams."""
-    out = []
-    for kind, keys in ((1, c.vocabulary), (2, c.pair_keys)):
-        order = spread(keys, buckets)[0]
-        counts = np.empty(len(keys), np.int64)
-        counts[order] = np.frombuffer(b"".join(x for _, x in sorted(parts.get(kind, []))), "<u4")
-        out.append(counts)
-    return out[0], out[1]
-
+def counted(chunks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """The chunks with the total training counts of their words and bigrams (packed, by local number); stored."""
+    by_chunk = replies.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("parts"))
+    kind = chunks.schema["ids"].dataType.simpleString()
 
-def context_counts(c: Chunk, word: np.ndarray, train_docs: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                part = b.slice(k, 1)
+                row = part.drop_columns(["ids"]).to_pylist()[0]
+                out = []
+                for kind, keys in zip((1, 2), Chunk(row).keys(row["vocabulary"]), strict=True):
+                    found = sorted((p["bucket"], p["counts"]) for p in row["parts"] if p["kind"] == kind)
+                    counts = np.empty(len(keys), "<u4")
+                    counts[spread(keys, buckets)[0]] = np.concatenate([unpack(x, "<u4") for _, x in found])
+                    out.append(pa.array([pack(counts)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("ids", "held", "lengths", "tokens")], *out], names=["ids", "held", "lengths", "tokens", "words", "pairs"])
+
+    joined = chunks.select("chunk", "ids", "held", "lengths", "tokens", "vocabulary").join(by_chunk, "chunk")
+    return stored(joined.mapInArrow(run, f"ids {kind}, held array<boolean>, lengths array<int>, tokens binary, words binary, pairs binary"), "lm-counted")
+
+
+def context_counts(word: np.ndarray, train_docs: int) -> np.ndarray:
     """How often each word stands before another in the training texts: always, but for the end token, which never does."""
     out = np.append(word, train_docs)
     out[0] = 0
@@ -207,7 +247,7 @@ def fit(cells: list[tuple[int, int, int, float]]) -> np.ndarray:
         by.setdefault(k, []).append((u, b, n))
     for k, rows in by.items():
         u, b, n = (np.array(x, float) for x in zip(*rows, strict=True))
-        ratio = np.stack([np.ones_like(u), np.where(u > -9999, np.exp(u * STEP), 0), np.where(b > -9999, np.exp(b * STEP), 0)], axis=1)
+        ratio = np.stack([np.ones_like(u), np.where(u > -NONE, np.exp(u * STEP), 0), np.where(b > -NONE, np.exp(b * STEP), 0)], axis=1)
         w = weights[k].copy()
         for _ in range(ROUNDS):
             mixed = ratio * w
@@ -224,52 +264,47 @@ def fit(cells: list[tuple[int, int, int, float]]) -> np.ndarray:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (the interpolated model), log10."""
     chunks = chunked(docs, id_col, text_col, folds, held, chunk)
-    total = chunks.select(F.sum(F.length("tokens") / 4).alias("n"), F.sum(F.aggregate(F.transform("held", lambda h: F.when(h, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)).alias("docs")).first()
+    total = chunks.select(F.sum("n").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
     tokens, train_docs = int(total["n"] or 0), int(total["docs"] or 0)
     buckets = max(1, math.ceil(tokens / BUCKET_KEYS))
     replies = answers(requests(chunks, buckets))
+    # One row of two sums a bucket.
     sums = [np.frombuffer(r["counts"], "<u8") for r in replies.where("chunk is null").select("counts").collect()]
     n_train, n_vocabulary = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     uniform = 1 / (n_vocabulary + 1)
+    full = counted(chunks, replies, buckets)
 
-    by_chunk = replies.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("parts"))
-    joined = chunks.join(by_chunk, "chunk")
-
-    def counted(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    def opened(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
         c = Chunk(row)
-        parts: dict[int, list] = {}
-        for p in row["parts"]:
-            parts.setdefault(p["kind"], []).append((p["bucket"], p["counts"]))
-        word, pair = estimates(c, parts, buckets)
-        return c, word, pair, context_counts(c, word, train_docs)
+        word, pair = unpack(row["words"], "<u4").astype(np.int64), unpack(row["pairs"], "<u4").astype(np.int64)
+        return c, word, pair, context_counts(word, train_docs)
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c, word, pair, context = counted(row)
-                own = np.bincount(c.pair_of[c.train], minlength=len(c.pairs))
-                seen = np.flatnonzero(own)
-                ctx = context[c.pair_first[seen]]
-                k = klass(ctx - 1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    u = np.log((word[c.pair_second[seen]] - 1) / max(n_train - 1, 1) / uniform)
-                    bi = np.log((pair[seen] - 1) / (ctx - 1) / uniform)
-                bin_ = lambda x: np.where(np.isfinite(x), np.round(np.nan_to_num(x, neginf=0.0, posinf=0.0) / STEP), -10000).astype(np.int64)
-                cell, of = np.unique(np.stack([k, bin_(u), bin_(bi)], axis=1), axis=0, return_inverse=True)
-                n = np.bincount(of.ravel(), weights=own[seen])
-                yield pa.RecordBatch.from_arrays([*[pa.array(cell[:, x], pa.int64()) for x in range(3)], pa.array(n, pa.float64())], names=["k", "u", "b", "n"])
+        for row in rows_of(batches):
+            c, word, pair, context = opened(row)
+            own = c.train_pairs()
+            seen = np.flatnonzero(own)
+            ctx = context[c.pair_first[seen]]
+            k = klass(ctx - 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                u = np.log((word[c.pair_second[seen]] - 1) / max(n_train - 1, 1) / uniform)
+                bi = np.log((pair[seen] - 1) / (ctx - 1) / uniform)
+            bin_ = lambda x: np.where(np.isfinite(x), np.clip(np.round(np.nan_to_num(x, neginf=0.0, posinf=0.0) / STEP), -NONE + 1, NONE - 1), -NONE).astype(np.int64) + NONE
+            cell, of = distinct((k * 2 * NONE + bin_(u)) * 2 * NONE + bin_(bi))
+            n = np.bincount(of, weights=own[seen])
+            yield pa.RecordBatch.from_arrays([pa.array(cell // (4 * NONE * NONE)), pa.array(cell // (2 * NONE) % (2 * NONE) - NONE), pa.array(cell % (2 * NONE) - NONE), pa.array(n, pa.float64())], names=["k", "u", "b", "n"])
 
     # One row a cell of (class, two log-ratio bins): a fixed number, however large the corpus.
-    cells = joined.mapInArrow(held_out, "k long, u long, b long, n double").groupBy("k", "u", "b").agg(F.sum("n").alias("n")).collect()
+    cells = full.drop("ids").mapInArrow(held_out, "k long, u long, b long, n double").groupBy("k", "u", "b").agg(F.sum("n").alias("n")).collect()
     weights = fit([tuple(r) for r in cells])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("ids")
-            for at, row in enumerate(b.drop_columns(["ids"]).to_pylist()):
-                c, word, pair, context = counted(row)
+            ids, light = b.column("ids"), b.drop_columns(["ids"])
+            for at, row in enumerate(rows_of([light])):
+                c, word, pair, context = opened(row)
                 ctx = context[c.pair_first]
                 w = weights[klass(ctx)]
                 p = w[:, 0] * uniform + w[:, 1] * word[c.pair_second] / max(n_train, 1) + w[:, 2] * pair / np.maximum(ctx, 1)
@@ -278,4 +313,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 out = [ids[at].values, c.held, c.lengths, by_doc((word > 0)[c.tokens]).astype(np.int64), np.full(len(c.lengths), n_train), by_doc(base[c.tokens]), by_doc(np.log10(p)[c.pair_of])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(scores, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return full.mapInArrow(scores, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
