@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, media, mixing, simhash, urls
+from . import bpe, chat, classifier, html, lm, media, mixing, quality_rules, simhash, urls
 from .common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -55,11 +67,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_mix_sources": op2_mix_sources,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_format": op4_chat_format,
     "op5_bpe": op5_bpe,
     "op6_media": op6_media,
     "op7_lm_score": op7_lm_score,
+    "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
