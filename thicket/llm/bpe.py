@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +31,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import stored
+from .common import once, stored
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 1 << 13
 PIECE = 1 << 15
 WINDOW = 64
 #: Words that a task remembers the tokens of.
-MEMO = 250_000
+MEMO = 200_000
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: Marks that end a word; none starts a contraction or a special token.
+CLOSING = ",.;:!?#%$&*|)"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write bytes 0xA1-0xAC and 0xAE-0xFF as themselves, 0x7F-0xA0 and 0xAD in order from U+0121."""
+    apart = [*range(0x7F, 0xA1), 0xAD]
+    return {b: 0x121 + k for k, b in enumerate(apart)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -50,23 +63,62 @@ class Encoder:
         self.tokenizer.no_padding()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tokenizer.id_to_token(k) or "" for k in range(n)]
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.model = self.tokenizer.model
+        self.memo: dict[str, bytes] = {}
 
     def plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their (start, end) characters."""
         got = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(got.ids, np.uint32), np.array(got.offsets, np.int64).reshape(-1, 2)
 
-    def whole(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian bytes) and decoded text, each word looked up: no token spans ASCII white space."""
-        words, memo = text.split(" "), self.memo
+    def whole(self, text: str) -> bytes:
+        """Ids (little-endian bytes) of a text, each word looked up: no token spans ASCII white space."""
+        words, memo = SPACE.sub(" ", text).split(" "), self.memo
         if len(memo) > MEMO:
             memo.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(got.ids, "<u4").tobytes(), " ".join(got.tokens)
-        found = [memo[w] for w in words]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+        try:
+            return b"".join([memo[w] for w in words])
+        except KeyError:
+            pass
+        slow = []
+        for w in words:
+            if w not in memo:
+                ids = self.simple(w)
+                if ids is None:
+                    slow.append(w)
+                else:
+                    memo[w] = ids
+        if slow:
+            slow = list(dict.fromkeys(slow))
+            for w, got in zip(slow, self.tokenizer.encode_batch(slow, add_special_tokens=False), strict=True):
+                memo[w] = array("I", got.ids).tobytes()
+        return b"".join([memo[w] for w in words])
+
+    def simple(self, word: str) -> bytes | None:
+        """Ids of Latin letters with closing marks behind them; None for any other word.
+
+        There the normalizer only lower-cases and the letters and the marks are
+        one pre-token each, so the model itself is all that is left to run.
+        """
+        core = word.rstrip(CLOSING)
+        if not core.isalpha() or max(core) >= "\u0250":
+            return None
+        out = self.memo.get(core) if len(core) < len(word) else None
+        if out is None:
+            low = core.lower()
+            if not core.isascii():
+                if not low.isalpha() or not unicodedata.is_normalized("NFC", core):
+                    return None
+                low = low.encode().decode("latin-1").translate(BYTE_LETTERS)
+            out = array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+            if len(core) < len(word):
+                self.memo[core] = out
+        if len(core) == len(word):
+            return out
+        marks = word[len(core) :]
+        if marks not in self.memo:
+            self.memo[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return out + self.memo[marks]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes without a decoder: the token strings, a space between."""
@@ -150,9 +202,8 @@ def joined(encoder: Encoder, texts: list[str], parts: list[tuple]) -> tuple[np.n
     return parts[0]
 
 
-def digests(encoder: Encoder, ids: bytes, decoded: str | None = None) -> tuple[int, str, str]:
-    if decoded is None:
-        decoded = encoder.decode(np.frombuffer(ids, "<u4"))
+def digests(encoder: Encoder, ids: bytes) -> tuple[int, str, str]:
+    decoded = encoder.decode(np.frombuffer(ids, "<u4"))
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
@@ -168,17 +219,17 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = "k {}, n_tokens long, ids_sha256 string, decoded_sha256 string{}".format(kind, ", ids array<int>" if keep_ids else "")
     names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
-    def finish(encoder: Encoder, keys, found: list[tuple[bytes, str | None]]) -> pa.RecordBatch:
-        rows = [digests(encoder, ids, decoded) for ids, decoded in found]
+    def finish(encoder: Encoder, keys, found: list[bytes]) -> pa.RecordBatch:
+        rows = [digests(encoder, ids) for ids in found]
         columns = [keys, *[pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string()))]]
         if keep_ids:
-            columns.append(pa.array([np.frombuffer(ids, "<i4") for ids, _ in found], pa.list_(pa.int32())))
+            columns.append(pa.array([np.frombuffer(ids, "<i4") for ids in found], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = once(path, lambda: Encoder(path))
         for batch in batches:
-            found = [encoder.whole(SPACE.sub(" ", text)) for text in batch.column("t").to_pylist()]
+            found = [encoder.whole(text.as_py()) for text in batch.column("t")]
             yield finish(encoder, batch.column("k"), found)
 
     done = rows.where(F.char_length("t") <= piece).mapInArrow(short, out)
@@ -190,13 +241,13 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(cuts), batch.schema.field("k").type), pa.array([row] * len(cuts), pa.string()), pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.string())], names=["k", "row", "no", "t"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = once(path, lambda: Encoder(path))
         for batch in batches:
             parts = [encoder.encode(text, leaf) for text in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k", "row", "no", "t")], pa.array([i.astype("<u4").tobytes() for i, _ in parts], pa.binary()), pa.array([o.astype("<i4").tobytes() for _, o in parts], pa.binary())], names=["k", "row", "no", "t", "i", "o"])
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        encoder = _encoder(path)
+        encoder = once(path, lambda: Encoder(path))
         group = group.sort_values("no")
         parts = [(np.frombuffer(i, "<u4"), np.frombuffer(o, "<i4").astype(np.int64).reshape(-1, 2)) for i, o in zip(group["i"], group["o"], strict=True)]
         ids = joined(encoder, list(group["t"]), parts)[0].astype("<u4").tobytes()
@@ -209,12 +260,3 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = long.repartition("row", "no").mapInArrow(leaves, f"k {kind}, row string, no int, t string, i binary, o binary")
     # tree() gets the pieces of one text, which make one row of the result.
     return done.unionByName(spread.groupBy("row").applyInPandas(tree, out)).withColumnRenamed("k", id_col)
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +40,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def fold_crc(key: Column, folds: int) -> Column:
     """crc32 of the key's text, modulo folds (a null key counts as empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def once(key: str, make: Callable[[], Any]) -> Any:
+    """make()'s value, made once a process: tasks of a worker share a loaded vocabulary."""
+    kept = sys.modules.setdefault("_thicket_kept", types.ModuleType("_thicket_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
