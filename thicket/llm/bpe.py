@@ -103,12 +103,12 @@ class Encoder:
         core = word.rstrip(CLOSING)
         if not core.isalpha() or max(core) >= "\u0250":
             return None
+        if not core.isascii() and not (core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
+            return None
         out = self.memo.get(core) if len(core) < len(word) else None
         if out is None:
             low = core.lower()
             if not core.isascii():
-                if not low.isalpha() or not unicodedata.is_normalized("NFC", core):
-                    return None
                 low = low.encode().decode("latin-1").translate(BYTE_LETTERS)
             out = array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
             if len(core) < len(word):
