@@ -10,8 +10,10 @@ from ..operators import cdc, timeseries
 from ..streaming import views
 from .registry import Tables, query
 
-ONE = F.lit(1)
-N = F.count(ONE).alias("n")
+
+
+def rows_n() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 PAYLOAD = """'{"event_type":"' || event_type || '","package_id":"' || package_id || '","version":"' || version || '"}'"""
 
@@ -44,7 +46,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     route = F.when(kind == "purchase", "graph").when(kind == "signup", "vector").when(kind.isin("view", "click"), "analysis")
-    return t.events.select(F.coalesce(route, F.lit("dlq")).alias("route")).groupBy("route").agg(N)
+    return t.events.select(F.coalesce(route, F.lit("dlq")).alias("route")).groupBy("route").agg(rows_n())
 
 
 @query("parse_crate_index", "SELECT doc_id AS id, 'crate' || CAST(doc_id AS VARCHAR) AS name, lang AS vers FROM documents WHERE doc_id % 7 <> 0")
@@ -75,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     d = t.documents.select("doc_id", "source", F.octet_length("text").alias("b")).where("b <= 20000")
-    return d.withColumn("total", F.sum("b").over(w)).withColumn("files", F.count(ONE).over(w)).where("total <= 60000 AND files <= 20").select("doc_id", "source")
+    return d.withColumn("total", F.sum("b").over(w)).withColumn("files", F.count(F.lit(1)).over(w)).where("total <= 60000 AND files <= 20").select("doc_id", "source")
 
 
 @query("sync_incremental", "SELECT event_id, package_id FROM fx_package_event WHERE (published_at, event_id) > (SELECT (min(published_at), min(event_id)) FROM fx_package_event) ORDER BY published_at, event_id LIMIT 1000")
@@ -186,9 +188,9 @@ def _(t: Tables) -> DataFrame:
 @query("hard_delete", "SELECT (SELECT count(*) FROM fx_package WHERE deleted_at IS NULL) AS packages, (SELECT count(*) FROM fx_depends_on d WHERE d.package_id NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL)) AS depends_on, (SELECT count(*) FROM fx_depends_on_pkg e WHERE e.src NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL) AND e.dst NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL)) AS edges")
 def _(t: Tables) -> DataFrame:
     gone = t.fx_package.where("deleted_at IS NOT NULL").select("id")
-    p = t.fx_package.join(gone, "id", "left_anti").agg(F.count(ONE).alias("packages"))
-    d = t.fx_depends_on.join(gone.withColumnRenamed("id", "package_id"), "package_id", "left_anti").agg(F.count(ONE).alias("depends_on"))
-    e = t.fx_depends_on_pkg.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").agg(F.count(ONE).alias("edges"))
+    p = t.fx_package.join(gone, "id", "left_anti").agg(F.count(F.lit(1)).alias("packages"))
+    d = t.fx_depends_on.join(gone.withColumnRenamed("id", "package_id"), "package_id", "left_anti").agg(F.count(F.lit(1)).alias("depends_on"))
+    e = t.fx_depends_on_pkg.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").agg(F.count(F.lit(1)).alias("edges"))
     return p.crossJoin(d).crossJoin(e)  # tables of one row
 
 
@@ -231,12 +233,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("outbox_stats", f"SELECT status, count(*) AS n, min(created_at) AS oldest, max(created_at) AS newest, round(avg(attempts), 6) AS avg_attempts, max(attempts) AS max_attempts FROM {OUTBOX} GROUP BY status")
 def _(t: Tables) -> DataFrame:
-    return outbox(t).groupBy("status").agg(N, F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), F.round(F.avg("attempts"), 6).alias("avg_attempts"), F.max("attempts").alias("max_attempts"))
+    return outbox(t).groupBy("status").agg(rows_n(), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), F.round(F.avg("attempts"), 6).alias("avg_attempts"), F.max("attempts").alias("max_attempts"))
 
 
 @query("outbox_backlog", f"SELECT kind, count(*) AS n FROM {OUTBOX} WHERE status = 'pending' GROUP BY kind")
 def _(t: Tables) -> DataFrame:
-    return outbox(t).where("status = 'pending'").groupBy("kind").agg(N).orderBy(F.desc("n"), "kind")
+    return outbox(t).where("status = 'pending'").groupBy("kind").agg(rows_n()).orderBy(F.desc("n"), "kind")
 
 
 @query("outbox_failures", f"SELECT event_id, status, attempts FROM {OUTBOX} WHERE status = 'deadletter' OR attempts >= 5 ORDER BY created_at DESC, event_id LIMIT 100")
@@ -272,23 +274,23 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     as_of = F.broadcast(t.fx_package_event.agg(F.max("published_at").alias("as_of")))  # one row
     recent = t.fx_package_event.join(as_of, F.col("published_at") > F.col("as_of") - F.expr("INTERVAL 30 DAYS"))
-    return recent.groupBy("package_id").agg(N, F.max("published_at").alias("last")).orderBy(F.desc("n"), "package_id").limit(1000)
+    return recent.groupBy("package_id").agg(rows_n(), F.max("published_at").alias("last")).orderBy(F.desc("n"), "package_id").limit(1000)
 
 
 @query("package_stats", "SELECT ecosystem, count(*) AS n, count(DISTINCT name) AS names FROM fx_package GROUP BY ecosystem")
 def _(t: Tables) -> DataFrame:
-    return t.fx_package.groupBy("ecosystem").agg(N, F.count_distinct("name").alias("names"))
+    return t.fx_package.groupBy("ecosystem").agg(rows_n(), F.count_distinct("name").alias("names"))
 
 
 @query("dependency_stats", "SELECT dst AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY dst ORDER BY n DESC, id LIMIT 100")
 def _(t: Tables) -> DataFrame:
-    return t.fx_depends_on_pkg.groupBy(F.col("dst").alias("id")).agg(N).orderBy(F.desc("n"), "id").limit(100)
+    return t.fx_depends_on_pkg.groupBy(F.col("dst").alias("id")).agg(rows_n()).orderBy(F.desc("n"), "id").limit(100)
 
 
 @query("trending_packages", "SELECT package_id, count(*) AS n FROM fx_package_event WHERE published_at > (SELECT max(published_at) FROM fx_package_event) - INTERVAL 1 DAY GROUP BY package_id ORDER BY n DESC, package_id LIMIT 50")
 def _(t: Tables) -> DataFrame:
     as_of = F.broadcast(t.fx_package_event.agg(F.max("published_at").alias("as_of")))  # one row
-    return t.fx_package_event.join(as_of, F.col("published_at") > F.col("as_of") - F.expr("INTERVAL 1 DAY")).groupBy("package_id").agg(N).orderBy(F.desc("n"), "package_id").limit(50)
+    return t.fx_package_event.join(as_of, F.col("published_at") > F.col("as_of") - F.expr("INTERVAL 1 DAY")).groupBy("package_id").agg(rows_n()).orderBy(F.desc("n"), "package_id").limit(50)
 
 
 @query("latest_packages", "SELECT package_id, max_by(version, (published_at, event_id)) AS version, max(published_at) AS updated_at FROM fx_package_event GROUP BY package_id")
@@ -313,7 +315,7 @@ def _(t: Tables) -> DataFrame:
 @query("live_event_rate", "SELECT event_type, count(*) AS n, round(count(*) / greatest(1, epoch(max(published_at) - min(published_at)) / 60), 1) AS per_minute FROM fx_package_event GROUP BY event_type")
 def _(t: Tables) -> DataFrame:
     minutes = (F.max("published_at").cast("timestamp").cast("double") - F.min("published_at").cast("timestamp").cast("double")) / 60
-    return t.fx_package_event.groupBy("event_type").agg(N, F.round(F.count(ONE) / F.greatest(F.lit(1), minutes), 1).alias("per_minute"))
+    return t.fx_package_event.groupBy("event_type").agg(rows_n(), F.round(F.count(F.lit(1)) / F.greatest(F.lit(1), minutes), 1).alias("per_minute"))
 
 
 # Audit.
@@ -338,7 +340,7 @@ def _(t: Tables) -> DataFrame:
 @query("compliance_report", "SELECT count(*) AS total, coalesce(sum(CASE WHEN action ILIKE '%security%' THEN 1 ELSE 0 END), 0)::BIGINT AS security, coalesce(sum(CASE WHEN action ILIKE '%policy%' THEN 1 ELSE 0 END), 0)::BIGINT AS policy, coalesce(sum(CASE WHEN action ILIKE '%compliance%' THEN 1 ELSE 0 END), 0)::BIGINT AS compliance, coalesce(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END), 0)::BIGINT AS violations FROM fx_audit_log")
 def _(t: Tables) -> DataFrame:
     a = F.col("action")
-    return t.fx_audit_log.agg(F.count(ONE).alias("total"), *[F.count_if(a.ilike(f"%{x}%")).alias(x) for x in ("security", "policy", "compliance")], F.count_if(F.col("status_code") >= 400).alias("violations"))
+    return t.fx_audit_log.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(a.ilike(f"%{x}%")).alias(x) for x in ("security", "policy", "compliance")], F.count_if(F.col("status_code") >= 400).alias("violations"))
 
 
 @query("audit_retention", "SELECT l.id FROM fx_audit_log l LEFT JOIN (SELECT 'tenant1' AS tenant_id, 10 AS days UNION ALL SELECT 'tenant2', 20) s ON s.tenant_id = l.tenant_id WHERE l.created_at < (SELECT max(created_at) FROM fx_audit_log) - to_days(CAST(coalesce(s.days, 90) AS INT))")
@@ -351,23 +353,23 @@ def _(t: Tables) -> DataFrame:
 
 @query("audit_monthly", "SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM fx_audit_log GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.fx_audit_log.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(N)
+    return t.fx_audit_log.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(rows_n())
 
 
 @query("audit_category", "SELECT action, CASE action WHEN 'SECURITY_SCAN' THEN 'security' WHEN 'POLICY_EVALUATION' THEN 'policy' WHEN 'COMPLIANCE_CHECK' THEN 'compliance' ELSE 'access' END AS category, count(*) AS n FROM fx_audit_log GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     names = F.create_map(*[F.lit(x) for x in ("SECURITY_SCAN", "security", "POLICY_EVALUATION", "policy", "COMPLIANCE_CHECK", "compliance")])
-    return t.fx_audit_log.groupBy("action").agg(N).select("action", F.coalesce(names[F.col("action")], F.lit("access")).alias("category"), "n")
+    return t.fx_audit_log.groupBy("action").agg(rows_n()).select("action", F.coalesce(names[F.col("action")], F.lit("access")).alias("category"), "n")
 
 
 @query("audit_by_category", f"SELECT {CATEGORY} AS category, {SEVERITY} AS severity, count(*) AS n FROM fx_audit_log GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return t.fx_audit_log.select(F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity")).groupBy("category", "severity").agg(N)
+    return t.fx_audit_log.select(F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity")).groupBy("category", "severity").agg(rows_n())
 
 
 @query("audit_daily", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, round(100.0 * count(*) FILTER (status_code >= 400) / count(*), 6) AS violation_rate FROM fx_audit_log GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.fx_audit_log.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(N, F.round(100.0 * F.count_if(F.col("status_code") >= 400) / F.count(ONE), 6).alias("violation_rate"))
+    return t.fx_audit_log.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(rows_n(), F.round(100.0 * F.count_if(F.col("status_code") >= 400) / F.count(F.lit(1)), 6).alias("violation_rate"))
 
 
 # Time series over events: value as a counter of each type and user.
@@ -381,7 +383,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("error_ratio_5m", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS at, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.round(F.count_if(F.col("event_type") == "error") / F.count(ONE), 6).alias("ratio")).select(F.col("w.start").alias("at"), "ratio")
+    return t.events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.round(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1)), 6).alias("ratio")).select(F.col("w.start").alias("at"), "ratio")
 
 
 @query("latency_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
