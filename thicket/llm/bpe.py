@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import once, stored
+from .common import once, slices, stored
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 1 << 13
 PIECE = 1 << 15
 WINDOW = 64
 #: Words that a task remembers the tokens of.
-MEMO = 200_000
+MEMO = 100_000
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Marks that end a word; none starts a contraction or a special token.
@@ -228,7 +228,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(path, lambda: Encoder(path))
-        for batch in batches:
+        for batch in slices(batches):
             found = [encoder.whole(text.as_py()) for text in batch.column("t")]
             yield finish(encoder, batch.column("k"), found)
 

@@ -6,9 +6,10 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,16 @@ def fold_crc(key: Column, folds: int) -> Column:
 
 
 def once(key: str, make: Callable[[], Any]) -> Any:
-    """make()'s value, made once a process: tasks of a worker share a loaded vocabulary."""
-    kept = sys.modules.setdefault("_thicket_kept", types.ModuleType("_thicket_kept")).__dict__
+    """make()'s value, made once a process: tasks of a worker share a loaded vocabulary. Only the last key is kept."""
+    kept = sys.modules.setdefault("_thicket_kept", types.ModuleType("_thicket_kept")).__dict__.setdefault("values", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, to hold few Python objects at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)

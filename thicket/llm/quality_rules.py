@@ -24,14 +24,14 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, slices
 
 PIECES = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT = 0.5
 #: Words that a task remembers the tokens of.
-MEMO = 200_000
+MEMO = 100_000
 #: Ids of the byte-fallback tokens of the vocabulary.
 BYTES = (3, 258)
 MEASURES = ("chars_per_token", "fallback_share", "entropy_share", "top_share", "mark_share")
@@ -139,7 +139,7 @@ def measures(docs: DataFrame, text_col: str = "text", vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = once(path, lambda: Meter(path))
-        for b in batches:
+        for b in slices(batches):
             found = [meter.measure(t.as_py() or "") for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[k] for r in found], t) for k, t in enumerate(types)]], names=[*keep, *names])
 
