@@ -90,7 +90,12 @@ def json_turns(df: DataFrame, payload: str, out: str = "turns") -> DataFrame:
     lists = sorted({p.partition("[]")[0] for p in KNOWN if "[]" in p})
     json = F.col(payload)
     top = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    nested = [F.coalesce(F.transform(F.json_object_keys(F.get_json_object(json, f"$.{x}[0]")), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)), F.array().cast("array<string>")) for x in lists]
+
+    def inside(name: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(json, f"$.{name}[0]"))
+        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
+
+    nested = [inside(x) for x in lists]
     known = F.array(*[F.lit(p) for p in KNOWN])
     found = F.array_sort(F.array_distinct(F.array_intersect(F.concat(top, *nested), known)))
     df = df.withColumn("fingerprint", F.md5(F.array_join(found, "\n").cast("binary")))

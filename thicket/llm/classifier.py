@@ -28,7 +28,7 @@ from .quality_rules import Words, repeated_lines, repeated_words
 #: Labelled rows that a fit uses at most.
 TRAIN_ROWS = 20_000
 FOLDS, HELD = 4, 2
-TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 20
+TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 5
 LASSO = 0.001
 SEED = 11
 STATISTICS = ("n_words", "word_chars_mean", "upper_share", "digit_share", "mark_share", "symbol_share", "bar_share", "bang_share", "distinct_share", "top_share", "same_next_share", "repeat_share", "dup_line_share", "words_per_line", "short_line_share")
@@ -179,6 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # A share of the hashes that leaves a little more than train_rows, of which the lowest stay: no task sends more than it must.
     spare = min(1.0, 1.2 * train_rows / max(1, known.count()) + 1e-3)
     known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(spare * (1 << 20)))
+    known = F.broadcast(stored(known, "labelled"))  # about 1.2 * train_rows rows, by the share above
     own = docs.select(*dict.fromkeys((*keep, text_col)))
     light = keep == (id_col,)
     # The statistics of all rows serve both the fit and the scores where they are all that is kept of a row.

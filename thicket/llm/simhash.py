@@ -152,11 +152,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: the one with the smallest id (rows that share it: one of them)."""
+    """docs with one row of each class: the one with the smallest id (rows that share it: one of them).
+
+    The ids that go are joined, not those that stay: they are the fewer, so the
+    texts stay where they are as long as Catalyst finds their table small.
+    """
     marked = near_duplicates(docs, id_col, text_col)
-    first = stored(marked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct(), "kept")
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["_keep"]), "left_semi")
-    copies = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if copies.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    kept, gone = (marked.where(c).select(F.col(id_col).alias("_id")).distinct() for c in (stays, ~stays))
+    gone = stored(gone.join(kept.withColumnRenamed("_id", "_kept"), F.col("_id").eqNullSafe(F.col("_kept")), "left_anti"), "gone")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return out
+    return out.dropDuplicates([id_col])

@@ -138,12 +138,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """Per page: host, path, the rule that fits or null, verdict (the rule's, else the classifier's) and the classifier's log-odds."""
     urls = pages.select(id_col, host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), path_of(F.coalesce(F.col(url_col), F.lit(""))).alias("path"))
     unigram, classes = train(urls.where("host <> ''"))
-    for k, seeds in enumerate((COMMON_WORDS, BLOCK_SEEDS)):
-        for w in seeds:
-            classes[k, bucket(w)] += 1
-    total = classes.sum(axis=1, keepdims=True)
+    total = classes.sum(axis=1)
+    prior = float(np.log((total[1] + 1) / (total[0] + 1)))
+    for w in BLOCK_SEEDS:
+        classes[1, bucket(w)] += max(5.0, total[1] / 100)
+    total = classes.sum(axis=1)
     odds = np.log((classes[1] + 1) / (total[1] + (1 << BITS))) - np.log((classes[0] + 1) / (total[0] + (1 << BITS)))
-    prior = float(np.log(total[1, 0] / total[0, 0]))
     odds32, unigram32 = odds.astype(np.float32), unigram.astype(np.float32)
 
     @F.pandas_udf("double")
