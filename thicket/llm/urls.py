@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 BITS = 16
 MAX_WORD = 20
+#: Added to the count of each word in each class.
+SMOOTHING = 0.5
 #: Words that mark a host as unwanted, and common words of host names; both give the segmenter its first counts.
 BLOCK_SEEDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "click", "escort", "farm", "free", "gamble", "jackpot", "lottery", "loan", "loans", "malware", "nude", "phish", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "track", "tracker", "viagra", "warez", "win", "winner", "xxx")
 COMMON_WORDS = ("about", "academy", "and", "app", "art", "best", "big", "blog", "book", "books", "box", "car", "city", "club", "code", "com", "craft", "data", "day", "design", "dev", "docs", "edu", "en", "example", "fast", "food", "for", "forum", "game", "games", "garden", "gov", "green", "group", "health", "help", "home", "house", "info", "lab", "labs", "law", "learn", "life", "list", "live", "m", "mail", "map", "market", "media", "museum", "music", "my", "net", "new", "news", "now", "of", "on", "online", "open", "org", "page", "photo", "play", "post", "press", "quick", "read", "review", "river", "road", "school", "science", "shop", "site", "smart", "space", "sport", "star", "store", "story", "study", "sun", "team", "tech", "the", "time", "to", "top", "town", "travel", "tree", "university", "video", "water", "weather", "web", "wiki", "work", "world", "www", "your")
@@ -110,11 +112,12 @@ def _hashed(rows: list, shape: tuple[int, ...]) -> np.ndarray:
 def train(urls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Unigram counts, and counts by class, both of 2**BITS hashed words; urls has host and path.
 
-    Whole labels are not words to learn from where they only concatenate, so a
-    host counts once a distinct host and its parts by hyphen and dot.
+    Words are learned where a url sets them apart: in paths, and in host labels
+    with hyphens. A label without may be several words in one.
     """
     counted = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    words = counted.select(F.explode(F.concat(_words_of(F.col("host")), _words_of(F.col("path")))).alias("w"), "n")
+    apart = F.array_join(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), " ")
+    words = counted.select(F.explode(F.concat(_words_of(apart), _words_of(F.col("path")))).alias("w"), "n")
     unigram = _hashed(words.where(F.length("w") <= MAX_WORD).groupBy(_bucket(F.col("w")).alias("b")).agg(F.sum("n").alias("n")).collect(), (1 << BITS,))
     for w in (*BLOCK_SEEDS, *COMMON_WORDS):
         unigram[bucket(w)] += max(50.0, unigram.sum() / 2000)
@@ -143,7 +146,9 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     for w in BLOCK_SEEDS:
         classes[1, bucket(w)] += max(5.0, total[1] / 100)
     total = classes.sum(axis=1)
-    odds = np.log((classes[1] + 1) / (total[1] + (1 << BITS))) - np.log((classes[0] + 1) / (total[0] + (1 << BITS)))
+    vocabulary = max(1, int(np.count_nonzero(classes.sum(axis=0))))
+    shares = (classes + SMOOTHING) / (total[:, None] + SMOOTHING * vocabulary)
+    odds = np.log(shares[1]) - np.log(shares[0])
     odds32, unigram32 = odds.astype(np.float32), unigram.astype(np.float32)
 
     @F.pandas_udf("double")
