@@ -38,7 +38,7 @@ LEAF = 1 << 13
 PIECE = 1 << 15
 WINDOW = 64
 #: Words that a task remembers the tokens of.
-MEMO = 100_000
+MEMO = 60_000
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Marks that end a word; none starts a contraction or a special token.
@@ -242,7 +242,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once(path, lambda: Encoder(path))
-        for batch in batches:
+        for batch in slices(batches, 32):
             parts = [encoder.encode(text, leaf) for text in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k", "row", "no", "t")], pa.array([i.astype("<u4").tobytes() for i, _ in parts], pa.binary()), pa.array([o.astype("<i4").tobytes() for _, o in parts], pa.binary())], names=["k", "row", "no", "t", "i", "o"])
 
