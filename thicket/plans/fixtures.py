@@ -32,6 +32,10 @@ VIEWS = {
     "fx_changelog": "SELECT doc_id AS version, source AS package, lower(text) || CASE doc_id % 5 WHEN 1 THEN ' BREAKING CHANGE: removed x' WHEN 2 THEN ' deprecated' WHEN 3 THEN ' migration required' WHEN 4 THEN ' dropped; no longer supports' ELSE '' END AS changelog FROM documents",
     "fx_state_old": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, o_orderstatus = 'P' AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority) AS cksum FROM orders WHERE o_orderkey % 10 < 8",
     "fx_state_new": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus <> 'P' ELSE o_orderstatus = 'P' END AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END) AS cksum FROM orders WHERE o_orderkey % 10 >= 2",
+    "fx_provenance": "SELECT 'order:' || CAST(o_orderkey AS STRING) AS package_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://git.test/' || o_orderpriority END AS source_repo, CASE o_orderkey % 4"
+    """ WHEN 0 THEN '{"_type":"https://in-toto.io/Statement/v0.1","predicateType":"https://slsa.dev/provenance/v0.2","subject":[{"name":"pkg","digest":{"sha256":"' || md5(CAST(o_orderkey AS STRING)) || '"}},{"digest":{}},{"name":"src"}],"predicate":{"builder":{"id":"https://ci.test/runner","version":"2"},"buildType":"release.yml","invocation":{"configSource":{"uri":"git+https://git.test/' || CAST(o_custkey AS STRING) || '","ref":"refs/tags/v1"}},"metadata":{"buildInvocationId":"run-' || CAST(o_orderkey AS STRING) || '","buildStartedOn":"2024-01-01T00:00:00Z","buildFinishedOn":"2024-01-01T00:05:00Z"}}}'"""
+    """ WHEN 1 THEN '{"statementType":"custom","subject":[],"predicate":{"builder":{}}}' WHEN 2 THEN '{"subject":[{"name":"only"}],"predicate":null}' ELSE 'no json' END AS payload FROM orders""",
+    "fx_scorecard_doc": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 10 = 9 THEN '{"checks":' ELSE '{"score":' || CAST(p_size % 10 AS STRING) || '.5,"checks":[{"name":"Vulnerabilities","score":' || CAST(p_size % 11 AS STRING) || ',"reason":"' || p_brand || '"},{"name":"Code-Review","score":' || CAST(p_size % 9 AS STRING) || '.5},{"name":"Fuzzing"},{"score":9,"reason":"odd"}]}' END AS payload FROM part""",
     "fx_vuln": "SELECT 'VULN-' || CAST(event_id AS STRING) AS id, 'part:' || CAST(event_id % 500 AS STRING) AS package_id, value / 10 AS cvss, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, event_id % 3 = 0 AS exploit, (event_id % 100) / 100.0 AS epss FROM events WHERE event_type = 'error'",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
@@ -40,6 +44,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def view(tables, name: str) -> DataFrame:
     sql = VIEWS[name]
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return tables.spark.sql(sql, **{t: getattr(tables, t) for t in used})
