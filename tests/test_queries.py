@@ -30,7 +30,8 @@ def rows(values):
 def test_equals_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF)
     cols = sorted(got.columns)
-    want = duck.sql(f"SELECT {', '.join(cols)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    listed = ", ".join(f'"{c}"' for c in cols)  # quoted: a column may bear a keyword's name
+    want = duck.sql(f"SELECT {listed} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert rows(tuple(r[c] for c in cols) for r in got.collect()) == rows(want)
 
 
