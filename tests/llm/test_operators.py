@@ -205,6 +205,42 @@ def test_quality_rules(docs, odd):
     assert not any(r["kept"] for r in quality_rules.judge(odd).collect())
 
 
+def test_repeated_words_of_many_numbers(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in (4, 50, 400):
+        ids = rng.integers(0, 6, n)
+        want = quality_rules.repeated_words(ids)
+        with monkeypatch.context() as m:
+            m.setattr(quality_rules, "PACKED", 1)
+            assert quality_rules.repeated_words(ids) == want == quality_rules.repeated_words(ids + (1 << 22))
+
+
+CLASHES = ("_text", "_lang", "_script", "n_words", "kept", "base_failed", "chars_per_token", "held_out", "score", "predicted", "upper_share", "_y", "size", "source_size", "target", "taken", "full_copies", "_key", "_shard", "_source", "_to", "_r", "_s", "fp", "id", "_id", "n", "component_id", "k", "t", "row", "no", "h", "lit`s".replace("`", ""))
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    """Columns of any name come out as they went in, and change no decision."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    stages = (quality_rules.filter_docs, lambda d: classifier.filter_docs(d, labels), simhash.keep_one, mixing.apply_mix)
+    for stage in stages:
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES)
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in stage(docs).collect())
+    for query in (quality_rules.judge, bpe.encode_digests, media.media_columns, lm.score, simhash.near_duplicates, mixing.plan_mix, lambda d: classifier.classify(d, labels)):
+        assert query(wide).count() == docs.count()
+
+
+def test_stages_of_empty_tables(spark, docs):
+    labels, none = spark.read.parquet(f"{SF}/labels.parquet"), docs.where("false")
+    for got in (quality_rules.filter_docs(none), classifier.filter_docs(none, labels), classifier.filter_docs(none, labels.where("false")), simhash.keep_one(none), mixing.apply_mix(none)):
+        assert got.columns == docs.columns and got.count() == 0
+
+
 def test_classifier(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     rows = {r["doc_id"]: r for r in classifier.classify(docs, labels).collect()}
@@ -231,6 +267,22 @@ def test_html_alignment():
     assert main[5][0][3] == "=x" and main[5][2][3] == "*"
 
 
+def test_html_long_sequences_stay_bounded(spark):
+    def page(n, step):
+        return "<body><nav>menu</nav><article>" + "".join(f"<h2>h{k}</h2><p>p{k}</p>" + (f"<ul><li>l{k}</ul>" if k % step == 0 else "") for k in range(n)) + "</article><footer>f</footer></body>"
+
+    pages = [("a", page(3000, 7)), ("b", page(2000, 5)), ("c", page(3, 2))]
+    whole = None
+    for _, x in pages:
+        w = html.page_wrapper(html.parse(x))
+        whole = w if whole is None else html.merge(whole, w)
+    assert len(str(whole)) < 2000
+    frame = spark.createDataFrame([(k, f"http://h.example/{u}", x) for k, (u, x) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(frame).collect()}
+    for k, (n, step) in enumerate(((3000, 7), (2000, 5), (3, 2))):
+        assert got[k] == "\n".join(x for j in range(n) for x in (f"h{j}", f"p{j}", *([f"l{j}"] if j % step == 0 else [])))
+
+
 def test_segmenter():
     counts = np.zeros(1 << urls.BITS)
     for w in (*urls.BLOCK_SEEDS, *urls.COMMON_WORDS):

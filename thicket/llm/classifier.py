@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_crc, slices, stored
+from .common import fold_crc, set_aside, slices, stored
 from .quality_rules import Words, repeated_lines, repeated_words
 
 #: Labelled rows that a fit uses at most.
@@ -190,6 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.withColumn("held_out", fold_crc(F.col(id_col), FOLDS) == HELD).withColumn("score", score_column(b, rules)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select(*keep, "held_out", "score", "predicted")
 
 
-def filter_docs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are predicted good, all columns unchanged."""
-    return classify(docs, labels, keep=tuple(docs.columns), **options).where("predicted = 1").select(*docs.columns)
+def filter_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are predicted good, all columns unchanged, whatever the names of those that are not read."""
+    rows, named = set_aside(docs, (id_col, text_col))
+    return named(classify(rows, labels, id_col, text_col, keep=tuple(rows.columns), **options).where("predicted = 1"))

@@ -38,6 +38,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but those of own under names that no operator uses, and what gives a result its names back."""
+    names = [c if c in own else f"__aside_{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
+
+
 def fold_crc(key: Column, folds: int) -> Column:
     """crc32 of the key's text, modulo folds (a null key counts as empty text)."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds

@@ -10,7 +10,8 @@ starts at a seeded block.
 Defined cases: a null or empty text has size 0 and is never taken; a null
 source is a source of its own, last in order; repeated rows are rows like any
 other; an empty table gives an empty plan; further columns of the input travel
-along untouched (the names in RESERVED must be free).
+along untouched (in plan_mix with keep_text the names in RESERVED must be free;
+apply_mix takes any).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, set_aside, stored
 
 RESERVED = ("size", "source_size", "target", "taken", "full_copies", "part_from", "part_to", "wrap_from", "wrap_to")
 #: Blocks that the whole mix is divided into at most.
@@ -118,10 +119,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return rows.withColumn("taken", taken.cast("long")).select(*kept, *RESERVED)
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows themselves, with the columns of docs: each full copy, then each partly taken copy cut to its word range."""
-    plan = plan_mix(docs, keep_text=True, **options)
-    text = options.get("text_col", "text")
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows themselves, with the columns of docs: each full copy, then each partly taken copy cut to its word range.
+
+    n_chars follows the cut text; columns that are not read may have any name.
+    """
+    docs, named = set_aside(docs, (id_col, text_col, source_col, "n_chars"))
+    plan = plan_mix(docs, id_col, text_col, source_col, keep_text=True, **options)
+    text = text_col
     ranges = F.concat(
         F.when(F.col("full_copies") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b"), F.lit(True).alias("whole")), F.col("full_copies").cast("int"))).otherwise(F.array()),
         F.filter(F.array(F.struct(F.col("part_from").alias("a"), F.col("part_to").alias("b"), F.lit(False).alias("whole")), F.struct(F.col("wrap_from").alias("a"), F.col("wrap_to").alias("b"), F.lit(False).alias("whole"))), lambda r: r["b"] > r["a"]),
@@ -134,4 +139,4 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(F.col(text)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return named(out)

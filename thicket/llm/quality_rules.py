@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, slices
+from .common import once, set_aside, slices
 
 PIECES = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -32,6 +32,8 @@ MIN_WORDS = 50
 MAX_REPEAT = 0.5
 #: Words that a task remembers the tokens of.
 MEMO = 100_000
+#: Below this many distinct words a window of three fits one 64-bit number.
+PACKED = 1 << 21
 #: Ids of the byte-fallback tokens of the vocabulary.
 BYTES = (3, 258)
 MEASURES = ("chars_per_token", "fallback_share", "entropy_share", "top_share", "mark_share")
@@ -114,7 +116,11 @@ def repeated_words(ids: np.ndarray) -> int:
     """Words inside windows of three that the text holds twice or more."""
     if len(ids) < 4:
         return 0
-    key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    if int(ids.max()) < PACKED:
+        key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    else:
+        pairs = np.unique((ids[:-1] << 32) | ids[1:], return_inverse=True)[1].astype(np.int64)
+        key = (pairs[:-1] << 32) | ids[2:]
     order = np.argsort(key)
     line = key[order]
     same = line[1:] == line[:-1]
@@ -184,6 +190,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict(F.col("_lang"), F.col("_script"), bands), F.lit(False))).drop("_lang", "_script")
 
 
-def filter_docs(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, all columns unchanged."""
-    return judge(docs, keep=tuple(docs.columns), **options).where("kept").select(*docs.columns)
+def filter_docs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that are kept, all columns unchanged, whatever the names of those that are not read."""
+    rows, named = set_aside(docs, (text_col, lang_col))
+    return named(judge(rows, text_col, lang_col, keep=tuple(rows.columns), **options).where("kept"))
