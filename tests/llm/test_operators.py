@@ -116,6 +116,16 @@ def test_simhash_keep_one(odd):
     assert kept.count(3) == 1 and 1 in kept and 2 not in kept
 
 
+def test_simhash_keep_one_of_repeated_ids(spark):
+    """Only near-duplicates go: rows that share an id, or have none, are rows of their own."""
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, a), (9, e), (8, e), (9, c)]
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(frame).collect()), key=str)
+    assert got == sorted([(3, a), (None, b), (7, c), (7, d), (8, e)], key=str)
+
+
 def test_mixing(docs, texts):
     got = mixing.plan_mix(docs).collect()
     size = {k: len(t.encode().split()) for k, t in texts.items()}

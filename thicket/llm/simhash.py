@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import set_aside, stored
 from .components import components
 
 SHINGLE = 3
@@ -152,16 +152,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: the one with the smallest id (rows that share it: one of them).
+    """docs with one row of each class: the one with the smallest id, nulls last (of rows that share it, the one of the smallest text hash).
 
-    The ids that go are joined, not those that stay: they are the fewer, so the
-    texts stay where they are as long as Catalyst finds their table small.
+    Where ids repeat, a stored row key tells rows apart, so an id decides for its
+    own row alone. The keys that go are joined, not those that stay: they are the
+    fewer, so the texts stay where they are as long as Catalyst finds their table
+    small.
     """
-    marked = near_duplicates(docs, id_col, text_col)
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept, gone = (marked.where(c).select(F.col(id_col).alias("_id")).distinct() for c in (stays, ~stays))
-    gone = stored(gone.join(kept.withColumnRenamed("_id", "_kept"), F.col("_id").eqNullSafe(F.col("_kept")), "left_anti"), "gone")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return out
-    return out.dropDuplicates([id_col])
+    rows, named = set_aside(docs, (id_col, text_col))
+    own = id_col
+    if not rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        own = "__row"
+        rows = stored(rows.withColumn(own, F.concat_ws("-", F.lower(F.hex(F.xxhash64(F.col(text_col)))), F.expr("uuid()"))), "rows")
+    key = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col(own).alias("row"))
+    marked = near_duplicates(rows.select(key.alias("key"), text_col), "key", text_col)
+    gone = stored(marked.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.row").alias("__gone")), "gone")
+    return named(rows.join(gone, F.col(own).eqNullSafe(F.col("__gone")), "left_anti"))
