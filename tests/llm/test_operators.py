@@ -215,6 +215,20 @@ def test_quality_rules(docs, odd):
     assert not any(r["kept"] for r in quality_rules.judge(odd).collect())
 
 
+def test_script_of_whole_text(spark):
+    lines = ["OK: 中文字文本文字很多很多", "ж and this is all in Latin script", "https://a.b/ Привет, это русский текст и ещё больше слов", "The Ελληνικά είναι γλώσσα", "123 ...", "", None, "ab жж 12", "ªº 中"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "k int, t string")
+    got = [r["s"] for r in frame.select("k", quality_rules.script_of(frame["t"]).alias("s")).orderBy("k").collect()]
+    assert got == ["other", "Latin", "Cyrillic", "Greek", "other", "other", "other", "Latin", "Latin"]
+
+
+def test_quality_rules_of_text_that_opens_in_latin(spark):
+    rng = random.Random(4)
+    text = "OK " + " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3)) for _ in range(90))
+    rows = quality_rules.judge(spark.createDataFrame([(1, text, "zh"), (2, text[3:], None)], "doc_id long, text string, lang string")).collect()
+    assert [r["kept"] for r in rows] == [True, True]
+
+
 def test_repeated_words_of_many_numbers(monkeypatch):
     rng = np.random.default_rng(2)
     for n in (4, 50, 400):

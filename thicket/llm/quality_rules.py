@@ -170,12 +170,18 @@ def verdict(lang: Column, script: Column, bands: dict = BANDS) -> Column:
     return out
 
 
-def script_of(text: Column, bands: dict = BANDS) -> Column:
-    """The script of the first letter."""
-    first = F.regexp_extract(text, r"(\p{L})", 1)
+def script_of(text: Column) -> Column:
+    """The script of most letters of the whole text; ties go in the order of SCRIPTS, then other; other where there is no letter."""
+    letters = lambda other: F.char_length(F.regexp_replace(text, other, ""))
+    # All but the letters of a script are taken out; what is left of all letters is of other scripts.
+    counts = {key: letters(rf"[\P{{{pattern[3:-1]}}}\P{{L}}]+") for key, pattern in SCRIPTS.items()}
+    rest = letters(r"\P{L}+")
+    for n in counts.values():
+        rest = rest - n
+    most = F.greatest(*counts.values(), rest)
     out = F.lit("other")
-    for key, pattern in SCRIPTS.items():
-        out = F.when(first.rlike(pattern), key).otherwise(out)
+    for key in reversed(counts):
+        out = F.when((counts[key] == most) & (most > 0), key).otherwise(out)
     return out
 
 
@@ -184,7 +190,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     known = sorted(set(bands) - set(SCRIPTS) - {"other"})
     # The script is looked for only where the language has no band of its own.
-    marked = docs.withColumns({"_lang": lang, "_script": F.when(~F.coalesce(lang.isin(known), F.lit(False)), script_of(F.col(text_col)))})
+    marked = docs.withColumns({"_lang": lang, "_script": F.when(~F.coalesce(lang.isin(known), F.lit(False)), script_of(F.col(text_col).cast("string")))})
     found = measures(marked, text_col, keep=(*keep, "_lang", "_script"), **options)
     found = found.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words")))
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict(F.col("_lang"), F.col("_script"), bands), F.lit(False))).drop("_lang", "_script")
