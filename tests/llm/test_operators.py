@@ -307,6 +307,16 @@ def test_html_long_sequences_stay_bounded(spark):
         assert got[k] == "\n".join(x for j in range(n) for x in (f"h{j}", f"p{j}", *([f"l{j}"] if j % step == 0 else [])))
 
 
+def test_html_deep_nests(spark):
+    """End tags of deep blocks close those alone, and furniture stays furniture at any depth."""
+    deep = lambda n, x: "<div>" * n + x + "</div>" * n
+    pages = [f"<body><div id=wrap><article><p>one</p>{deep(n, f'<nav>menu</nav><p>in{n}</p>')}<p>last</p></article></div><footer>f</footer></body>" for n in (60, 20_000)]
+    pages += ["<body>" + "<div>" * 3000 + "<p>open</p></span></i></section>"]
+    frame = spark.createDataFrame([(k, "http://h.example/", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(frame).collect()}
+    assert got == {0: "one\nin60\nlast", 1: "one\nin20000\nlast", 2: "open"}
+
+
 def test_segmenter():
     counts = np.zeros(1 << urls.BITS)
     for w in (*urls.BLOCK_SEEDS, *urls.COMMON_WORDS):

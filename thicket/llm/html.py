@@ -26,7 +26,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,7 +50,6 @@ FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising spons
 HEADER = frozenset("header topbar site-header".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 LEXICON = FURNITURE | HEADER | CONTENT
-MAX_DEPTH = 48
 #: Nodes that a sequence of a wrapper holds at most; the signature of a repeated group of optional nodes.
 LONGEST = 256
 GROUP = "()"
@@ -88,6 +89,7 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#", "#")
     stack = [root]
+    is_open: Counter[str] = Counter()
     text: list[str] = []
 
     def flush() -> None:
@@ -113,19 +115,21 @@ def parse(page: str) -> Node:
         if tag in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            while is_open[tag]:
+                last = stack.pop().tag
+                is_open[last] -= 1
+                if last == tag:
                     break
             continue
         if len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ())):
-            stack.pop()
+            is_open[stack.pop().tag] -= 1
             if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
+                is_open[stack.pop().tag] -= 1
         node = Node(signature(tag, m[4]), tag)
         stack[-1].items.append(node)
-        if len(stack) < MAX_DEPTH and not m[4].endswith("/"):
+        if not m[4].endswith("/"):
             stack.append(node)
+            is_open[tag] += 1
     flush()
     return root
 
@@ -134,78 +138,123 @@ def parse(page: str) -> Node:
 # "" (none), "=..." (fixed) or "*" (slot).
 
 
+def unwound(step: Generator) -> Any:
+    """The result of a recursive generator, which yields its calls and is sent their results: blocks can nest to any depth."""
+    stack, value = [step], None
+    while stack:
+        try:
+            call = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(call)
+            value = None
+    return value
+
+
 def page_wrapper(node: Node) -> list:
+    return unwound(_page_wrapper(node))
+
+
+def merge(a: list, b: list, pages: int | None = None) -> list:
+    """The wrapper of both; pages: 0 if they are repeats inside one page."""
+    return unwound(_merge(a, b, pages))
+
+
+def _page_wrapper(node: Node) -> Generator:
     lines = [x for x in node.items if isinstance(x, str)]
     text = "*" if len(lines) > 1 else "=" + lines[0][:200] if lines else ""
     children: list[list] = []
     for child in node.items:
         if not isinstance(child, str):
-            w = page_wrapper(child)
+            w = yield _page_wrapper(child)
             if children and children[-1][0] == w[0]:
-                children[-1] = merge(children[-1], w, 0)
+                children[-1] = yield _merge(children[-1], w, 0)
                 children[-1][1] = True
             else:
                 children.append(w)
-    return [node.sig, False, False, text, 1, bounded(children)]
+    if len(children) > LONGEST:
+        children = yield _grouped(children, [])
+    return [node.sig, False, False, text, 1, children]
 
 
-def merge(a: list, b: list, pages: int | None = None) -> list:
-    """The wrapper of both; pages: 0 if they are repeats inside one page."""
+def _merge(a: list, b: list, pages: int | None = None) -> Generator:
     text = a[3] if a[3] == b[3] else "*" if a[3] and b[3] else (a[3] or b[3]) if pages == 0 else "*"
     total = a[4] if pages == 0 else a[4] + b[4]
-    return [a[0], a[1] or b[1], a[2] or b[2], text, total, align(a[5], b[5])]
-
+    children = (yield _align(a[5], b[5])) if a[5] or b[5] else []
+    return [a[0], a[1] or b[1], a[2] or b[2], text, total, children]
 
-def bounded(nodes: list[list]) -> list[list]:
-    return grouped(nodes, []) if len(nodes) > LONGEST else nodes
 
-
-def grouped(a: list[list], b: list[list]) -> list[list]:
+def _grouped(a: list[list], b: list[list]) -> Generator:
     """One repeated group (x? y? ...)* of the nodes of both sequences."""
     sides: list[dict[str, list]] = []
     for nodes in (a, b):
         by: dict[str, list] = {}
         for x in (y for n in nodes for y in (n[5] if n[0] == GROUP else [n])):
             old = by.get(x[0])
-            by[x[0]] = [x[0], True, True, *(merge(old, x, 0)[3:] if old else x[3:])]
+            both = (yield _merge(old, x, 0)) if old else x
+            by[x[0]] = [x[0], True, True, *both[3:]]
         sides.append(by)
     left, right = sides
-    found = [merge(left[s], right[s]) if s in left and s in right else left.get(s) or right[s] for s in dict.fromkeys([*left, *right])]
+    found = []
+    for s in dict.fromkeys([*left, *right]):
+        found.append((yield _merge(left[s], right[s])) if s in left and s in right else left.get(s) or right[s])
     return [[GROUP, True, False, "", 0, found]]
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def _align(a: list[list], b: list[list]) -> Generator:
     """Longest common subsequence by signature; what only one side has is optional. Equal neighbours then fold. A group takes in all."""
+    out: list[list] = []
     if any(x[0] == GROUP for x in (*a[:1], *b[:1])):
-        return grouped(a, b)
+        return (yield _grouped(a, b))
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _merge(x, y)))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out: list[list] = []
-
-    def add(x: list) -> None:
-        if out and out[-1][0] == x[0]:
-            out[-1] = merge(out[-1], x)
-            out[-1][1] = True
-        else:
-            out.append(x)
-
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            add(merge(a[i], b[j]))
+            x = yield _merge(a[i], b[j])
             i, j = i + 1, j + 1
         elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            add([*a[i][:2], True, *a[i][3:]])
+            x = [*a[i][:2], True, *a[i][3:]]
             i += 1
         else:
-            add([*b[j][:2], True, *b[j][3:]])
+            x = [*b[j][:2], True, *b[j][3:]]
             j += 1
-    return bounded(out)
+        if out and out[-1][0] == x[0]:
+            out[-1] = yield _merge(out[-1], x)
+            out[-1][1] = True
+        else:
+            out.append(x)
+    return (yield _grouped(out, [])) if len(out) > LONGEST else out
+
+
+def packed(wrapper: list) -> str:
+    """The wrapper as JSON: its nodes in page order, each with its depth."""
+    out, stack = [], [(0, wrapper)]
+    while stack:
+        depth, w = stack.pop()
+        out.append([depth, *w[:5]])
+        stack += [(depth + 1, c) for c in reversed(w[5])]
+    return json.dumps(out, ensure_ascii=False)
+
+
+def unpacked(line: str) -> list:
+    path: list[list] = []
+    for depth, *own in json.loads(line):
+        del path[depth:]
+        node = [*own, []]
+        if path:
+            path[-1][5].append(node)
+        path.append(node)
+    return path[0]
 
 
 def furniture(sig: str, inside: bool) -> bool:
@@ -222,7 +271,13 @@ def content_rank(sig: str) -> int:
 
 
 def slots(wrapper: list) -> bool:
-    return wrapper[3] == "*" or any(slots(c) for c in wrapper[5])
+    stack = [wrapper]
+    while stack:
+        w = stack.pop()
+        if w[3] == "*":
+            return True
+        stack += w[5]
+    return False
 
 
 class Wrapper:
@@ -235,7 +290,7 @@ class Wrapper:
 
     def text(self, page: Node) -> str:
         """The page's main text: of its articles, else its blocks named like one, else all that is not furniture."""
-        found = self.regions(page, self.root)
+        found = unwound(self.regions(page, self.root))
         if found:
             best = max(rank for rank, _, _ in found)
             regions = [(node, w) for rank, node, w in found if rank == best]
@@ -262,26 +317,33 @@ class Wrapper:
                 at = k
             yield item, children[k] if k is not None else None
 
-    def regions(self, node: Node, w: list | None) -> list[tuple[int, Node, list | None]]:
-        out = []
+    def regions(self, node: Node, w: list | None) -> Generator:
+        out: list[tuple[int, Node, list | None]] = []
         for item, own in self.matched(node, w):
             if isinstance(item, str) or furniture(item.sig, False):
                 continue
             if rank := content_rank(item.sig):
-                inner = self.regions(item, own) if rank == 1 else []
+                inner = (yield self.regions(item, own)) if rank == 1 else []
                 out += inner if any(r == 2 for r, _, _ in inner) else [(rank, item, own)]
             else:
-                out += self.regions(item, own)
+                out += yield self.regions(item, own)
         return out
 
     def collect(self, node: Node, w: list | None, inside: bool, lines: list[str]) -> None:
-        fixed = not inside and self.varies and w is not None and w[3][:1] == "=" and w[4] >= FIXED_PAGES
-        for item, own in self.matched(node, w):
-            if isinstance(item, str):
+        stack = [(self.fixed(w, inside), self.matched(node, w))]
+        while stack:
+            fixed, items = stack[-1]
+            item, own = next(items, (None, None))
+            if item is None:
+                stack.pop()
+            elif isinstance(item, str):
                 if not fixed:
                     lines.append(item)
             elif not furniture(item.sig, inside):
-                self.collect(item, own, inside, lines)
+                stack.append((self.fixed(own, inside), self.matched(item, own)))
+
+    def fixed(self, w: list | None, inside: bool) -> bool:
+        return not inside and self.varies and w is not None and w[3][:1] == "=" and w[4] >= FIXED_PAGES
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -296,13 +358,13 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 w = page_wrapper(parse(page))
                 found[host] = merge(found[host], w) if host in found else w
         salt = uuid.uuid4().int % 64
-        yield pd.DataFrame({"host": [*found], "salt": [salt] * len(found), "wrapper": [json.dumps(w, ensure_ascii=False) for w in found.values()]}).astype({"host": object, "salt": "int32", "wrapper": object})
+        yield pd.DataFrame({"host": [*found], "salt": [salt] * len(found), "wrapper": [packed(w) for w in found.values()]}).astype({"host": object, "salt": "int32", "wrapper": object})
 
     def both(group: pd.DataFrame) -> pd.DataFrame:
         total = None
         for line in sorted(group["wrapper"]):
-            total = json.loads(line) if total is None else merge(total, json.loads(line))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(total, ensure_ascii=False)]})
+            total = unpacked(line) if total is None else merge(total, unpacked(line))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [packed(total)]})
 
     rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("html")).where("html is not null")
     part = rows.mapInPandas(read, "host string, salt int, wrapper string")
@@ -327,7 +389,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if line not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[line] = Wrapper(json.loads(line))
+                    known[line] = Wrapper(unpacked(line))
                 texts.append(known[line].text(parse(page)))
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
