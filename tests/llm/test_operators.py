@@ -317,6 +317,13 @@ def test_html_deep_nests(spark):
     assert got == {0: "one\nin60\nlast", 1: "one\nin20000\nlast", 2: "open"}
 
 
+def test_html_texts_that_start_alike(spark):
+    """Texts that agree in a long passage and differ later are no fixed text."""
+    pages = [f"<body><div>{'shared words ' * 40}and {k}</div><p>All rights are kept.</p></body>" for k in range(5)]
+    frame = spark.createDataFrame([(k, "http://h.example/", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(frame).collect()} == {k: "shared words " * 40 + f"and {k}" for k in range(5)}
+
+
 def test_segmenter():
     counts = np.zeros(1 << urls.BITS)
     for w in (*urls.BLOCK_SEEDS, *urls.COMMON_WORDS):

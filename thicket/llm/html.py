@@ -3,7 +3,7 @@
 A page is a nested stream of block tags and text; inline tags are part of the
 text. A wrapper is the same with three generalisations: a node may be repeated
 (equal neighbours fold into one), optional (some pages lack it), and its text
-may be a slot (pages differ) or fixed (all alike). The wrapper of a host starts
+may be a slot (pages differ) or fixed (all alike, by a hash of the whole text). The wrapper of a host starts
 as its first page and is aligned with each further one; a mismatch of tags
 becomes an optional or repeated node, a mismatch of text becomes a slot. A
 sequence of over LONGEST nodes becomes a repeated group of optional nodes, one
@@ -31,6 +31,7 @@ from collections.abc import Generator, Iterator
 from typing import Any
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,11 @@ def unwound(step: Generator) -> Any:
     return value
 
 
+def digest(text: str) -> str:
+    """A short text itself, a long one's length and hash: a tab, which no text has, keeps the two apart."""
+    return text if len(text) <= 40 else f"{len(text)}\t{xxhash.xxh3_128_hexdigest(text.encode(errors='surrogatepass'))}"
+
+
 def page_wrapper(node: Node) -> list:
     return unwound(_page_wrapper(node))
 
@@ -164,7 +170,7 @@ def merge(a: list, b: list, pages: int | None = None) -> list:
 
 def _page_wrapper(node: Node) -> Generator:
     lines = [x for x in node.items if isinstance(x, str)]
-    text = "*" if len(lines) > 1 else "=" + lines[0][:200] if lines else ""
+    text = "*" if len(lines) > 1 else "=" + digest(lines[0]) if lines else ""
     children: list[list] = []
     for child in node.items:
         if not isinstance(child, str):
