@@ -340,6 +340,20 @@ def test_urls(spark):
     assert all((r["verdict"] == "block") == (r["page_id"] % 5 == 0) for r in urls.judge(many).collect())
 
 
+def test_urls_of_many_words(spark):
+    """A word not seen stays unseen however many others there are."""
+    rng = random.Random(7)
+    words = {"".join(rng.choices("bcdfghklmnprtvz", k=5)) for _ in range(200_000)}
+    lines = sorted(words)
+    pages = [(k, f"http://plain.example.org/{'/'.join(lines[k * 1000 : k * 1000 + 1000])}") for k in range(len(lines) // 1000)] + [(-1, "http://bestcasinowin.example.org/"), (-2, "http://quickriverlab.example.org/")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    unigram, _ = urls.train(frame.select(urls.host_of(frame["url"]).alias("host"), urls.path_of(frame["url"]).alias("path")))
+    assert urls.Segmenter(unigram).words("bestcasinowin quickriverlab") == ["best", "casino", "win", "quick", "river", "lab"]
+    assert np.count_nonzero(unigram.of(["bestcasinowin", "casinowin", "qqq"])) == 0 and unigram.of(lines[:1])[0] == 1
+    odds = {r["page_id"]: r["log_odds"] for r in urls.judge(frame, rules=()).where("page_id < 0").collect()}
+    assert odds[-1] > odds[-2]
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert set(pipeline.run(spark, SF).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

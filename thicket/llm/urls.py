@@ -2,9 +2,9 @@
 
 A unigram model with a Viterbi search splits concatenated host labels and path
 parts into words; multinomial naive Bayes scores the words. Word counts come
-from every page's url; they live in a table of 2**BITS hashed counters, so
-what tasks receive has a fixed size however many words there are. Hosts that
-hold a seed word teach the two classes.
+from every page's url; each word has a count of its own under the whole 64 bits
+of its hash, so a word not seen has none, and what tasks receive grows by 16 to
+24 bytes a distinct word. Hosts that hold a seed word teach the two classes.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and verdict allow; repeated rows are judged alike; an empty table gives
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,8 +58,31 @@ def bucket(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode(), 42) & ((1 << BITS) - 1)
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << BITS) - 1))
+def fingerprint(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 42)
+
+
+class Counts:
+    """Numbers of words: keys are the words' fingerprints in order; other words have the value 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[k] == keys, self.values[k], 0.0)
+
+    def of(self, words: Iterable[str]) -> np.ndarray:
+        return self.at(np.array([fingerprint(w) for w in words], np.uint64))
+
+    def plus(self, more: dict[str, float]) -> Counts:
+        """These, and so many more of each word of more."""
+        keys, added = np.array([fingerprint(w) for w in more], np.uint64), np.array([*more.values()], float)
+        every = np.union1d(self.keys, keys)
+        return Counts(every, self.at(every) + Counts(keys, added).at(every))
 
 
 def chunks(text: str) -> list[str]:
@@ -71,25 +94,26 @@ def _words_of(column: Column) -> Column:
 
 
 class Segmenter:
-    """Viterbi search for the likeliest words of a letter run, under hashed unigram counts."""
+    """Viterbi search for the likeliest words of a letter run, under unigram counts (Counts, or an array by bucket)."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: Counts | np.ndarray):
         self.counts = counts
-        self.log_n = math.log(counts.sum() + 1.0)
+        self.log_n = math.log((counts.values if isinstance(counts, Counts) else counts).sum() + 1.0)
         self.memo: dict[str, tuple[str, ...]] = {}
 
-    def cost(self, word: str) -> float:
-        c = self.counts[bucket(word)]
-        return self.log_n - math.log(c) if c > 0 else self.log_n + 2.5 * len(word)  # a word not seen pays by its length
+    def costs(self, words: list[str]) -> list[float]:
+        found = self.counts.of(words) if isinstance(self.counts, Counts) else self.counts[[bucket(w) for w in words]]
+        # A word not seen pays by its length.
+        return [self.log_n - math.log(c) if c > 0 else self.log_n + 2.5 * len(w) for w, c in zip(words, found.tolist(), strict=True)]
 
     def split(self, run: str) -> tuple[str, ...]:
         if run in self.memo:
             return self.memo[run]
         best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - MAX_WORD), end):
-                if (c := best[start] + self.cost(run[start:end])) < best[end]:
-                    best[end], back[end] = c, start
+        spans = [(start, end) for end in range(1, len(run) + 1) for start in range(max(0, end - MAX_WORD), end)]
+        for (start, end), cost in zip(spans, self.costs([run[a:b] for a, b in spans]), strict=True):
+            if (c := best[start] + cost) < best[end]:
+                best[end], back[end] = c, start
         words, end = [], len(run)
         while end:
             words.append(run[back[end] : end])
@@ -102,15 +126,14 @@ class Segmenter:
         return [w for run in chunks(text) for w in self.split(run)]
 
 
-def _hashed(rows: list, shape: tuple[int, ...]) -> np.ndarray:
-    out = np.zeros(shape)
-    for *key, n in rows:
-        out[tuple(key)] = n
-    return out
+def _gathered(rows: DataFrame, *names: str) -> list[np.ndarray]:
+    """The column w, fingerprints as Spark's signed longs, and those of names."""
+    table = rows.toArrow()
+    return [table["w"].to_numpy().astype(np.int64).view(np.uint64), *[table[n].to_numpy().astype(float) for n in names]]
 
 
-def train(urls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram counts, and counts by class, both of 2**BITS hashed words; urls has host and path.
+def train(urls: DataFrame) -> tuple[Counts, tuple[Counts, Counts]]:
+    """Unigram counts, and the counts of both classes, of all words; urls has host and path.
 
     Words are learned where a url sets them apart: in paths, and in host labels
     with hyphens. A label without may be several words in one.
@@ -118,42 +141,46 @@ def train(urls: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counted = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     apart = F.array_join(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), " ")
     words = counted.select(F.explode(F.concat(_words_of(apart), _words_of(F.col("path")))).alias("w"), "n")
-    unigram = _hashed(words.where(F.length("w") <= MAX_WORD).groupBy(_bucket(F.col("w")).alias("b")).agg(F.sum("n").alias("n")).collect(), (1 << BITS,))
+    # Spark's hash of a word is that of fingerprint().
+    unigram = Counts(*_gathered(words.where(F.length("w") <= MAX_WORD).groupBy(F.xxhash64("w").alias("w")).agg(F.sum("n").alias("n")), "n"))
+    total, first = unigram.values.sum(), {}
     for w in (*BLOCK_SEEDS, *COMMON_WORDS):
-        unigram[bucket(w)] += max(50.0, unigram.sum() / 2000)
+        first[w] = max(50.0, total / 2000)
+        total += first[w]
+    unigram = unigram.plus(first)
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segment, seeds = Segmenter(unigram), set(BLOCK_SEEDS)
         for batch in batches:
-            found: dict[tuple[int, int], int] = {}
+            found: dict[tuple[int, str], int] = {}
             for host, path, n in zip(batch["host"], batch["path"], batch["n"], strict=True):
                 own = segment.words(host)
                 label = int(bool(seeds & set(own)))
                 for w in own + segment.words(path):
-                    found[label, bucket(w)] = found.get((label, bucket(w)), 0) + n
-            yield pd.DataFrame([(k, b, n) for (k, b), n in found.items()], columns=["label", "b", "n"])
+                    found[label, w] = found.get((label, w), 0) + n
+            yield pd.DataFrame({"w": np.array([fingerprint(w) for _, w in found], np.uint64).view(np.int64), "good": [0 if k else n for (k, _), n in found.items()], "bad": [n if k else 0 for (k, _), n in found.items()]}).astype("int64")
 
-    by = counted.mapInPandas(classes, "label int, b int, n long").groupBy("label", "b").agg(F.sum("n").alias("n"))
-    return unigram, _hashed(by.collect(), (2, 1 << BITS))
+    by = counted.mapInPandas(classes, "w long, good long, bad long").groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    keys, good, bad = _gathered(by, "good", "bad")
+    return unigram, (Counts(keys, good), Counts(keys, bad))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per page: host, path, the rule that fits or null, verdict (the rule's, else the classifier's) and the classifier's log-odds."""
     urls = pages.select(id_col, host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), path_of(F.coalesce(F.col(url_col), F.lit(""))).alias("path"))
     unigram, classes = train(urls.where("host <> ''"))
-    total = classes.sum(axis=1)
-    prior = float(np.log((total[1] + 1) / (total[0] + 1)))
-    for w in BLOCK_SEEDS:
-        classes[1, bucket(w)] += max(5.0, total[1] / 100)
-    total = classes.sum(axis=1)
-    vocabulary = max(1, int(np.count_nonzero(classes.sum(axis=0))))
-    shares = (classes + SMOOTHING) / (total[:, None] + SMOOTHING * vocabulary)
-    odds = np.log(shares[1]) - np.log(shares[0])
-    odds32, unigram32 = odds.astype(np.float32), unigram.astype(np.float32)
+    good, bad = classes
+    prior = float(np.log((bad.values.sum() + 1) / (good.values.sum() + 1)))
+    bad = bad.plus(dict.fromkeys(BLOCK_SEEDS, max(5.0, bad.values.sum() / 100)))
+    vocabulary = max(1, len(bad.keys))
+    # A word of neither class has the odds of two counts of zero.
+    share = lambda n, of: np.log((n + SMOOTHING) / (of.values.sum() + SMOOTHING * vocabulary))
+    unseen = float(share(0.0, bad) - share(0.0, good))
+    odds = Counts(bad.keys, share(bad.values, bad) - share(good.at(bad.keys), good) - unseen)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        segment = Segmenter(unigram32)
+        segment = Segmenter(unigram)
         memo: dict[str, float] = {}
         for host, path in parts:
             out = []
@@ -163,7 +190,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
                     if x not in memo:
                         if len(memo) > 100_000:
                             memo.clear()
-                        memo[x] = float(sum(odds32[bucket(w)] for w in segment.words(x)))
+                        memo[x] = float((odds.of(segment.words(x)) + unseen).sum())
                     total += memo[x]
                 out.append(total)
             yield pd.Series(out, dtype="float64")
