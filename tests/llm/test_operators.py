@@ -324,6 +324,18 @@ def test_html_texts_that_start_alike(spark):
     assert {r["page_id"]: r["text"] for r in html.extract(frame).collect()} == {k: "shared words " * 40 + f"and {k}" for k in range(5)}
 
 
+def test_html_fixed_texts_inside_regions(spark):
+    """The wrapper takes what all pages of a host share out of their articles, but not what some share, nor all of an article."""
+    body = lambda k, extra="": f"<body><p>date {k}</p><article><h1>head {k}</h1><p>one {k}<p>two {k}{extra}<div>Share this page</div></article></body>"
+    pages = [("a", body(k)) for k in range(3)] + [("a", body(9, "<pre>copied text</pre>"))] * 3
+    pages += [("b", f"<body><p>date {k}</p><article><p>the same</p></article></body>") for k in range(3)] + [("c", body(k)) for k in range(2)]
+    frame = spark.createDataFrame([(k, f"http://{h}.example/", x) for k, (h, x) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(frame).collect()}
+    plain = [f"head {k}\none {k}\ntwo {k}" for k in range(3)]
+    want = plain + ["head 9\none 9\ntwo 9\ncopied text"] * 3 + ["the same"] * 3 + [x + "\nShare this page" for x in plain[:2]]
+    assert got == dict(enumerate(want))
+
+
 def test_segmenter():
     counts = np.zeros(1 << urls.BITS)
     for w in (*urls.BLOCK_SEEDS, *urls.COMMON_WORDS):

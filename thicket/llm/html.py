@@ -7,9 +7,11 @@ may be a slot (pages differ) or fixed (all alike, by a hash of the whole text).
 as its first page and is aligned with each further one; a mismatch of tags
 becomes an optional or repeated node, a mismatch of text becomes a slot. A
 sequence of over LONGEST nodes becomes a repeated group of optional nodes, one
-of each signature, which bounds both wrapper and alignment on long pages. Nodes
-of the finished wrapper are then labelled: main article or furniture. A page is
-read by matching it against its host's wrapper.
+of each signature, which bounds both wrapper and alignment on long pages. A page is
+read by matching it against its host's wrapper: article and main elements, else
+blocks named like one, choose its regions; blocks named like furniture go, and
+so do texts that the wrapper has as fixed, inside a region those that all pages
+of the host have.
 
 Partial wrappers form where the pages are read, one a host and task, and merge
 by host in two steps, so a host with a third of all pages is never gathered.
@@ -293,6 +295,14 @@ class Wrapper:
         self.root = wrapper
         # Fixed texts say something only where pages differ at all.
         self.varies = wrapper[4] >= FIXED_PAGES and slots(wrapper)
+        # Nodes that stand on all pages of the host: neither they nor what holds them is optional.
+        self.everywhere: set[int] = set()
+        stack = [wrapper]
+        while stack:
+            w = stack.pop()
+            if not w[2]:
+                self.everywhere.add(id(w))
+                stack += w[5]
 
     def text(self, page: Node) -> str:
         """The page's main text: of its articles, else its blocks named like one, else all that is not furniture."""
@@ -304,7 +314,10 @@ class Wrapper:
             regions = [(page, self.root)]
         lines: list[str] = []
         for node, w in regions:
-            self.collect(node, w, bool(found), lines)
+            self.collect(node, w, bool(found), self.varies, lines)
+        if found and self.varies and not lines:  # a region of fixed texts alone is what the page has to say
+            for node, w in regions:
+                self.collect(node, w, True, False, lines)
         return "\n".join(lines)
 
     def matched(self, node: Node, w: list | None) -> Iterator[tuple[Node | str, list | None]]:
@@ -335,21 +348,23 @@ class Wrapper:
                 out += yield self.regions(item, own)
         return out
 
-    def collect(self, node: Node, w: list | None, inside: bool, lines: list[str]) -> None:
-        stack = [(self.fixed(w, inside), self.matched(node, w))]
+    def collect(self, node: Node, w: list | None, inside: bool, drop: bool, lines: list[str]) -> None:
+        """The lines of node that are neither furniture nor, with drop, fixed texts of the wrapper."""
+        stack = [(w, self.matched(node, w))]
         while stack:
-            fixed, items = stack[-1]
+            w, items = stack[-1]
             item, own = next(items, (None, None))
             if item is None:
                 stack.pop()
             elif isinstance(item, str):
-                if not fixed:
+                if not (drop and self.fixed(w, inside) and w[3] == "=" + digest(item)):
                     lines.append(item)
             elif not furniture(item.sig, inside):
-                stack.append((self.fixed(own, inside), self.matched(item, own)))
+                stack.append((own, self.matched(item, own)))
 
     def fixed(self, w: list | None, inside: bool) -> bool:
-        return not inside and self.varies and w is not None and w[3][:1] == "=" and w[4] >= FIXED_PAGES
+        """Inside a main region a fixed text counts as furniture only where all pages of the host have it."""
+        return w is not None and w[3][:1] == "=" and (id(w) in self.everywhere if inside else w[4] >= FIXED_PAGES)
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
