@@ -1,21 +1,25 @@
 """Main text of web pages through wrappers inferred by union-free regular expressions.
 
 A page is a nested stream of block tags and text; inline tags are part of the
-text. A wrapper is the same with three generalisations: a node may be repeated
-(equal neighbours fold into one), optional (some pages lack it), and its text
-may be a slot (pages differ) or fixed (all alike, by a hash of the whole text). The wrapper of a host starts
-as its first page and is aligned with each further one; a mismatch of tags
-becomes an optional or repeated node, a mismatch of text becomes a slot. A
-sequence of over LONGEST nodes becomes a repeated group of optional nodes, one
-of each signature, which bounds both wrapper and alignment on long pages. A page is
-read by matching it against its host's wrapper: article and main elements, else
-blocks named like one, choose its regions; blocks named like furniture go, and
-so do texts that the wrapper has as fixed, inside a region those that all pages
-of the host have.
+text. The wrapper of a host starts as its first page and is aligned with each
+further one. Blocks that only one side has become optional; equal neighbours
+fold into one repeated block; paragraphs, headings and lists between two
+containers form one repeated group of optional members; texts that differ
+become slots, texts that all pages have stay fixed. Containers align by their
+longest common subsequence, and those that moved by their signature, so a
+sequence is never longer than its longest page asks for, at any length.
+
+The finished wrapper decides what a page's text is. Its nodes carry how many
+pages have them, how much text and how much link text they hold, and the texts
+that all of them share. Nodes of links, of fixed texts and of HTML's own page
+furniture are labelled out; the main region is where the varying text of the
+host gathers, article and main elements (and blocks named so) counting several
+times. Names of classes alone never overrule a content name: there the wrapper
+says whether the block varies. A page is read by matching it with its host's
+wrapper: a block that matches no node has no text.
 
 Partial wrappers form where the pages are read, one a host and task, and merge
 by host in two steps, so a host with a third of all pages is never gathered.
-Signatures hold tag names and words of LEXICON only, which bounds a wrapper.
 
 Defined cases: null or empty html has empty text; a page without a known host
 uses the wrapper of the empty host; unclosed or cut-off markup ends where the
@@ -28,12 +32,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
-from collections.abc import Generator, Iterator
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable, Generator, Iterator
 from typing import Any
 
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,30 +47,36 @@ from .urls import host_of
 
 #: Names of tags and of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head nav footer aside form menu dialog button select option iframe object audio video canvas map fieldset datalist input script style noscript template textarea svg math title".split())
+INLINE = frozenset("a abbr acronym area b bdi bdo big cite code data del dfn em embed font i img input ins kbd label mark param q ruby rp rt s samp small source span strike strong sub sup time track tt u var wbr".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address center details summary".split())
+SKIPPED = frozenset("head nav footer aside form menu dialog button select option iframe object audio video canvas map fieldset datalist script style noscript template textarea svg math title".split())
 MAIN = frozenset(("article", "main"))
 CLOSES = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
     "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",)),
 }
-FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion pagination pager toolbar widget search skip hidden legal disclaimer copyright form".split())
+#: Names that mark furniture whatever stands beside them, and those that a content name beside them outweighs.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond disqus pagination pager toolbar hidden".split())
+WEAK = frozenset("promotion banner notice notices alert social related recommended recommendations discussion widget search skip legal disclaimer copyright form".split())
 HEADER = frozenset("header topbar site-header".split())
 CONTENT = frozenset("article content main post entry story body text".split())
-LEXICON = FURNITURE | HEADER | CONTENT
-#: Nodes that a sequence of a wrapper holds at most; the signature of a repeated group of optional nodes.
-LONGEST = 256
+LEXICON = STRONG | WEAK | HEADER | CONTENT
+#: The signature of a repeated group of optional flow blocks.
 GROUP = "()"
 #: Pages that a fixed text must stand on before it counts as furniture.
 FIXED_PAGES = 3
+#: Share of a subtree's text inside links from which it is navigation.
+LINK_SHARE = 0.6
+#: Share of the (weighted) text of a node that one container must hold to be its main region, and the weights of blocks named so and of article and main.
+MAIN_SHARE, NAMED, TAGGED = 0.7, 3, 8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -73,20 +84,22 @@ def signature(tag: str, attributes: str) -> str:
     """The tag, and the words of LEXICON in its class, id and role."""
     words: set[str] = set()
     if attributes:
-        for m in NAMES.finditer(attributes):
-            words |= {w.lower() for w in PARTS.findall(m[1] or m[2] or m[3] or "")} & LEXICON
-        if UNSEEN.search(attributes):
-            words.add("hidden")
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id", "role"):
+                words |= {w.lower() for w in PARTS.findall(value)} & LEXICON
+            elif name == "hidden" or (name == "style" and NONE_SHOWN.search(value)):
+                words.add("hidden")
     return ".".join([tag, *sorted(words)])
 
 
 class Node:
-    """A block: its signature, and its texts and blocks in page order."""
+    """A block: its signature, its texts and blocks in page order, the characters of its own texts and those inside links."""
 
-    __slots__ = ("sig", "tag", "items")
+    __slots__ = ("sig", "tag", "items", "chars", "links")
 
     def __init__(self, sig: str, tag: str):
-        self.sig, self.tag, self.items = sig, tag, []
+        self.sig, self.tag, self.items, self.chars, self.links = sig, tag, [], 0, 0
 
 
 def parse(page: str) -> Node:
@@ -94,6 +107,7 @@ def parse(page: str) -> Node:
     stack = [root]
     is_open: Counter[str] = Counter()
     text: list[str] = []
+    linked = False
 
     def flush() -> None:
         if text:
@@ -101,11 +115,14 @@ def parse(page: str) -> Node:
             text.clear()
             if line:
                 stack[-1].items.append(line)
+                stack[-1].chars += len(line)
 
     for m in TOKEN.finditer(page):
         chars = m[5]
         if chars is not None:
             text.append(chars)
+            if linked:
+                stack[-1].links += len(chars.strip())
             continue
         if m[3] is None:
             if m[1]:
@@ -113,8 +130,11 @@ def parse(page: str) -> Node:
             continue
         tag = m[3].lower()
         if tag in INLINE:
+            if tag == "a":
+                linked = not m[2]
             continue
         flush()
+        linked = False  # no link spans blocks here
         if tag in VOID:
             continue
         if m[2]:
@@ -137,10 +157,6 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node is [signature, repeated, optional, text, pages, children]; text is
-# "" (none), "=..." (fixed) or "*" (slot).
-
-
 def unwound(step: Generator) -> Any:
     """The result of a recursive generator, which yields its calls and is sent their results: blocks can nest to any depth."""
     stack, value = [step], None
@@ -156,229 +172,300 @@ def unwound(step: Generator) -> Any:
     return value
 
 
-def digest(text: str) -> str:
-    """A short text itself, a long one's length and hash: a tab, which no text has, keeps the two apart."""
-    return text if len(text) <= 40 else f"{len(text)}\t{xxhash.xxh3_128_hexdigest(text.encode(errors='surrogatepass'))}"
+class Part:
+    """A node of a wrapper.
+
+    pages: how many pages have it (fewer than its parent's: optional); repeated:
+    some page has it twice or more; common: hashes of the texts that all those
+    pages have in it; varied: some page has others (a slot). cover: the blocks of
+    the page that a page's own wrapper was made of.
+    """
+
+    __slots__ = ("sig", "repeated", "varied", "pages", "chars", "links", "common", "kids", "cover")
+
+    def __init__(self, sig: str, repeated: bool = False, varied: bool = False, pages: int = 1, chars: int = 0, links: int = 0, common: set[int] | None = None, kids: list[Part] | None = None, cover: list[Node] | None = None):
+        self.sig, self.repeated, self.varied, self.pages, self.chars, self.links = sig, repeated, varied, pages, chars, links
+        self.common, self.kids, self.cover = common if common is not None else set(), kids or [], cover or []
+
 
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode(errors="surrogatepass"))
 
-def page_wrapper(node: Node) -> list:
-    return unwound(_page_wrapper(node))
 
+def page_wrapper(page: Node) -> Part:
+    return unwound(_of_block(page))
 
-def merge(a: list, b: list, pages: int | None = None) -> list:
-    """The wrapper of both; pages: 0 if they are repeats inside one page."""
-    return unwound(_merge(a, b, pages))
 
+def merge(a: Part, b: Part) -> Part:
+    """The wrapper of the pages of both."""
+    return unwound(_merge(a, b))
 
-def _page_wrapper(node: Node) -> Generator:
-    lines = [x for x in node.items if isinstance(x, str)]
-    text = "*" if len(lines) > 1 else "=" + digest(lines[0]) if lines else ""
-    children: list[list] = []
+
+def _of_block(node: Node) -> Generator:
+    kids: list[Part] = []
+    members: dict[str, Part] = {}  # of the group that is open at the end of kids
     for child in node.items:
-        if not isinstance(child, str):
-            w = yield _page_wrapper(child)
-            if children and children[-1][0] == w[0]:
-                children[-1] = yield _merge(children[-1], w, 0)
-                children[-1][1] = True
+        if isinstance(child, str):
+            continue
+        kid = yield _of_block(child)
+        last = kids[-1] if kids else None
+        if child.tag in FLOW:
+            if last is None or last.sig != GROUP:
+                members = {}
+                kids.append(last := Part(GROUP))
+            if (old := members.get(kid.sig)) is None:
+                members[kid.sig] = kid
+                last.kids.append(kid)
             else:
-                children.append(w)
-    if len(children) > LONGEST:
-        children = yield _grouped(children, [])
-    return [node.sig, False, False, text, 1, children]
-
-
-def _merge(a: list, b: list, pages: int | None = None) -> Generator:
-    text = a[3] if a[3] == b[3] else "*" if a[3] and b[3] else (a[3] or b[3]) if pages == 0 else "*"
-    total = a[4] if pages == 0 else a[4] + b[4]
-    children = (yield _align(a[5], b[5])) if a[5] or b[5] else []
-    return [a[0], a[1] or b[1], a[2] or b[2], text, total, children]
-
-
-def _grouped(a: list[list], b: list[list]) -> Generator:
-    """One repeated group (x? y? ...)* of the nodes of both sequences."""
-    sides: list[dict[str, list]] = []
-    for nodes in (a, b):
-        by: dict[str, list] = {}
-        for x in (y for n in nodes for y in (n[5] if n[0] == GROUP else [n])):
-            old = by.get(x[0])
-            both = (yield _merge(old, x, 0)) if old else x
-            by[x[0]] = [x[0], True, True, *both[3:]]
-        sides.append(by)
-    left, right = sides
-    found = []
-    for s in dict.fromkeys([*left, *right]):
-        found.append((yield _merge(left[s], right[s])) if s in left and s in right else left.get(s) or right[s])
-    return [[GROUP, True, False, "", 0, found]]
-
-
-def _align(a: list[list], b: list[list]) -> Generator:
-    """Longest common subsequence by signature; what only one side has is optional. Equal neighbours then fold. A group takes in all."""
-    out: list[list] = []
-    if any(x[0] == GROUP for x in (*a[:1], *b[:1])):
-        return (yield _grouped(a, b))
-    if [x[0] for x in a] == [x[0] for x in b]:
-        for x, y in zip(a, b, strict=True):
-            out.append((yield _merge(x, y)))
-        return out
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            x = yield _merge(a[i], b[j])
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            x = [*a[i][:2], True, *a[i][3:]]
-            i += 1
+                yield _repeat(old, kid)
+        elif last is not None and last.sig == kid.sig and [k.sig for k in last.kids] == [k.sig for k in kid.kids]:
+            yield _repeat(last, kid)
         else:
-            x = [*b[j][:2], True, *b[j][3:]]
-            j += 1
-        if out and out[-1][0] == x[0]:
-            out[-1] = yield _merge(out[-1], x)
-            out[-1][1] = True
+            kids.append(kid)
+    sig = node.sig
+    if node.tag not in FLOW and node.tag != "#":
+        # A container of blocks, of links alone, or of text.
+        sig += "+" if kids else "~" if node.chars and node.links >= LINK_SHARE * node.chars else ""
+    return Part(sig, chars=node.chars, links=min(node.links, node.chars), common={digest(x) for x in node.items if isinstance(x, str)}, kids=kids, cover=[node])
+
+
+def _repeat(a: Part, b: Part) -> Generator:
+    """Adds b to a, of which it is a repeat in the same page."""
+    a.repeated = a.repeated or a.sig != GROUP
+    a.chars, a.links = a.chars + b.chars, a.links + b.links
+    a.common |= b.common
+    a.cover += b.cover
+    if b.kids:
+        kids = pairs(a.kids, b.kids, a.sig == GROUP)
+        a.kids = [y if x is None else x for x, y in kids]
+        for x, y in kids:
+            if x is not None and y is not None:
+                yield _repeat(x, y)
+
+
+def _merge(a: Part, b: Part) -> Generator:
+    kids = []
+    for x, y in pairs(a.kids, b.kids, a.sig == GROUP) if a.kids or b.kids else ():
+        kids.append((yield _merge(x, y)) if x is not None and y is not None else x if y is None else y)
+    varied = a.varied or b.varied or a.common != b.common
+    return Part(a.sig, a.repeated or b.repeated, varied, a.pages + b.pages, a.chars + b.chars, a.links + b.links, a.common & b.common, kids)
+
+
+def pairs(a: list[Part], b: list[Part], group: bool) -> list[tuple[Part | None, Part | None]]:
+    """Both sequences as one, in order: what matches stands together, what one side lacks beside None."""
+    if len(a) == len(b) and all(x.sig == y.sig for x, y in zip(a, b, strict=True)):
+        return list(zip(a, b, strict=True))
+    if not a or not b:
+        return [(x, None) for x in a] or [(None, y) for y in b]
+    to_b: dict[int, int] = {}
+    if not group:
+        to_b = dict(common_subsequence([x.sig for x in a], [y.sig for y in b]))
+    # What moved (in a group: all) matches by its signature.
+    taken, rest = set(to_b.values()), defaultdict(deque)
+    for j, y in enumerate(b):
+        if j not in taken:
+            rest[y.sig].append(j)
+    for i, x in enumerate(a):
+        if i not in to_b and rest[x.sig]:
+            to_b[i] = rest[x.sig].popleft()
+    taken = set(to_b.values())
+    after: dict[int, list[int]] = defaultdict(list)  # what only b has follows what it follows there
+    from_b, at = {j: i for i, j in to_b.items()}, -1
+    for j in range(len(b)):
+        at = from_b.get(j, at)
+        if j not in taken:
+            after[at].append(j)
+    out: list[tuple[Part | None, Part | None]] = [(None, b[j]) for j in after[-1]]
+    for i, x in enumerate(a):
+        out.append((x, b[to_b[i]] if i in to_b else None))
+        out += [(None, b[j]) for j in after[i]]
+    return out
+
+
+def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest one, as pairs of positions; rows of the table are the bits of one number each."""
+    where: dict[str, int] = defaultdict(int)
+    for i, x in enumerate(a):
+        where[x] |= 1 << i
+    whole = row = (1 << len(a)) - 1
+    rows = []
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = ((row + hit) | (row - hit)) & whole
+        rows.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
         else:
-            out.append(x)
-    return (yield _grouped(out, [])) if len(out) > LONGEST else out
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def packed(wrapper: list) -> str:
+def packed(wrapper: Part) -> str:
     """The wrapper as JSON: its nodes in page order, each with its depth."""
     out, stack = [], [(0, wrapper)]
     while stack:
         depth, w = stack.pop()
-        out.append([depth, *w[:5]])
-        stack += [(depth + 1, c) for c in reversed(w[5])]
-    return json.dumps(out, ensure_ascii=False)
+        out.append([depth, w.sig, w.repeated, w.varied, w.pages, w.chars, w.links, sorted(w.common)])
+        stack += [(depth + 1, k) for k in reversed(w.kids)]
+    return json.dumps(out, separators=(",", ":"))
 
 
-def unpacked(line: str) -> list:
-    path: list[list] = []
-    for depth, *own in json.loads(line):
+def unpacked(line: str) -> Part:
+    path: list[Part] = []
+    for depth, sig, repeated, varied, pages, chars, links, common in json.loads(line):
         del path[depth:]
-        node = [*own, []]
+        node = Part(sig, repeated, varied, pages, chars, links, set(common))
         if path:
-            path[-1][5].append(node)
+            path[-1].kids.append(node)
         path.append(node)
     return path[0]
 
 
-def furniture(sig: str, inside: bool) -> bool:
-    tag, *words = sig.split(".")
-    if tag in SKIPPED or FURNITURE.intersection(words):
-        return True
-    return not inside and (tag == "header" or bool(HEADER.intersection(words)))
-
-
-def content_rank(sig: str) -> int:
-    """2 for an article or main element, 1 for a block named like one."""
-    tag, *words = sig.split(".")
-    return 2 if tag in MAIN else 1 if CONTENT.intersection(words) and tag in ("div", "section", "td") else 0
-
-
-def slots(wrapper: list) -> bool:
-    stack = [wrapper]
-    while stack:
-        w = stack.pop()
-        if w[3] == "*":
-            return True
-        stack += w[5]
-    return False
+def nodes_of(wrapper: Part) -> list[Part]:
+    """All nodes, each before its kids."""
+    out = [wrapper]
+    for w in out:
+        out += w.kids
+    return out
 
 
 class Wrapper:
-    """A host's wrapper, with its nodes labelled."""
+    """A host's wrapper with labels on its nodes: out, main, and what their names say."""
 
-    def __init__(self, wrapper: list):
+    def __init__(self, wrapper: Part):
         self.root = wrapper
+        order = nodes_of(wrapper)
         # Fixed texts say something only where pages differ at all.
-        self.varies = wrapper[4] >= FIXED_PAGES and slots(wrapper)
-        # Nodes that stand on all pages of the host: neither they nor what holds them is optional.
-        self.everywhere: set[int] = set()
-        stack = [wrapper]
+        self.varies = wrapper.pages >= FIXED_PAGES and any(w.varied for w in order)
+        self.named: set[int] = set()
+        self.out: set[int] = set()
+        self.main: set[int] = set()
+        chars, links, moving, self.mass, self.evidence, self.rank = {}, {}, {}, {}, {}, {}
+        for w in reversed(order):
+            k = id(w)
+            chars[k] = w.chars + sum(chars[id(x)] for x in w.kids)
+            links[k] = w.links + sum(links[id(x)] for x in w.kids)
+            moving[k] = w.varied or any(moving[id(x)] for x in w.kids)
+            tag, *words = w.sig.rstrip("+~").split(".")
+            fixed = self.varies and w.pages >= FIXED_PAGES and not moving[k]
+            if self.furniture(tag, words, fixed):
+                self.named.add(k)
+            self.rank[k] = TAGGED if tag in MAIN else NAMED if CONTENT.intersection(words) and tag in ("div", "section", "td") else 1
+            self.evidence[k] = max([self.rank[k], *(self.evidence[id(x)] for x in w.kids if id(x) not in self.out)])
+            idle = self.evidence[k] == 1 and (fixed and chars[k] or links[k] > LINK_SHARE * chars[k])
+            if k in self.named or tag == "header" or HEADER.intersection(words) or idle:
+                self.out.add(k)
+            own = (w.chars - w.links) * (0.25 if self.varies and not w.varied else 1)
+            self.mass[k] = own + sum(self.mass[id(x)] for x in w.kids if id(x) not in self.out)
+        self.find_main()
+
+    @staticmethod
+    def furniture(tag: str, words: list[str], fixed: bool) -> bool:
+        """HTML's own furniture, and blocks named so; where a content name stands beside a weak one, a block that varies is content."""
+        if tag in SKIPPED or STRONG.intersection(words):
+            return True
+        return bool(WEAK.intersection(words)) and (fixed or not CONTENT.intersection(words))
+
+    def weight(self, w: Part) -> float:
+        """The text of w, with that of blocks that are tagged or named as content counted several times."""
+        total, stack = 0.0, [w]
+        while stack:
+            x = stack.pop()
+            k = id(x)
+            if self.rank[k] == self.evidence[k] > 1:
+                total += self.mass[k] * self.rank[k]
+            elif self.evidence[k] == 1:
+                total += self.mass[k]
+            else:
+                total += x.chars - x.links
+                stack += [y for y in x.kids if id(y) not in self.out]
+        return total
+
+    def find_main(self) -> None:
+        """Walks down from the root to where the text gathers."""
+        at = self.root
+        while True:
+            kids = [x for x in at.kids if id(x) not in self.out]
+            boxes = [x for x in kids if x.sig != GROUP]
+            if not boxes:
+                break
+            weights = {id(x): self.weight(x) for x in kids}
+            best = max(boxes, key=lambda x: weights[id(x)])
+            k = id(best)
+            alike = [x for x in boxes if x.sig == best.sig and self.evidence[id(x)] > 1] or [best]
+            if sum(weights[id(x)] for x in alike) < MAIN_SHARE * (sum(weights.values()) + at.chars - at.links) or not weights[k]:
+                break
+            if self.evidence[k] == 1 and len(kids) == len(at.kids) > 1:
+                break  # nothing here is furniture, so all of it is the article
+            if self.rank[k] == self.evidence[k] > 1 or len(alike) > 1:
+                self.main = {id(x) for x in alike}
+                return
+            at = best
+        self.main = {id(at)}
+
+    def matched(self, page: Node) -> dict[int, Part]:
+        """The wrapper's node of each block of the page."""
+        found: dict[int, Part] = {}
+        own = page_wrapper(page)
+        stack = [(own, self.root)] if own.sig == self.root.sig else []
         while stack:
-            w = stack.pop()
-            if not w[2]:
-                self.everywhere.add(id(w))
-                stack += w[5]
+            x, w = stack.pop()
+            for block in x.cover:
+                found[id(block)] = w
+            stack += [(a, b) for a, b in pairs(x.kids, w.kids, w.sig == GROUP) if a is not None and b is not None]
+        return found
 
     def text(self, page: Node) -> str:
-        """The page's main text: of its articles, else its blocks named like one, else all that is not furniture."""
-        found = unwound(self.regions(page, self.root))
-        if found:
-            best = max(rank for rank, _, _ in found)
-            regions = [(node, w) for rank, node, w in found if rank == best]
-        else:
-            regions = [(page, self.root)]
+        """The text of the page's main regions; of a page without, that of all nodes that are not out."""
+        found = self.matched(page)
         lines: list[str] = []
-        for node, w in regions:
-            self.collect(node, w, bool(found), self.varies, lines)
-        if found and self.varies and not lines:  # a region of fixed texts alone is what the page has to say
-            for node, w in regions:
-                self.collect(node, w, True, False, lines)
+        for regions, out, drop in ((self.main, self.named, self.varies), (self.main, self.named, False), (None, self.out, self.varies), (None, self.named, False)):
+            lines = list(self.lines(page, found, regions, out, drop))
+            if lines:
+                break
         return "\n".join(lines)
 
-    def matched(self, node: Node, w: list | None) -> Iterator[tuple[Node | str, list | None]]:
-        """The page's items with the wrapper's nodes that they match, in order."""
-        at, children = 0, w[5] if w else []
-        if children and children[0][0] == GROUP:
-            known = {c[0]: c for c in children[0][5]}
-            yield from ((item, None if isinstance(item, str) else known.get(item.sig)) for item in node.items)
-            return
-        for item in node.items:
-            if isinstance(item, str):
-                yield item, None
-                continue
-            k = next((k for k in range(at, len(children)) if children[k][0] == item.sig), None)
-            if k is not None:
-                at = k
-            yield item, children[k] if k is not None else None
-
-    def regions(self, node: Node, w: list | None) -> Generator:
-        out: list[tuple[int, Node, list | None]] = []
-        for item, own in self.matched(node, w):
-            if isinstance(item, str) or furniture(item.sig, False):
-                continue
-            if rank := content_rank(item.sig):
-                inner = (yield self.regions(item, own)) if rank == 1 else []
-                out += inner if any(r == 2 for r, _, _ in inner) else [(rank, item, own)]
-            else:
-                out += yield self.regions(item, own)
-        return out
-
-    def collect(self, node: Node, w: list | None, inside: bool, drop: bool, lines: list[str]) -> None:
-        """The lines of node that are neither furniture nor, with drop, fixed texts of the wrapper."""
-        stack = [(w, self.matched(node, w))]
+    def lines(self, page: Node, found: dict[int, Part], regions: set[int] | None, out: set[int], drop: bool) -> Iterator[str]:
+        """The lines inside regions (None: anywhere), less nodes of out and, with drop, fixed texts."""
+        label: Callable[[Node], Part | None] = lambda block: found.get(id(block))
+        stack: list[tuple[Part | None, bool, Iterator]] = [(label(page), regions is None or id(label(page)) in regions, iter(page.items))]
         while stack:
-            w, items = stack[-1]
-            item, own = next(items, (None, None))
+            w, inside, items = stack[-1]
+            item = next(items, None)
             if item is None:
                 stack.pop()
             elif isinstance(item, str):
-                if not (drop and self.fixed(w, inside) and w[3] == "=" + digest(item)):
-                    lines.append(item)
-            elif not furniture(item.sig, inside):
-                stack.append((own, self.matched(item, own)))
+                if inside and w is not None and not (drop and self.fixed(w, regions is not None) and digest(item) in w.common):
+                    yield item
+            else:
+                own = label(item)
+                # Outside a region, only what cannot lead to one is left out.
+                if own is not None and id(own) not in (out if inside else self.out):
+                    stack.append((own, inside or id(own) in (regions or ()), iter(item.items)))
 
-    def fixed(self, w: list | None, inside: bool) -> bool:
+    def fixed(self, w: Part, inside: bool) -> bool:
         """Inside a main region a fixed text counts as furniture only where all pages of the host have it."""
-        return w is not None and w[3][:1] == "=" and (id(w) in self.everywhere if inside else w[4] >= FIXED_PAGES)
+        return w.pages == self.root.pages if inside else w.pages >= FIXED_PAGES
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a host: host, wrapper (JSON); stored."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        found: dict[str, list] = {}
+        found: dict[str, Part] = {}
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
                 w = page_wrapper(parse(page))
+                for x in nodes_of(w):
+                    x.cover = []  # a wrapper keeps no page
                 found[host] = merge(found[host], w) if host in found else w
-        salt = uuid.uuid4().int % 64
+        # A task that runs anew deals its rows as before.
+        salt = TaskContext.get().partitionId() % 64
         yield pd.DataFrame({"host": [*found], "salt": [salt] * len(found), "wrapper": [packed(w) for w in found.values()]}).astype({"host": object, "salt": "int32", "wrapper": object})
 
     def both(group: pd.DataFrame) -> pd.DataFrame:
@@ -387,7 +474,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             total = unpacked(line) if total is None else merge(total, unpacked(line))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [packed(total)]})
 
-    rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     part = rows.mapInPandas(read, "host string, salt int, wrapper string")
     step = part.groupBy("host", "salt").applyInPandas(both, "host string, wrapper string")
     return stored(step.groupBy("host").applyInPandas(both, "host string, wrapper string"), "wrappers")
