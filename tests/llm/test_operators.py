@@ -201,32 +201,107 @@ def test_lm_odd(odd):
     assert lm.score(odd.where("false")).count() == 0
 
 
-def test_quality_rules(docs, odd):
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
-    for r in docs.limit(50).collect():
-        w = (r["text"] or "").encode().split()
-        windows = {}
-        for i in range(len(w) - 2):
-            windows.setdefault(tuple(w[i : i + 3]), []).append(i)
-        inside = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
-        g = got[r["doc_id"]]
-        assert (g["n_words"], g["n_repeat_words"], g["word_chars"]) == (len(w), len(inside), sum(len(x.decode()) for x in w))
-        assert g["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+def measured_by_hand(text):
+    """Counts and fertility of one text, each in the plainest way."""
+    import base64
+    from collections import Counter
+
+    import sentencepiece
+    import tiktoken
+
+    q = quality_rules
+    if "models" not in measured_by_hand.__dict__:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(q.public_tokenizers.path(q.MULTI), "rb"))}
+        measured_by_hand.models = sentencepiece.SentencePieceProcessor(model_file=q.public_tokenizers.path(q.PIECES)), tiktoken.Encoding("own", pat_str=q.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces, multi = measured_by_hand.models
+    w = text.encode().split()
+    windows = {}
+    for i in range(len(w) - 2):
+        windows.setdefault(tuple(w[i : i + 3]), []).append(i)
+    inside = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    chars = sum(len(x.decode()) for x in w)
+    counts = (len(w), chars, sum(c in "#*$%&|<>" for c in text), sum(x in lines[:k] for k, x in enumerate(lines)), len(inside))
+    ids = pieces.encode(text)
+    k = max(1, len(ids) // 128)
+    blocks = [Counter(t for i, t in enumerate(ids) if i * k // len(ids) == j) for j in range(k)]
+    entropy = sum(-sum(n / b.total() * np.log2(n / b.total()) for n in b.values()) for b in blocks) / k if ids else 0
+    bytes_ = [pieces.id_to_piece(t).startswith("<0x") and pieces.id_to_piece(t) != "<0x0A>" for t in ids]
+    return (*counts, *((chars / len(ids), chars / len(multi.encode_ordinary(text)), sum(bytes_) / len(ids), entropy) if chars else (0, 0, 0, 0)))
+
+
+def test_quality_rules_equal_brute_force(docs, texts):
+    """Every column of every row, and every verdict from bands computed by hand."""
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *quality_rules.MEASURES)
+    values = {}
+    for k, t in texts.items():
+        values[k] = measured_by_hand(t)
+        assert [rows[k][n] for n in names] == pytest.approx(values[k]), k
+        assert rows[k]["base_failed"] == (values[k][0] < 50 or 100 * values[k][4] > 50 * values[k][0])
+    good = [k for k in texts if not rows[k]["base_failed"]]
+
+    def fitted(keys):
+        grid = sorted({tuple(rows[k][m] for m in quality_rules.MEASURES) for k in keys})
+        if len(grid) < quality_rules.LEAST_TEXTS:
+            return None
+        out = {}
+        for j, m in enumerate(quality_rules.MEASURES):
+            x = sorted(g[j] for g in grid)
+            q1, q2, q3 = (x[max(0, int(np.ceil(p * len(x))) - 1)] for p in (0.25, 0.5, 0.75))
+            out[m] = q2 - max(8 * (q2 - q1), quality_rules.FLOOR[m]), q2 + max(8 * (q3 - q2), quality_rules.FLOOR[m])
+        return out
+
+    by_lang = {x: fitted([k for k in good if lang[k] == x]) for x in set(lang.values())}
+    by_script = {x: fitted([k for k in good if rows[k]["script"] == x]) for x in {rows[k]["script"] for k in good}}
+    assert by_lang["en"] and not by_lang["es"] and by_script["LATIN"]
+    for k in good:
+        band = by_lang[lang[k]] or by_script[rows[k]["script"]] or quality_rules.WIDE
+        assert rows[k]["kept"] == all(low <= rows[k][m] <= high for m, (low, high) in band.items()), k
+
+
+def test_quality_rules_odd(odd):
     assert not any(r["kept"] for r in quality_rules.judge(odd).collect())
 
 
-def test_script_of_whole_text(spark):
-    lines = ["OK: 中文字文本文字很多很多", "ж and this is all in Latin script", "https://a.b/ Привет, это русский текст и ещё больше слов", "The Ελληνικά είναι γλώσσα", "123 ...", "", None, "ab жж 12", "ªº 中"]
-    frame = spark.createDataFrame(list(enumerate(lines)), "k int, t string")
-    got = [r["s"] for r in frame.select("k", quality_rules.script_of(frame["t"]).alias("s")).orderBy("k").collect()]
-    assert got == ["other", "Latin", "Cyrillic", "Greek", "other", "other", "other", "Latin", "Latin"]
-
-
-def test_quality_rules_of_text_that_opens_in_latin(spark):
-    rng = random.Random(4)
-    text = "OK " + " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3)) for _ in range(90))
-    rows = quality_rules.judge(spark.createDataFrame([(1, text, "zh"), (2, text[3:], None)], "doc_id long, text string, lang string")).collect()
-    assert [r["kept"] for r in rows] == [True, True]
+def test_quality_rules_each_measure_rejects(spark, docs):
+    """Labels are never read, yet each fertility measure alone rejects texts of low quality and hardly any of high quality."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality_rules.judge(docs, keep=("doc_id", "lang")).where("not base_failed").join(labels, "doc_id").collect()
+    assert sum(r["kept"] for r in rows if r["quality"] == 1) >= 0.98 * sum(r["quality"] == 1 for r in rows)
+    assert sum(r["kept"] for r in rows if r["quality"] == 0) <= 0.1 * sum(r["quality"] == 0 for r in rows)
+    plain = [" ".join("".join(random.Random(k * 400 + j).choices(["re", "ed", "in", "th", "on", "er", "es"], k=3)) for j in range(90)) for k in range(150)]
+    spoiled = {"entropy": "same word " * 40 + plain[0][:300], "fallback_share": " ".join(chr(0x13000 + k) + w for k, w in enumerate(plain[1].split())), "chars_per_token": " ".join("-".join(w) for w in plain[2].split())}
+    frame = spark.createDataFrame([(k, t, "xx") for k, t in enumerate([*plain, *spoiled.values()])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame).where("not base_failed").collect()}
+    assert all(got[k]["kept"] for k in range(150))
+    for k, m in enumerate(spoiled):
+        if 150 + k in got:
+            assert not got[150 + k]["kept"], m
+    assert {151, 152} <= set(got)
+
+
+def test_quality_rules_copies_move_no_band(spark, docs):
+    """A group of copies that is a third of all rows leaves the verdicts of all others as they were."""
+    text = docs.orderBy("doc_id").first()["text"]
+    many = docs.unionByName(spark.range(1000, 1100).selectExpr("id doc_id").crossJoin(docs.where(docs["doc_id"] == docs.orderBy("doc_id").first()["doc_id"]).drop("doc_id")).select(docs.columns))
+    before, after = ({r["doc_id"]: r["kept"] for r in quality_rules.judge(x).collect()} for x in (docs, many))
+    assert all(after[k] == v for k, v in before.items()) and text
+
+
+def test_main_script():
+    lines = {"OK: 中文字文本文字很多很多": "CJK", "ж and this is all in Latin script": "LATIN", "https://a.b/ Привет, это русский текст и ещё больше слов": "CYRILLIC", "The Ελληνικά είναι γλώσσα": "GREEK", "123 ...": "OTHER", "": "OTHER", "ab жж 12": "CYRILLIC", "plain": "LATIN"}
+    assert {x: quality_rules.main_script(x) for x in lines} == lines
+
+
+def test_cuts_keep_tokens():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("ab é\n") for _ in range(rng.randrange(60)))
+        for most in (1, 3, 8):
+            parts = list(quality_rules.cuts(text, most))
+            assert "".join(parts) == text and all(0 < len(x) <= 2 * most for x in parts)
 
 
 def test_repeated_words_of_many_numbers(monkeypatch):
