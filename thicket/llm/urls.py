@@ -1,10 +1,13 @@
 """URL filters: host word segmentation and naive Bayes, behind longest-match rules.
 
-A unigram model with a Viterbi search splits concatenated host labels and path
-parts into words; multinomial naive Bayes scores the words. Word counts come
-from every page's url; each word has a count of its own under the whole 64 bits
-of its hash, so a word not seen has none, and what tasks receive grows by 16 to
-24 bytes a distinct word. Hosts that hold a seed word teach the two classes.
+A unigram model with a Viterbi search splits the letter runs of hosts into
+words; multinomial naive Bayes scores those and the words of the path. Unigram
+counts come from where urls set words apart (paths, and host labels with
+hyphens) and from a list of common words. Which of a run's substrings are words
+is a join with the table of counts, and all counts and scores are tables too, so
+nothing grows on the driver; words of any length count. Hosts that hold a seed
+word teach the class of blocked urls, all others the class of allowed ones;
+scores then come from the counts of all words alone, seeds or not.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and verdict allow; repeated rows are judged alike; an empty table gives
@@ -14,17 +17,16 @@ an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 16
-MAX_WORD = 20
+from .common import stored
+
+#: What a word that was never seen costs for each letter, in nats.
+UNSEEN = 2.5
 #: Added to the count of each word in each class.
 SMOOTHING = 0.5
 #: Words that mark a host as unwanted, and common words of host names; both give the segmenter its first counts.
@@ -54,148 +56,110 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def bucket(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), 42) & ((1 << BITS) - 1)
-
-
-def fingerprint(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode(), 42)
-
-
-class Counts:
-    """Numbers of words: keys are the words' fingerprints in order; other words have the value 0."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[k] == keys, self.values[k], 0.0)
-
-    def of(self, words: Iterable[str]) -> np.ndarray:
-        return self.at(np.array([fingerprint(w) for w in words], np.uint64))
-
-    def plus(self, more: dict[str, float]) -> Counts:
-        """These, and so many more of each word of more."""
-        keys, added = np.array([fingerprint(w) for w in more], np.uint64), np.array([*more.values()], float)
-        every = np.union1d(self.keys, keys)
-        return Counts(every, self.at(every) + Counts(keys, added).at(every))
-
-
-def chunks(text: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", text.lower())
-
-
-def _words_of(column: Column) -> Column:
+def words_of(column: Column) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}]+)"), F.lit(1))
 
 
-class Segmenter:
-    """Viterbi search for the likeliest words of a letter run, under unigram counts (Counts, or an array by bucket)."""
-
-    def __init__(self, counts: Counts | np.ndarray):
-        self.counts = counts
-        self.log_n = math.log((counts.values if isinstance(counts, Counts) else counts).sum() + 1.0)
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    def costs(self, words: list[str]) -> list[float]:
-        found = self.counts.of(words) if isinstance(self.counts, Counts) else self.counts[[bucket(w) for w in words]]
-        # A word not seen pays by its length.
-        return [self.log_n - math.log(c) if c > 0 else self.log_n + 2.5 * len(w) for w, c in zip(words, found.tolist(), strict=True)]
-
-    def split(self, run: str) -> tuple[str, ...]:
-        if run in self.memo:
-            return self.memo[run]
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
-        spans = [(start, end) for end in range(1, len(run) + 1) for start in range(max(0, end - MAX_WORD), end)]
-        for (start, end), cost in zip(spans, self.costs([run[a:b] for a, b in spans]), strict=True):
-            if (c := best[start] + cost) < best[end]:
-                best[end], back[end] = c, start
-        words, end = [], len(run)
-        while end:
-            words.append(run[back[end] : end])
-            end = back[end]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        return self.memo.setdefault(run, tuple(reversed(words)))
-
-    def words(self, text: str) -> list[str]:
-        return [w for run in chunks(text) for w in self.split(run)]
+def segment(run: str, spans: list[tuple[int, int, float]], log_n: float) -> list[str]:
+    """The likeliest words of a letter run; spans: (start, length, count) of its substrings that are words.
 
-
-def _gathered(rows: DataFrame, *names: str) -> list[np.ndarray]:
-    """The column w, fingerprints as Spark's signed longs, and those of names."""
-    table = rows.toArrow()
-    return [table["w"].to_numpy().astype(np.int64).view(np.uint64), *[table[n].to_numpy().astype(float) for n in names]]
-
-
-def train(urls: DataFrame) -> tuple[Counts, tuple[Counts, Counts]]:
-    """Unigram counts, and the counts of both classes, of all words; urls has host and path.
-
-    Words are learned where a url sets them apart: in paths, and in host labels
-    with hyphens. A label without may be several words in one.
+    A word never seen costs log_n and UNSEEN a letter, whatever its length: the
+    best start of one is carried along.
     """
-    counted = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    n = len(run)
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for start, length, count in spans:
+        ending[start + length].append((start, log_n - math.log(count)))
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    open_at, open_cost = 0, 0.0  # the start of an unseen word that would be cheapest here
+    for end in range(1, n + 1):
+        if best[end - 1] - UNSEEN * (end - 1) < open_cost:
+            open_at, open_cost = end - 1, best[end - 1] - UNSEEN * (end - 1)
+        best[end], back[end] = open_cost + UNSEEN * end + log_n, open_at
+        for start, cost in sorted(ending[end]):
+            if best[start] + cost < best[end]:
+                best[end], back[end] = best[start] + cost, start
+    words, end = [], n
+    while end:
+        words.append(run[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def unigrams(urls: DataFrame, lexicon: tuple[str, ...] = (*BLOCK_SEEDS, *COMMON_WORDS)) -> tuple[DataFrame, float, list[int]]:
+    """The table of words and counts (w, n), the log of their sum, and the lengths that words have (one number each). urls: host, path, n."""
     apart = F.array_join(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), " ")
-    words = counted.select(F.explode(F.concat(_words_of(apart), _words_of(F.col("path")))).alias("w"), "n")
-    # Spark's hash of a word is that of fingerprint().
-    unigram = Counts(*_gathered(words.where(F.length("w") <= MAX_WORD).groupBy(F.xxhash64("w").alias("w")).agg(F.sum("n").alias("n")), "n"))
-    total, first = unigram.values.sum(), {}
-    for w in (*BLOCK_SEEDS, *COMMON_WORDS):
-        first[w] = max(50.0, total / 2000)
-        total += first[w]
-    unigram = unigram.plus(first)
-
-    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, seeds = Segmenter(unigram), set(BLOCK_SEEDS)
-        for batch in batches:
-            found: dict[tuple[int, str], int] = {}
-            for host, path, n in zip(batch["host"], batch["path"], batch["n"], strict=True):
-                own = segment.words(host)
-                label = int(bool(seeds & set(own)))
-                for w in own + segment.words(path):
-                    found[label, w] = found.get((label, w), 0) + n
-            yield pd.DataFrame({"w": np.array([fingerprint(w) for _, w in found], np.uint64).view(np.int64), "good": [0 if k else n for (k, _), n in found.items()], "bad": [n if k else 0 for (k, _), n in found.items()]}).astype("int64")
-
-    by = counted.mapInPandas(classes, "w long, good long, bad long").groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    keys, good, bad = _gathered(by, "good", "bad")
-    return unigram, (Counts(keys, good), Counts(keys, bad))
-
-
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    words = urls.select(F.explode(F.concat(words_of(apart), words_of(F.col("path")))).alias("w"), "n")
+    counted = stored(words.groupBy("w").agg(F.sum("n").cast("double").alias("n")), "words")
+    total, lengths = counted.groupBy(F.length("w").alias("m")).agg(F.sum("n").alias("n")).agg(F.sum("n"), F.collect_list("m")).first()
+    first = max(50.0, (total or 0) / 2000)  # what each word of the lexicon counts besides
+    known = urls.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in lexicon])).alias("w"), F.lit(first).alias("n"))
+    both = counted.unionByName(known).groupBy("w").agg(F.sum("n").alias("n"))
+    return both, math.log((total or 0) + first * len(lexicon) + 1), sorted({*lengths, *map(len, lexicon)})
+
+
+def segmented(runs: DataFrame, counts: DataFrame, log_n: float, lengths: list[int]) -> DataFrame:
+    """run, words for each row of runs (run: distinct letter runs); stored."""
+    spans = runs.select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
+    fitting = F.filter(F.lit(lengths), lambda m: m <= F.length("run") - F.col("start"))
+    spans = spans.select("run", "start", F.explode(fitting).alias("length"))
+    seen = spans.withColumn("w", F.substring("run", F.col("start") + 1, F.col("length"))).join(counts, "w")
+    by = seen.groupBy("run").agg(F.collect_list(F.struct("start", "length", "n")).alias("spans"))  # as many as a run has substrings
+
+    @F.pandas_udf("array<string>")
+    def split(run: pd.Series, found: pd.Series) -> pd.Series:
+        rows = zip(run, found, strict=True)
+        return pd.Series([segment(r, [(s["start"], s["length"], s["n"]) for s in x] if x is not None else [], log_n) for r, x in rows], dtype=object)
+
+    return stored(runs.join(by, "run", "left").select("run", split("run", "spans").alias("words")), "segments")
+
+
+class Model:
+    """Naive Bayes over the words of urls, as tables: host_words (host, w), labels (host, bad, n), odds (w, odds)."""
+
+    def __init__(self, urls: DataFrame, train: Callable[[Column], Column] | None = None):
+        """urls: host, path, n, each distinct; train: which hosts teach (all if None)."""
+        counts, log_n, lengths = unigrams(urls)
+        hosts = urls.groupBy("host").agg(F.sum("n").alias("n"))
+        runs = hosts.select("host", F.explode(words_of(F.col("host"))).alias("run"))
+        split = segmented(runs.select("run").distinct(), counts, log_n, lengths)
+        self.host_words = stored(runs.join(split, "run").select("host", F.explode("words").alias("w")), "host-words")
+        bad = self.host_words.groupBy("host").agg(F.bool_or(F.col("w").isin(*BLOCK_SEEDS)).alias("bad"))
+        self.labels = stored(hosts.join(bad, "host", "left").select("host", "n", F.coalesce("bad", F.lit(False)).alias("bad")), "host-labels")
+        teach = self.labels if train is None else self.labels.where(train(F.col("host")))
+        of_hosts = self.host_words.join(teach, "host").select("w", "n", "bad")
+        of_paths = urls.select("host", "path", "n").join(teach.select("host", "bad"), "host").select(F.explode(words_of(F.col("path"))).alias("w"), "n", "bad")
+        by = of_hosts.unionByName(of_paths).groupBy("w").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("g"))
+        by = stored(by, "class-words")
+        b, g, words = by.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count(F.lit(1))).first()
+        nb, ng = teach.agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0))).first()
+        self.prior = math.log((nb + 1) / (ng + 1))
+        share = lambda n, total: F.log((n + SMOOTHING) / (total + SMOOTHING * (words + 1)))
+        #: A word of neither class.
+        self.unseen = math.log((g + SMOOTHING * (words + 1)) / (b + SMOOTHING * (words + 1)))
+        self.odds = by.select("w", (share(F.col("b"), b) - share(F.col("g"), g)).alias("odds"))
+
+    def sums(self, words: DataFrame, key: str) -> DataFrame:
+        """key and the sum of the odds of its words."""
+        odds = F.coalesce("odds", F.lit(self.unseen))
+        return words.join(self.odds, "w", "left").groupBy(key).agg(F.sum(odds).alias(f"{key}_odds"))
+
+    def scored(self, urls: DataFrame) -> DataFrame:
+        """urls (any rows with host and path) with log_odds."""
+        hosts = stored(self.sums(self.host_words, "host"), "host-odds")
+        paths = urls.select("path").distinct().select("path", F.explode(words_of(F.col("path"))).alias("w"))
+        paths = stored(self.sums(paths, "path"), "path-odds")
+        found = urls.join(hosts, "host", "left").join(paths, "path", "left")
+        total = F.lit(self.prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
+        return found.withColumn("log_odds", F.round(total, 9)).drop("host_odds", "path_odds")
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", train: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per page: host, path, the rule that fits or null, verdict (the rule's, else the classifier's) and the classifier's log-odds."""
-    urls = pages.select(id_col, host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), path_of(F.coalesce(F.col(url_col), F.lit(""))).alias("path"))
-    unigram, classes = train(urls.where("host <> ''"))
-    good, bad = classes
-    prior = float(np.log((bad.values.sum() + 1) / (good.values.sum() + 1)))
-    bad = bad.plus(dict.fromkeys(BLOCK_SEEDS, max(5.0, bad.values.sum() / 100)))
-    vocabulary = max(1, len(bad.keys))
-    # A word of neither class has the odds of two counts of zero.
-    share = lambda n, of: np.log((n + SMOOTHING) / (of.values.sum() + SMOOTHING * vocabulary))
-    unseen = float(share(0.0, bad) - share(0.0, good))
-    odds = Counts(bad.keys, share(bad.values, bad) - share(good.at(bad.keys), good) - unseen)
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        segment = Segmenter(unigram)
-        memo: dict[str, float] = {}
-        for host, path in parts:
-            out = []
-            for text in zip(host, path, strict=True):
-                total = prior
-                for x in text:
-                    if x not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[x] = float((odds.of(segment.words(x)) + unseen).sum())
-                    total += memo[x]
-                out.append(total)
-            yield pd.Series(out, dtype="float64")
-
+    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    urls = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    distinct = stored(urls.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    scored = urls.withColumn("log_odds", score("host", "path")).withColumn("rule", rule)
+    scored = Model(distinct, train).scored(urls).withColumn("rule", rule)
     by_method = F.when((F.col("host") != "") & (F.col("log_odds") > 0), "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce(verdict, by_method)).select(id_col, "host", "path", "rule", "verdict", "log_odds")
+    return scored.withColumn("verdict", F.coalesce(verdict, by_method)).select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "log_odds")
