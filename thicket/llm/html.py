@@ -356,12 +356,12 @@ class Wrapper:
             if self.furniture(tag, words, fixed):
                 self.named.add(k)
             self.rank[k] = TAGGED if tag in MAIN else NAMED if CONTENT.intersection(words) and tag in ("div", "section", "td") else 1
-            self.evidence[k] = max([self.rank[k], *(self.evidence[id(x)] for x in w.kids if id(x) not in self.out)])
+            self.evidence[k] = max([self.rank[k], *(self.evidence[id(x)] for x in w.kids if id(x) not in self.named)])
             idle = self.evidence[k] == 1 and (fixed and chars[k] or links[k] > LINK_SHARE * chars[k])
             if k in self.named or tag == "header" or HEADER.intersection(words) or idle:
                 self.out.add(k)
             own = (w.chars - w.links) * (0.25 if self.varies and not w.varied else 1)
-            self.mass[k] = own + sum(self.mass[id(x)] for x in w.kids if id(x) not in self.out)
+            self.mass[k] = own + sum(self.mass[id(x)] for x in w.kids if id(x) not in self.named)
         self.find_main()
 
     @staticmethod
@@ -383,7 +383,7 @@ class Wrapper:
                 total += self.mass[k]
             else:
                 total += x.chars - x.links
-                stack += [y for y in x.kids if id(y) not in self.out]
+                stack += [y for y in x.kids if id(y) not in self.named]
         return total
 
     def find_main(self) -> None:
