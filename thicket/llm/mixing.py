@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import WORD, set_aside, stored
 
 RESERVED = ("size", "source_size", "target", "taken", "full_copies", "part_from", "part_to", "wrap_from", "wrap_to")
-#: Blocks that the whole mix is divided into at most.
-BLOCKS = 1 << 20
+#: Blocks that a small mix is divided into, and the words that a block has at most: a shard of thousands of documents holds many.
+BLOCKS, BLOCK_WORDS = 1 << 20, 4096
 
 
 def seats(frame: DataFrame, votes: str, total: Column, n: Column, parties: Column, order: list[Column], group: list[str], most: Column, out: str) -> DataFrame:
@@ -77,10 +77,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         sized = docs.withColumn("size", size)
         light = stored(sized.select(F.col(source_col).alias("source"), "size", key.alias("_key")), "mix-sizes")
     else:
-        sized = light = stored(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key")), "mix-sizes")
+        sized = light = stored(docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), F.xxhash64(text_col).alias("_hash")), "mix-sizes")
     by_source = targets(light, weights, share, cap)
     whole = Window.partitionBy()
-    by_source = by_source.withColumn("_block", F.greatest(F.lit(1), F.floor(F.col("_all") * share / BLOCKS))).withColumn("_sources", F.count(F.lit(1)).over(whole)).withColumn("_total", F.sum("target").over(whole))
+    by_source = by_source.withColumn("_block", F.least(F.lit(BLOCK_WORDS), F.greatest(F.lit(1), F.floor(F.col("_all") * share / BLOCKS)))).withColumn("_sources", F.count(F.lit(1)).over(whole)).withColumn("_total", F.sum("target").over(whole))
     n = F.floor(F.col("_all") * share / F.col("_block"))
     by_source = seats(by_source, "target", F.col("_total"), n, F.col("_sources"), [F.col("_no")], [], F.floor(F.col("_cap") / F.col("_block")), "_blocks")
     by_source = by_source.withColumn("_shards", F.floor((F.col("source_docs") - 1) / shard_docs) + 1)
@@ -100,9 +100,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_source"), F.lit("")), F.lit(":"), F.col("_shard").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     shards = stored(shards.select(F.col("_source").alias("_s"), F.col("_shard").alias("_h"), "_shard_size", quota.alias("_words"), (start % F.greatest(F.lit(1), F.floor(F.col("_shard_size") / F.col("_block"))) * F.col("_block")).alias("_start")), "mix-shards")
 
-    rows = sharded(sized.withColumn("_key", key) if keep_text else sized, source_col if keep_text else "source")
+    rows = sharded(sized.withColumns({"_key": key, "_hash": F.xxhash64(text_col)}) if keep_text else sized, source_col if keep_text else "source")
     rows = rows.join(shards, rows["_source"].eqNullSafe(shards["_s"]) & (rows["_shard"] == shards["_h"]))
-    stream = Window.partitionBy("_source", "_shard").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
+    stream = Window.partitionBy("_source", "_shard").orderBy("_key", id_col, "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_to", F.sum("size").over(stream)).withColumn("_from", F.col("_to") - F.col("size"))
     passes = F.when(F.col("_shard_size") > 0, F.expr("_words div _shard_size")).otherwise(0)
     rest = F.when(F.col("_shard_size") > 0, F.col("_words") % F.col("_shard_size")).otherwise(0)
