@@ -33,6 +33,8 @@ LASSO = 0.001
 SEED = 11
 STATISTICS = ("n_words", "word_chars_mean", "upper_share", "digit_share", "mark_share", "symbol_share", "bar_share", "bang_share", "distinct_share", "top_share", "same_next_share", "repeat_share", "dup_line_share", "words_per_line", "short_line_share")
 MEMO = 100_000
+#: Hash values that rows are sampled by.
+SPREAD = 1 << 50
 
 _CODES = np.arange(256)
 UPPER = (_CODES >= 65) & (_CODES <= 90)
@@ -175,16 +177,17 @@ def score_column(b: float, rules: list[tuple[Rule, float]]) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns of keep, held_out, score, predicted. Labels of held-out rows are never read."""
     keep = keep or (id_col,)
-    known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & (fold_crc(F.col(id_col), FOLDS) != HELD))
+    known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & (fold_crc(F.col(id_col), FOLDS) != HELD)).distinct()
     # A share of the hashes that leaves a little more than train_rows, of which the lowest stay: no task sends more than it must.
-    spare = min(1.0, 1.2 * train_rows / max(1, known.count()) + 1e-3)
-    known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(spare * (1 << 20)))
-    known = F.broadcast(stored(known, "labelled"))  # about 1.2 * train_rows rows, by the share above
+    spare = min(1.0, 1.2 * train_rows / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64(id_col), F.lit(SPREAD)) < int(spare * SPREAD))
+    # About 1.2 * train_rows rows whatever the number of labels: Catalyst sees the stored size and broadcasts it or not.
+    known = stored(known, "labelled")
     own = docs.select(*dict.fromkeys((*keep, text_col)))
     light = keep == (id_col,)
     # The statistics of all rows serve both the fit and the scores where they are all that is kept of a row.
     stats = stored(with_statistics(own, text_col, keep), "statistics") if light else with_statistics(own.join(known, id_col, "left_semi"), text_col, (id_col,))
-    sample = stats.join(known, id_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)), *STATISTICS).limit(train_rows).select(*STATISTICS, "_y").toPandas().to_numpy(np.float64).reshape(-1, len(STATISTICS) + 1)
+    sample = stats.join(known, id_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(SPREAD)), *STATISTICS).limit(train_rows).select(*STATISTICS, "_y").toPandas().to_numpy(np.float64).reshape(-1, len(STATISTICS) + 1)
     b, rules = fit(sample[:, :-1], sample[:, -1])
     scored = stats if light else with_statistics(own, text_col, keep)
     return scored.withColumn("held_out", fold_crc(F.col(id_col), FOLDS) == HELD).withColumn("score", score_column(b, rules)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select(*keep, "held_out", "score", "predicted")
