@@ -47,6 +47,8 @@ STEP = 0.25
 #: Bins on each side; the number of the bin of an estimate that is zero.
 NONE = 500
 ROUNDS = 100
+#: Numbers that are not worth a compressed frame: a chunk asks a bucket for few once there are many buckets.
+FEW = 16
 
 
 class Numbers(dict):
@@ -77,12 +79,16 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array of integers as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    """An array of integers as byte planes, compressed where there are more than a few."""
+    if len(x) <= FEW:
+        return b"\0" + np.ascontiguousarray(x).tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    if data[:1] == b"\0":
+        return np.frombuffer(data[1:], kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -168,8 +174,8 @@ def requests(chunks: DataFrame, buckets: int) -> DataFrame:
             c = Chunk(row)
             words, pairs = c.keys(row["vocabulary"])
             own = c.train_pairs()
-            uni = np.bincount(c.pair_second, weights=own, minlength=c.size).astype("<u4")
-            for kind, keys, counts in ((1, words, uni), (2, pairs, own.astype("<u4"))):
+            uni = np.bincount(c.pair_second, weights=own, minlength=c.size).astype("<u8")
+            for kind, keys, counts in ((1, words, uni), (2, pairs, own.astype("<u8"))):
                 order, at = spread(keys, buckets)
                 full = np.flatnonzero(np.diff(at)).tolist()
                 keys, counts = keys[order], counts[order]
@@ -186,22 +192,24 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """bucket, chunk, kind, counts: the total training counts in the order asked; and by bucket the sums of kind 1 (chunk null)."""
+    """bucket, chunk, kind, counts: the total training counts in the order asked; total, known: their sum and number, in one row (chunk null) of each bucket of words."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]]
         found, of = distinct(np.concatenate(keys))
         bounds = np.cumsum([len(k) for k in keys])[:-1]
         del keys
-        counts = np.bincount(of, weights=np.concatenate([unpack(x, "<u4") for x in group["counts"]]), minlength=len(found)).astype("<u4")
+        counts = np.bincount(of, weights=np.concatenate([unpack(x, "<u8") for x in group["counts"]]), minlength=len(found)).astype("<u8")
         out = group[["bucket", "chunk", "kind"]].copy()
         out["counts"] = [pack(counts[part]) for part in np.split(of, bounds)]
         if group["kind"].iloc[0] == 1:
-            sums = np.array([counts.sum(dtype=np.uint64), np.count_nonzero(counts)], "<u8").tobytes()
-            out = pd.concat([out, pd.DataFrame({"bucket": [out["bucket"].iloc[0]], "chunk": [None], "kind": [1], "counts": [sums]})])
+            out = pd.concat([out, pd.DataFrame({"bucket": [out["bucket"].iloc[0]], "chunk": [None], "kind": [1], "counts": [None]})])
+            out["total"], out["known"] = int(counts.sum(dtype=np.uint64)), int(np.count_nonzero(counts))
+        else:
+            out["total"], out["known"] = 0, 0
         return out
 
-    return stored(asked.groupBy("bucket", "kind").applyInPandas(run, "bucket int, chunk string, kind int, counts binary"), "lm-answers")
+    return stored(asked.groupBy("bucket", "kind").applyInPandas(run, "bucket int, chunk string, kind int, counts binary, total long, known long"), "lm-answers")
 
 
 def counted(chunks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
@@ -217,8 +225,8 @@ def counted(chunks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
                 out = []
                 for kind, keys in zip((1, 2), Chunk(row).keys(row["vocabulary"]), strict=True):
                     found = sorted((p["bucket"], p["counts"]) for p in row["parts"] if p["kind"] == kind)
-                    counts = np.empty(len(keys), "<u4")
-                    counts[spread(keys, buckets)[0]] = np.concatenate([unpack(x, "<u4") for _, x in found])
+                    counts = np.empty(len(keys), "<u8")
+                    counts[spread(keys, buckets)[0]] = np.concatenate([unpack(x, "<u8") for _, x in found])
                     out.append(pa.array([pack(counts)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("ids", "held", "lengths", "tokens")], *out], names=["ids", "held", "lengths", "tokens", "words", "pairs"])
 
@@ -268,15 +276,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     tokens, train_docs = int(total["n"] or 0), int(total["docs"] or 0)
     buckets = max(1, math.ceil(tokens / BUCKET_KEYS))
     replies = answers(requests(chunks, buckets))
-    # One row of two sums a bucket.
-    sums = [np.frombuffer(r["counts"], "<u8") for r in replies.where("chunk is null").select("counts").collect()]
-    n_train, n_vocabulary = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    n_train, n_vocabulary = (int(x or 0) for x in replies.where("chunk is null").agg(F.sum("total"), F.sum("known")).first())
     uniform = 1 / (n_vocabulary + 1)
     full = counted(chunks, replies, buckets)
 
     def opened(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
         c = Chunk(row)
-        word, pair = unpack(row["words"], "<u4").astype(np.int64), unpack(row["pairs"], "<u4").astype(np.int64)
+        word, pair = unpack(row["words"], "<i8"), unpack(row["pairs"], "<i8")
         return c, word, pair, context_counts(word, train_docs)
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
