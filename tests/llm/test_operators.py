@@ -70,7 +70,7 @@ def test_media_retries_member_alone(tmp_path):
     at = zipfile.ZipFile(name).infolist()[1].header_offset
     spoiled[at + 40] ^= 255
     open(name, "wb").write(bytes(spoiled))
-    rows = [r for b in bad.read(media.ByteRange(name, 0, 1 << 20)) for r in b.to_pylist()]
+    rows = [r for b in bad.read(media.ByteRange((name, 0, 1 << 20))) for r in b.to_pylist()]
     assert [r["error"] is None for r in rows] == [True, False, True]
 
 

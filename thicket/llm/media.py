@@ -10,7 +10,7 @@ speculative task writes an archive of its own name, and only archives that a
 finished task reported are read.
 
 Defined cases: a null text is empty; an empty payload is 64 zero bytes; null or
-repeated ids are members like any other; a member that stays unreadable gives a
+repeated ids are members like any other, and may be of any type that has a text; a member that stays unreadable gives a
 row with ``error`` set and the other columns null; an empty table gives an
 empty result; further columns of the input are ignored.
 """
@@ -24,7 +24,9 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,14 @@ from .common import shared_dir, stored
 PAD = 64
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+#: Ranges that are planned at most; beyond, each covers more bytes and several archives.
+MOST_RANGES = 100_000
 BATCH_BYTES = 4 << 20
 TRIES = 3
 WAV_HEADER = "<4sI4s4sIHHIIHH4sI"
 LOCAL_HEADER = "<4s5H3I2H"
-MEMBER_SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, error string"
-ARROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
+MEMBER_SCHEMA = "doc_id string, n_bytes long, media binary, payload binary, error string"
+ARROW_SCHEMA = pa.schema([("doc_id", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def padded(payload: bytes, unit: int = PAD) -> bytes:
@@ -83,7 +87,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out = io.BufferedWriter(_Raw(files.open_output_stream(name)), 1 << 20)
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 raw = text.as_py().encode() if text.is_valid else b""
-                member = zipfile.ZipInfo(f"{key.as_py() if key.is_valid else ''}/{len(raw)}.wav")
+                member = zipfile.ZipInfo(f"{'=' + quote(key.as_py(), safe='') if key.is_valid else ''}/{len(raw)}.wav")
                 member.compress_type = zipfile.ZIP_DEFLATED
                 archive.writestr(member, to_wav(padded(raw)), compresslevel=1)
                 count += 1
@@ -94,7 +98,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "bytes", "members"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"))
     return stored(rows.mapInArrow(write, "path string, bytes long, members long"), "media-index").withColumn("root", F.lit(root))
 
 
@@ -122,8 +126,10 @@ class _Raw(io.RawIOBase):
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Ranges (path, start, end) of archives that one task reads."""
+
+    def __init__(self, *pieces: tuple[str, int, int]):
+        self.pieces = pieces
 
 
 class MediaReader(DataSourceReader):
@@ -137,38 +143,56 @@ class MediaReader(DataSourceReader):
         import pyarrow.parquet as pq
 
         files, where = fs.FileSystem.from_uri(self.index)
-        found = []
-        for info in files.get_file_info(fs.FileSelector(where)):
-            if info.path.endswith(".parquet"):
-                for row in pq.read_table(info.path, filesystem=files, columns=["path", "bytes"]).to_pylist():
-                    found += [ByteRange(row["path"], at, at + self.range_bytes) for at in range(0, row["bytes"], self.range_bytes)]
-        return found
+        names = [info.path for info in files.get_file_info(fs.FileSelector(where)) if info.path.endswith(".parquet")]
+        archives = [row for name in names for row in pq.read_table(name, filesystem=files, columns=["path", "bytes"]).to_pylist()]
+        size = max(self.range_bytes, -(-sum(a["bytes"] for a in archives) // MOST_RANGES))
+        found, pieces, held = [], [], 0
+        for a in archives:
+            for at in range(0, a["bytes"], size):
+                pieces.append((a["path"], at, at + size))
+                held += min(size, a["bytes"] - at)
+                if held >= size // 2:
+                    found.append(ByteRange(*pieces))
+                    pieces, held = [], 0
+        return [*found, ByteRange(*pieces)] if pieces else found
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(self.root)
-        with files.open_input_file(part.path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if part.start <= m.header_offset < part.end]
-            rows, held = [], 0
-            for m in sorted(members, key=lambda m: m.header_offset):
-                rows.append(self.member(files, f, part.path, m))
-                held += m.file_size
-                if held >= BATCH_BYTES:
-                    yield self.batch(rows)
-                    rows, held = [], 0
-            yield self.batch(rows)
-
-    def member(self, files, f, path: str, m: zipfile.ZipInfo) -> tuple:
-        key, _, rest = m.filename.partition("/")
-        key = int(key) if key else None
+        for path, start, end in part.pieces:
+            with files.open_input_file(path) as f:
+                listed, error = self.tried(files, f, path, lambda source: zipfile.ZipFile(source).infolist())
+                if listed is None:
+                    raise OSError(f"{path}: {error}")  # no member is known, so the task fails and Spark runs it anew
+                rows, held = [], 0
+                for m in sorted((m for m in listed if start <= m.header_offset < end), key=lambda m: m.header_offset):
+                    rows.append(self.member(files, f, path, m))
+                    held += m.file_size
+                    if held >= BATCH_BYTES:
+                        yield self.batch(rows)
+                        rows, held = [], 0
+                yield self.batch(rows)
+
+    def tried(self, files, f, path: str, read: Callable[[Any], Any]) -> tuple[Any, str | None]:
+        """What read gives for the open archive, or after a failure for one opened anew; else the error."""
+        error = None
         for k in range(self.tries):
             try:
-                source = f if k == 0 else files.open_input_file(path)
-                media = read_member(source, m)
-                return key, int(rest.partition(".")[0]), media, from_wav(media), None
-            except (OSError, ValueError, zlib.error, struct.error) as e:
+                return read(f if k == 0 else files.open_input_file(path)), None
+            except (OSError, ValueError, zlib.error, struct.error, zipfile.BadZipFile) as e:
                 error = f"{type(e).__name__}: {e}"
                 time.sleep(0.1 * 2**k if k + 1 < self.tries else 0)
-        return key, None, None, None, error
+        return None, error
+
+    def member(self, files, f, path: str, m: zipfile.ZipInfo) -> tuple:
+        key, _, rest = m.filename.partition("/")
+        key = unquote(key[1:]) if key else None
+
+        def read(source) -> tuple[bytes, bytes]:
+            media = read_member(source, m)
+            return media, from_wav(media)
+
+        found, error = self.tried(files, f, path, read)
+        return (key, None, None, None, error) if found is None else (key, int(rest.partition(".")[0]), *found, None)
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,9 +261,10 @@ def features(members: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], b.column("error")], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return members.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    return members.mapInArrow(run, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
-def media_columns(docs: DataFrame, **options) -> DataFrame:
-    """Stores every text of docs as media and returns the digests and features of what is read back."""
-    return features(read_archives(docs.sparkSession, write_archives(docs), **options))
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Stores every text of docs as media and returns the digests and features of what is read back; ids keep their type."""
+    found = features(read_archives(docs.sparkSession, write_archives(docs, id_col, text_col), **options))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).withColumnRenamed("doc_id", id_col)
