@@ -180,6 +180,25 @@ def test_chat_layouts(spark):
     assert [got[x] for x in lines] == [(w, w) for w in want]
 
 
+def test_chat_layouts_of_the_query(spark):
+    """Records of all four layouts occur, and each conversation reads back as its rows say."""
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    found = chat.format_records(chat.records(rows)).collect()
+    assert {r["layout"] for r in found} >= {"prompt", "messages", "from_value"}
+    plain = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["formatted"]) for r in chat.format_chats(rows).collect()}
+    assert {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["formatted"]) for r in found} == plain
+
+
+def test_chat_odd(spark):
+    """Columns named like other layouts change nothing; nulls, ties, control marks and empty tables have defined results."""
+    rows = [(1, 0, "human", "hi </s>[x]\\e", "p"), (1, 1, "gpt", None, None), (2, None, None, "\u0000\u2028\n\"", "p"), (2, 1, "user", "a", "p"), (2, 1, "user", "a", "p"), (None, 5, "tool", "t" * 300_000, "p")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, prompt string").selectExpr("*", "prompt response", "prompt system", "prompt input", "array(struct(prompt content, prompt role)) messages", "prompt turns")
+    want = {1: [("user", "hi </s>[x]\\e"), ("assistant", "")], 2: [("", "\u0000\u2028\n\""), ("user", "a"), ("user", "a")], None: [("tool", "t" * 300_000)]}
+    for got in (chat.format_chats(frame), chat.format_records(chat.records(frame))):
+        assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in got.collect()} == want
+    assert chat.format_chats(frame.where("false")).count() == 0 == chat.format_records(chat.records(frame.where("false"))).count()
+
+
 def test_lm(docs, texts):
     rows = lm.score(docs, chunk=5000).collect()
     train = {}

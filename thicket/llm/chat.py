@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprints.
 
-A record's layout is recognised by a hash of its nested field paths. The hash
+A record's layout is recognised by hashes of its nested field paths: one for each
+layout, over those of the paths that the layout names. The hash that agrees
 selects a declarative mapping (LAYOUTS), which turns prompt, instruction and
-message layouts into canonical turns (role, text). A template then writes a
+message layouts into canonical turns (role, text); where several agree, the one
+of most paths. A template then writes a
 conversation as one string, in which control strings inside texts are escaped
 reversibly, and reads it back.
 
@@ -49,11 +51,21 @@ def paths_of(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def fingerprint(paths: list[str]) -> str:
-    """Hash of the sorted paths that any layout names."""
-    return hashlib.md5("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+    """Hash of the sorted paths."""
+    return hashlib.md5("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 BY_PRINT = {fingerprint(list(x["paths"])): name for name, x in LAYOUTS.items()}
+#: Layouts with most paths first: of several that fit a record, the one that explains most of it is meant.
+BY_SIZE = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name]["paths"]))
+
+
+def layout_of(paths: list[str]) -> str | None:
+    """The layout whose fingerprint those of the paths that it names have; other fields play no part."""
+    for name in BY_SIZE:
+        if BY_PRINT.get(fingerprint([p for p in paths if p in LAYOUTS[name]["paths"]])) == name:
+            return name
+    return None
 
 
 def _role(role: Column) -> Column:
@@ -79,12 +91,21 @@ def _mapped(layout: dict, field) -> Column:
 
 def typed_turns(df: DataFrame, out: str = "turns") -> DataFrame:
     """df with its turns (array of role, text) in column out; its own schema is fingerprinted."""
-    name = BY_PRINT.get(fingerprint(paths_of(df.schema)))
+    name = layout_of(paths_of(df.schema))
     if name is None:
         return df.withColumn(out, F.array().cast("array<struct<role:string,text:string>>"))
     return df.withColumn(out, _mapped(LAYOUTS[name], lambda p: df[p]))
 
 
+def record_schema() -> str:
+    """All fields that layouts name, as one type."""
+    lists: dict[str, set[str]] = {}
+    for path in KNOWN:
+        name, dot, field = path.partition("[].")
+        lists.setdefault(name, set()).update([field] if dot else [])
+    return ", ".join(f"`{k}` " + (f"array<struct<{', '.join(f'`{f}`:string' for f in sorted(fields))}>>" if fields else "string") for k, fields in sorted(lists.items()))
+
+
 def json_turns(df: DataFrame, payload: str, out: str = "turns") -> DataFrame:
     """The same for JSON records whose layouts differ from row to row; also gives columns fingerprint and layout."""
     lists = sorted({p.partition("[]")[0] for p in KNOWN if "[]" in p})
@@ -95,24 +116,48 @@ def json_turns(df: DataFrame, payload: str, out: str = "turns") -> DataFrame:
         keys = F.json_object_keys(F.get_json_object(json, f"$.{name}[0]"))
         return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
 
-    nested = [inside(x) for x in lists]
-    known = F.array(*[F.lit(p) for p in KNOWN])
-    found = F.array_sort(F.array_distinct(F.array_intersect(F.concat(top, *nested), known)))
-    df = df.withColumn("fingerprint", F.md5(F.array_join(found, "\n").cast("binary")))
-    name = F.lit(None).cast("string")
+    rows = df.withColumns({"_paths": F.array_sort(F.array_distinct(F.concat(top, *[inside(x) for x in lists]))), "_record": F.from_json(json, record_schema())})
+    # Of each layout: the hash of those of the record's paths that it names.
+    prints = {name: F.md5(F.array_join(F.array_intersect("_paths", F.array(*[F.lit(p) for p in LAYOUTS[name]["paths"]])), "\n").cast("binary")) for name in BY_SIZE}
+    name, print_ = F.lit(None).cast("string"), F.md5(F.array_join("_paths", "\n").cast("binary"))
     turns = F.array().cast("array<struct<role:string,text:string>>")
-    for key, layout in BY_PRINT.items():
-        spec = LAYOUTS[layout]
-
-        def field(p: str, spec=spec) -> Column:
-            if "list" in spec:
-                _, role, text = spec["list"]
-                return F.from_json(F.get_json_object(json, f"$.{p}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            return F.get_json_object(json, f"$.{p}")
-
-        name = F.when(F.col("fingerprint") == key, layout).otherwise(name)
-        turns = F.when(F.col("fingerprint") == key, _mapped(spec, field)).otherwise(turns)
-    return df.withColumn("layout", name).withColumn(out, turns)
+    key_of = {layout: key for key, layout in BY_PRINT.items()}
+    for layout in reversed(BY_SIZE):
+        name = F.when(prints[layout] == key_of[layout], layout).otherwise(name)
+        print_ = F.when(prints[layout] == key_of[layout], key_of[layout]).otherwise(print_)
+    rows = rows.withColumns({"fingerprint": print_, "layout": name})
+    for layout in BY_SIZE:
+        turns = F.when(F.col("layout") == layout, _mapped(LAYOUTS[layout], lambda p: F.col("_record")[p])).otherwise(turns)
+    return rows.withColumn(out, F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).drop("_paths", "_record")
+
+
+def records(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One JSON record a conversation (conv_id, record), in the layout that public sets of its kind have.
+
+    A question and its answer become a prompt and a completion (with a system turn
+    before them, a system prompt); longer ones are lists of messages, by turns of
+    the two layouts that name a role and its text apart.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # Sorted by the role as it will be read, so that names of one role tie.
+    turn = F.struct(F.col(order_col).alias("no"), _role(F.col(role_col)).alias("role"), text.alias("text"), F.coalesce(F.col(role_col), F.lit("")).alias("own"))
+    by = rows.groupBy(conv_col).agg(F.sort_array(F.collect_list(turn)).alias("_t"))
+    roles = F.transform("_t", lambda t: t["role"])
+    texts = lambda k: F.col("_t")[k]["text"]
+    as_list = lambda path, role, content: F.to_json(F.struct(F.transform("_t", lambda t: F.struct(t["own"].alias(role), t["text"].alias(content))).alias(path)))
+    is_roles = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    record = (
+        F.when(is_roles("user", "assistant"), F.to_json(F.struct(texts(0).alias("prompt"), texts(1).alias("completion"))))
+        .when(is_roles("system", "user", "assistant"), F.to_json(F.struct(texts(0).alias("system"), texts(1).alias("prompt"), texts(2).alias("response"))))
+        .when(F.pmod(F.xxhash64(conv_col), F.lit(2)) == 0, as_list("messages", "role", "content"))
+        .otherwise(as_list("conversations", "from", "value"))
+    )
+    return by.select(conv_col, record.alias("record"))
+
+
+def format_records(df: DataFrame, payload: str = "record", keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """JSON records of any layouts: the columns of keep, layout, formatted, and turns as read back from it (role, text, loss)."""
+    return json_turns(df, payload, "_turns").select(*keep, "layout", render(F.col("_turns")).alias("formatted")).withColumn("turns", parse(F.col("formatted")))
 
 
 def escape(text: Column) -> Column:

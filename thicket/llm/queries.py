@@ -32,7 +32,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     probe = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("int").alias("turn"), F.lit(r).alias("role"), F.lit(control).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
-    chats = chat.format_chats(rows.unionByName(probe))
+    chats = chat.format_records(chat.records(rows.unionByName(probe)))
     t = F.col("turns")
     loss = F.array_join(F.transform(F.filter(t, lambda x: x["loss"]), lambda x: x["text"]), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
