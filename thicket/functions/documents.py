@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 STATEMENT = "_type string, statementType string, predicateType string, subject array<struct<name string, digest struct<sha256 string>>>, predicate struct<builder struct<id string, version string>, buildType string, invocation struct<configSource struct<uri string, ref string>>, metadata struct<buildInvocationId string, buildStartedOn string, buildFinishedOn string>>"
 SCORECARD = "checks array<struct<name string, score double, reason string>>"
-# Defaults of a statement, and the risk category of the checks of an external scorecard (all others: build).
+# Defaults of a statement, and the risk category of the checks of an external scorecard (checks of other names: holistic).
 STATEMENT_TYPE, PREDICATE_TYPE, BUILDER = "https://in-toto.io/Statement/v1", "https://slsa.dev/provenance/v1", "unknown"
 HOLISTIC = ("Vulnerabilities", "Security-Policy", "License", "SAST")
 SOURCE = ("Code-Review", "Maintained", "Contributors", "Branch-Protection", "Webhooks")

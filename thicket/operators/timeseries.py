@@ -17,3 +17,16 @@ def sustained(rows: DataFrame, keys: list[str], at: str, fires: Column) -> DataF
     w = Window.partitionBy(*keys).orderBy(at)
     island = F.sum(F.when(fires, 0).otherwise(1)).over(w)
     return rows.withColumn("_island", island).where(fires).groupBy(*keys, "_island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("_island")
+
+
+def histogram_quantile(rates: Column, bounds: tuple[float, ...], q: float) -> Column:
+    """The q-quantile from cumulative rates of buckets (one for each bound, then all): linear inside the first bucket that reaches the rank.
+
+    The first bucket starts at zero; a rank beyond the last bound gives that bound.
+    """
+    rank = F.lit(q) * rates[len(bounds)]
+    out = F.lit(float(bounds[-1]))
+    for k in reversed(range(len(bounds))):
+        low, under = (float(bounds[k - 1]), rates[k - 1]) if k else (0.0, F.lit(0.0))
+        out = F.when(rates[k] >= rank, low + (bounds[k] - low) * (rank - under) / (rates[k] - under)).otherwise(out)
+    return F.when(rates[len(bounds)] > 0, out)

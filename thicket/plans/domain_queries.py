@@ -170,27 +170,25 @@ def _(t: Tables) -> DataFrame:
     return t.fx_vuln.select("id", F.round(s, 4).alias("score"), F.when(k >= 75, "Critical").when(k >= 50, "High").when(k >= 25, "Medium").otherwise("Low").alias("label"))
 
 
-@query("osv_severity", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN event_type = 'view' THEN 'MODERATE' WHEN value >= 70 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS severity FROM events")
+OSV = "affected array<struct<ecosystem_specific struct<severity string>>>, database_specific struct<severity string>, severity array<struct<type string, score string>>, aliases array<string>, id string"
+
+
+@query("osv_severity", """SELECT id, coalesce(lower(list_filter(json_extract_string(doc, '$.affected[*].ecosystem_specific.severity'), lambda x: x IS NOT NULL)[1]), lower(json_extract_string(doc, '$.database_specific.severity')), CASE WHEN cvss >= 9 THEN 'critical' WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' WHEN cvss > 0 THEN 'low' END, 'unknown') AS severity FROM (SELECT id, doc, list_filter(list_transform(list_filter(json_extract(doc, '$.severity[*]'), lambda s: contains(json_extract_string(s, '$.type'), 'CVSS')), lambda s: TRY_CAST(json_extract_string(s, '$.score') AS DOUBLE)), lambda x: x IS NOT NULL)[1] AS cvss FROM fx_osv)""")
 def _(t: Tables) -> DataFrame:
-    """The first of: an affected entry's severity, the database's, the first CVSS that parses."""
-    e = F.col("event_type")
-    doc = F.to_json(F.struct(F.when(e == "error", F.array(F.struct(F.lit("HIGH").alias("severity")))).alias("affected"), F.when(e == "view", F.struct(F.lit("MODERATE").alias("severity"))).alias("database_specific"), F.array(F.lit("CVSS:x"), (F.col("value") / 10).cast("string")).alias("scores")))
-    rows = t.events.select(F.col("event_id").alias("id"), doc.alias("doc"))
-    parsed = F.from_json("doc", "affected array<struct<severity:string>>, database_specific struct<severity:string>, scores array<string>")
-    rows = rows.select("id", parsed.alias("d"))
-    cvss = F.get(F.filter(F.transform("d.scores", lambda x: x.try_cast("double")), lambda x: x.isNotNull()), F.lit(0))
-    label = F.when(cvss >= 9, "critical").when(cvss >= 7, "high").when(cvss >= 4, "medium").when(cvss >= 0, "low").otherwise("unknown")
-    label = F.when(cvss >= 7, "high").otherwise(label)
-    return rows.select("id", F.coalesce(F.get("d.affected.severity", F.lit(0)), "d.database_specific.severity", label).alias("severity"))
+    """In lower case, the first of: the severity of an affected entry that has one, the database's, the first CVSS score that is a number."""
+    d = t.fx_osv.select("id", F.from_json("doc", OSV).alias("d"))
+    given = F.filter(F.transform("d.affected", lambda a: a["ecosystem_specific"]["severity"]), lambda x: x.isNotNull())
+    scores = F.transform(F.filter("d.severity", lambda s: s["type"].contains("CVSS")), lambda s: s["score"].try_cast("double"))
+    cvss = F.get(F.filter(scores, lambda x: x.isNotNull()), F.lit(0))
+    label = F.when(cvss >= 9, "critical").when(cvss >= 7, "high").when(cvss >= 4, "medium").when(cvss > 0, "low").otherwise("unknown")
+    return d.select("id", F.coalesce(F.lower(F.get(given, F.lit(0))), F.lower("d.database_specific.severity"), label).alias("severity"))
 
 
-@query("osv_primary_id", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'CVE-' || CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN 'GHSA-' || CAST(event_id AS VARCHAR) ELSE 'OSV-' || CAST(event_id AS VARCHAR) END AS primary_id FROM events")
+@query("osv_primary_id", "SELECT id, coalesce(list_filter(aliases, lambda a: starts_with(a, 'CVE-'))[1], aliases[1], json_extract_string(doc, '$.id')) AS primary_id FROM (SELECT id, doc, json_extract_string(doc, '$.aliases[*]') AS aliases FROM fx_osv)")
 def _(t: Tables) -> DataFrame:
-    k = F.col("event_id").cast("string")
-    ghsa, cve = F.concat(F.lit("GHSA-"), k), F.concat(F.lit("CVE-"), k)
-    aliases = F.when(F.col("event_id") % 3 == 0, F.array(ghsa, cve)).when(F.col("event_id") % 3 == 1, F.array(ghsa)).otherwise(F.array().cast("array<string>"))
-    rows = t.events.select(F.col("event_id").alias("id"), F.concat(F.lit("OSV-"), k).alias("own"), aliases.alias("aliases"))
-    return rows.select("id", F.coalesce(F.get(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(0)), F.get("aliases", F.lit(0)), "own").alias("primary_id"))
+    d = t.fx_osv.select("id", F.from_json("doc", OSV).alias("d"))
+    cve = F.filter("d.aliases", lambda a: a.startswith("CVE-"))
+    return d.select("id", F.coalesce(F.get(cve, F.lit(0)), F.get("d.aliases", F.lit(0)), "d.id").alias("primary_id"))
 
 
 @query("vuln_list", "SELECT id, cvss FROM fx_vuln WHERE severity IN ('CRITICAL', 'HIGH') AND exploit ORDER BY cvss DESC, id LIMIT 50 OFFSET 5")
@@ -214,76 +212,6 @@ def _(t: Tables) -> DataFrame:
     return severity_counts(t).select("package_id", F.greatest(F.lit(0), F.floor(F.expr("100.0D * m / (m + h + 1) - 50.0D * h / (m + h + 1) + 0.5D"))).cast("long").alias("score"))
 
 
-RULES = (("no_critical", "c = 0", "blocking"), ("few_high", "h <= 5", "warning"), ("few_total", "c + h + m + l <= 10", "warning"))
-POLICY = " UNION ALL ".join(f"SELECT package_id, '{name}' AS rule, CASE WHEN {test} THEN 'pass' WHEN '{kind}' = 'blocking' THEN 'fail' ELSE 'warn' END AS result FROM {COUNTS}" for name, test, kind in RULES)
-
-
-def policy_rules(t: Tables) -> DataFrame:
-    """Each rule compiles to a column; one pass evaluates all."""
-    results = F.array(*[F.struct(F.lit(name).alias("rule"), F.when(F.expr(test), "pass").otherwise("fail" if kind == "blocking" else "warn").alias("result")) for name, test, kind in RULES])
-    return severity_counts(t).select("package_id", F.explode(results).alias("r")).select("package_id", "r.rule", "r.result")
-
-
-query("policy_rules", POLICY)(policy_rules)
-
-
-@query("policy_overall", f"SELECT package_id, count(*) FILTER (result = 'pass') AS passed, CASE WHEN bool_or(result = 'fail') THEN 'fail' WHEN bool_or(result = 'warn') THEN 'warn' ELSE 'pass' END AS overall FROM ({POLICY}) GROUP BY package_id")
-def _(t: Tables) -> DataFrame:
-    r = F.col("result")
-    return policy_rules(t).groupBy("package_id").agg(F.count_if(r == "pass").alias("passed"), F.when(F.bool_or(r == "fail"), "fail").when(F.bool_or(r == "warn"), "warn").otherwise("pass").alias("overall"))
-
-
-# Scorecard: checks from supplier columns.
-
-CHECKS = (("Maintained", "maintenance", 7.5, "CASE WHEN s_acctbal > 5000 THEN 10 WHEN s_acctbal > 0 THEN 5 ELSE 0 END"), ("License", "legal", 5.0, "CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 10 END"), ("Vulnerabilities", "security", 10.0, "CASE WHEN s_suppkey % 9 = 0 THEN 2 ELSE 10 END"), ("CI-Tests", "testing", 2.5, "CASE WHEN s_nationkey < 12 THEN 8 ELSE 4 END"))
-CHECK_SQL = "(" + " UNION ALL ".join(f"SELECT s_suppkey AS id, '{a}' AS check_name, '{b}' AS category, {c} AS weight, {d} AS score FROM supplier" for a, b, c, d in CHECKS) + ")"
-
-
-def checks(t: Tables) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(a).alias("check_name"), F.lit(b).alias("category"), F.lit(c).alias("weight"), F.expr(d).alias("score")) for a, b, c, d in CHECKS])
-    return t.supplier.select(F.col("s_suppkey").alias("id"), F.explode(rows).alias("r")).select("id", "r.*")
-
-
-@query("scorecard_checks", f"SELECT id, check_name, score, CASE WHEN score <= 2 THEN 'critical' WHEN score <= 4 THEN 'high' WHEN score <= 7 THEN 'medium' ELSE 'low' END AS risk, score >= 5 AS passed FROM {CHECK_SQL}")
-def _(t: Tables) -> DataFrame:
-    s = F.col("score")
-    return checks(t).select("id", "check_name", "score", F.when(s <= 2, "critical").when(s <= 4, "high").when(s <= 7, "medium").otherwise("low").alias("risk"), (s >= 5).alias("passed"))
-
-
-@query("scorecard_aggregate", f"SELECT id, round(CAST(sum(score * weight) AS DOUBLE) / CAST(sum(weight) AS DOUBLE), 4) AS total FROM {CHECK_SQL} GROUP BY id")
-def _(t: Tables) -> DataFrame:
-    return checks(t).groupBy("id").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 4).alias("total"))
-
-
-@query("scorecard_by_category", f"SELECT category, count(*) AS n, count(*) FILTER (score >= 5) AS passed, round(avg(score), 6) AS mean FROM {CHECK_SQL} GROUP BY category")
-def _(t: Tables) -> DataFrame:
-    return checks(t).groupBy("category").agg(rows_n(), F.count_if(F.col("score") >= 5).alias("passed"), F.round(F.avg("score"), 6).alias("mean"))
-
-
-SLSA = f"(SELECT id, max(score) FILTER (check_name = 'Maintained') AS m, max(score) FILTER (check_name = 'CI-Tests') AS ci, max(score) FILTER (check_name = 'Vulnerabilities') AS v FROM {CHECK_SQL} GROUP BY id)"
-LEVEL = "CASE WHEN m >= 8 AND ci >= 8 AND v >= 8 THEN 3 WHEN m >= 5 AND ci >= 8 THEN 2 WHEN ci >= 4 AND v >= 5 THEN 1 ELSE 0 END"
-
-
-def slsa(t: Tables) -> DataFrame:
-    c = F.col("check_name")
-    wide = checks(t).groupBy("id").agg(*[F.max(F.when(c == name, F.col("score"))).alias(k) for k, name in (("m", "Maintained"), ("ci", "CI-Tests"), ("v", "Vulnerabilities"))])
-    return wide.select("id", F.expr(LEVEL).alias("level"))
-
-
-query("slsa_level", f"SELECT id, {LEVEL} AS level FROM {SLSA}")(slsa)
-
-
-@query("slsa_min_level", f"SELECT min({LEVEL}) AS level, count(*) AS n FROM {SLSA}")
-def _(t: Tables) -> DataFrame:
-    return slsa(t).agg(F.min("level").alias("level"), rows_n())
-
-
-@query("slsa_verify", "SELECT o_orderkey AS id, CAST(list_sum([CAST(o_orderstatus <> 'P' AS INT), CAST(o_totalprice > 0 AS INT), CAST(o_orderkey % 5 <> 0 AS INT)]) AS BIGINT) AS passed, o_orderstatus <> 'P' AND o_totalprice > 0 AND o_orderkey % 5 <> 0 AS valid FROM orders")
-def _(t: Tables) -> DataFrame:
-    tests = F.array(F.expr("o_orderstatus <> 'P'"), F.expr("o_totalprice > 0"), F.expr("o_orderkey % 5 <> 0"))
-    return t.orders.select(F.col("o_orderkey").alias("id"), F.size(F.filter(tests, lambda x: x)).cast("long").alias("passed"), F.forall(tests, lambda x: x).alias("valid"))
-
-
 # VEX.
 
 VEX = "(SELECT event_id AS id, 'CVE-' || CAST(event_id % 40 AS VARCHAR) AS vuln, 'user:' || CAST(user_id AS VARCHAR) AS product, CASE event_type WHEN 'purchase' THEN 'affected' WHEN 'signup' THEN 'fixed' WHEN 'error' THEN 'under_investigation' ELSE 'not_affected' END AS status, ts FROM events)"
@@ -317,20 +245,6 @@ def _(t: Tables) -> DataFrame:
     return t.fx_package.select("id", F.concat(F.lit("pkg:"), kind, F.lit("/"), F.regexp_replace("name_lc", "[^a-z0-9.-]+", "-")).alias("purl"))
 
 
-@query("sbom_spdx", "SELECT version_id AS id, string_agg(package_id || version_req, ';' ORDER BY package_id) AS packages FROM fx_depends_on GROUP BY version_id")
-def _(t: Tables) -> DataFrame:
-    deps = F.array_sort(F.collect_list(F.struct("package_id", "version_req")))
-    listed = t.fx_depends_on.groupBy(F.col("version_id").alias("id")).agg(deps.alias("deps"))
-    return listed.select("id", F.array_join(F.transform("deps", lambda d: F.concat(d["package_id"], d["version_req"])), ";").alias("packages"))
-
-
-@query("sbom_cyclonedx", "SELECT e.src AS ref, string_agg(e.dst, ',' ORDER BY e.dst) AS depends_on, (SELECT count(*) FROM fx_vuln v WHERE v.package_id = e.src) AS vulnerabilities FROM fx_depends_on_pkg e WHERE e.src LIKE 'part:%' GROUP BY e.src")
-def _(t: Tables) -> DataFrame:
-    deps = t.fx_depends_on_pkg.where("src LIKE 'part:%'").groupBy(F.col("src").alias("ref")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("depends_on"))
-    vulns = t.fx_vuln.groupBy(F.col("package_id").alias("ref")).agg(rows_n())
-    return deps.join(vulns, "ref", "left").select("ref", "depends_on", F.coalesce("n", F.lit(0)).alias("vulnerabilities"))
-
-
 @query("sbom_counts", "SELECT version_id AS id, count(*) + 1 AS components FROM fx_depends_on GROUP BY version_id")
 def _(t: Tables) -> DataFrame:
     return t.fx_depends_on.groupBy(F.col("version_id").alias("id")).agg((F.count(F.lit(1)) + 1).alias("components"))
@@ -338,27 +252,37 @@ def _(t: Tables) -> DataFrame:
 
 # Updates.
 
-UPDATES = f"(SELECT package_id, c, h, CAST(substr(package_id, 6) AS INT) % 3 = 0 AS is_major FROM {COUNTS})"
-URGENCY = "CASE WHEN c > 0 THEN 'critical' WHEN h > 0 AND NOT is_major THEN 'high' WHEN h > 0 THEN 'medium' ELSE 'low' END"
+#: Every part has an installed release k % 4 and a newest one of major number 2.
+UPDATES = f"(SELECT 'part:' || p_partkey AS package_id, coalesce(c + h + m + l, 0) AS vulns, p_partkey % 4 < 2 AS is_major FROM part LEFT JOIN {COUNTS} v ON v.package_id = 'part:' || p_partkey)"
+URGENCY = "CASE WHEN vulns > 0 AND is_major THEN 'critical' WHEN vulns > 0 THEN 'high' WHEN is_major THEN 'medium' ELSE 'low' END"
 
 
 def urgency(t: Tables) -> DataFrame:
-    key = F.substr("package_id", F.lit(6)).cast("int")
-    old = F.concat_ws(".", (key % 3 + 1).cast("string"), F.lit("0.0"))
-    rows = severity_counts(t).withColumn("is_major", text.bump(old, F.lit("1.0.0")) != "major")
-    return rows.select("package_id", "c", "h", F.expr(URGENCY).alias("urgency"))
+    """Vulnerabilities and a higher major number together are critical, the one alone high, the other medium."""
+    key = F.col("p_partkey")
+    parts = t.part.select(F.concat(F.lit("part:"), key.cast("string")).alias("package_id"), F.concat_ws(".", (key % 4).cast("string"), (key % 3).cast("string"), F.lit("0")).alias("old"))
+    rows = parts.join(t.fx_vuln.groupBy("package_id").agg(rows_n()), "package_id", "left")
+    vulns, major = F.coalesce("n", F.lit(0)), text.semver(F.lit("2.1.0"))["major"] > text.semver(F.col("old"))["major"]
+    level = F.when((vulns > 0) & major, "critical").when(vulns > 0, "high").when(major, "medium").otherwise("low")
+    return rows.select("package_id", vulns.alias("vulns"), major.alias("is_major"), level.alias("urgency"))
 
 
-@query("update_urgency", f"SELECT package_id, {URGENCY} AS urgency FROM {UPDATES}")
+@query("update_urgency", f"SELECT package_id, {URGENCY} AS urgency, CASE WHEN vulns > 0 THEN 'security,' ELSE '' END || CASE WHEN is_major THEN 'end_of_life' ELSE 'major_bug_fix' END AS reasons FROM {UPDATES}")
 def _(t: Tables) -> DataFrame:
-    return urgency(t).select("package_id", "urgency")
+    reasons = F.concat_ws(",", F.when(F.col("vulns") > 0, "security"), F.when(F.col("is_major"), "end_of_life").otherwise("major_bug_fix"))
+    return urgency(t).select("package_id", "urgency", reasons.alias("reasons"))
 
 
-@query("update_ranked", f"SELECT package_id FROM (SELECT package_id, c, h, {URGENCY} AS urgency FROM {UPDATES}) ORDER BY CASE urgency WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, c + h DESC, package_id LIMIT 25")
+@query("update_ranked", f"SELECT package_id FROM (SELECT package_id, vulns, {URGENCY} AS urgency FROM {UPDATES}) ORDER BY CASE urgency WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, vulns > 0 DESC, vulns DESC, package_id LIMIT 25")
 def _(t: Tables) -> DataFrame:
     u = F.col("urgency")
     rank = F.when(u == "critical", 0).when(u == "high", 1).when(u == "medium", 2).otherwise(3)
-    return urgency(t).orderBy(rank, (F.col("c") + F.col("h")).desc(), "package_id").limit(25).select("package_id")
+    return urgency(t).orderBy(rank, (F.col("vulns") > 0).desc(), F.desc("vulns"), "package_id").limit(25).select("package_id")
+
+
+@query("update_totals", f"SELECT count(*) AS total, count(*) FILTER (vulns > 0) AS security, count(*) FILTER (is_major) AS breaking, count(*) FILTER (vulns > 0 AND is_major) AS critical FROM {UPDATES}")
+def _(t: Tables) -> DataFrame:
+    return urgency(t).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("vulns") > 0).alias("security"), F.count_if("is_major").alias("breaking"), F.count_if(F.col("urgency") == "critical").alias("critical"))
 
 
 @query("impact_label", "SELECT dst AS id, count(*) AS n, CASE WHEN count(*) >= 100 THEN 'critical' WHEN count(*) >= 50 THEN 'high' WHEN count(*) >= 20 THEN 'medium' WHEN count(*) >= 5 THEN 'low' ELSE 'minimal' END AS label FROM fx_depends_on_pkg GROUP BY dst")
@@ -374,10 +298,12 @@ def _(t: Tables) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("ecosystem", "n", F.floor(F.col("n") / F.col("total") * F.col("v") + 0.5).cast("long").alias("versions"))
 
 
-# API snapshots: lineitems of an order are its symbols, before and after.
+# API snapshots: the lines of about a hundred orders are the symbols of a package, before and after.
 
-SYMBOLS_OLD = "(SELECT DISTINCT 'pkg' || CAST(l_orderkey % 200 AS VARCHAR) AS pkg, 'fn_' || CAST(l_partkey % 300 AS VARCHAR) AS path, l_returnflag AS kind FROM lineitem WHERE l_linenumber <= 3)"
-SYMBOLS_NEW = "(SELECT DISTINCT 'pkg' || CAST(l_orderkey % 200 AS VARCHAR) AS pkg, 'fn_' || CAST(l_partkey % 300 + CASE WHEN l_partkey % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS path, l_returnflag AS kind FROM lineitem WHERE l_linenumber <= 3)"
+SYMBOL = "SELECT DISTINCT 'pkg' || CAST(CAST(floor(l_orderkey / 100) AS BIGINT) AS VARCHAR) AS pkg, 'mod' || CAST(l_orderkey % 5 AS VARCHAR) || '.fn_' || CAST({key} AS VARCHAR) AS path, 'fn_' || CAST({key} AS VARCHAR) AS name, l_returnflag AS kind, 'fn(a: T' || CAST({key} % 6 AS VARCHAR) || ', b: ' || CASE l_linestatus WHEN 'O' THEN 'String' ELSE 'Bytes' END || ')' AS signature FROM lineitem"
+SYMBOLS_OLD = f"({SYMBOL.format(key='l_partkey')})"
+SYMBOLS_NEW = f"({SYMBOL.format(key='(l_partkey + CASE WHEN l_partkey % 10 = 0 THEN 1 ELSE 0 END)')} WHERE l_partkey % 17 <> 0)"
+GONE = f"(SELECT * FROM {SYMBOLS_OLD} o WHERE NOT EXISTS (SELECT 1 FROM {SYMBOLS_NEW} n WHERE n.pkg = o.pkg AND n.path = o.path))"
 
 
 def symbols(t: Tables, sql: str) -> DataFrame:
@@ -385,20 +311,36 @@ def symbols(t: Tables, sql: str) -> DataFrame:
 
 
 def removed(t: Tables) -> DataFrame:
-    return symbols(t, SYMBOLS_OLD).join(symbols(t, SYMBOLS_NEW), ["pkg", "path", "kind"], "left_anti")
+    """Symbols of paths that the new snapshot does not have."""
+    return symbols(t, SYMBOLS_OLD).join(symbols(t, SYMBOLS_NEW), ["pkg", "path"], "left_anti")
 
 
-query("api_removed", f"SELECT * FROM {SYMBOLS_OLD} EXCEPT SELECT * FROM {SYMBOLS_NEW}")(removed)
+@query("api_removed", f"SELECT pkg, path, kind, signature FROM {GONE}")
+def _(t: Tables) -> DataFrame:
+    return removed(t).select("pkg", "path", "kind", "signature")
 
 
-@query("api_renamed", f"WITH gone AS (SELECT * FROM {SYMBOLS_OLD} EXCEPT SELECT * FROM {SYMBOLS_NEW}), m AS (SELECT g.pkg, g.path, g.kind, n.path AS new_path, 1 - levenshtein(g.path, n.path)::DOUBLE / greatest(strlen(g.path), strlen(n.path)) AS sim FROM gone g JOIN {SYMBOLS_NEW} n ON n.pkg = g.pkg AND n.kind = g.kind) SELECT pkg, path, kind, arg_min(new_path, (-sim, new_path)) AS new_path FROM m WHERE sim >= 0.7 GROUP BY pkg, path, kind")
-def _(t: Tables) -> DataFrame:
-    """Candidates share package and kind; those whose lengths alone rule a match out are never compared."""
-    new = symbols(t, SYMBOLS_NEW).withColumnRenamed("path", "new_path")
-    longest = F.greatest(F.octet_length("path"), F.octet_length("new_path"))
-    pairs = removed(t).join(new, ["pkg", "kind"]).where(F.abs(F.length("path") - F.length("new_path")) <= 0.3 * longest + 1e-9)
-    sim = 1 - F.levenshtein("path", "new_path") / longest
-    return pairs.withColumn("sim", sim).where("sim >= 0.7").groupBy("pkg", "path", "kind").agg(F.min_by("new_path", F.struct(-F.col("sim"), "new_path")).alias("new_path"))
+def similarity(a: str, b: str) -> Column:
+    """1 for equal strings, less by the share of edits."""
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b)))
+
+
+LIKE = "CASE WHEN g.{0} = n.{0} THEN 1.0::DOUBLE ELSE 1 - levenshtein(g.{0}, n.{0})::DOUBLE / greatest(strlen(g.{0}), strlen(n.{0})) END"
+
+
+def renamed(t: Tables) -> DataFrame:
+    """The best match of each removed symbol among all new symbols of its package and kind: 0.4 by name, 0.6 by signature, 0.7 at least.
+
+    Each distinct name and signature is compared once: a pair whose signatures
+    alone rule 0.7 out is not compared by name.
+    """
+    new = symbols(t, SYMBOLS_NEW).select("pkg", "kind", F.col("path").alias("new_path"), F.col("name").alias("new_name"), F.col("signature").alias("new_signature"))
+    pairs = removed(t).join(new, ["pkg", "kind"]).withColumn("_s", 0.6 * similarity("signature", "new_signature")).where("_s >= 0.3 - 1e-9")
+    sim = F.round(0.4 * similarity("name", "new_name") + F.col("_s"), 9)
+    return pairs.withColumn("sim", sim).where("sim >= 0.7").groupBy("pkg", "path", "kind", "signature").agg(F.min_by("new_path", F.struct(-F.col("sim"), "new_path")).alias("new_path"))
+
+
+query("api_renamed", f"WITH gone AS (SELECT * FROM {GONE}), m AS (SELECT g.pkg, g.path, g.kind, g.signature, n.path AS new_path, round(0.4 * {LIKE.format('name')} + 0.6 * {LIKE.format('signature')}, 9) AS sim FROM gone g JOIN {SYMBOLS_NEW} n ON n.pkg = g.pkg AND n.kind = g.kind) SELECT pkg, path, kind, signature, arg_min(new_path, (-sim, new_path)) AS new_path FROM m WHERE sim >= 0.7 GROUP BY pkg, path, kind, signature")(renamed)
 
 
 @query("string_similarity", "SELECT a.s_suppkey AS id, round(1 - levenshtein(a.s_name, b.s_name)::DOUBLE / greatest(strlen(a.s_name), strlen(b.s_name)), 6) AS sim FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1")
@@ -407,18 +349,42 @@ def _(t: Tables) -> DataFrame:
     return t.supplier.join(b, "s_suppkey").select(F.col("s_suppkey").alias("id"), F.round(1 - F.levenshtein("s_name", "other") / F.greatest(F.octet_length("s_name"), F.octet_length("other")), 6).alias("sim"))
 
 
-@query("param_diff", "WITH o AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS name FROM lineitem WHERE l_linenumber <= 4), n AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS name FROM lineitem WHERE l_linenumber >= 2) SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, CASE WHEN o.id IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON o.id = n.id AND o.name = n.name WHERE o.id IS NULL OR n.id IS NULL")
-def _(t: Tables) -> DataFrame:
-    """Which side has a parameter is one aggregate over both sides."""
-    rows = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("name"))
-    by = rows.groupBy("id", "name").agg(F.bool_or(F.col("name") <= 4).alias("o"), F.bool_or(F.col("name") >= 2).alias("n"))
-    return by.where("o <> n").select("id", "name", F.when(F.col("n"), "added").otherwise("removed").alias("change"))
+# Parameters: an order's lines are those of its function; the old one has lines 1 to 4, the new one those from 2.
 
+PARAMS = "(SELECT l_orderkey AS id, l_linenumber AS name, min(l_returnflag) AS old_type, max(l_returnflag) AS new_type, bool_or(l_quantity > 40) AS is_optional, bool_or(l_discount > 0.08) AS has_default FROM lineitem GROUP BY 1, 2)"
+PARAM_CHANGES = f"(SELECT id, name, CASE WHEN name >= 5 THEN CASE WHEN is_optional OR has_default THEN 'signature_changed' ELSE 'required_parameter_added' END WHEN name < 2 THEN 'parameter_removed' ELSE 'parameter_type_changed' END AS change, CASE WHEN name >= 5 AND (is_optional OR has_default) THEN 'info' ELSE 'breaking' END AS severity FROM {PARAMS} WHERE name >= 5 OR name < 2 OR old_type <> new_type)"
 
-@query("return_type_changes", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN min(l_returnflag) = 'N' THEN 'warning' ELSE 'breaking' END AS severity FROM lineitem GROUP BY 1, 2 HAVING min(l_returnflag) <> max(l_returnflag)")
-def _(t: Tables) -> DataFrame:
-    by = t.lineitem.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("a"), F.max("l_returnflag").alias("b"))
-    return by.where("a <> b").select("id", "line", F.when(F.col("a") == "N", "warning").otherwise("breaking").alias("severity"))
+
+def param_changes(t: Tables) -> DataFrame:
+    """Old and new parameters meet by name; a type that is null on both sides has not changed."""
+    by = t.lineitem.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("name")).agg(F.min("l_returnflag").alias("a"), F.max("l_returnflag").alias("b"), F.bool_or(F.col("l_quantity") > 40).alias("is_optional"), F.bool_or(F.col("l_discount") > 0.08).alias("has_default"))
+    old = by.where("name <= 4").select("id", "name", F.struct(F.col("a").alias("type")).alias("o"))
+    new = by.where("name >= 2").select("id", "name", F.struct(F.col("b").alias("type"), "is_optional", "has_default").alias("n"))
+    o, n = F.col("o"), F.col("n")
+    free = n["is_optional"] | n["has_default"]
+    change = F.when(o.isNull(), F.when(free, "signature_changed").otherwise("required_parameter_added")).when(n.isNull(), "parameter_removed").when(~o["type"].eqNullSafe(n["type"]), "parameter_type_changed")
+    severity = F.when(o.isNull() & free, "info").otherwise("breaking")
+    return old.join(new, ["id", "name"], "full_outer").select("id", "name", change.alias("change"), severity.alias("severity")).where("change IS NOT NULL")
+
+
+query("param_diff", f"SELECT * FROM {PARAM_CHANGES}")(param_changes)
+
+RETURNS = "(SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN o_orderstatus ELSE 'O' END AS old_type, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_orderstatus ELSE 'F' END AS new_type, 'T: ' || o_orderstatus AS old_generics, 'T: ' || CASE WHEN o_orderkey % 5 = 0 THEN 'Copy' ELSE o_orderstatus END AS new_generics FROM orders)"
+RETURN_CHANGES = f"(SELECT id, 'return_type_changed' AS change, CASE WHEN old_type IS NULL THEN 'warning' ELSE 'breaking' END AS severity FROM {RETURNS} WHERE old_type IS DISTINCT FROM new_type UNION ALL SELECT id, 'generic_constraints_changed', 'warning' FROM {RETURNS} WHERE old_generics <> new_generics)"
+
+
+def return_changes(t: Tables) -> DataFrame:
+    """A return type where there was none is a warning, any other change breaks; changed generics are a warning."""
+    rows = t.spark.sql(f"SELECT * FROM {RETURNS.replace('FROM orders', 'FROM {orders}')}", orders=t.orders)
+    a, b = F.col("old_type"), F.col("new_type")
+    kinds = F.array(
+        F.when(~a.eqNullSafe(b), F.struct(F.lit("return_type_changed").alias("change"), F.when(a.isNull(), "warning").otherwise("breaking").alias("severity"))),
+        F.when(~F.col("old_generics").eqNullSafe(F.col("new_generics")), F.struct(F.lit("generic_constraints_changed").alias("change"), F.lit("warning").alias("severity"))),
+    )
+    return rows.select("id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("id", "k.*")
+
+
+query("return_type_changes", f"SELECT * FROM {RETURN_CHANGES}")(return_changes)
 
 
 @query("visibility_reduced", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 3 ELSE 1 END AS old_level, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 5 END AS new_level FROM orders WHERE CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 5 END < CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 3 ELSE 1 END")
@@ -435,9 +401,11 @@ def _(t: Tables) -> DataFrame:
     return last.groupBy(F.col("l_orderkey").alias("id")).agg(F.sha2(joined.cast("binary"), 256).alias("api_hash"))
 
 
-@query("change_summary", f"SELECT kind AS severity, count(*) AS n FROM (SELECT * FROM {SYMBOLS_OLD} EXCEPT SELECT * FROM {SYMBOLS_NEW}) GROUP BY kind")
+@query("change_summary", f"SELECT severity, count(*) AS n FROM (SELECT severity FROM {PARAM_CHANGES} UNION ALL SELECT severity FROM {RETURN_CHANGES} UNION ALL SELECT 'breaking' FROM {GONE}) GROUP BY severity")
 def _(t: Tables) -> DataFrame:
-    return removed(t).groupBy(F.col("kind").alias("severity")).agg(rows_n())
+    """All changes by severity; a removed symbol breaks, renamed or not."""
+    gone = removed(t).select(F.lit("breaking").alias("severity"))
+    return param_changes(t).select("severity").unionByName(return_changes(t).select("severity")).unionByName(gone).groupBy("severity").agg(rows_n())
 
 
 @query("normalize_signature", "SELECT p_partkey AS id, 'fn test(a: ' || p_brand || ', b: String)' AS signature FROM part")
@@ -471,36 +439,6 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select(k.alias("id"), text.bump(F.lit("v0.0.0+b1"), F.concat_ws(".", (k % 5).cast("string"), (k % 13).cast("string"), (k % 7).cast("string"))).alias("bump"))
 
 
-#: Phrases of a changelog and their weights.
-PHRASES = (("BREAKING CHANGE", 1.0), ("breaking change", 0.9), ("removed", 0.6), ("deprecated", 0.4), ("migration required", 0.7), ("no longer supports", 0.7), ("dropped", 0.5))
-CHANGELOG = "least(1.0, (" + " + ".join(f"{w}::DOUBLE * least(3, (length(changelog) - length(replace(changelog, '{p}', ''))) // {len(p)})" for p, w in PHRASES) + ") / 5)"
-
-
-def changelog(t: Tables) -> Column:
-    c = F.col("changelog")
-    total = F.lit(0.0)
-    for p, w in PHRASES:
-        total = total + F.lit(w) * F.least(F.lit(3), F.floor((F.length(c) - F.length(F.replace(c, F.lit(p)))) / len(p)))
-    return F.least(F.lit(1.0), total / 5)
-
-
-@query("changelog_score", f"SELECT version AS id, round({CHANGELOG}, 6) AS score FROM fx_changelog")
-def _(t: Tables) -> DataFrame:
-    return t.fx_changelog.select(F.col("version").alias("id"), F.round(changelog(t), 6).alias("score"))
-
-
-P = f"least(0.99, CASE WHEN version % 3 = 0 THEN 0.35 ELSE 0.05 END + CASE WHEN version % 4 = 0 THEN 0.1 ELSE 0 END + 0.5 * {CHANGELOG})"
-
-
-@query("breaking_prediction", f"SELECT version AS id, round({P}, 6) AS probability, CASE WHEN {P} >= 0.8 THEN 'critical' WHEN {P} >= 0.5 THEN 'high' WHEN {P} >= 0.2 THEN 'medium' ELSE 'low' END AS risk FROM fx_changelog")
-def _(t: Tables) -> DataFrame:
-    v = F.col("version")
-    new = F.concat_ws(".", F.when(v % 3 == 0, "2").otherwise("1"), F.lit("0.0"))
-    pre = F.when(v % 4 == 0, F.concat(new, F.lit("-beta.1"))).otherwise(new)
-    p = F.least(F.lit(0.99), F.when(text.bump(F.lit("1.0.0"), pre) == "major", 0.35).otherwise(0.05) + F.when(pre.contains("-"), 0.1).otherwise(0.0) + 0.5 * changelog(t))
-    return t.fx_changelog.select(v.alias("id"), F.round(p, 6).alias("probability"), F.when(p >= 0.8, "critical").when(p >= 0.5, "high").when(p >= 0.2, "medium").otherwise("low").alias("risk"))
-
-
 @query("is_prerelease", "SELECT o_orderkey AS id, o_orderkey % 3 IN (0, 1) AS pre FROM orders")
 def _(t: Tables) -> DataFrame:
     names = F.array(F.lit("1.0.0-x"), F.lit("2.0.0rc1"), F.lit("1.2.3"))

@@ -29,10 +29,12 @@ def _(t: Tables) -> DataFrame:
     return t.fx_analysis_result.select("event_id", "package_id", F.json_array_length("breaking_changes").cast("long").alias("changes"))
 
 
-@query("sink_breaking_changes", "SELECT package_id, max_by(version, (analyzed_at, event_id)) AS version FROM fx_analysis_result WHERE json_array_length(breaking_changes) > 0 GROUP BY package_id")
+@query("sink_breaking_changes", "SELECT package_id, version, arg_max(json_array_length(breaking_changes), (analyzed_at, event_id)) AS changes FROM (SELECT event_id, package_id, CAST(event_id % 4 AS VARCHAR) AS version, breaking_changes, analyzed_at FROM fx_analysis_result) WHERE json_array_length(breaking_changes) > 0 GROUP BY package_id, version")
 def _(t: Tables) -> DataFrame:
-    rows = t.fx_analysis_result.where(F.json_array_length("breaking_changes") > 0)
-    return cdc.latest(rows, ["package_id"], F.desc("analyzed_at"), F.desc("event_id")).select("package_id", "version")
+    """The last result of each package and version, the key of the sink."""
+    rows = t.fx_analysis_result.where(F.json_array_length("breaking_changes") > 0).withColumn("version", (F.col("event_id") % 4).cast("string"))
+    last = cdc.latest(rows, ["package_id", "version"], F.desc("analyzed_at"), F.desc("event_id"))
+    return last.select("package_id", "version", F.json_array_length("breaking_changes").cast("long").alias("changes"))
 
 
 @query("decode_version_event", "SELECT event_id, package_id, version, event_id % 10 = 0 AS malformed FROM fx_package_event WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, NULL, NULL, true FROM fx_package_event WHERE event_id % 10 = 0")
@@ -320,8 +322,18 @@ def _(t: Tables) -> DataFrame:
 
 # Audit.
 
-CATEGORY = "CASE WHEN contains(action, 'SECURITY') THEN 'security' WHEN contains(action, 'POLICY') THEN 'policy' WHEN contains(action, 'COMPLIANCE') THEN 'compliance' ELSE 'general' END"
-SEVERITY = "CASE WHEN status_code >= 500 THEN 'error' WHEN status_code >= 400 THEN 'warning' WHEN status_code IS NULL THEN 'info' ELSE 'notice' END"
+CATEGORY = "CASE WHEN lower(action) LIKE '%auth%' THEN 'authentication' WHEN lower(action) LIKE '%policy%' THEN 'policy' WHEN lower(action) LIKE '%security%' THEN 'security' WHEN lower(action) LIKE '%access%' THEN 'access' WHEN lower(action) LIKE '%config%' THEN 'configuration' WHEN lower(action) LIKE '%compliance%' THEN 'compliance' ELSE 'system' END"
+SEVERITY = "CASE WHEN status_code IS NULL THEN 'notice' WHEN status_code < 400 THEN 'info' WHEN status_code < 500 THEN 'warning' ELSE 'error' END"
+
+
+def category(action: Column) -> Column:
+    """By the first of these words that an action holds, in this order."""
+    low = F.lower(action)
+    return F.when(low.contains("auth"), "authentication").when(low.contains("policy"), "policy").when(low.contains("security"), "security").when(low.contains("access"), "access").when(low.contains("config"), "configuration").when(low.contains("compliance"), "compliance").otherwise("system")
+
+
+def severity(status: Column) -> Column:
+    return F.when(status >= 500, "error").when(status >= 400, "warning").when(status.isNotNull(), "info").otherwise("notice")
 
 
 @query("audit_events", "SELECT id, action, user_id FROM fx_audit_log WHERE tenant_id = 'tenant1' AND action = 'SECURITY_SCAN' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
@@ -329,12 +341,12 @@ def _(t: Tables) -> DataFrame:
     return t.fx_audit_log.where("tenant_id = 'tenant1' AND action = 'SECURITY_SCAN'").orderBy(F.desc("created_at"), "id").offset(20).limit(20).select("id", "action", "user_id")
 
 
-@query("audit_classified", f"SELECT id, {CATEGORY} AS category, {SEVERITY} AS severity, CASE WHEN status_code >= 400 THEN 'failure' ELSE 'success' END AS outcome FROM fx_audit_log")
+@query("audit_classified", f"SELECT id, {CATEGORY} AS category, {SEVERITY} AS severity, CASE WHEN status_code IS NULL THEN 'unknown' WHEN status_code BETWEEN 200 AND 299 THEN 'success' ELSE 'failure' END AS outcome, CASE WHEN user_id IS NULL THEN 'system' ELSE 'user' END AS actor_type FROM fx_audit_log")
 def _(t: Tables) -> DataFrame:
-    a, s = F.col("action"), F.col("status_code")
-    category = F.when(a.contains("SECURITY"), "security").when(a.contains("POLICY"), "policy").when(a.contains("COMPLIANCE"), "compliance").otherwise("general")
-    severity = F.when(s >= 500, "error").when(s >= 400, "warning").when(s.isNull(), "info").otherwise("notice")
-    return t.fx_audit_log.select("id", category.alias("category"), severity.alias("severity"), F.when(s >= 400, "failure").otherwise("success").alias("outcome"))
+    s = F.col("status_code")
+    outcome = F.when((s >= 200) & (s < 300), "success").when(s.isNotNull(), "failure").otherwise("unknown")
+    actor = F.when(F.col("user_id").isNotNull(), "user").otherwise("system")
+    return t.fx_audit_log.select("id", category(F.col("action")).alias("category"), severity(s).alias("severity"), outcome.alias("outcome"), actor.alias("actor_type"))
 
 
 @query("compliance_report", "SELECT count(*) AS total, coalesce(sum(CASE WHEN action ILIKE '%security%' THEN 1 ELSE 0 END), 0)::BIGINT AS security, coalesce(sum(CASE WHEN action ILIKE '%policy%' THEN 1 ELSE 0 END), 0)::BIGINT AS policy, coalesce(sum(CASE WHEN action ILIKE '%compliance%' THEN 1 ELSE 0 END), 0)::BIGINT AS compliance, coalesce(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END), 0)::BIGINT AS violations FROM fx_audit_log")
@@ -364,7 +376,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("audit_by_category", f"SELECT {CATEGORY} AS category, {SEVERITY} AS severity, count(*) AS n FROM fx_audit_log GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    return t.fx_audit_log.select(F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity")).groupBy("category", "severity").agg(rows_n())
+    return t.fx_audit_log.select(category(F.col("action")).alias("category"), severity(F.col("status_code")).alias("severity")).groupBy("category", "severity").agg(rows_n())
 
 
 @query("audit_daily", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, round(100.0 * count(*) FILTER (status_code >= 400) / count(*), 6) AS violation_rate FROM fx_audit_log GROUP BY 1")
@@ -386,9 +398,20 @@ def _(t: Tables) -> DataFrame:
     return t.events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.round(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1)), 6).alias("ratio")).select(F.col("w.start").alias("at"), "ratio")
 
 
-@query("latency_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+BOUNDS = (5, 10, 25, 50, 75, 90, 99)
+BUCKETS = "(SELECT event_type, b.le, count(*) FILTER (value <= b.le) / 300.0 AS rate FROM events, (VALUES " + ", ".join(f"({b}::DOUBLE)" for b in BOUNDS) + ", ('infinity'::DOUBLE)) b(le) GROUP BY event_type, b.le)"
+
+
+def quantile_sql(q: float) -> str:
+    """Of the first bucket that holds the rank: its lower bound, and the share of its width that the rank is in; beyond the last bound, that bound."""
+    return f"(SELECT event_type, CASE WHEN le = 'infinity' THEN below ELSE below + (le - below) * (rank - under) / (rate - under) END AS x FROM (SELECT event_type, le, rate, coalesce(lag(le) OVER w, 0) AS below, coalesce(lag(rate) OVER w, 0) AS under, {q} * max(rate) OVER (PARTITION BY event_type) AS rank FROM {BUCKETS} WINDOW w AS (PARTITION BY event_type ORDER BY le)) WHERE rate >= rank QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY le) = 1)"
+
+
+@query("latency_quantiles", "SELECT a.event_type, round(a.x, 6) AS p50, round(b.x, 6) AS p95, round(c.x, 6) AS p99 FROM " + f"{quantile_sql(0.5)} a JOIN {quantile_sql(0.95)} b USING (event_type) JOIN {quantile_sql(0.99)} c USING (event_type)")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    """Quantiles from cumulative buckets of five-minute rates: one row of counts a type, however many values there are."""
+    rates = t.events.groupBy("event_type").agg(F.array(*[F.count_if(F.col("value") <= b) / 300 for b in BOUNDS], F.count("value") / 300).alias("rates"))
+    return rates.select("event_type", *[F.round(timeseries.histogram_quantile(F.col("rates"), BOUNDS, q), 6).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
 
 
 @query("availability_1h", "SELECT date_trunc('hour', ts) AS hour, round(avg(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END), 6) AS availability FROM events GROUP BY 1")

@@ -14,7 +14,7 @@ KINDS = (("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), (
 VIEWS = {
     "fx_package": " UNION ALL ".join(
         f"SELECT '{t}:' || CAST({k} AS STRING) AS id, '{t}' AS ecosystem, {n} AS name, lower({n}) AS name_lc, 'public' AS tenant_id, "
-        + (f"CASE WHEN {k} % 97 = 0 THEN 1 END" if t == "part" else "CAST(NULL AS INT)")
+        + (f"CASE WHEN {k} % 97 = 0 THEN 1 END" if t in ("part", "customer") else "CAST(NULL AS INT)")
         + f" AS deleted_at FROM {t}"
         for t, k, n in KINDS
     ),
@@ -29,14 +29,17 @@ VIEWS = {
     "fx_analysis_result": "SELECT event_id, 'user:' || CAST(user_id AS STRING) AS package_id, CAST(event_id AS STRING) AS version, CASE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 4 WHEN 0 THEN '[]' WHEN 1 THEN '[1]' WHEN 2 THEN '[1,2]' ELSE '[1,2,3]' END AS breaking_changes, ts AS analyzed_at FROM events",
     "fx_audit_log": "SELECT event_id AS id, 'tenant' || CAST(user_id % 3 AS STRING) AS tenant_id, user_id, CASE event_type WHEN 'purchase' THEN 'POLICY_EVALUATION' WHEN 'error' THEN 'SECURITY_SCAN' WHEN 'signup' THEN 'COMPLIANCE_CHECK' ELSE upper(event_type) || '_EVENT' END AS action, CASE event_type WHEN 'error' THEN 500 WHEN 'view' THEN 404 WHEN 'click' THEN NULL ELSE 200 END AS status_code, ts AS created_at FROM events",
     "fx_vector": "SELECT vec_id, 'label:' || CAST(label AS STRING) AS package_id, CAST(label % 3 AS STRING) AS ecosystem, embedding AS vector FROM embeddings",
-    "fx_changelog": "SELECT doc_id AS version, source AS package, lower(text) || CASE doc_id % 5 WHEN 1 THEN ' BREAKING CHANGE: removed x' WHEN 2 THEN ' deprecated' WHEN 3 THEN ' migration required' WHEN 4 THEN ' dropped; no longer supports' ELSE '' END AS changelog FROM documents",
+    "fx_changelog": "SELECT doc_id AS version, source AS package, lower(text) || CASE doc_id % 11 WHEN 1 THEN ' BREAKING CHANGE: removed x' WHEN 2 THEN ' Deprecated' WHEN 3 THEN ' Migration required' WHEN 4 THEN ' dropped; no longer supports' WHEN 5 THEN ' ⚠️ BREAKING: deleted, deleted, deleted, deleted' WHEN 6 THEN ' an incompatible change; see the Upgrade Guide' WHEN 7 THEN ' backwards-incompatible, migrate from v1' WHEN 8 THEN ' will be removed; action required' WHEN 9 THEN ' legacy api renamed' ELSE '' END AS changelog, CASE WHEN doc_id % 13 <> 0 THEN CAST(doc_id % 4 AS INT) END AS old_number, CAST(doc_id % 7 AS INT) AS new_number, CASE doc_id % 6 WHEN 1 THEN '-rc.1' WHEN 2 THEN 'beta2' WHEN 3 THEN '.dev3' ELSE '' END AS new_tag, CAST(doc_id % 3 AS INT) AS deps_removed, CAST(n_chars % 4 AS INT) AS deps_major, CAST(n_chars % 8 AS INT) AS api_removed, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 10 AS DOUBLE) / 10 END AS author_rate, CAST(n_chars % 15 AS INT) AS idle_days, n_chars AS n_lines FROM documents",
+    "fx_repo": "SELECT 'part:' || CAST(p_partkey AS STRING) AS id, p_partkey % 11 = 0 AS has_binaries, p_partkey % 4 <> 0 AS is_protected, p_partkey % 2 = 0 OR p_size > 20 AS needs_pull, p_partkey % 3 = 0 AS needs_review, p_partkey % 5 < 3 AS needs_status, p_partkey % 7 = 1 AS binds_admins, p_size % 3 <> 0 AS has_ci, CASE p_size % 6 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN 'passing' WHEN 3 THEN 'in_progress' END AS badge, p_partkey % 5 <> 2 AS is_reviewed, p_size % 5 AS organisations, p_partkey % 13 = 0 AS has_danger, p_partkey % 8 = 0 AS has_updater, p_partkey % 9 = 0 AS has_other_updater, p_size % 10 = 0 AS has_fuzzing, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS licence, CASE WHEN p_partkey % 10 <> 9 THEN p_partkey % 500 END AS idle_days, p_size % 2 = 0 AS is_published, CAST(p_partkey % 12 AS DOUBLE) / 10 AS pinned_ratio, p_size % 7 < 2 AS has_sast, p_partkey % 3 <> 1 AS has_policy, CAST(p_size % 11 AS DOUBLE) / 10 AS signed_ratio, p_partkey % 4 <= 1 AS least_tokens, p_size % 13 AS vulnerabilities FROM part",
+    "fx_context": "SELECT 'part:' || CAST(p_partkey AS STRING) AS id, p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'MIT' WHEN 1 THEN 'apache-2.0' WHEN 2 THEN 'GPL-3.0' WHEN 3 THEN 'LGPL-2.1' WHEN 4 THEN 'Proprietary' WHEN 5 THEN 'ISC' WHEN 6 THEN 'BSD-3-Clause' WHEN 7 THEN 'AGPL-3.0' END AS licence, p_partkey % 9 <> 4 AS osi_approved, p_partkey % 4 AS assessments, p_partkey % 2 = 0 AS has_sbom, p_partkey % 3 = 0 AS has_provenance, CASE WHEN p_partkey % 17 <> 0 THEN p_partkey * 13 % 1500 END AS age_days, CASE WHEN p_partkey % 19 <> 0 THEN p_size % 15 END AS depth FROM part",
+    "fx_osv": """SELECT event_id AS id, '{"id":"OSV-' || CAST(event_id AS STRING) || '",' || CASE event_type WHEN 'error' THEN '"affected":[{},{"ecosystem_specific":{"severity":"HIGH"}},{"ecosystem_specific":{"severity":"LOW"}}],' WHEN 'signup' THEN '"affected":[{"ecosystem_specific":{}}],' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '"database_specific":{"severity":"Moderate"},' ELSE '' END || CASE WHEN event_id % 4 = 1 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '","CVE-' || CAST(event_id AS STRING) || '"],' WHEN event_id % 4 = 2 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '"],' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN '"severity":[]}' ELSE '"severity":[{"type":"CVSS_V3","score":"CVSS:3.1/AV:N"},{"type":"OTHER","score":"9.9"},{"type":"CVSS_V2","score":"' || CAST(event_id % 11 AS STRING) || '.' || CAST(user_id % 10 AS STRING) || '"},{"type":"CVSS_V2","score":"1.0"}]}' END AS doc FROM events""",
     "fx_state_old": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, o_orderstatus = 'P' AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority) AS cksum FROM orders WHERE o_orderkey % 10 < 8",
     "fx_state_new": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus <> 'P' ELSE o_orderstatus = 'P' END AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END) AS cksum FROM orders WHERE o_orderkey % 10 >= 2",
     "fx_provenance": "SELECT 'order:' || CAST(o_orderkey AS STRING) AS package_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://git.test/' || o_orderpriority END AS source_repo, CASE o_orderkey % 4"
     """ WHEN 0 THEN '{"_type":"https://in-toto.io/Statement/v0.1","predicateType":"https://slsa.dev/provenance/v0.2","subject":[{"name":"pkg","digest":{"sha256":"' || md5(CAST(o_orderkey AS STRING)) || '"}},{"digest":{}},{"name":"src"}],"predicate":{"builder":{"id":"https://ci.test/runner","version":"2"},"buildType":"release.yml","invocation":{"configSource":{"uri":"git+https://git.test/' || CAST(o_custkey AS STRING) || '","ref":"refs/tags/v1"}},"metadata":{"buildInvocationId":"run-' || CAST(o_orderkey AS STRING) || '","buildStartedOn":"2024-01-01T00:00:00Z","buildFinishedOn":"2024-01-01T00:05:00Z"}}}'"""
     """ WHEN 1 THEN '{"statementType":"custom","subject":[],"predicate":{"builder":{}}}' WHEN 2 THEN '{"subject":[{"name":"only"}],"predicate":null}' ELSE 'no json' END AS payload FROM orders""",
     "fx_scorecard_doc": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 10 = 9 THEN '{"checks":' ELSE '{"score":' || CAST(p_size % 10 AS STRING) || '.5,"checks":[{"name":"Vulnerabilities","score":' || CAST(p_size % 11 AS STRING) || ',"reason":"' || p_brand || '"},{"name":"Code-Review","score":' || CAST(p_size % 9 AS STRING) || '.5},{"name":"Fuzzing"},{"score":9,"reason":"odd"}]}' END AS payload FROM part""",
-    "fx_vuln": "SELECT 'VULN-' || CAST(event_id AS STRING) AS id, 'part:' || CAST(event_id % 500 AS STRING) AS package_id, value / 10 AS cvss, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, event_id % 3 = 0 AS exploit, (event_id % 100) / 100.0 AS epss FROM events WHERE event_type = 'error'",
+    "fx_vuln": "SELECT 'VULN-' || CAST(event_id AS STRING) AS id, 'part:' || CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING) AS package_id, value / 10 AS cvss, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, event_id % 3 = 0 AS exploit, (event_id % 100) / 100.0 AS epss FROM events WHERE event_type = 'error'",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
