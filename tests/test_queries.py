@@ -35,15 +35,24 @@ def test_equals_sql(spark, duck, name):
     assert rows(tuple(r[c] for c in cols) for r in got.collect()) == rows(want)
 
 
-def test_impact_fixture(spark):
-    """A hand-made tree: one, two and two dependents at depths 1 to 3."""
+def test_graph_by_hand(spark):
+    """A diamond on a cycle with a tail: least depths, one shortest path of two, and what the cycle holds."""
     from thicket.operators import graph
 
-    edges = spark.createDataFrame([("lib-c", "lodash"), ("lib-b", "lib-c"), ("app-a", "lib-b"), ("app-e", "lib-b"), ("app-f", "lib-c")], "src string, dst string")
-    found = {r["id"]: r["depth"] for r in graph.reach(edges, "lodash", 10).collect()}
-    assert found == {"lib-c": 1, "lib-b": 2, "app-f": 2, "app-a": 3, "app-e": 3}
-    assert graph.shortest_path(edges, "app-a", "lodash", 6).collect()[0]["path"] == "app-a>lib-b>lib-c>lodash"
-    assert graph.shortest_path(edges, "lodash", "app-a", 6).count() == 0
+    edges = spark.createDataFrame([("w", "x"), ("w", "y"), ("x", "z"), ("y", "z"), ("z", "w"), ("v", "w"), ("u", "v"), ("w", "x"), ("z", "end")], "src string, dst string")
+    found = {r["id"]: r["depth"] for r in graph.reach(edges, "z", 10).collect()}
+    assert found == {"x": 1, "y": 1, "w": 2, "v": 3, "u": 4}
+    assert {r["id"]: r["depth"] for r in graph.reach(edges, "u", 2, forward=True).collect()} == {"v": 1, "w": 2}
+    assert graph.shortest_path(edges, "u", "z", 6).collect()[0]["path"] == "u>v>w>x>z"
+    assert graph.shortest_path(edges, "end", "u", 6).count() == 0
+    assert {tuple(r) for r in graph.core(edges).collect()} == {("w", "x"), ("w", "y"), ("x", "z"), ("y", "z"), ("z", "w")}
+    assert graph.core(edges.where("src <> 'z'")).count() == 0
+
+
+def test_lookups_push_their_keys(spark):
+    plan = catalog.queries()["package_lookup"](spark, SF)._jdf.queryExecution().toString()
+    assert "EqualTo(p_partkey,10)" in plan and "c_custkey" not in plan
+    assert "EqualTo(o_orderkey,42)" in catalog.queries()["version_lookup"](spark, SF)._jdf.queryExecution().toString()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -61,3 +70,66 @@ def test_licences(line, allowed, want):
     from thicket.functions import licences
 
     assert licences.satisfied(licences.postfix(line), frozenset(allowed)) is want
+
+
+def test_upsert_sink(spark, tmp_path):
+    """Last wins by key over several batches, a late older row does not, and untouched buckets are not written again."""
+    from thicket.streaming import views
+
+    schema = "package string, version string, changes int, at int"
+    place, source = str(tmp_path / "table"), tmp_path / "in"
+    batches = [[("a", "1", 1, 10), ("b", "1", 2, 10), ("a", "2", 3, 10)], [("a", "1", 5, 11), ("c", "1", 6, 1), ("a", "1", 9, 7)], [("b", "1", 0, 9), ("c", "1", 7, 2)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / str(k)))
+        stream = spark.readStream.schema(schema).parquet(str(source / "*"))
+        views.upsert_sink(stream, ["package", "version"], "at", place, str(tmp_path / "state"), buckets=8).awaitTermination()
+    want = {}
+    for p, v, n, at in (r for rows in batches for r in rows):
+        if (p, v) not in want or at >= want[p, v][1]:
+            want[p, v] = (n, at)
+    assert {(r["package"], r["version"]): (r["changes"], r["at"]) for r in views.upserted(spark, place, schema).collect()} == want
+    groups = views.live_groups(spark, place)
+    assert len(groups) > 1 and {g.rpartition("=")[2] for g in groups.values()} >= {"0", "2"}
+
+
+def test_stream_dedupe_and_dead_letters(spark, tmp_path):
+    from thicket.streaming import views
+
+    lines = [(1, '{"package": "a", "version": "1"}'), (2, '{"package": "a", "version": "1"}'), (3, "{broken"), (4, '{"version": "2"}'), (5, '{"package": "b", "version": "1"}')]
+    spark.createDataFrame(lines, "id long, value string").selectExpr("*", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id) at").write.parquet(str(tmp_path / "in"))
+    stream = views.file_source(spark, str(tmp_path / "in"), "id long, value string, at timestamp")
+    good, bad = views.split_letters(stream, "value", "package string, version string", "package")
+    views.run_available(views.deduped(good, ["package", "version"], "at"), str(tmp_path / "good"), str(tmp_path / "c1")).awaitTermination()
+    views.run_available(bad, str(tmp_path / "bad"), str(tmp_path / "c2")).awaitTermination()
+    assert sorted(r["package"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["a", "b"]
+    assert {r["id"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {3: "not json", 4: "no package"}
+
+
+def test_rules_by_hand(spark):
+    """Rules of severities, risks, policies and grades on single inputs."""
+    from pyspark.sql import functions as F
+
+    from thicket.functions import changes, policy, scorecard
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first()["x"]
+    assert value(changes.changelog_score(F.lit("BREAKING CHANGE: the old API was removed. Migration required."))) == pytest.approx((1.0 + 0.9 + 0.6 + 0.8) / 5)
+    assert value(changes.changelog_score(F.lit("small fixes"))) == 0
+    none = F.lit(None)
+    of = lambda old, new, notes, lines=0: value(changes.prediction(F.lit(old), F.lit(new), F.lit(notes), F.lit(0), F.lit(0), F.lit(0), none.cast("double"), none.cast("int"), F.lit(lines)))
+    assert of("1.5.3", "2.0.0", "")["probability"] == pytest.approx(0.4) and of("1.5.3", "2.0.0", "")["confidence"] == pytest.approx(0.75)
+    assert of("1.0.0", "1.0.1", "typo")["risk"] == "low" and of("v1.0", "v2.0-rc1", "renamed", 5000)["probability"] == pytest.approx(0.4 + 0.3 + 0.15 + 0.08)
+    assert [value(scorecard.grade(F.lit(x))) for x in (9.5, 8.0, 7.0, 6.9, 5.0, 4.9)] == ["A+", "A", "B", "C", "D", "F"]
+    rows = one.select(F.lit("MIT").alias("licence"), F.lit(True).alias("has_sbom"), F.lit(9).alias("depth"))
+    got = lambda tree: rows.select(policy.condition(tree).alias("x")).first()["x"]["result"]
+    assert [got(x) for x in (("licence_allowed", ("mit",)), ("licence_denied", ("mit",)), ("max_depth", 8), ("not", ("max_depth", 8)), ("all", (("has_sbom",), ("max_depth", 8))), ("any", (("max_depth", 8), ("has_sbom",))), ("custom", "x"))] == ["pass", "fail", "warn", "warn", "pass", "pass", "skip"]
+
+
+def test_histogram_quantile(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.operators import timeseries
+
+    rates = F.array(*[F.lit(float(x)) for x in (10, 30, 30, 40)])
+    row = spark.range(1).select(*[timeseries.histogram_quantile(rates, (1, 2, 4), q).alias(f"q{k}") for k, q in enumerate((0.125, 0.25, 0.5, 0.75, 0.99))]).first()
+    assert tuple(row) == pytest.approx((0.5, 1.0, 1.5, 2.0, 4.0))

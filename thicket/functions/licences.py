@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 #: Id, OSI approved, FSF libre, copyleft, category.
 LICENCES = (
@@ -84,16 +84,11 @@ def satisfied(program: list[str] | None, allowed: frozenset[str]) -> bool:
     return stack[-1]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def spdx_ids(lines: pd.Series) -> pd.Series:
+def spdx_ids(line: Column | str) -> Column:
     """Distinct licence ids of an expression, in order; exceptions after WITH are not ids."""
-
-    def ids(line):
-        program = postfix(line) or []
-        skip = {k - 1 for k, x in enumerate(program) if x == "WITH"}
-        return list(dict.fromkeys(x for k, x in enumerate(program) if x not in ("OR", "AND", "WITH") and k not in skip))
-
-    return lines.map(ids)
+    plain = F.regexp_replace(line, r"\bWITH\s+[^\s()]+", "")
+    names = F.regexp_extract_all(plain, F.lit(r"([A-Za-z0-9.+:-]+)"), F.lit(1))
+    return F.array_distinct(F.filter(names, lambda x: ~x.isin("AND", "OR", "WITH")))
 
 
 def spdx_satisfied(allowed: tuple[str, ...]):

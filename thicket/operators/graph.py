@@ -21,38 +21,51 @@ def clamp(n: int, low: int = 1, high: int = MAX_DEPTH) -> int:
 
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = False) -> DataFrame:
-    """origin, id, depth: what each origin reaches, at its least depth; roots has (origin, id).
+    """origin, id, depth: what each origin reaches, at its least depth; roots has (origin, id), ids of the edges' type.
 
     Backward by default: the dependents of a package stand at the src of its
-    incoming edges. An origin itself is not in the result.
+    incoming edges. An origin itself is not in the result. A level joins the last
+    one, whose stored size lets Catalyst broadcast it while it is small, so the
+    edges are read but not shuffled; repeated edges do no harm.
     """
     here, there = ("src", "dst") if forward else ("dst", "src")
     steps = edges.select(F.col(here).alias("id"), F.col(there).alias("_next"))
-    if depth > 1:
-        steps = stored(steps, "edges")  # each level reads them
     seen = roots.select("origin", "id", F.lit(0).alias("depth"))
     frontier = seen.select("origin", "id")
     found = []
     for k in range(1, clamp(depth) + 1):
-        new = frontier.join(steps, "id").select("origin", F.col("_next").alias("id")).distinct()
+        new = steps.join(frontier, "id").select("origin", F.col("_next").alias("id")).distinct()
         level = stored(new.join(seen, ["origin", "id"], "left_anti").withColumn("depth", F.lit(k)), "level")
-        if level.isEmpty():
-            break
         found.append(level)
+        if k == clamp(depth) or level.isEmpty():
+            break
         seen = seen.unionByName(level)
         frontier = level.select("origin", "id")
-    if not found:
-        return seen.where("false")
     out = found[0]
     for level in found[1:]:
         out = out.unionByName(level)
     return out
 
 
-def reach(edges: DataFrame, root: str, depth: int, forward: bool = False) -> DataFrame:
+def reach(edges: DataFrame, root: str | int, depth: int, forward: bool = False) -> DataFrame:
     """id, depth of what root reaches."""
     roots = edges.sparkSession.range(1).select(F.lit(root).alias("origin"), F.lit(root).alias("id"))
-    return bfs(edges, roots, depth, forward).select("id", "depth")
+    return bfs(edges, roots.select(*[F.col(c).cast(edges.schema["src"].dataType) for c in ("origin", "id")]), depth, forward).select("id", "depth")
+
+
+def core(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without an edge in, or without one out, are peeled off until none is: all cycles are in there."""
+    now = stored(edges.where("src <> dst").distinct(), "edges")
+    left = now.count()
+    while left:
+        ends = now.select(F.col("dst").alias("src")).distinct()
+        starts = now.select(F.col("src").alias("dst")).distinct()
+        after = stored(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"), "core")
+        n = after.count()
+        if n == left:
+            return after
+        now, left = after, n
+    return now
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, hops: int) -> DataFrame:

@@ -62,9 +62,9 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), text.crate_index_path(F.col("o_orderkey").cast("string")).alias("path"))
 
 
-@query("npm_dependencies", "SELECT l_orderkey AS id, 'part' || CAST(l_partkey AS VARCHAR) AS name, '^' || CAST(min(l_linenumber) AS VARCHAR) AS range FROM lineitem WHERE l_partkey < 50 GROUP BY l_orderkey, l_partkey")
+@query("npm_dependencies", "SELECT l_orderkey AS id, 'part' || CAST(l_partkey AS VARCHAR) AS name, '^' || CAST(min(l_linenumber) AS VARCHAR) AS range FROM lineitem GROUP BY l_orderkey, l_partkey")
 def _(t: Tables) -> DataFrame:
-    pairs = t.lineitem.where("l_partkey < 50").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("m"))
+    pairs = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("m"))
     packument = pairs.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("part"), F.col("l_partkey").cast("string")), F.concat(F.lit("^"), F.col("m").cast("string")))))).alias("dependencies"))
     return text.npm_dependencies(packument, "l_orderkey", "dependencies").withColumnRenamed("l_orderkey", "id")
 
@@ -75,11 +75,25 @@ def _(t: Tables) -> DataFrame:
     return text.parse_pep508(t.part.select(F.col("p_partkey").alias("id"), line.alias("line")), "line").select("id", "name", "version_req", "marker", "has_extra")
 
 
-@query("budgeted_file_scan", "SELECT doc_id, source FROM (SELECT doc_id, source, sum(strlen(text)) OVER w AS total, row_number() OVER w AS files FROM documents WHERE strlen(text) <= 20000 WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE total <= 60000 AND files <= 20")
+FILE_BYTES, FILES, SOURCE_BYTES = 1_000_000, 1_000, 200_000_000
+TEXTUAL = "CASE WHEN doc_id % 7 = 3 THEN 'png' WHEN doc_id % 2 = 0 THEN 'rs' ELSE 'py' END"
+
+
+@query("budgeted_file_scan", f"SELECT doc_id, source FROM (SELECT doc_id, source, sum(strlen(text)) OVER w AS total, row_number() OVER w AS files FROM documents WHERE strlen(text) <= {FILE_BYTES} AND NOT contains(text, chr(0)) AND {TEXTUAL} <> 'png' WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE total <= {SOURCE_BYTES} AND files <= {FILES}")
 def _(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = t.documents.select("doc_id", "source", F.octet_length("text").alias("b")).where("b <= 20000")
-    return d.withColumn("total", F.sum("b").over(w)).withColumn("files", F.count(F.lit(1)).over(w)).where("total <= 60000 AND files <= 20").select("doc_id", "source")
+    """The first files of each source within its budgets; only source files without a NUL byte count.
+
+    Running sums have two levels: over ranges of ids, then inside a range, so a
+    large source is never one task's. Ranges past the budget are never ordered.
+    """
+    extension = F.expr(TEXTUAL)
+    d = t.documents.where((F.octet_length("text") <= FILE_BYTES) & ~F.contains("text", F.lit("\0")) & extension.isin("rs", "py")).select("doc_id", "source", F.octet_length("text").cast("long").alias("b"), F.expr("doc_id div 1000").alias("range"))
+    ranges = d.groupBy("source", "range").agg(F.sum("b").alias("sum_b"), F.count(F.lit(1)).alias("sum_n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"b0": F.coalesce(F.sum("sum_b").over(before), F.lit(0)), "n0": F.coalesce(F.sum("sum_n").over(before), F.lit(0))}).where(f"b0 <= {SOURCE_BYTES} AND n0 < {FILES}")
+    inside = Window.partitionBy("source", "range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = d.join(ranges.select("source", "range", "b0", "n0"), ["source", "range"])
+    return rows.withColumns({"total": F.col("b0") + F.sum("b").over(inside), "files": F.col("n0") + F.count(F.lit(1)).over(inside)}).where(f"total <= {SOURCE_BYTES} AND files <= {FILES}").select("doc_id", "source")
 
 
 @query("sync_incremental", "SELECT event_id, package_id FROM fx_package_event WHERE (published_at, event_id) > (SELECT (min(published_at), min(event_id)) FROM fx_package_event) ORDER BY published_at, event_id LIMIT 1000")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 KINDS = (("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
 VIEWS = {
@@ -41,6 +42,47 @@ VIEWS = {
     "fx_scorecard_doc": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 10 = 9 THEN '{"checks":' ELSE '{"score":' || CAST(p_size % 10 AS STRING) || '.5,"checks":[{"name":"Vulnerabilities","score":' || CAST(p_size % 11 AS STRING) || ',"reason":"' || p_brand || '"},{"name":"Code-Review","score":' || CAST(p_size % 9 AS STRING) || '.5},{"name":"Fuzzing"},{"score":9,"reason":"odd"}]}' END AS payload FROM part""",
     "fx_vuln": "SELECT 'VULN-' || CAST(event_id AS STRING) AS id, 'part:' || CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING) AS package_id, value / 10 AS cvss, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, event_id % 3 = 0 AS exploit, (event_id % 100) / 100.0 AS epss FROM events WHERE event_type = 'error'",
 }
+#: Node codes: the key times eight and the number of the kind in KINDS.
+CODE = "CAST({key} AS BIGINT) * 8 + {kind}"
+
+
+def coded_edges(tables) -> DataFrame:
+    """The package edges as pairs of node codes (src, dst), repeats included: no text is built and nothing is shuffled but the join of lines and orders."""
+    c = {name: CODE.replace("{kind}", str(k)) for k, (name, _, _) in enumerate(KINDS)}
+    sql = (
+        f"SELECT {c['customer'].format(key='o_custkey')} AS src, {c['part'].format(key='l_partkey')} AS dst FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"
+        f" UNION ALL SELECT {c['part'].format(key='l_partkey')}, {c['supplier'].format(key='l_suppkey')} FROM {{lineitem}}"
+        f" UNION ALL SELECT {c['supplier'].format(key='s_suppkey')}, {c['nation'].format(key='s_nationkey')} FROM {{supplier}}"
+        f" UNION ALL SELECT {c['nation'].format(key='n_nationkey')}, {c['region'].format(key='n_regionkey')} FROM {{nation}}"
+    )
+    return tables.spark.sql(sql, **{t: getattr(tables, t) for t in ("lineitem", "orders", "supplier", "nation")})
+
+
+def code_of(node: str) -> int:
+    """The code of a node by its name, like part:10; -1 for names of no kind."""
+    kind, _, key = node.partition(":")
+    names = [name for name, _, _ in KINDS]
+    return int(key) * 8 + names.index(kind) if kind in names and key.isdigit() else -1
+
+
+def name_of(code: Column) -> Column:
+    kinds = F.array(*[F.lit(name) for name, _, _ in KINDS])
+    return F.concat(F.element_at(kinds, (code % 8 + 1).cast("int")), F.lit(":"), F.shiftright(code, 3).cast("string"))
+
+
+def packages_of(tables, ids: tuple[str, ...]) -> DataFrame:
+    """The packages of these ids: each table is asked for its keys, which reach its scan; tables without any are left out."""
+    found = None
+    for name, key, _ in KINDS:
+        keys = [x.partition(":")[2] for x in ids if x.partition(":")[0] == name]
+        keys = [int(x) for x in keys if x.isdigit()]
+        if keys:
+            view = next(part for part in VIEWS["fx_package"].split(" UNION ALL ") if part.endswith(f"FROM {name}"))
+            rows = tables.spark.sql(view.replace(f"FROM {name}", "FROM {t} WHERE " + f"{key} IN ({', '.join(map(str, keys))})"), t=getattr(tables, name))
+            found = rows if found is None else found.unionByName(rows)
+    return tables.fx_package.where("false") if found is None else found
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 

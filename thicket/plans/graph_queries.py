@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..storage import stored
+from . import fixtures
 from .registry import Tables, query
 
 ROOT, DEPTH = "nation:3", 3
@@ -18,14 +19,20 @@ def reached(name: str, root: str = ROOT, depth: int = DEPTH) -> str:
     return f"walk(id, depth) AS (SELECT '{root}', 0 UNION SELECT e.src, w.depth + 1 FROM walk w JOIN fx_depends_on_pkg e ON e.dst = w.id WHERE w.depth < {depth}), {name} AS (SELECT id, min(depth) AS depth FROM walk WHERE id <> '{root}' GROUP BY id)"
 
 
+def reach_of(t: Tables, root: str = ROOT, depth: int = DEPTH) -> DataFrame:
+    """id, depth of the dependents of root, over coded edges."""
+    found = graph.reach(fixtures.coded_edges(t), fixtures.code_of(root), depth)
+    return found.select(fixtures.name_of(F.col("id")).alias("id"), "depth")
+
+
 def live_reach(t: Tables, root: str = ROOT, depth: int = DEPTH) -> DataFrame:
     """Dependents that are not deleted, with their package columns; paths run through deleted packages."""
-    return graph.reach(t.fx_depends_on_pkg, root, depth).join(t.fx_package.where(LIVE), "id")
+    return reach_of(t, root, depth).join(t.fx_package.where(LIVE), "id")
 
 
 @query("package_lookup", f"SELECT id, ecosystem, name FROM fx_package WHERE tenant_id = 'public' AND id = 'part:10' AND {LIVE}")
 def _(t: Tables) -> DataFrame:
-    return t.fx_package.where(f"tenant_id = 'public' AND id = 'part:10' AND {LIVE}").select("id", "ecosystem", "name")
+    return fixtures.packages_of(t, ("part:10",)).where(f"tenant_id = 'public' AND {LIVE}").select("id", "ecosystem", "name")
 
 
 IDS = ("part:1", "part:97", "customer:5", "nation:3", "region:1", "none:0")
@@ -34,12 +41,12 @@ ID_SQL = ", ".join(f"'{x}'" for x in IDS)
 
 @query("packages_batch", f"SELECT id, name FROM fx_package WHERE id IN ({ID_SQL}) AND {LIVE}")
 def _(t: Tables) -> DataFrame:
-    return t.fx_package.where(F.col("id").isin(*IDS)).where(LIVE).select("id", "name")
+    return fixtures.packages_of(t, IDS).where(LIVE).select("id", "name")
 
 
 @query("versions_batch", f"SELECT v.package_id, v.id AS version_id, v.version FROM fx_version v JOIN fx_package p ON v.package_id = p.id WHERE p.id IN ({ID_SQL})")
 def _(t: Tables) -> DataFrame:
-    p = t.fx_package.where(F.col("id").isin(*IDS)).select(F.col("id").alias("package_id"))
+    p = fixtures.packages_of(t, IDS).select(F.col("id").alias("package_id"))
     return t.fx_version.join(p, "package_id").select("package_id", F.col("id").alias("version_id"), "version")
 
 
@@ -53,12 +60,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("package_versions", "SELECT id, version FROM fx_version WHERE package_id = 'customer:5' AND NOT coalesce(yanked, false) ORDER BY published_at DESC, id LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    return t.fx_version.where("package_id = 'customer:5' AND NOT coalesce(yanked, false)").orderBy(F.desc("published_at"), "id").limit(50).select("id", "version")
+    own = fixtures.view(t.with_tables(orders=t.orders.where("o_custkey = 5")), "fx_version")
+    return own.where("NOT coalesce(yanked, false)").orderBy(F.desc("published_at"), "id").limit(50).select("id", "version")
 
 
 @query("version_lookup", "SELECT id, package_id, version, yanked FROM fx_version WHERE id = 'order:42'")
 def _(t: Tables) -> DataFrame:
-    return t.fx_version.where("id = 'order:42'").select("id", "package_id", "version", "yanked")
+    """The key reaches the scan of its table."""
+    one = t.orders.where("o_orderkey = 42")
+    return fixtures.view(t.with_tables(orders=one), "fx_version").select("id", "package_id", "version", "yanked")
 
 
 @query("rdeps_direct", f"SELECT DISTINCT p.id, p.name FROM fx_depends_on_pkg e JOIN fx_package p ON p.id = e.src WHERE e.dst = 'part:10' AND p.{LIVE} ORDER BY p.name, p.id LIMIT 100")
@@ -105,7 +115,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("impact_depth_buckets", f"WITH RECURSIVE {reached('reached')} SELECT r.depth, count(*) AS n FROM reached r GROUP BY r.depth")
 def _(t: Tables) -> DataFrame:
-    return graph.reach(t.fx_depends_on_pkg, ROOT, DEPTH).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return reach_of(t).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("impact_versions", f"WITH RECURSIVE {reached('reached')} SELECT count(DISTINCT r.id) AS packages, count(DISTINCT v.id) AS versions FROM reached r JOIN fx_package p ON p.id = r.id LEFT JOIN fx_version v ON v.package_id = r.id AND NOT v.yanked WHERE p.deleted_at IS NULL")
@@ -142,12 +152,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("version_deps", "SELECT package_id, version_req FROM fx_depends_on WHERE version_id = 'order:42'")
 def _(t: Tables) -> DataFrame:
-    return t.fx_depends_on.where("version_id = 'order:42'").select("package_id", "version_req")
+    own = fixtures.view(t.with_tables(lineitem=t.lineitem.where("l_orderkey = 42")), "fx_depends_on")
+    return own.select("package_id", "version_req")
 
 
 @query("graph_stats", "SELECT (SELECT count(*) FROM fx_package) AS packages, (SELECT count(*) FROM fx_version) AS versions, (SELECT count(*) FROM fx_depends_on) AS depends_on, (SELECT count(*) FROM fx_depends_on_pkg) AS depends_on_pkg")
 def _(t: Tables) -> DataFrame:
-    counts = [d.agg(F.count(F.lit(1)).alias(n)) for n, d in (("packages", t.fx_package), ("versions", t.fx_version), ("depends_on", t.fx_depends_on), ("depends_on_pkg", t.fx_depends_on_pkg))]
+    # Distinct pairs of numbers count as the pairs of names would.
+    needs = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    parts = {"packages": t.fx_package, "versions": t.orders, "depends_on": needs, "depends_on_pkg": fixtures.coded_edges(t).distinct()}
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for n, d in parts.items()]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # four tables of one row
 
 
@@ -169,7 +183,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("introduced_by", "WITH RECURSIVE walk(id, depth) AS (SELECT 'nation:3', 0 UNION SELECT e.src, w.depth + 1 FROM walk w JOIN fx_depends_on_pkg e ON e.dst = w.id WHERE w.depth < 4) SELECT DISTINCT e.dst AS id FROM fx_depends_on_pkg e WHERE e.src = 'customer:5' AND e.dst IN (SELECT id FROM walk)")
 def _(t: Tables) -> DataFrame:
-    reach = graph.reach(t.fx_depends_on_pkg, "nation:3", 4).select("id")
+    reach = reach_of(t, "nation:3", 4).select("id")
     return t.fx_depends_on_pkg.where("src = 'customer:5'").select(F.col("dst").alias("id")).join(reach, "id", "left_semi").distinct()
 
 
@@ -200,14 +214,16 @@ def _(t: Tables) -> DataFrame:
 @query("impact_high_fanin", f"WITH RECURSIVE {reached('reached', depth=2)}, deg AS (SELECT dst AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY dst) SELECT count(*) AS total_impact, count(*) FILTER (deg.n > 20) AS high_impact FROM reached r LEFT JOIN deg ON deg.id = r.id")
 def _(t: Tables) -> DataFrame:
     deg = t.fx_depends_on_pkg.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return graph.reach(t.fx_depends_on_pkg, ROOT, 2).join(deg, "id", "left").agg(F.count(F.lit(1)).alias("total_impact"), F.count_if(F.col("n") > 20).alias("high_impact"))
+    return reach_of(t, depth=2).join(deg, "id", "left").agg(F.count(F.lit(1)).alias("total_impact"), F.count_if(F.col("n") > 20).alias("high_impact"))
 
 
-@query("breaking_propagation", "WITH RECURSIVE walk(origin, id, depth) AS (SELECT src, src, 0 FROM fx_cooc_pkg UNION SELECT w.origin, e.src, w.depth + 1 FROM walk w JOIN fx_cooc_pkg e ON e.dst = w.id WHERE w.depth < 3) SELECT origin AS id, count(DISTINCT id) AS n FROM walk WHERE id <> origin GROUP BY origin")
+@query("breaking_propagation", "WITH RECURSIVE direct AS (SELECT DISTINCT src AS id FROM fx_cooc_pkg WHERE dst = 'part:675'), walk(origin, id, depth) AS (SELECT id, id, 0 FROM direct UNION SELECT w.origin, e.src, w.depth + 1 FROM walk w JOIN fx_cooc_pkg e ON e.dst = w.id WHERE w.depth < 3) SELECT origin AS id, count(DISTINCT id) FILTER (depth > 0 AND id <> origin) AS n FROM walk GROUP BY origin")
 def _(t: Tables) -> DataFrame:
+    """The dependents of each direct dependent of one package."""
     edges = stored(t.fx_cooc_pkg, "edges")
-    roots = edges.select(F.col("src").alias("origin"), F.col("src").alias("id")).distinct()
-    return graph.bfs(edges, roots, 3).groupBy(F.col("origin").alias("id")).agg(F.count_distinct("id").alias("n"))
+    direct = edges.where("dst = 'part:675'").select(F.col("src").alias("id")).distinct()
+    found = graph.bfs(edges, direct.select(F.col("id").alias("origin"), "id"), 3).groupBy("origin").agg(F.count_distinct("id").alias("n"))
+    return direct.join(found, direct["id"] == found["origin"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("rdeps_union", "WITH one AS (SELECT src AS id FROM fx_depends_on_pkg WHERE dst = 'nation:3'), two AS (SELECT e.src AS id FROM fx_depends_on_pkg e JOIN one ON e.dst = one.id) SELECT id, 'DIRECT' AS relationship FROM one UNION SELECT id, 'TRANSITIVE' FROM two")
@@ -270,8 +286,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("check_cycles", "WITH RECURSIVE walk(origin, id, depth) AS (SELECT src, dst, 1 FROM fx_cooc_pkg UNION SELECT w.origin, e.dst, w.depth + 1 FROM walk w JOIN fx_cooc_pkg e ON e.src = w.id WHERE w.depth < 10 AND w.id <> w.origin) SELECT origin AS id, min(depth) AS cycle_length FROM walk WHERE origin = id GROUP BY origin")
 def _(t: Tables) -> DataFrame:
-    """Packages that reach themselves: the shortest walk back is one edge more than the way to a predecessor."""
-    edges = stored(t.fx_cooc_pkg, "edges")
+    """Packages that reach themselves: the shortest walk back is one edge more than the way to a predecessor. Only the core of the graph is searched."""
+    edges = graph.core(t.fx_cooc_pkg)
     roots = edges.select(F.col("src").alias("origin"), F.col("src").alias("id")).distinct()
     ways = graph.bfs(edges, roots, 9, forward=True)
     back = ways.join(edges, (ways["id"] == edges["src"]) & (ways["origin"] == edges["dst"]))

@@ -19,6 +19,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def with_tables(self, **frames: DataFrame) -> Tables:
+        """These tables with some replaced, for views of a part of them."""
+        other = Tables(self.spark, self.sf_dir)
+        for name, frame in frames.items():
+            setattr(other, name, frame)
+        return other
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("fx_"):
             frame = fixtures.view(self, name)

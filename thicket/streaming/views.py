@@ -23,7 +23,7 @@ def file_source(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def ecosystem_stats(events: DataFrame) -> DataFrame:
-    """Exact distinct counts; a stream first drops repeats by stream_dedupe and counts those."""
+    """Distinct packages are exact in a batch; a stream counts them by a sketch of bounded state (relative error about 0.05)."""
     new = events.where("event_type = 'new_version'")
     distinct = F.approx_count_distinct("package_id") if events.isStreaming else F.count_distinct("package_id")
     return new.groupBy("ecosystem").agg(distinct.alias("packages"), F.count(F.lit(1)).alias("versions"), F.max("published_at").alias("last_published"))
@@ -54,15 +54,73 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def upsert_sink(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged last-wins by keys into a new version of the table under path."""
+def split_letters(rows: DataFrame, value: str, schema: str, required: str) -> tuple[DataFrame, DataFrame]:
+    """The decoded rows, and the dead letters: rows as they came whose value lacks the required field or is no JSON, with the reason."""
+    got = decoded(rows, value, schema)
+    good = got.where(F.col(required).isNotNull()).drop(value)
+    reason = F.when(F.get_json_object(value, "$").isNull(), "not json").otherwise(f"no {required}")
+    return good, got.where(F.col(required).isNull()).select(*rows.columns, reason.alias("reason"))
+
+
+def upsert_sink(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merges each micro-batch last-wins by keys into a table of hash buckets under path; read it with upserted.
+
+    Only the buckets that a batch touches are written anew, each as a new file
+    group under its bucket and the batch's number; a batch that runs again after
+    a failure writes the same groups again. A bucket keeps its last two groups.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("_r")).select("_r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v{number}")
+        columns = batch.columns
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        old = live_groups(spark, path, before=number)
+        parts = [old[b] for b in touched if b in old]
+        rows = batch.withColumn("_new", F.lit(1))
+        if parts:
+            rows = spark.read.schema(batch.schema).parquet(*parts).withColumn("_new", F.lit(0)).unionByName(rows)
+        # Equal orders: the newer batch wins.
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(order, "_new")).alias("_r")).select("_r.*")
+        last.withColumns({"bucket": bucket, "batch": F.lit(number)}).write.partitionBy("bucket", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        for b in touched:
+            for group in old_groups(spark, path, b)[:-2]:
+                remove(spark, group)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The folders below path, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in files.listStatus(place) if s.isDirectory()) if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def old_groups(spark: SparkSession, path: str, bucket: int) -> list[str]:
+    """The file groups of a bucket, oldest batch first."""
+    return sorted(_listed(spark, f"{path}/bucket={bucket}"), key=lambda x: int(x.rpartition("=")[2]))
+
+
+def live_groups(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest file group of each bucket, of batches before the given one."""
+    out = {}
+    for folder in _listed(spark, path):
+        bucket = int(folder.rpartition("=")[2])
+        groups = [g for g in old_groups(spark, path, bucket) if before is None or int(g.rpartition("=")[2]) < before]
+        if groups:
+            out[bucket] = groups[-1]
+    return out
+
+
+def upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that upsert_sink keeps under path."""
+    groups = [*live_groups(spark, path).values()]
+    return spark.read.schema(schema).parquet(*groups) if groups else spark.createDataFrame([], schema)
