@@ -51,3 +51,11 @@ def semver_key(version: Column) -> Column:
 def bump(old: Column, new: Column) -> Column:
     a, b = semver(old), semver(new)
     return F.when(a["major"] != b["major"], "major").when(a["minor"] != b["minor"], "minor").when(a["patch"] != b["patch"], "patch").otherwise("none")
+
+
+def package_id(line: Column) -> dict[str, Column]:
+    """ecosystem, name and version of ecosystem/name/version, ecosystem/name or ecosystem:name; null for what is none of them."""
+    parts, pair = F.split(line, "/"), F.split(line, ":", 2)
+    long, short = F.size(parts) >= 2, F.size(pair) == 2
+    pick = lambda k: F.when(long, F.get(parts, F.lit(k))).when(short, F.get(pair, F.lit(k)))
+    return {"ecosystem": pick(0), "name": pick(1), "version": F.when(long, F.get(parts, F.lit(2)))}

@@ -34,6 +34,7 @@ VIEWS = {
     "fx_repo": "SELECT 'part:' || CAST(p_partkey AS STRING) AS id, p_partkey % 11 = 0 AS has_binaries, p_partkey % 4 <> 0 AS is_protected, p_partkey % 2 = 0 OR p_size > 20 AS needs_pull, p_partkey % 3 = 0 AS needs_review, p_partkey % 5 < 3 AS needs_status, p_partkey % 7 = 1 AS binds_admins, p_size % 3 <> 0 AS has_ci, CASE p_size % 6 WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN 'passing' WHEN 3 THEN 'in_progress' END AS badge, p_partkey % 5 <> 2 AS is_reviewed, p_size % 5 AS organisations, p_partkey % 13 = 0 AS has_danger, p_partkey % 8 = 0 AS has_updater, p_partkey % 9 = 0 AS has_other_updater, p_size % 10 = 0 AS has_fuzzing, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS licence, CASE WHEN p_partkey % 10 <> 9 THEN p_partkey % 500 END AS idle_days, p_size % 2 = 0 AS is_published, CAST(p_partkey % 12 AS DOUBLE) / 10 AS pinned_ratio, p_size % 7 < 2 AS has_sast, p_partkey % 3 <> 1 AS has_policy, CAST(p_size % 11 AS DOUBLE) / 10 AS signed_ratio, p_partkey % 4 <= 1 AS least_tokens, p_size % 13 AS vulnerabilities FROM part",
     "fx_context": "SELECT 'part:' || CAST(p_partkey AS STRING) AS id, p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'MIT' WHEN 1 THEN 'apache-2.0' WHEN 2 THEN 'GPL-3.0' WHEN 3 THEN 'LGPL-2.1' WHEN 4 THEN 'Proprietary' WHEN 5 THEN 'ISC' WHEN 6 THEN 'BSD-3-Clause' WHEN 7 THEN 'AGPL-3.0' END AS licence, p_partkey % 9 <> 4 AS osi_approved, p_partkey % 4 AS assessments, p_partkey % 2 = 0 AS has_sbom, p_partkey % 3 = 0 AS has_provenance, CASE WHEN p_partkey % 17 <> 0 THEN p_partkey * 13 % 1500 END AS age_days, CASE WHEN p_partkey % 19 <> 0 THEN p_size % 15 END AS depth FROM part",
     "fx_osv": """SELECT event_id AS id, '{"id":"OSV-' || CAST(event_id AS STRING) || '",' || CASE event_type WHEN 'error' THEN '"affected":[{},{"ecosystem_specific":{"severity":"HIGH"}},{"ecosystem_specific":{"severity":"LOW"}}],' WHEN 'signup' THEN '"affected":[{"ecosystem_specific":{}}],' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '"database_specific":{"severity":"Moderate"},' ELSE '' END || CASE WHEN event_id % 4 = 1 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '","CVE-' || CAST(event_id AS STRING) || '"],' WHEN event_id % 4 = 2 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '"],' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN '"severity":[]}' ELSE '"severity":[{"type":"CVSS_V3","score":"CVSS:3.1/AV:N"},{"type":"OTHER","score":"9.9"},{"type":"CVSS_V2","score":"' || CAST(event_id % 11 AS STRING) || '.' || CAST(user_id % 10 AS STRING) || '"},{"type":"CVSS_V2","score":"1.0"}]}' END AS doc FROM events""",
+    "fx_registry": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END AS registry, CASE p_partkey % 3 WHEN 0 THEN '{' || CASE WHEN p_size % 5 <> 0 THEN '"dist-tags":{"latest":"1.' || CAST(p_size AS STRING) || '.0"},' ELSE '' END || '"versions":{"0.9.0":{"license":"ISC"},"1.' || CAST(p_size AS STRING) || '.0":{' || CASE p_size % 3 WHEN 0 THEN '"license":"MIT"' WHEN 1 THEN '"license":{"type":"Apache-2.0","url":"x"},"repository":{"type":"git","url":"git+https://git.test/r' || CAST(p_size AS STRING) || '.git"}' ELSE '"repository":"https://git.test/s.git"' END || '}},"license":{"type":"BSD-3-Clause"},"repository":"git+https://git.test/top"}' WHEN 1 THEN '{"info":{"license":"' || CASE p_size % 3 WHEN 0 THEN 'MIT License' WHEN 1 THEN ' ' ELSE '' END || '","classifiers":["Topic :: X"' || CASE WHEN p_size % 2 = 0 THEN ',"License :: OSI Approved","License :: Other"' ELSE '' END || '],' || CASE WHEN p_size % 4 = 0 THEN '"project_urls":{"Source":"https://git.test/' || p_brand || '"},' ELSE '' END || '"home_page":"' || CASE WHEN p_size % 4 = 1 THEN 'https://home.test' ELSE '' END || '","version":"3.' || CAST(p_size AS STRING) || '"}}' ELSE '{"crate":{"license":' || CASE WHEN p_size % 2 = 0 THEN '"MIT OR Apache-2.0"' ELSE 'null' END || ',"max_version":"' || CAST(p_size AS STRING) || '.0.1"}}' END AS doc FROM part""",
     "fx_state_old": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, o_orderstatus = 'P' AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority) AS cksum FROM orders WHERE o_orderkey % 10 < 8",
     "fx_state_new": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus <> 'P' ELSE o_orderstatus = 'P' END AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END) AS cksum FROM orders WHERE o_orderkey % 10 >= 2",
     "fx_provenance": "SELECT 'order:' || CAST(o_orderkey AS STRING) AS package_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://git.test/' || o_orderpriority END AS source_repo, CASE o_orderkey % 4"

@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Readers of what package registries publish."""
