@@ -633,6 +633,200 @@ def test_urls_odd(spark):
     assert urls.judge(frame.where("false")).count() == 0
 
 
+def highest(votes, n, most):
+    """Sainte-Lague by the plain rule: one seat after the other to the highest quotient; votes: (votes, order, name)."""
+    won = {name: 0 for _, _, name in votes}
+    for _ in range(n):
+        open_ = [(v / (2 * won[name] + 1), -k, name) for v, k, name in votes if won[name] < most[name]]
+        if not open_:
+            break
+        won[max(open_)[2]] += 1
+    return won
+
+
+def mixed_by_hand(rows, cap=3, seed=17, shard_docs=20):
+    """taken of each row of (id, source, words), by plain loops over seats, shards and streams of words."""
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in sources}
+    total, weight = sum(size.values()), {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    full, target = set(), {}
+    while True:
+        level = (total - sum(cap * size[s] for s in full)) / max(1, sum(weight[s] for s in sources if s not in full))
+        new = {s for s in sources if s not in full and weight[s] * level > cap * size[s]}
+        if not new:
+            break
+        full |= new
+    target = {s: cap * size[s] if s in full else weight[s] * level for s in sources}
+    block = min(4096, max(1, total // (1 << 20)))
+    blocks = highest([(target[s], k, s) for k, s in enumerate(sources)], int(total // block), {s: cap * size[s] // block for s in sources})
+    md5 = lambda x: int(hashlib.md5(f"{seed}:{x}".encode()).hexdigest()[:8], 16)
+    key = lambda i: hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+    out = {}
+    for s in sources:
+        own = [(i, n) for i, t, n in rows if t == s]
+        count = (len(own) - 1) // shard_docs + 1
+        shards = {}
+        for i, n in own:
+            shards.setdefault(md5("" if i is None else i) % count, []).append((i, n))
+        sizes = {h: sum(n for _, n in x) for h, x in shards.items()}
+        quota = highest([(sizes[h], h, h) for h in sorted(shards)], blocks[s], {h: cap * sizes[h] // block + 1 for h in shards})
+        for h, members in shards.items():
+            words = min(quota[h] * block, cap * sizes[h])
+            stream = [i for i, n in sorted(members, key=lambda x: (key(x[0]), x[0] or 0, x[1])) for _ in range(n)]
+            start = md5(f"{s or ''}:{h}") % max(1, sizes[h] // block) * block
+            for k in range(words):
+                i = stream[(start + k) % len(stream)]
+                out[i] = out.get(i, 0) + 1
+    return out
+
+
+def test_mixing_equals_brute_force(docs, texts):
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in docs.collect()]
+    # Few words a document keep the seats few.
+    small = docs.selectExpr("doc_id", "source", "substring(text, 1, 1 + cast(doc_id % 90 as int)) text")
+    want = mixed_by_hand([(r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in small.collect()])
+    got = {r["doc_id"]: r["taken"] for r in mixing.plan_mix(small, shard_docs=20).collect()}
+    assert {k: v for k, v in got.items() if v} == want and len(got) == len(rows)
+
+
+def test_lm_score_equals_brute_force(docs, texts):
+    """The whole model in dictionaries: leave-one-out log-ratios by class of context, their bins, and every document's probability."""
+    from collections import Counter
+
+    words = {k: [*t.encode().lower().split(), None] for k, t in texts.items()}
+    train = [k for k in words if zlib.crc32(str(k).encode()) % 7 != 2]
+    uni = Counter(w for k in train for w in words[k])
+    pairs = Counter(p for k in train for p in zip(["<s>", *words[k]], words[k]))
+    context = Counter({"<s>": len(train)}) + Counter({w: n for w, n in uni.items() if w is not None})
+    n, v = sum(uni.values()), len(uni)
+    uniform = 1 / (v + 1)
+    klass = lambda c: 0 if c <= 0 else min(lm.CLASSES - 1, 1 + int(np.floor(np.log2(c))))
+    place = lambda x: -lm.NONE if x <= 0 else int(np.clip(np.round(np.log(x) / lm.STEP), -lm.NONE + 1, lm.NONE - 1))
+    cells = Counter()
+    for (a, b), c in pairs.items():
+        left = context[a] - 1
+        u = (uni[b] - 1) / max(n - 1, 1) / uniform
+        cells[klass(left), place(u), place((c - 1) / left / uniform) if left > 0 else -lm.NONE] += c
+    weights = lm.fit([(*k, float(c)) for k, c in cells.items()])
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, chunk=5000).collect()}
+    for k, line in words.items():
+        total = 0.0
+        for a, b in zip(["<s>", *line], line):
+            w = weights[klass(context[a])]
+            total += np.log10(w[0] * uniform + w[1] * uni[b] / n + w[2] * pairs[a, b] / max(context[a], 1))
+        assert got[k] == pytest.approx(total, rel=1e-9), k
+
+
+def test_lm_many_buckets(docs):
+    """Requests to very many buckets, each of a few keys, give the same scores."""
+    few = {r["doc_id"]: r["score"] for r in lm.score(docs, chunk=20000).collect()}
+    old, lm.BUCKET_KEYS = lm.BUCKET_KEYS, 300
+    try:
+        many = {r["doc_id"]: r["score"] for r in lm.score(docs, chunk=20000).collect()}
+    finally:
+        lm.BUCKET_KEYS = old
+    assert many == pytest.approx(few)
+
+
+def test_media_equals_brute_force(docs, texts):
+    got = {r["doc_id"]: r for r in media.media_columns(docs).collect()}
+    for k, t in texts.items():
+        raw = t.encode()
+        pad = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        wav = media.to_wav(pad)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest()) and r["error"] is None
+        mean = sum(pad) / len(pad)
+        rms = (sum((x - 128) ** 2 for x in pad) / len(pad)) ** 0.5
+        flips = sum((x >= 128) != (y >= 128) for x, y in zip(pad, pad[1:]))
+        levels = ",".join(str(sum(x // 16 == j for x in pad) * 1000 // len(pad)) for j in range(16))
+        assert r["feature"] == f"mean={mean:.3f};rms={rms:.3f};crossings={flips};levels={levels}"
+
+
+def test_media_ids_of_text(spark):
+    """Ids of any type come back as they were, and ranges over several archives read each member once."""
+    rows = [("a/b ü", "x"), (None, "y"), ("", None), ("a/b ü", "x")]
+    frame = spark.createDataFrame(rows, "key string, body string").repartition(3)
+    got = sorted(((r["key"], r["n_bytes"]) for r in media.media_columns(frame, "key", "body", range_bytes=1 << 20).collect()), key=str)
+    assert got == sorted([("a/b ü", 1), (None, 1), ("", 0), ("a/b ü", 1)], key=str)
+    assert media.media_columns(frame.where("false"), "key", "body").count() == 0
+
+
+def test_classifier_equals_brute_force(spark, docs, texts):
+    """Statistics by hand, and the compiled rules against the rules themselves."""
+    from collections import Counter
+
+    got = {r["doc_id"]: r for r in classifier.with_statistics(docs).collect()}
+    for k, t in list(texts.items())[:60]:
+        raw = t.encode()
+        w = raw.split()
+        if not w:
+            assert all(got[k][n] == 0 for n in classifier.STATISTICS)
+            continue
+        chars = sum(map(len, w))
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        letters = [c for c in raw if 65 <= c <= 90 or 97 <= c <= 122]
+        marks = [c for c in raw if not (65 <= c <= 90 or 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c in b" \t\n\r\x0b\x0c")]
+        counts = Counter(w)
+        windows = Counter(zip(w, w[1:], w[2:]))
+        inside = {i + j for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for j in range(3)}
+        want = {
+            "n_words": len(w), "word_chars_mean": chars / len(w), "upper_share": sum(65 <= c <= 90 for c in letters) / max(1, len(letters)), "digit_share": sum(48 <= c <= 57 for c in raw) / chars,
+            "mark_share": len(marks) / chars, "symbol_share": sum(c in b"#*$%&<>" for c in raw) / chars, "bar_share": raw.count(b"|") / len(w), "bang_share": raw.count(b"!") / len(w),
+            "distinct_share": len(counts) / len(w), "top_share": max(counts.values()) / len(w), "same_next_share": sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w) - 1), "repeat_share": len(inside) / len(w),
+            "dup_line_share": sum(x in lines[:j] for j, x in enumerate(lines)) / len(lines), "words_per_line": len(w) / len(lines), "short_line_share": sum(len(x) < 30 for x in lines) / len(lines),
+        }
+        assert {n: got[k][n] for n in classifier.STATISTICS} == pytest.approx(want), k
+    grid = np.array([[r[n] for n in classifier.STATISTICS] for r in got.values()])
+    y = (grid[:, 0] > np.median(grid[:, 0])).astype(float)
+    b, rules = classifier.fit(grid, y)
+    assert rules
+    score = b + sum(w * np.array([all((x[k] > t) if above else (x[k] <= t) for k, above, t in rule.parts) for x in grid]) for rule, w in rules)
+    frame = classifier.with_statistics(docs).select("doc_id", classifier.score_column(b, rules).alias("s"))
+    assert {r["doc_id"]: r["s"] for r in frame.collect()} == pytest.approx({k: 1 / (1 + np.exp(-z)) for k, z in zip(got, score, strict=True)})
+
+
+def test_classifier_odd_ids(spark, odd):
+    """Null and repeated ids with labels: each row has a score, and labels of one id may differ."""
+    labels = spark.createDataFrame([(3, 1), (3, 1), (3, 0), (None, 1), (5, 0), (99, 1), (6, None)], "doc_id long, quality int")
+    rows = classifier.classify(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_pipeline_equals_brute_force(spark, docs, texts):
+    """Verdicts of the stages, then copies by comparing all fingerprints, then the library's tokens of the mixed rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    left = [r["doc_id"] for r in quality_rules.judge(docs).collect() if r["kept"]]
+    now = docs.where(F.col("doc_id").isin(left))
+    left = sorted(r["doc_id"] for r in classifier.classify(now, labels).collect() if r["predicted"] == 1)
+    prints, root = {k: fp(texts[k]) for k in left}, {k: k for k in left}
+    changed = True
+    while changed:
+        changed = False
+        for a in left:
+            for b in left:
+                if (prints[a] ^ prints[b]).bit_count() <= 3 and root[b] < root[a]:
+                    root[a], changed = root[b], True
+    now = docs.where(F.col("doc_id").isin([k for k in left if root[k] == k]))
+    e = bpe.Encoder(bpe.public_tokenizers.path(bpe.VOCABULARY))
+    want = []
+    for r in mixing.apply_mix(now).collect():
+        ids = e.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(e.tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in pipeline.run(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and got
+
+
+def test_operators_of_empty_tables(spark, docs):
+    none = docs.where("false")
+    for got in (bpe.encode_digests(none), media.media_columns(none), lm.score(none), simhash.near_duplicates(none), mixing.plan_mix(none), quality_rules.judge(none)):
+        assert got.count() == 0
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert set(pipeline.run(spark, SF).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

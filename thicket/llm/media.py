@@ -156,7 +156,9 @@ class MediaReader(DataSourceReader):
                     pieces, held = [], 0
         return [*found, ByteRange(*pieces)] if pieces else found
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no archives, so no ranges
+            return
         files, _ = fs.FileSystem.from_uri(self.root)
         for path, start, end in part.pieces:
             with files.open_input_file(path) as f:
