@@ -44,6 +44,25 @@ def provenance(rows: DataFrame, package: str, repository: str, payload: str) ->
     )
 
 
+def verified(rows: DataFrame, package: str, payload: str, trusted: tuple[str, ...] = (), required: int = 2) -> DataFrame:
+    """The six checks of each statement, the build level they bear out (2, or 0 where any fails) and whether that is enough; trusted: builders, any if empty."""
+    d = parsed(rows, payload, STATEMENT)
+    builder = F.coalesce("_d.predicate.builder.id", F.lit(BUILDER))
+    subjects = F.coalesce("_d.subject", F.array().cast("array<struct<name string, digest struct<sha256 string>>>"))
+    tests = {
+        "statement": F.coalesce("_d._type", "_d.statementType", F.lit(STATEMENT_TYPE)) == STATEMENT_TYPE,
+        "predicate": F.coalesce("_d.predicateType", F.lit(PREDICATE_TYPE)) == PREDICATE_TYPE,
+        "subjects": F.size(subjects) > 0,
+        "digests": F.forall(subjects, lambda s: F.coalesce(s["digest"]["sha256"].isNotNull(), F.lit(False))),
+        "builder": builder.isin(*trusted) if trusted else F.lit(True),
+        "timestamps": F.col("_d.predicate.metadata.buildStartedOn").isNotNull(),
+    }
+    rows = d.select(package, *[t.alias(n) for n, t in tests.items()])
+    passed = sum((F.col(n).cast("int") for n in tests), F.lit(0))
+    level = F.when(passed == len(tests), 2).otherwise(0)
+    return rows.withColumns({"passed": passed.cast("long"), "level": level, "valid": (passed == len(tests)) & (level >= required)})
+
+
 def scorecard(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """One row a check: its name, rounded score, category and risk; a check of unknown name is of the holistic kind."""
     each = parsed(rows, payload, SCORECARD).select(key, F.explode("_d.checks").alias("c"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,36 @@ def spdx_ids(line: Column | str) -> Column:
     return F.array_distinct(F.filter(names, lambda x: ~x.isin("AND", "OR", "WITH")))
 
 
+@dataclass(frozen=True)
+class Policy:
+    name: str
+    denied: tuple[str, ...] = ()
+    denied_categories: tuple[str, ...] = ()
+    copyleft: bool = True
+    network: bool = False
+    osi: bool = False
+    unknown: bool = False
+
+
+#: The licences that the enterprise policy denies by name.
+DENIED = ("AGPL-3.0-only", "AGPL-3.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "SSPL-1.0", "Commons-Clause")
+POLICIES = (Policy("default"), Policy("permissive-only", copyleft=False), Policy("enterprise", denied=DENIED, osi=True))
+
+
+def violations(policy: Policy) -> Column:
+    """The violations of one licence id, over the columns of the reference table (null where it is not listed): a denied one has no others."""
+    known = F.col("category").isNotNull()
+    rules = F.array(
+        F.when(known & F.col("category").isin(*policy.denied_categories), "denied_category") if policy.denied_categories else F.lit(None).cast("string"),
+        F.when(known & F.col("copyleft").isin("strong", "weak"), "copyleft_not_allowed") if not policy.copyleft else F.lit(None).cast("string"),
+        F.when(known & (F.col("copyleft") == "network"), "network_copyleft_not_allowed") if not policy.network else F.lit(None).cast("string"),
+        F.when(known & ~F.col("osi"), "not_osi_approved") if policy.osi else F.lit(None).cast("string"),
+        F.when(~known, "unknown_license") if not policy.unknown else F.lit(None).cast("string"),
+    )
+    found = F.filter(rules, lambda x: x.isNotNull())
+    return F.when(F.col("licence").isin(*policy.denied), F.array(F.lit("denied_license"))).otherwise(found) if policy.denied else found
+
+
 def spdx_satisfied(allowed: tuple[str, ...]):
     known = frozenset(allowed)
 

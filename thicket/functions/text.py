@@ -59,3 +59,20 @@ def package_id(line: Column) -> dict[str, Column]:
     long, short = F.size(parts) >= 2, F.size(pair) == 2
     pick = lambda k: F.when(long, F.get(parts, F.lit(k))).when(short, F.get(pair, F.lit(k)))
     return {"ecosystem": pick(0), "name": pick(1), "version": F.when(long, F.get(parts, F.lit(2)))}
+
+
+def normal_signature(raw: Column) -> Column:
+    """A signature with one blank for each run of white space, none inside brackets or before a comma."""
+    s = F.trim(F.regexp_replace(raw, r"[ \t\n\r\f\x0b]+", " "))
+    for pattern, by in ((r"\( ", "("), (r" \)", ")"), (r" ,", ",")):
+        s = F.regexp_replace(s, pattern, by)
+    return s
+
+
+#: Languages by the extension of a file.
+EXTENSIONS = {"rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "java": "java"}
+
+
+def language(path: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    return names[F.regexp_extract(path, r"\.([a-z]+)$", 1)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions import licences, text, vectors
+from ..functions import changes, documents, licences, text, vectors
 from .registry import Tables, query
 
 
@@ -85,23 +85,16 @@ def _(t: Tables) -> DataFrame:
     return best.agg(F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("best").isNull(), 0).otherwise(1)), 6).alias("recall"))
 
 
-# Licences: every part has an expression by its key.
+# Licences: every part has an expression of one or two licences.
 
-EXPRESSIONS = ("MIT", "GPL-3.0-only", "MIT OR GPL-3.0-only", "(MIT OR Apache-2.0) AND BSD-3-Clause", "AGPL-3.0-only", "GPL-2.0-only WITH Classpath-exception-2.0", "LGPL-3.0-only AND MIT", "Unknown-1.0")
-IDS = (("MIT",), ("GPL-3.0-only",), ("MIT", "GPL-3.0-only"), ("MIT", "Apache-2.0", "BSD-3-Clause"), ("AGPL-3.0-only",), ("GPL-2.0-only",), ("LGPL-3.0-only", "MIT"), ("Unknown-1.0",))
 PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC")
-OK = (True, False, True, True, False, False, False, False)
-ID_ROWS = "(SELECT p_partkey AS id, unnest(CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN [{', '.join(repr(x) for x in ids)}]" for k, ids in enumerate(IDS)) + " END) AS licence FROM part)"
+ID_ROWS = "(SELECT DISTINCT id, unnest(CASE WHEN expression IS NULL THEN [] WHEN id % 4 = 0 THEN [l1] ELSE [l1, l2] END) AS licence FROM fx_licence)"
 LICENCE_ROWS = "(VALUES " + ", ".join(f"({a!r}, {str(b).lower()}, {d!r}, {e!r})" for a, b, _, d, e in licences.LICENCES) + ") l(licence, osi, copyleft, category)"
-
-
-def expressions(t: Tables) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in EXPRESSIONS])
-    return t.part.select(F.col("p_partkey").alias("id"), F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int")).alias("expression"))
+LISTED = "(" + ", ".join(repr(x) for x in PERMISSIVE) + ")"
 
 
 def licence_ids(t: Tables) -> DataFrame:
-    return expressions(t).select("id", F.explode(licences.spdx_ids("expression")).alias("licence"))
+    return t.fx_licence.select("id", F.explode(licences.spdx_ids("expression")).alias("licence"))
 
 
 @query("spdx_parse", f"SELECT id, licence FROM {ID_ROWS}")
@@ -109,28 +102,35 @@ def _(t: Tables) -> DataFrame:
     return licence_ids(t)
 
 
-@query("spdx_satisfied", "SELECT p_partkey AS id, p_partkey % 8 IN (0, 2, 3) AS satisfied FROM part")
+@query("spdx_satisfied", f"SELECT id, CASE WHEN expression IS NULL THEN false WHEN id % 4 = 0 THEN l1 IN {LISTED} WHEN id % 4 = 2 THEN l1 IN {LISTED} AND l2 IN {LISTED} ELSE l1 IN {LISTED} OR l2 IN {LISTED} END AS satisfied FROM fx_licence")
 def _(t: Tables) -> DataFrame:
-    return expressions(t).select("id", licences.spdx_satisfied(PERMISSIVE)("expression").alias("satisfied"))
+    return t.fx_licence.select("id", licences.spdx_satisfied(PERMISSIVE)("expression").alias("satisfied"))
+
 
+DENIED = "(" + ", ".join(repr(x) for x in licences.DENIED) + ")"
 
-@query("license_policy", f"SELECT r.id, count(*) FILTER (l.licence IS NULL OR l.copyleft IN ('strong', 'network')) AS violations, count(*) FILTER (l.copyleft = 'weak') AS warnings FROM {ID_ROWS} r LEFT JOIN {LICENCE_ROWS} ON l.licence = r.licence GROUP BY r.id")
+
+@query("license_policy", f"WITH r AS (SELECT r.id, r.licence, l.osi, l.copyleft, l.category FROM {ID_ROWS} r LEFT JOIN {LICENCE_ROWS} ON l.licence = r.licence) SELECT id, policy, licence, violation FROM (SELECT id, licence, 'default' AS policy, CASE WHEN category IS NULL THEN ['unknown_license'] WHEN copyleft = 'network' THEN ['network_copyleft_not_allowed'] ELSE [] END AS v FROM r UNION ALL SELECT id, licence, 'permissive-only', CASE WHEN category IS NULL THEN ['unknown_license'] WHEN copyleft = 'network' THEN ['network_copyleft_not_allowed'] WHEN copyleft <> 'none' THEN ['copyleft_not_allowed'] ELSE [] END FROM r UNION ALL SELECT id, licence, 'enterprise', CASE WHEN licence IN {DENIED} THEN ['denied_license'] WHEN category IS NULL THEN ['unknown_license'] ELSE list_concat(CASE WHEN copyleft = 'network' THEN ['network_copyleft_not_allowed'] ELSE [] END, CASE WHEN NOT osi THEN ['not_osi_approved'] ELSE [] END) END FROM r) x, unnest(v) u(violation)")
 def _(t: Tables) -> DataFrame:
-    known = F.broadcast(licences.table(t.spark))  # 16 rows
-    rows = licence_ids(t).join(known, "licence", "left")
-    return rows.groupBy("id").agg(F.count_if(F.col("copyleft").isNull() | F.col("copyleft").isin("strong", "network")).alias("violations"), F.count_if(F.col("copyleft") == "weak").alias("warnings"))
+    """The violations of three policies, each licence met with the reference table once."""
+    rows = licence_ids(t).join(F.broadcast(licences.table(t.spark)), "licence", "left")  # 16 rows
+    found = F.array(*[F.struct(F.lit(p.name).alias("policy"), licences.violations(p).alias("v")) for p in licences.POLICIES])
+    return rows.select("id", "licence", F.explode(found).alias("p")).select("id", "licence", "p.policy", F.explode("p.v").alias("violation"))
 
 
-@query("license_validate_simple", "SELECT p_partkey AS id, CASE WHEN p_partkey % 8 = 4 THEN 'network' WHEN p_partkey % 8 IN (1, 2, 6) THEN 'gpl3' WHEN p_partkey % 8 = 5 THEN 'gpl' ELSE 'ok' END AS verdict FROM part")
+@query("license_validate_simple", "SELECT id, CASE WHEN expression LIKE '%AGPL%' THEN 'network' WHEN expression LIKE '%GPL-3%' THEN 'gpl3' WHEN expression LIKE '%GPL%' THEN 'gpl' ELSE 'ok' END AS verdict FROM fx_licence")
 def _(t: Tables) -> DataFrame:
     e = F.col("expression")
-    return expressions(t).select("id", F.when(e.contains("AGPL"), "network").when(e.contains("GPL-3"), "gpl3").when(e.contains("GPL"), "gpl").otherwise("ok").alias("verdict"))
+    return t.fx_licence.select("id", F.when(e.contains("AGPL"), "network").when(e.contains("GPL-3"), "gpl3").when(e.contains("GPL"), "gpl").otherwise("ok").alias("verdict"))
 
 
-@query("license_scan", f"SELECT coalesce(l.category, 'unknown') AS category, count(*) AS n, count(DISTINCT r.licence) AS licences FROM {ID_ROWS} r LEFT JOIN {LICENCE_ROWS} ON l.licence = r.licence GROUP BY 1")
+@query("license_scan", "WITH d AS (SELECT d.version_id, l.expression FROM fx_depends_on d JOIN fx_licence l ON d.package_id = 'part:' || l.id) SELECT version_id AS id, count(*) AS total, count(*) FILTER (contains(expression, 'GPL')) AS copyleft, count(*) FILTER (NOT contains(expression, 'GPL')) AS permissive, count(*) FILTER (expression IS NULL) AS unknown, coalesce(string_agg(DISTINCT expression, ';' ORDER BY expression), '') AS licences, count(*) FILTER (contains(expression, 'AGPL')) AS violations FROM d GROUP BY version_id")
 def _(t: Tables) -> DataFrame:
-    rows = licence_ids(t).join(F.broadcast(licences.table(t.spark)), "licence", "left")
-    return rows.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(rows_n(), F.count_distinct("licence").alias("licences"))
+    """The licences of each version's dependencies: counts, the distinct ones in order, and what an enterprise policy forbids."""
+    own = t.fx_licence.select(F.concat(F.lit("part:"), F.col("id").cast("string")).alias("package_id"), "expression")
+    e = F.col("expression")
+    by = t.fx_depends_on.join(own, "package_id").groupBy(F.col("version_id").alias("id"))
+    return by.agg(F.count(F.lit(1)).alias("total"), F.count_if(e.contains("GPL")).alias("copyleft"), F.count_if(~e.contains("GPL")).alias("permissive"), F.count_if(e.isNull()).alias("unknown"), F.array_join(F.array_sort(F.collect_set(e)), ";").alias("licences"), F.count_if(e.contains("AGPL")).alias("violations"))
 
 
 # Vulnerabilities, risk and policy.
@@ -221,19 +221,58 @@ def vex(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT * FROM {VEX.replace('VARCHAR', 'STRING').replace('FROM events', 'FROM {events}')}", events=t.events)
 
 
-@query("vex_statistics", f"SELECT status, count(*) AS n FROM {VEX} GROUP BY status")
-def _(t: Tables) -> DataFrame:
-    return vex(t).groupBy("status").agg(rows_n())
+JUSTIFIED = "CASE WHEN status = 'not_affected' THEN CASE id % 3 WHEN 0 THEN 'component_not_present' WHEN 1 THEN 'vulnerable_code_not_present' ELSE 'vulnerable_code_not_in_execute_path' END END"
 
 
-@query("vex_lookup", f"SELECT vuln, product, max_by(status, (ts, id)) AS status FROM {VEX} GROUP BY vuln, product")
+@query("vex_statistics", f"SELECT status, {JUSTIFIED} AS justification, count(*) AS n FROM {VEX} GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("component_not_present", "vulnerable_code_not_present", "vulnerable_code_not_in_execute_path")])
+    why = F.when(F.col("status") == "not_affected", F.element_at(names, (F.col("id") % 3 + 1).cast("int")))
+    return vex(t).groupBy("status", why.alias("justification")).agg(rows_n())
+
+
+LAST_VEX = f"(SELECT vuln, product, max_by(status, (ts, id)) AS status FROM {VEX} GROUP BY vuln, product)"
+
+
+def last_vex(t: Tables) -> DataFrame:
     return vex(t).groupBy("vuln", "product").agg(F.max_by("status", F.struct("ts", "id")).alias("status"))
 
 
-@query("vex_exploitability", f"SELECT vuln, bool_or(status = 'affected' AND lower(product) = 'user:7') AS exploitable FROM {VEX} GROUP BY vuln")
+@query("vex_lookup", f"SELECT vuln, product, status, 'VEX-' || vuln || '-' || product AS statement_id, CASE status WHEN 'not_affected' THEN 'not_exploitable' WHEN 'affected' THEN 'exploitable' WHEN 'fixed' THEN 'fixed' ELSE 'unknown' END AS exploitability FROM {LAST_VEX}")
 def _(t: Tables) -> DataFrame:
-    return vex(t).groupBy("vuln").agg(F.bool_or((F.col("status") == "affected") & (F.lower("product") == "user:7")).alias("exploitable"))
+    s = F.col("status")
+    verdict = F.when(s == "not_affected", "not_exploitable").when(s == "affected", "exploitable").when(s == "fixed", "fixed").otherwise("unknown")
+    return last_vex(t).select("vuln", "product", "status", F.concat_ws("-", F.lit("VEX"), "vuln", "product").alias("statement_id"), verdict.alias("exploitability"))
+
+
+@query("vex_coverage", f"SELECT vuln, count(*) AS n, CAST(floor(100.0 * count(*) FILTER (status IN ('not_affected', 'fixed')) / count(*) + 0.5) AS BIGINT) AS coverage FROM {LAST_VEX} GROUP BY vuln")
+def _(t: Tables) -> DataFrame:
+    n = F.count(F.lit(1))
+    return last_vex(t).groupBy("vuln").agg(n.alias("n"), F.floor(100.0 * F.count_if(F.col("status").isin("not_affected", "fixed")) / n + 0.5).cast("long").alias("coverage"))
+
+
+@query("vex_exploitability", "SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'under_investigation' WHEN event_id % 2 = 0 AND (event_id % 7 = 0 OR event_id % 3 = 0 OR event_id % 4 IN (1, 2) OR event_id % 4 = event_id % 5) THEN 'affected' ELSE 'not_affected' END AS status FROM events")
+def _(t: Tables) -> DataFrame:
+    """Whether an advisory hits a product: some affected entry has its ecosystem and name in any case, and its version or no list of versions; a product without a version is hit by the name."""
+    k = F.col("event_id")
+    version = F.when(k % 7 != 0, (k % 4).cast("string"))
+    versions = F.when(k % 3 != 0, F.array(F.lit("1"), F.lit("2"), (k % 5).cast("string")))
+    entry = F.struct(F.upper("event_type").alias("ecosystem"), F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("name"), versions.alias("versions"))
+    other = F.struct(F.lit("npm").alias("ecosystem"), F.lit("other").alias("name"), F.lit(None).cast("array<string>").alias("versions"))
+    rows = t.events.select(k.alias("id"), F.col("event_type").alias("ecosystem"), F.concat(F.lit("user"), (F.col("user_id") + k % 2).cast("string")).alias("name"), version.alias("version"), F.when(k % 11 != 0, F.array(other, entry)).alias("affected"))
+
+    def hit(a: Column) -> Column:
+        same = (F.lower(a["ecosystem"]) == F.lower("ecosystem")) & (F.lower(a["name"]) == F.lower("name"))
+        return same & (F.col("version").isNull() | a["versions"].isNull() | F.coalesce(F.array_contains(a["versions"], F.col("version")), F.lit(False)))
+
+    status = F.when(F.col("affected").isNull(), "under_investigation").when(F.exists("affected", hit), "affected").otherwise("not_affected")
+    return rows.select("id", status.alias("status"))
+
+
+@query("slsa_verify", "WITH d AS (SELECT package_id, payload AS p, json_extract(payload, '$.subject[*]') AS s FROM fx_provenance WHERE json_valid(payload)), c AS (SELECT package_id, coalesce(json_extract_string(p, '$._type'), json_extract_string(p, '$.statementType'), 'https://in-toto.io/Statement/v1') = 'https://in-toto.io/Statement/v1' AS a, coalesce(json_extract_string(p, '$.predicateType'), 'https://slsa.dev/provenance/v1') = 'https://slsa.dev/provenance/v1' AS b, len(s) > 0 AS c, len(list_filter(s, lambda x: json_extract_string(x, '$.digest.sha256') IS NULL)) = 0 AS d, coalesce(json_extract_string(p, '$.predicate.builder.id'), 'unknown') = 'https://ci.test/runner' AS e, json_extract_string(p, '$.predicate.metadata.buildStartedOn') IS NOT NULL AS f FROM d) SELECT package_id AS id, CAST(a AS BIGINT) + CAST(b AS BIGINT) + CAST(c AS BIGINT) + CAST(d AS BIGINT) + CAST(e AS BIGINT) + CAST(f AS BIGINT) AS passed, CASE WHEN a AND b AND c AND d AND e AND f THEN 2 ELSE 0 END AS level, a AND b AND c AND d AND e AND f AS valid FROM c")
+def _(t: Tables) -> DataFrame:
+    found = documents.verified(t.fx_provenance, "package_id", "payload", trusted=("https://ci.test/runner",))
+    return found.select(F.col("package_id").alias("id"), "passed", "level", "valid")
 
 
 # Bills of materials.
@@ -408,21 +447,21 @@ def _(t: Tables) -> DataFrame:
     return param_changes(t).select("severity").unionByName(return_changes(t).select("severity")).unionByName(gone).groupBy("severity").agg(rows_n())
 
 
-@query("normalize_signature", "SELECT p_partkey AS id, 'fn test(a: ' || p_brand || ', b: String)' AS signature FROM part")
+RAW_SIGNATURE = "'fn  t(  ' || substr(text, 1, 30) || '  ,  b:' || chr(9) || substr(text, 40, 20) || '  )  '"
+
+
+@query("normalize_signature", f"SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({RAW_SIGNATURE}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '[(] ', '(', 'g'), ' [)]', ')', 'g'), ' ,', ',', 'g') AS signature FROM documents")
 def _(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("fn  test(  a:   "), F.col("p_brand"), F.lit("  ,  b: String  )"))
-    s = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    for pattern, by in ((r"\(\s+", "("), (r"\s+\)", ")"), (r"\s+,", ",")):
-        s = F.regexp_replace(s, pattern, by)
-    return t.part.select(F.col("p_partkey").alias("id"), s.alias("signature"))
+    """White space runs are one blank, none inside brackets or before commas; passages of the texts are the parameters."""
+    raw = F.concat(F.lit("fn  t(  "), F.substr("text", F.lit(1), F.lit(30)), F.lit("  ,  b:\t"), F.substr("text", F.lit(40), F.lit(20)), F.lit("  )  "))
+    return t.documents.select(F.col("doc_id").alias("id"), text.normal_signature(raw).alias("signature"))
 
 
-@query("lang_by_ext", "SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 1 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'python' WHEN 4 THEN 'go' ELSE NULL END AS language FROM documents")
+@query("lang_by_ext", "SELECT doc_id AS id, CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' END AS language FROM (SELECT doc_id, 'src/' || source || CASE n_chars % 11 WHEN 0 THEN '.rs' WHEN 1 THEN '.d.ts' WHEN 2 THEN '.py.txt' WHEN 3 THEN '.jsx' WHEN 4 THEN '.tsx' WHEN 5 THEN '.py' WHEN 6 THEN '.go' WHEN 7 THEN '/java' WHEN 8 THEN '.java' WHEN 9 THEN '.js' ELSE '' END AS path FROM documents)")
 def _(t: Tables) -> DataFrame:
-    exts = F.array(*[F.lit(f"src/a.{x}") for x in ("rs", "js", "ts", "py", "go", "txt")])
-    names = F.create_map(*[F.lit(x) for x in ("rs", "rust", "js", "javascript", "jsx", "javascript", "ts", "typescript", "tsx", "typescript", "py", "python", "go", "go", "java", "java")])
-    rows = t.documents.select(F.col("doc_id").alias("id"), F.element_at(exts, (F.col("doc_id") % 6 + 1).cast("int")).alias("path"))
-    return rows.select("id", names[F.regexp_extract("path", r"\.([a-z]+)$", 1)].alias("language"))
+    ends = F.array(*[F.lit(x) for x in (".rs", ".d.ts", ".py.txt", ".jsx", ".tsx", ".py", ".go", "/java", ".java", ".js", "")])
+    path = F.concat(F.lit("src/"), "source", F.element_at(ends, (F.col("n_chars") % 11 + 1).cast("int")))
+    return t.documents.select(F.col("doc_id").alias("id"), text.language(path).alias("language"))
 
 
 @query("dependency_diff", "WITH o AS (SELECT l_partkey AS name, min(l_suppkey % 4) AS major FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), n AS (SELECT l_partkey AS name, min(l_suppkey % 4) AS major FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'major' END AS change FROM o FULL JOIN n ON o.name = n.name WHERE o.name IS NULL OR n.name IS NULL OR o.major <> n.major")
@@ -439,10 +478,10 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select(k.alias("id"), text.bump(F.lit("v0.0.0+b1"), F.concat_ws(".", (k % 5).cast("string"), (k % 13).cast("string"), (k % 7).cast("string"))).alias("bump"))
 
 
-@query("is_prerelease", "SELECT o_orderkey AS id, o_orderkey % 3 IN (0, 1) AS pre FROM orders")
+@query("is_prerelease", "SELECT version AS id, regexp_matches(lower(new_number || '.0' || new_tag || CASE n_lines % 5 WHEN 0 THEN 'Alpha' WHEN 1 THEN '+SNAPSHOT' ELSE '' END), 'alpha|beta|rc|pre|dev|snapshot|-') AS pre FROM fx_changelog")
 def _(t: Tables) -> DataFrame:
-    names = F.array(F.lit("1.0.0-x"), F.lit("2.0.0rc1"), F.lit("1.2.3"))
-    return t.orders.select(F.col("o_orderkey").alias("id"), F.element_at(names, (F.col("o_orderkey") % 3 + 1).cast("int")).rlike("(?i)alpha|beta|rc|pre|dev|-").alias("pre"))
+    version = F.concat(F.col("new_number").cast("string"), F.lit(".0"), "new_tag", F.when(F.col("n_lines") % 5 == 0, "Alpha").when(F.col("n_lines") % 5 == 1, "+SNAPSHOT").otherwise(""))
+    return t.fx_changelog.select(F.col("version").alias("id"), changes.has_any(F.lower(version), changes.PRE).alias("pre"))
 
 
 @query("previous_version", "SELECT id, lag(version) OVER (PARTITION BY package_id ORDER BY published_at, id) AS previous FROM fx_version")

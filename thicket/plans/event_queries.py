@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import cdc, timeseries
 from ..streaming import views
+from . import fixtures
 from .registry import Tables, query
 
 
@@ -382,10 +383,10 @@ def _(t: Tables) -> DataFrame:
     return t.fx_audit_log.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(rows_n())
 
 
-@query("audit_category", "SELECT action, CASE action WHEN 'SECURITY_SCAN' THEN 'security' WHEN 'POLICY_EVALUATION' THEN 'policy' WHEN 'COMPLIANCE_CHECK' THEN 'compliance' ELSE 'access' END AS category, count(*) AS n FROM fx_audit_log GROUP BY 1, 2")
+@query("audit_category", "SELECT kind, CASE " + " ".join(f"WHEN kind IN ({', '.join(repr(n) for n in names.split())}) THEN '{category}'" for category, names in fixtures.AUDIT_TYPES.items()) + " ELSE 'system' END AS category, count(*) AS n FROM fx_audit_type GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for x in ("SECURITY_SCAN", "security", "POLICY_EVALUATION", "policy", "COMPLIANCE_CHECK", "compliance")])
-    return t.fx_audit_log.groupBy("action").agg(rows_n()).select("action", F.coalesce(names[F.col("action")], F.lit("access")).alias("category"), "n")
+    names = F.create_map(*[F.lit(x) for pair in fixtures.AUDIT_CATEGORY.items() for x in pair])
+    return t.fx_audit_type.groupBy("kind").agg(rows_n()).select("kind", F.coalesce(names[F.col("kind")], F.lit("system")).alias("category"), "n")
 
 
 @query("audit_by_category", f"SELECT {CATEGORY} AS category, {SEVERITY} AS severity, count(*) AS n FROM fx_audit_log GROUP BY 1, 2")

@@ -11,6 +11,27 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LICENCE_NAMES = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "AGPL-3.0-only", "SSPL-1.0", "BSL-1.0", "Unknown-1.0")
+
+
+def chosen(index: str, names: tuple[str, ...]) -> str:
+    """SQL: the name at an index."""
+    return f"CASE {index} " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END"
+
+
+#: Kinds of audit events by category.
+AUDIT_TYPES = {
+    "security": "vulnerability_detected vulnerability_resolved vex_assessment_created vex_assessment_updated security_scan_initiated security_scan_completed",
+    "access": "package_accessed sbom_generated sbom_exported report_generated",
+    "data_change": "package_created package_updated package_deleted dependency_added dependency_removed",
+    "configuration": "policy_created policy_updated policy_deleted policy_activated policy_deactivated setting_changed",
+    "policy": "policy_evaluated policy_violation policy_exception",
+    "authentication": "user_login user_logout user_login_failed token_issued token_revoked api_key_created api_key_revoked",
+    "authorization": "permission_granted permission_revoked access_denied",
+    "system": "system_startup system_shutdown service_health_check backup_created backup_restored",
+    "compliance": "compliance_check_run compliance_violation compliance_report_generated license_scan_completed scorecard_assessment provenance_verified",
+}
+AUDIT_CATEGORY = {name: category for category, names in AUDIT_TYPES.items() for name in names.split()}
 KINDS = (("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
 VIEWS = {
     "fx_package": " UNION ALL ".join(
@@ -35,10 +56,12 @@ VIEWS = {
     "fx_context": "SELECT 'part:' || CAST(p_partkey AS STRING) AS id, p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'MIT' WHEN 1 THEN 'apache-2.0' WHEN 2 THEN 'GPL-3.0' WHEN 3 THEN 'LGPL-2.1' WHEN 4 THEN 'Proprietary' WHEN 5 THEN 'ISC' WHEN 6 THEN 'BSD-3-Clause' WHEN 7 THEN 'AGPL-3.0' END AS licence, p_partkey % 9 <> 4 AS osi_approved, p_partkey % 4 AS assessments, p_partkey % 2 = 0 AS has_sbom, p_partkey % 3 = 0 AS has_provenance, CASE WHEN p_partkey % 17 <> 0 THEN p_partkey * 13 % 1500 END AS age_days, CASE WHEN p_partkey % 19 <> 0 THEN p_size % 15 END AS depth FROM part",
     "fx_osv": """SELECT event_id AS id, '{"id":"OSV-' || CAST(event_id AS STRING) || '",' || CASE event_type WHEN 'error' THEN '"affected":[{},{"ecosystem_specific":{"severity":"HIGH"}},{"ecosystem_specific":{"severity":"LOW"}}],' WHEN 'signup' THEN '"affected":[{"ecosystem_specific":{}}],' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '"database_specific":{"severity":"Moderate"},' ELSE '' END || CASE WHEN event_id % 4 = 1 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '","CVE-' || CAST(event_id AS STRING) || '"],' WHEN event_id % 4 = 2 THEN '"aliases":["GHSA-' || CAST(user_id AS STRING) || '"],' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN '"severity":[]}' ELSE '"severity":[{"type":"CVSS_V3","score":"CVSS:3.1/AV:N"},{"type":"OTHER","score":"9.9"},{"type":"CVSS_V2","score":"' || CAST(event_id % 11 AS STRING) || '.' || CAST(user_id % 10 AS STRING) || '"},{"type":"CVSS_V2","score":"1.0"}]}' END AS doc FROM events""",
     "fx_registry": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END AS registry, CASE p_partkey % 3 WHEN 0 THEN '{' || CASE WHEN p_size % 5 <> 0 THEN '"dist-tags":{"latest":"1.' || CAST(p_size AS STRING) || '.0"},' ELSE '' END || '"versions":{"0.9.0":{"license":"ISC"},"1.' || CAST(p_size AS STRING) || '.0":{' || CASE p_size % 3 WHEN 0 THEN '"license":"MIT"' WHEN 1 THEN '"license":{"type":"Apache-2.0","url":"x"},"repository":{"type":"git","url":"git+https://git.test/r' || CAST(p_size AS STRING) || '.git"}' ELSE '"repository":"https://git.test/s.git"' END || '}},"license":{"type":"BSD-3-Clause"},"repository":"git+https://git.test/top"}' WHEN 1 THEN '{"info":{"license":"' || CASE p_size % 3 WHEN 0 THEN 'MIT License' WHEN 1 THEN ' ' ELSE '' END || '","classifiers":["Topic :: X"' || CASE WHEN p_size % 2 = 0 THEN ',"License :: OSI Approved","License :: Other"' ELSE '' END || '],' || CASE WHEN p_size % 4 = 0 THEN '"project_urls":{"Source":"https://git.test/' || p_brand || '"},' ELSE '' END || '"home_page":"' || CASE WHEN p_size % 4 = 1 THEN 'https://home.test' ELSE '' END || '","version":"3.' || CAST(p_size AS STRING) || '"}}' ELSE '{"crate":{"license":' || CASE WHEN p_size % 2 = 0 THEN '"MIT OR Apache-2.0"' ELSE 'null' END || ',"max_version":"' || CAST(p_size AS STRING) || '.0.1"}}' END AS doc FROM part""",
+    "fx_licence": f"SELECT k AS id, l1, l2, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 4 = 0 THEN l1 WHEN k % 4 = 1 THEN l1 || ' OR ' || l2 WHEN k % 4 = 2 THEN '(' || l1 || ' AND ' || l2 || ')' ELSE l1 || ' WITH Classpath-exception-2.0 OR ' || l2 END AS expression FROM (SELECT p_partkey AS k, {chosen('p_partkey % 17', LICENCE_NAMES)} AS l1, {chosen('p_size % 17', LICENCE_NAMES)} AS l2 FROM part) x",
+    "fx_audit_type": f"SELECT event_id AS id, {chosen('event_id % 48', (*AUDIT_CATEGORY, 'custom_export'))} AS kind FROM events",
     "fx_state_old": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, o_orderstatus = 'P' AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority) AS cksum FROM orders WHERE o_orderkey % 10 < 8",
     "fx_state_new": "SELECT 'customer:' || CAST(o_custkey AS STRING) AS package, CAST(o_orderkey AS STRING) AS version, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus <> 'P' ELSE o_orderstatus = 'P' END AS yanked, md5(CAST(o_orderkey AS STRING) || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END) AS cksum FROM orders WHERE o_orderkey % 10 >= 2",
     "fx_provenance": "SELECT 'order:' || CAST(o_orderkey AS STRING) AS package_id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://git.test/' || o_orderpriority END AS source_repo, CASE o_orderkey % 4"
-    """ WHEN 0 THEN '{"_type":"https://in-toto.io/Statement/v0.1","predicateType":"https://slsa.dev/provenance/v0.2","subject":[{"name":"pkg","digest":{"sha256":"' || md5(CAST(o_orderkey AS STRING)) || '"}},{"digest":{}},{"name":"src"}],"predicate":{"builder":{"id":"https://ci.test/runner","version":"2"},"buildType":"release.yml","invocation":{"configSource":{"uri":"git+https://git.test/' || CAST(o_custkey AS STRING) || '","ref":"refs/tags/v1"}},"metadata":{"buildInvocationId":"run-' || CAST(o_orderkey AS STRING) || '","buildStartedOn":"2024-01-01T00:00:00Z","buildFinishedOn":"2024-01-01T00:05:00Z"}}}'"""
+    """ WHEN 0 THEN '{"_type":"https://in-toto.io/Statement/' || CASE WHEN o_orderkey % 3 = 0 THEN 'v0.1' ELSE 'v1' END || '","predicateType":"https://slsa.dev/provenance/' || CASE WHEN o_orderkey % 5 = 0 THEN 'v0.2' ELSE 'v1' END || '","subject":[{"name":"pkg","digest":{"sha256":"' || md5(CAST(o_orderkey AS STRING)) || '"}}' || CASE WHEN o_orderkey % 7 = 0 THEN ',{"digest":{}},{"name":"src"}' ELSE '' END || '],"predicate":{"builder":{"id":"https://ci.test/runner","version":"2"},"buildType":"release.yml","invocation":{"configSource":{"uri":"git+https://git.test/' || CAST(o_custkey AS STRING) || '","ref":"refs/tags/v1"}},"metadata":{"buildInvocationId":"run-' || CAST(o_orderkey AS STRING) || '","buildStartedOn":"2024-01-01T00:00:00Z","buildFinishedOn":"2024-01-01T00:05:00Z"}}}'"""
     """ WHEN 1 THEN '{"statementType":"custom","subject":[],"predicate":{"builder":{}}}' WHEN 2 THEN '{"subject":[{"name":"only"}],"predicate":null}' ELSE 'no json' END AS payload FROM orders""",
     "fx_scorecard_doc": """SELECT 'part:' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 10 = 9 THEN '{"checks":' ELSE '{"score":' || CAST(p_size % 10 AS STRING) || '.5,"checks":[{"name":"Vulnerabilities","score":' || CAST(p_size % 11 AS STRING) || ',"reason":"' || p_brand || '"},{"name":"Code-Review","score":' || CAST(p_size % 9 AS STRING) || '.5},{"name":"Fuzzing"},{"score":9,"reason":"odd"}]}' END AS payload FROM part""",
     "fx_vuln": "SELECT 'VULN-' || CAST(event_id AS STRING) AS id, 'part:' || CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING) AS package_id, value / 10 AS cvss, CASE WHEN value >= 90 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity, event_id % 3 = 0 AS exploit, (event_id % 100) / 100.0 AS epss FROM events WHERE event_type = 'error'",
