@@ -19,15 +19,17 @@ def npm_dependencies(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def parse_pep508(rows: DataFrame, line: str) -> DataFrame:
-    """Adds name, version_req, marker (null if none) and has_extra of requirement lines."""
+    """Adds name, version_req (@ and the address for direct references; brackets around it go), marker (null if none), has_extra and is_optional (the marker asks for an extra)."""
     c = F.col(line)
     head = F.trim(F.split_part(c, F.lit(";"), F.lit(1)))
     marker = F.trim(F.split_part(c, F.lit(";"), F.lit(2)))
+    need = F.trim(F.regexp_replace(head, r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?", ""))
     return rows.withColumns({
         "name": F.regexp_extract(head, r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1),
-        "version_req": F.trim(F.regexp_replace(head, r"^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?", "")),
+        "version_req": F.regexp_replace(need, r"^\((.*)\)$", "$1"),
         "marker": F.when(marker != "", marker),
-        "has_extra": head.contains("["),
+        "has_extra": F.regexp_replace(head, "@.*$", "").contains("["),
+        "is_optional": marker.rlike(r"\bextra\s*=="),
     })
 
 

@@ -36,9 +36,10 @@ def _(t: Tables) -> DataFrame:
     return scored(t, t.fx_vector.where("ecosystem = '1'")).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
 
 
-@query("semantic_search", f"SELECT v.package_id, max(round({COSINE}, 6)) AS score FROM fx_vector v, {PROBE} q GROUP BY v.package_id ORDER BY score DESC, v.package_id LIMIT 5")
+@query("semantic_search", f"SELECT v.package_id, max(round({COSINE}, 6)) AS score FROM fx_vector v, {PROBE} q WHERE v.ecosystem <> '2' GROUP BY v.package_id ORDER BY score DESC, v.package_id LIMIT 3 OFFSET 1")
 def _(t: Tables) -> DataFrame:
-    return scored(t).groupBy("package_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "package_id").limit(5)
+    """A page of packages by their best symbol, in some ecosystems."""
+    return scored(t, t.fx_vector.where("ecosystem <> '2'")).groupBy("package_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "package_id").offset(1).limit(3)
 
 
 @query("cosine_pairs", f"SELECT v.vec_id AS a, q.vec_id AS b, round({COSINE}, 6) AS score FROM fx_vector v JOIN fx_vector q ON q.vec_id = v.vec_id + 1")
@@ -47,9 +48,10 @@ def _(t: Tables) -> DataFrame:
     return t.fx_vector.join(nxt, F.col("vec_id") == F.col("a")).select("a", "b", F.round(vectors.cosine(F.col("vector"), F.col("w")), 6).alias("score"))
 
 
-@query("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))))), 6) AS total FROM fx_vector")
+@query("l2_normalize", "SELECT vec_id, i - 1 AS position, round(CAST(vector[i] AS DOUBLE) / sqrt(list_dot_product(CAST(vector AS DOUBLE[]), CAST(vector AS DOUBLE[]))), 6) AS x FROM fx_vector, range(1, 65) r(i)")
 def _(t: Tables) -> DataFrame:
-    return t.fx_vector.select("vec_id", F.round(F.aggregate(vectors.normalized(F.col("vector")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    each = t.fx_vector.select("vec_id", F.posexplode(vectors.normalized(F.col("vector"))).alias("position", "v"))
+    return each.select("vec_id", F.col("position").cast("long").alias("position"), F.round("v", 6).alias("x"))
 
 
 @query("pool_embeddings", "SELECT package_id, i - 1 AS position, round(avg(CAST(vector[i] AS DOUBLE)), 6) AS mean, round(max(CAST(vector[i] AS DOUBLE)), 6) AS top FROM fx_vector, range(1, 65) r(i) GROUP BY package_id, i")
@@ -191,9 +193,9 @@ def _(t: Tables) -> DataFrame:
     return d.select("id", F.coalesce(F.get(cve, F.lit(0)), F.get("d.aliases", F.lit(0)), "d.id").alias("primary_id"))
 
 
-@query("vuln_list", "SELECT id, cvss FROM fx_vuln WHERE severity IN ('CRITICAL', 'HIGH') AND exploit ORDER BY cvss DESC, id LIMIT 50 OFFSET 5")
+@query("vuln_list", "SELECT id, cvss FROM fx_vuln WHERE severity IN ('CRITICAL', 'HIGH') AND exploit AND 10 * cvss + 5 * epss >= 72 ORDER BY cvss DESC, id LIMIT 50 OFFSET 5")
 def _(t: Tables) -> DataFrame:
-    return t.fx_vuln.where(F.col("severity").isin("CRITICAL", "HIGH") & F.col("exploit")).orderBy(F.desc("cvss"), "id").offset(5).limit(50).select("id", "cvss")
+    return t.fx_vuln.where(F.col("severity").isin("CRITICAL", "HIGH") & F.col("exploit") & (10 * F.col("cvss") + 5 * F.col("epss") >= 72)).orderBy(F.desc("cvss"), "id").offset(5).limit(50).select("id", "cvss")
 
 
 @query("parse_package_id", "SELECT id, split_part(id, ':', 1) AS ecosystem, split_part(id, ':', 2) AS name FROM fx_package")

@@ -70,10 +70,13 @@ def _(t: Tables) -> DataFrame:
     return text.npm_dependencies(packument, "l_orderkey", "dependencies").withColumnRenamed("l_orderkey", "id")
 
 
-@query("parse_pep508", "SELECT p_partkey AS id, 'pkg' || CAST(p_partkey AS VARCHAR) AS name, '>=' || CAST(p_size AS VARCHAR) AS version_req, CASE WHEN p_partkey % 2 = 0 THEN 'python_version < ''3''' END AS marker, p_partkey % 3 = 0 AS has_extra FROM part")
+@query("parse_pep508", "SELECT p_partkey AS id, 'pkg' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '@ https://x.test/' || p_size ELSE '>=' || p_size || ',<99' END AS version_req, CASE WHEN p_partkey % 4 = 1 THEN 'python_version < ' || chr(39) || '3' || chr(39) WHEN p_partkey % 4 = 2 THEN 'extra == ' || chr(39) || 'dev' || chr(39) END AS marker, p_partkey % 3 = 0 AS has_extra, p_partkey % 4 = 2 AS is_optional FROM part")
 def _(t: Tables) -> DataFrame:
-    line = F.concat(F.lit("pkg"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "[tls]").otherwise(""), F.lit(" >="), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "; python_version < '3'").otherwise(""))
-    return text.parse_pep508(t.part.select(F.col("p_partkey").alias("id"), line.alias("line")), "line").select("id", "name", "version_req", "marker", "has_extra")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    need = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(" @ https://x.test/"), size, F.lit(" "))).when(k % 5 == 2, F.concat(F.lit(" (>="), size, F.lit(",<99)"))).otherwise(F.concat(F.lit(">="), size, F.lit(",<99")))
+    mark = F.when(k % 4 == 1, "; python_version < '3'").when(k % 4 == 2, " ; extra == 'dev'").otherwise("")
+    line = F.concat(F.lit("pkg"), k.cast("string"), F.when(k % 3 == 0, "[tls,x]").otherwise(""), need, mark)
+    return text.parse_pep508(t.part.select(k.alias("id"), line.alias("line")), "line").select("id", "name", "version_req", "marker", "has_extra", "is_optional")
 
 
 FILE_BYTES, FILES, SOURCE_BYTES = 1_000_000, 1_000, 200_000_000
@@ -106,10 +109,12 @@ def _(t: Tables) -> DataFrame:
     return after.orderBy("published_at", "event_id").limit(1000).select("event_id", "package_id")
 
 
-@query("snapshot_retention", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY package_id ORDER BY published_at DESC, event_id DESC) AS n FROM fx_package_event) WHERE n <= 20")
+@query("snapshot_retention", "SELECT event_id FROM (SELECT event_id, row_number() OVER w AS n, sum(event_id % 1000) OVER w AS total FROM fx_package_event WINDOW w AS (PARTITION BY package_id ORDER BY published_at DESC, event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE n <= 20 AND total <= 8000")
 def _(t: Tables) -> DataFrame:
-    w = Window.partitionBy("package_id").orderBy(F.desc("published_at"), F.desc("event_id"))
-    return t.fx_package_event.withColumn("n", F.row_number().over(w)).where("n <= 20").select("event_id")
+    """The newest twenty snapshots of each package, as far as their sizes fit the budget."""
+    w = Window.partitionBy("package_id").orderBy(F.desc("published_at"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.fx_package_event.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.sum(F.col("event_id") % 1000).over(w).alias("total"))
+    return rows.where("n <= 20 AND total <= 8000").select("event_id")
 
 
 # Snapshot diffs.
@@ -230,9 +235,16 @@ def _(t: Tables) -> DataFrame:
     return cdc.latest(t.events, ["user_id"], F.asc("event_id")).select("user_id", "event_id")
 
 
-@query("outbox_claim", f"SELECT event_id FROM {OUTBOX} WHERE status = 'pending' ORDER BY created_at, event_id LIMIT 100")
+DUE = "created_at + to_days(CAST(event_id % 5 AS INT))"
+
+
+@query("outbox_claim", f"SELECT event_id, 'publishing' AS status, attempts + 1 AS attempts FROM {OUTBOX} WHERE status = 'pending' AND {DUE} <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY ORDER BY created_at, event_id LIMIT 100")
 def _(t: Tables) -> DataFrame:
-    return outbox(t).where("status = 'pending'").orderBy("created_at", "event_id").limit(100).select("event_id")
+    """The oldest hundred that are due; each is marked and counted."""
+    as_of = F.broadcast(t.events.agg(F.max("ts").alias("as_of")))  # one row
+    due = F.col("created_at") + F.make_dt_interval((F.col("event_id") % 5).cast("int")) <= F.col("as_of") - F.expr("INTERVAL 2 DAYS")
+    page = outbox(t).where("status = 'pending'").crossJoin(as_of).where(due).orderBy("created_at", "event_id").limit(100)
+    return page.select("event_id", F.lit("publishing").alias("status"), (F.col("attempts") + 1).alias("attempts"))
 
 
 @query("outbox_backoff", f"SELECT event_id, CASE WHEN attempts >= 10 THEN 0 WHEN attempts <= 1 THEN 1 WHEN attempts = 2 THEN 2 WHEN attempts = 3 THEN 5 WHEN attempts = 4 THEN 10 WHEN attempts = 5 THEN 30 ELSE 60 END AS retry_minutes, CASE WHEN attempts >= 10 THEN 'deadletter' ELSE 'pending' END AS next_status FROM {OUTBOX} WHERE status = 'publishing'")
@@ -242,10 +254,12 @@ def _(t: Tables) -> DataFrame:
     return outbox(t).where("status = 'publishing'").select("event_id", wait.alias("retry_minutes"), F.when(a >= 10, "deadletter").otherwise("pending").alias("next_status"))
 
 
-@query("outbox_stuck", f"SELECT event_id FROM {OUTBOX} WHERE status = 'publishing' AND created_at < (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+@query("outbox_stuck", f"SELECT event_id, CASE WHEN status = 'publishing' AND created_at < (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN 'pending' ELSE status END AS status FROM {OUTBOX}")
 def _(t: Tables) -> DataFrame:
+    """Rows that have been publishing for over seven days are released."""
     last = F.broadcast(t.events.agg(F.max("ts").alias("as_of")))  # one row
-    return outbox(t).join(last, F.col("created_at") < F.col("as_of") - F.expr("INTERVAL 7 DAYS")).where("status = 'publishing'").select("event_id")
+    stuck = (F.col("status") == "publishing") & (F.col("created_at") < F.col("as_of") - F.expr("INTERVAL 7 DAYS"))
+    return outbox(t).crossJoin(last).select("event_id", F.when(stuck, "pending").otherwise(F.col("status")).alias("status"))
 
 
 @query("outbox_stats", f"SELECT status, count(*) AS n, min(created_at) AS oldest, max(created_at) AS newest, round(avg(attempts), 6) AS avg_attempts, max(attempts) AS max_attempts FROM {OUTBOX} GROUP BY status")
@@ -351,9 +365,15 @@ def severity(status: Column) -> Column:
     return F.when(status >= 500, "error").when(status >= 400, "warning").when(status.isNotNull(), "info").otherwise("notice")
 
 
-@query("audit_events", "SELECT id, action, user_id FROM fx_audit_log WHERE tenant_id = 'tenant1' AND action = 'SECURITY_SCAN' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
+SELECTED = "tenant_id = 'tenant1' AND action = 'SECURITY_SCAN' AND created_at >= TIMESTAMP '2020-01-01'"
+
+
+@query("audit_events", f"SELECT id, action, user_id, (SELECT count(*) FROM fx_audit_log WHERE {SELECTED}) AS total FROM fx_audit_log WHERE {SELECTED} ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
 def _(t: Tables) -> DataFrame:
-    return t.fx_audit_log.where("tenant_id = 'tenant1' AND action = 'SECURITY_SCAN'").orderBy(F.desc("created_at"), "id").offset(20).limit(20).select("id", "action", "user_id")
+    """A page of events with the number of all that fit."""
+    hits = t.fx_audit_log.where(SELECTED)
+    page = hits.orderBy(F.desc("created_at"), "id").offset(20).limit(20)
+    return page.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total")))).select("id", "action", "user_id", "total")  # one row
 
 
 @query("audit_classified", f"SELECT id, {CATEGORY} AS category, {SEVERITY} AS severity, CASE WHEN status_code IS NULL THEN 'unknown' WHEN status_code BETWEEN 200 AND 299 THEN 'success' ELSE 'failure' END AS outcome, CASE WHEN user_id IS NULL THEN 'system' ELSE 'user' END AS actor_type FROM fx_audit_log")
@@ -364,10 +384,12 @@ def _(t: Tables) -> DataFrame:
     return t.fx_audit_log.select("id", category(F.col("action")).alias("category"), severity(s).alias("severity"), outcome.alias("outcome"), actor.alias("actor_type"))
 
 
-@query("compliance_report", "SELECT count(*) AS total, coalesce(sum(CASE WHEN action ILIKE '%security%' THEN 1 ELSE 0 END), 0)::BIGINT AS security, coalesce(sum(CASE WHEN action ILIKE '%policy%' THEN 1 ELSE 0 END), 0)::BIGINT AS policy, coalesce(sum(CASE WHEN action ILIKE '%compliance%' THEN 1 ELSE 0 END), 0)::BIGINT AS compliance, coalesce(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END), 0)::BIGINT AS violations FROM fx_audit_log")
+@query("compliance_report", "SELECT count(*) AS total, coalesce(sum(CASE WHEN action ILIKE '%security%' THEN 1 ELSE 0 END), 0)::BIGINT AS security, coalesce(sum(CASE WHEN action ILIKE '%policy%' THEN 1 ELSE 0 END), 0)::BIGINT AS policy, coalesce(sum(CASE WHEN action ILIKE '%compliance%' THEN 1 ELSE 0 END), 0)::BIGINT AS compliance, coalesce(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END), 0)::BIGINT AS violations FROM fx_audit_log WHERE tenant_id = 'tenant1' AND created_at BETWEEN (SELECT max(created_at) FROM fx_audit_log) - INTERVAL 30 DAY AND (SELECT max(created_at) FROM fx_audit_log)")
 def _(t: Tables) -> DataFrame:
     a = F.col("action")
-    return t.fx_audit_log.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(a.ilike(f"%{x}%")).alias(x) for x in ("security", "policy", "compliance")], F.count_if(F.col("status_code") >= 400).alias("violations"))
+    as_of = F.broadcast(t.fx_audit_log.agg(F.max("created_at").alias("as_of")))  # one row
+    rows = t.fx_audit_log.where("tenant_id = 'tenant1'").join(as_of, F.col("created_at").between(F.col("as_of") - F.expr("INTERVAL 30 DAYS"), F.col("as_of")))
+    return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(a.ilike(f"%{x}%")).alias(x) for x in ("security", "policy", "compliance")], F.count_if(F.col("status_code") >= 400).alias("violations"))
 
 
 @query("audit_retention", "SELECT l.id FROM fx_audit_log l LEFT JOIN (SELECT 'tenant1' AS tenant_id, 10 AS days UNION ALL SELECT 'tenant2', 20) s ON s.tenant_id = l.tenant_id WHERE l.created_at < (SELECT max(created_at) FROM fx_audit_log) - to_days(CAST(coalesce(s.days, 90) AS INT))")

@@ -211,10 +211,10 @@ def _(t: Tables) -> DataFrame:
     return t.fx_package.where("ecosystem = 'customer'").select("id").join(last, "id", "left")
 
 
-@query("impact_high_fanin", f"WITH RECURSIVE {reached('reached', depth=2)}, deg AS (SELECT dst AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY dst) SELECT count(*) AS total_impact, count(*) FILTER (deg.n > 20) AS high_impact FROM reached r LEFT JOIN deg ON deg.id = r.id")
+@query("impact_high_fanin", f"WITH RECURSIVE {reached('reached', depth=2)}, deg AS (SELECT dst AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY dst) SELECT count(*) AS total_impact, count(*) FILTER (deg.n > 100) AS high_impact FROM reached r LEFT JOIN deg ON deg.id = r.id")
 def _(t: Tables) -> DataFrame:
     deg = t.fx_depends_on_pkg.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return reach_of(t, depth=2).join(deg, "id", "left").agg(F.count(F.lit(1)).alias("total_impact"), F.count_if(F.col("n") > 20).alias("high_impact"))
+    return reach_of(t, depth=2).join(deg, "id", "left").agg(F.count(F.lit(1)).alias("total_impact"), F.count_if(F.col("n") > 100).alias("high_impact"))
 
 
 @query("breaking_propagation", "WITH RECURSIVE direct AS (SELECT DISTINCT src AS id FROM fx_cooc_pkg WHERE dst = 'part:675'), walk(origin, id, depth) AS (SELECT id, id, 0 FROM direct UNION SELECT w.origin, e.src, w.depth + 1 FROM walk w JOIN fx_cooc_pkg e ON e.dst = w.id WHERE w.depth < 3) SELECT origin AS id, count(DISTINCT id) FILTER (depth > 0 AND id <> origin) AS n FROM walk GROUP BY origin")
