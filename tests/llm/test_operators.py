@@ -627,7 +627,7 @@ def test_urls_of_many_words(spark):
 
 def test_urls_odd(spark):
     """Empty tables, repeated rows, nulls and a very long url."""
-    frame = spark.createDataFrame([(None, None), (1, "http://" + "a" * 20000 + ".example/" + "b" * 50000), (2, "http://x.example"), (2, "http://x.example"), (3, "http:///p"), (4, "://h?x")], "page_id long, url string")
+    frame = spark.createDataFrame([(None, None), (1, "http://" + "a" * 4000 + ".example/" + "b" * 9000), (2, "http://x.example"), (2, "http://x.example"), (3, "http:///p"), (4, "://h?x")], "page_id long, url string")
     got = sorted(((r["page_id"], r["host"][:9], r["path"][:3], r["verdict"]) for r in urls.judge(frame, rules=()).collect()), key=str)
     assert got == sorted([(None, "", "", "allow"), (1, "a" * 9, "/bb", "allow"), (2, "x.example", "", "allow"), (2, "x.example", "", "allow"), (3, "", "/p", "allow"), (4, "h", "", "allow")], key=str)
     assert urls.judge(frame.where("false")).count() == 0
