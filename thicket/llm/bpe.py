@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import once, slices, stored
+from .common import once, slices, stored, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 1 << 13
@@ -215,7 +215,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = text_batches(docs).select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     out = "k {}, n_tokens long, ids_sha256 string, decoded_sha256 string{}".format(kind, ", ids array<int>" if keep_ids else "")
     names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_crc, set_aside, slices, stored
+from .common import fold_crc, set_aside, slices, stored, text_batches
 from .quality_rules import Words, repeated_lines, repeated_words
 
 #: Labelled rows that a fit uses at most.
@@ -69,7 +69,7 @@ def statistics(text: str, number: Words) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep and STATISTICS of each row."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = text_batches(docs).select(*keep, F.col(text_col).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, for Python functions over whole texts: from here on its session sends them at most ``rows`` rows in a batch, as the 10,000 that are usual can be gigabytes of text."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+    return df
+
+
 def set_aside(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with all columns but those of own under names that no operator uses, and what gives a result its names back."""
     names = [c if c in own else f"__aside_{k}" for k, c in enumerate(df.columns)]

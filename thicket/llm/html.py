@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 from .urls import host_of
 
 #: Names of tags and of classes, ids and roles.
@@ -474,7 +474,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             total = unpacked(line) if total is None else merge(total, unpacked(line))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [packed(total)]})
 
-    rows = pages.select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
+    rows = text_batches(pages).select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     part = rows.mapInPandas(read, "host string, salt int, wrapper string")
     step = part.groupBy("host", "salt").applyInPandas(both, "host string, wrapper string")
     return stored(step.groupBy("host").applyInPandas(both, "host string, wrapper string"), "wrappers")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_crc, stored
+from .common import fold_crc, stored, text_batches
 
 CHUNK = 1 << 20
 #: Hash keys that a bucket holds at the mean.
@@ -95,7 +95,7 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 def chunked(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, chunk: int) -> DataFrame:
     """One row a chunk: doc ids, held-out flags, token numbers and their vocabulary; stored."""
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("k"), (fold_crc(F.col(id_col), folds) == held).alias("h"), F.col(text_col).cast("string").alias("t"))
+    rows = text_batches(docs).select(F.col(id_col).alias("k"), (fold_crc(F.col(id_col), folds) == held).alias("h"), F.col(text_col).cast("string").alias("t"))
     schema = f"chunk string, ids array<{kind}>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, stored
+from .common import shared_dir, stored, text_batches
 
 PAD = 64
 ARCHIVE_BYTES = 64 << 20
@@ -98,7 +98,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "bytes", "members"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"))
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"))
     return stored(rows.mapInArrow(write, "path string, bytes long, members long"), "media-index").withColumn("root", F.lit(root))
 
 

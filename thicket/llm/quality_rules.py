@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, set_aside, slices, stored
+from .common import once, set_aside, slices, stored, text_batches
 
 PIECES, MULTI = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,7 @@ def repeated_words(ids: np.ndarray) -> int:
 def measures(docs: DataFrame, text_col: str = "text", pieces: str | None = None, multi: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, the base counts, the fertility measures and the main script of each row."""
     paths = (pieces or public_tokenizers.path(PIECES), multi or public_tokenizers.path(MULTI))
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = text_batches(docs).select(*keep, F.col(text_col).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES, "script")
     types = [pa.int64()] * 5 + [pa.float64()] * len(MEASURES) + [pa.string()]
