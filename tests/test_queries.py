@@ -133,3 +133,12 @@ def test_histogram_quantile(spark):
     rates = F.array(*[F.lit(float(x)) for x in (10, 30, 30, 40)])
     row = spark.range(1).select(*[timeseries.histogram_quantile(rates, (1, 2, 4), q).alias(f"q{k}") for k, q in enumerate((0.125, 0.25, 0.5, 0.75, 0.99))]).first()
     assert tuple(row) == pytest.approx((0.5, 1.0, 1.5, 2.0, 4.0))
+
+
+def test_policy_severities(spark):
+    """By rank: a limit lets its own severity and lesser ones pass. (An order of the names that puts the gravest first would turn this round.)"""
+    from thicket.functions import policy
+
+    rows = spark.createDataFrame([(1, 5, 0, 0, 0), (2, 0, 3, 0, 0), (3, 0, 0, 2, 1), (4, 0, 0, 0, 0)], "id int, n_critical int, n_high int, n_medium int, n_low int")
+    got = {limit: {r["id"]: r["o"]["result"] for r in rows.select("id", policy.condition(("max_severity", limit)).alias("o")).collect()} for limit in ("critical", "high", "low")}
+    assert got == {"critical": dict.fromkeys((1, 2, 3, 4), "pass"), "high": {1: "fail", 2: "pass", 3: "pass", 4: "pass"}, "low": {1: "fail", 2: "fail", 3: "fail", 4: "pass"}}

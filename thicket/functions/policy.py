@@ -33,7 +33,7 @@ def condition(tree: tuple) -> Column:
 
     Columns read: licence, osi_approved, n_critical to n_low (vulnerabilities by
     severity), assessments, slsa_level, has_sbom, has_provenance, score, checks
-    (map of name to score), age_days, depth.
+    (map of name to score), age_days, depth. The messages are fixed values: results are compared by them.
     """
     kind, *args = tree
     licence = F.col("licence")
@@ -48,8 +48,7 @@ def condition(tree: tuple) -> Column:
     if kind == "licence_osi":
         return unknown(no_licence, "licence", decided(F.coalesce("osi_approved", F.lit(False)), outcome("pass", "License is OSI approved"), outcome("fail", "License ", licence, " is not OSI approved")))
     if kind == "max_severity":
-        # As the rule set orders severities, the gravest first: what stands behind the limit counts as above it.
-        beyond = SEVERITIES[SEVERITIES.index(args[0]) + 1 :]
+        beyond = SEVERITIES[: SEVERITIES.index(args[0])]  # by rank: the graver ones
         above = F.lit(False)
         for s in beyond:
             above = above | (F.col(f"n_{s}") > 0)

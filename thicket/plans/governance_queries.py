@@ -108,7 +108,7 @@ ALLOWED = "lower(licence) IN ('mit', 'apache-2.0', 'isc')"
 CASES = {
     "license-osi": (NO_LICENCE, ("osi_approved", "pass", "'License is OSI approved'"), ("true", "fail", "'License ' || licence || ' is not OSI approved'")),
     "license-deny-gpl": (NO_LICENCE, ("licence IN ('GPL-2.0', 'GPL-3.0', 'AGPL-3.0', 'LGPL-2.1', 'LGPL-3.0')", "fail", "'License ' || licence || ' is denied'"), ("true", "pass", "'License ' || licence || ' is not denied'")),
-    "vuln-critical": (("n_medium + n_low > 0", "fail", "'Has vulnerabilities above high severity'"), ("true", "pass", "'No high-severity vulnerabilities'")),
+    "vuln-critical": (("n_critical > 0", "fail", "'Has vulnerabilities above high severity'"), ("true", "pass", "'No high-severity vulnerabilities'")),
     "slsa-l1": (("slsa_level IS NULL", "fail", "'No SLSA level information available'"), ("slsa_level >= 1", "pass", "'SLSA level L' || slsa_level || ' meets minimum L1'"), ("true", "fail", "'SLSA level L' || slsa_level || ' below minimum L1'")),
     "scorecard-min": (("score IS NULL", "skip", "'No scorecard score available'"), ("score >= 5", "pass", "'Scorecard score ' || printf('%.1f', score) || ' meets minimum 5.0'"), ("true", "fail", "'Scorecard score ' || printf('%.1f', score) || ' below minimum 5.0'")),
     "unmaintained": (("age_days IS NULL", "skip", "'No update date available'"), ("age_days <= 730", "pass", "'Package updated ' || age_days || ' days ago'"), ("true", "warn", "'Package not updated in ' || age_days || ' days (max: 730)'")),
