@@ -163,7 +163,7 @@ def test_repair_paths_equal_brute_force():
     rules = ["ua", "xx", "", "x", "AU", "-", ""]
     of = repair.matrices(rules)
     for _ in range(250):
-        line = "".join(rng.choices(rng.choice(("suaxSUAX-", "ua", "x", "uaUA-", "xu")), k=rng.randrange(7)))
+        line = "".join(rng.choices(rng.choice(("suaxSUAX-", "ua", "x", "uaUA-", "xu")), k=rng.randrange(6)))
         want = repairs(line)
         assert path(line, plain) == want == path(repair.compressed(line, rules), of)
     for line in ("x" * 5001, "ua" * 3000 + "uu" + "au" * 2000, "".join(rng.choices("suaxSUAX-", k=4000))):
@@ -195,7 +195,7 @@ def by_rows(rows):
             symbols += "-" if fault in ("blank", "duplicate") else x.upper() if fault else x
         initials = [x[2][:1] for x in lines]
         turns = [x[4] for x in lines if x[4] is not None]
-        cost, audit = (path(symbols, repair.matrices([])) if len(symbols) > 8 else repairs(symbols))
+        cost, audit = (path(symbols, repair.matrices([])) if len(symbols) > 4 else repairs(symbols))
         made, k = [], 0
         for edit in audit:
             due = "assistant" if made and made[-1][0][:1] == "u" else "user"
