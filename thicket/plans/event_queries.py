@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cdc, timeseries
-from ..streaming import views
+from ..storage import shared_dir, stored
+from ..streaming import published, views
 from . import fixtures
 from .registry import Tables, query
 
@@ -207,6 +210,39 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.join(last, "l_orderkey").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
 
 
+# The graph's sink: an order is an event on one of its customer's versions, its lines are the dependencies; three batches, the newest first.
+
+GRAPH_EVENTS = "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'deleted' WHEN o_orderkey % 7 = 0 THEN 'yanked' ELSE 'published' END AS kind, 'customer:' || CAST(o_custkey AS STRING) AS package_id, o_orderpriority AS ecosystem, 'c' || CAST(o_custkey AS STRING) AS name, CAST(o_orderkey % 3 AS STRING) AS version, o_orderdate AS seen, o_orderkey AS event_id FROM orders"
+
+
+def graph_store(t: Tables) -> published.Store:
+    """A new store that has taken all events, in three batches whose order is not that of their times."""
+    events = t.spark.sql(GRAPH_EVENTS.replace("FROM orders", "FROM {orders}"), orders=t.orders).withColumn("at", F.col("seen").cast("timestamp"))
+    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.collect_set(F.struct(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dependency"), F.concat(F.lit(">="), F.col("l_linenumber").cast("string")).alias("requirement"))).alias("dependencies"))
+    events = stored(events.join(lists, "event_id", "left").select("kind", "package_id", "ecosystem", "name", "version", "dependencies", "at", "event_id"), "graph-events")
+    store = published.Store(t.spark, f"{shared_dir(t.spark)}/graph-{uuid.uuid4().hex}", published.GRAPH, buckets=8)
+    for number in range(3):
+        store.commit(number, published.graph_changes(events.where(f"event_id % 3 = {2 - number}")))
+    return store
+
+
+GRAPH_SQL = f"e AS ({GRAPH_EVENTS.replace('STRING', 'VARCHAR')})"
+
+
+@query("graph_sink_packages", f"WITH {GRAPH_SQL} SELECT package_id, arg_max(ecosystem, (seen, event_id)) AS ecosystem, arg_max(kind = 'deleted', (seen, event_id)) AS deleted, max(event_id) FILTER (event_id = le) AS last_event FROM (SELECT *, first_value(event_id) OVER (PARTITION BY package_id ORDER BY seen DESC, event_id DESC) AS le FROM e) GROUP BY package_id")
+def _(t: Tables) -> DataFrame:
+    return graph_store(t).read("packages").select("package_id", "ecosystem", "deleted", "last_event")
+
+
+@query("graph_sink_edges", f"WITH {GRAPH_SQL}, l AS (SELECT package_id, version, event_id FROM e WHERE kind = 'published' QUALIFY row_number() OVER (PARTITION BY package_id, version ORDER BY seen DESC, event_id DESC) = 1), v AS (SELECT package_id, version, min(seen) AS published_at, arg_max(kind = 'yanked', (seen, event_id)) AS yanked FROM e WHERE kind <> 'deleted' GROUP BY 1, 2) SELECT DISTINCT package_id, version, yanked, CAST(published_at AS TIMESTAMP) AS published_at, 'part:' || l_partkey AS dependency, '>=' || l_linenumber AS requirement FROM l JOIN v USING (package_id, version) JOIN lineitem ON l_orderkey = event_id")
+def _(t: Tables) -> DataFrame:
+    """The edges of each version's last published list, with what its yanks and first event made of the version: three tables of one manifest."""
+    store = graph_store(t)
+    manifest = store.manifest()
+    versions = store.read("versions", manifest).select("package_id", "version", "yanked", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    return published.edges(store.read("dependencies", manifest)).join(versions, ["package_id", "version"])
+
+
 @query("hard_delete", "SELECT (SELECT count(*) FROM fx_package WHERE deleted_at IS NULL) AS packages, (SELECT count(*) FROM fx_depends_on d WHERE d.package_id NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL)) AS depends_on, (SELECT count(*) FROM fx_depends_on_pkg e WHERE e.src NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL) AND e.dst NOT IN (SELECT id FROM fx_package WHERE deleted_at IS NOT NULL)) AS edges")
 def _(t: Tables) -> DataFrame:
     gone = t.fx_package.where("deleted_at IS NOT NULL").select("id")
