@@ -339,7 +339,7 @@ def visibility(language: Column, head: Column, groups: Column, name: Column, kin
 
 
 def extract(files: DataFrame, language: str = "language", source: str = "source", keep_broken: bool = True) -> DataFrame:
-    """A row a symbol: the other columns of files, name, path, kind, visibility, parameters, return_type, line, end_line, balanced."""
+    """A row a symbol: the other columns of files, name, path, kind, visibility, parameters, return_type, signature (tokens apart by one blank), line, end_line, balanced."""
     rest = [c for c in files.columns if c not in (language, source)]
     lang, h = F.col("_language"), F.col("_h")
     named = files.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(rest)], F.col(language).alias("_language"), F.col(source).alias("_source"))
@@ -373,6 +373,7 @@ def extract(files: DataFrame, language: str = "language", source: str = "source"
     result = F.when(kind.isin("function", "method"), F.col("_d.returned"))
     tuple_ = F.concat(F.lit("("), F.array_join(F.get(h["groups"], F.regexp_extract(result, r"^\((\d+)\)$", 1).cast("int")), ", "), F.lit(")"))
     plain = F.regexp_replace(result, r" ?(\.|::) ?", "$1")
+    returned_type = F.when(result.rlike(r"^\(\d+\)$"), tuple_).when(result != "", plain)
     return rows.select(
         *[F.col(f"_k{k}").alias(c) for k, c in enumerate(rest)],
         name.alias("name"),
@@ -380,7 +381,8 @@ def extract(files: DataFrame, language: str = "language", source: str = "source"
         kind.alias("kind"),
         visibility(lang, head, h["groups"], name, kind).alias("visibility"),
         F.filter(params, lambda p: p != "").alias("parameters"),
-        F.when(result.rlike(r"^\(\d+\)$"), tuple_).when(result != "", plain).alias("return_type"),
+        returned_type.alias("return_type"),
+        F.concat(name, F.when(kind.isin("function", "method"), F.concat(F.lit("("), F.array_join(raw, ", "), F.lit(")"))).otherwise(""), F.coalesce(F.concat(F.lit(" -> "), returned_type), F.lit(""))).alias("signature"),
         h["line"].alias("line"),
         h["end_line"].alias("end_line"),
         F.col("ok").alias("balanced"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import symbols
+from ..storage import shared_dir, stored
+from ..streaming import analysis, published
 from .registry import Tables, query
 
 #: By language: the file around the functions, a function with its modifier, and the parameters that it can have. Strings and comments hold what looks like code.
@@ -69,3 +72,44 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     files = sources(t).withColumn("lang", F.col("language"))
     return symbols.extract(files).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("visibility") == "public").alias("n_public"))
+
+
+# Releases: an order is a release of its customer's package, with a source of a function for each of the parts' groups.
+
+RELEASES = """
+WITH f AS (SELECT l_orderkey AS v, 'f' || l_partkey % 7 AS path, max(l_returnflag) = 'R' AS pub, 'f' || l_partkey % 7 || '(a : T' || min(l_suppkey % 2) || ')' AS sig FROM lineitem GROUP BY l_orderkey, l_partkey % 7),
+r AS (SELECT o_orderkey AS v, 'customer:' || o_custkey AS package_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
+a AS (SELECT r.v, r.package_id, r.prev, count(path) AS n, count(path) FILTER (pub) AS p, sha256(coalesce(string_agg(path || '|function|' || sig, ';' ORDER BY path) FILTER (pub), '')) AS api_hash FROM r LEFT JOIN f ON f.v = r.v GROUP BY ALL),
+o AS (SELECT r.v, f.path, f.pub, f.sig FROM r JOIN f ON f.v = r.prev), n AS (SELECT r.v, f.path, f.pub, f.sig FROM r JOIN f ON f.v = r.v WHERE r.prev IS NOT NULL),
+c AS (SELECT v, path, CASE WHEN o.pub AND n.pub IS NULL THEN 'removed' WHEN o.pub AND NOT n.pub THEN 'visibility_reduced' WHEN o.pub AND o.sig <> n.sig THEN 'signature_changed' WHEN n.pub AND NOT coalesce(o.pub, false) THEN 'added' END AS change FROM o FULL JOIN n USING (v, path)),
+d AS (SELECT v, count(*) FILTER (change <> 'added') AS breaking, string_agg(path || ':' || change, ',' ORDER BY path) AS changes FROM c WHERE change IS NOT NULL GROUP BY v)
+SELECT k.kind, package_id, CAST(a.v AS VARCHAR) AS version, CASE WHEN k.kind = 'breaking_changes_detected' THEN CAST(prev AS VARCHAR) END AS previous_version, n AS symbols, p AS public_symbols, api_hash, CASE WHEN k.kind = 'breaking_changes_detected' THEN breaking ELSE 0 END AS breaking, CASE WHEN k.kind = 'breaking_changes_detected' THEN changes END AS changes
+FROM a LEFT JOIN d ON d.v = a.v, (VALUES ('api_parsed'), ('embeddings_generated'), ('breaking_changes_detected')) k(kind)
+WHERE k.kind = 'api_parsed' OR k.kind = 'embeddings_generated' AND p > 0 OR k.kind = 'breaking_changes_detected' AND d.v IS NOT NULL
+"""
+
+
+def releases(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Releases and their files: a source, and a text that is none."""
+    own = F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("package_id")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    found = t.orders.select(own, F.col("o_orderkey").cast("string").alias("version"), before.cast("string").alias("previous_version"), F.lit(None).cast("long").alias("size_bytes"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("event_id"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 7).alias("p")).agg((F.max("l_returnflag") == "R").alias("open"), F.min(F.col("l_suppkey") % 2).alias("s"))
+    code = filled("{mod}fn f{p}(a: T{s}) {{ let x = \"{{\"; }}\n", mod=F.when(F.col("open"), "pub ").otherwise(""), p=F.col("p").cast("string"), s=F.col("s").cast("string"))
+    files = lines.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list(code)), "").alias("code"))
+    both = F.explode(F.array(F.struct(F.lit("src/lib.rs").alias("path"), F.col("code").alias("source")), F.struct(F.lit("README.md").alias("path"), F.lit("pub fn no() {}").alias("source"))))
+    return found, files.join(found.select("package_id", "version", "event_id"), "event_id").select("package_id", "version", both.alias("x")).select("package_id", "version", "x.*")
+
+
+@query("release_analysis", RELEASES)
+def _(t: Tables) -> DataFrame:
+    """The events of all releases, analysed in two batches by time, the second of which runs twice."""
+    found, files = releases(t)
+    found = stored(found, "releases")
+    middle = found.agg(F.percentile_approx("at", 0.5)).first()[0]
+    store = published.Store(t.spark, f"{shared_dir(t.spark)}/analysis-{uuid.uuid4().hex}", analysis.TABLES, buckets=8)
+    for number, part in ((0, found.where(F.col("at") < F.lit(middle))), (1, found.where(F.col("at") >= F.lit(middle))), (1, found)):
+        if number not in store.batches():
+            store.commit(number, analysis.analysed(part, files, store))
+    listed = F.array_join(F.transform("changes", lambda c: F.concat_ws(":", c["path"], c["change"])), ",")
+    return store.read("events").select("kind", "package_id", "version", "previous_version", "symbols", "public_symbols", "api_hash", F.coalesce("breaking", F.lit(0)).alias("breaking"), listed.alias("changes"))
