@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("thicket.llm.queries")
 from thicket.llm import bpe, chat, classifier, html, lm, media, mixing, quality_rules, simhash, urls  # noqa: E402
@@ -74,6 +75,28 @@ def test_media_retries_member_alone(tmp_path):
     assert [r["error"] is None for r in rows] == [True, False, True]
 
 
+def test_chat_long_texts(spark):
+    """Texts beyond the JSON reader's own bound come back whole, in every kind of layout."""
+    n = 25_000_000
+    text = F.concat(F.repeat(F.lit("ab[c\n"), n // 5), F.col("no").cast("string"))
+    for roles in (("user", "assistant"), ("user", "assistant", "user")):
+        for conv in (1, 2, 3):  # lists of both layouts
+            rows = spark.createDataFrame([(conv, k, r) for k, r in enumerate(roles)], "conv_id long, no int, role string").select("conv_id", F.col("no").alias("turn"), "role", text.alias("text"))
+            got = chat.format_records(chat.records(rows)).select("layout", F.transform("turns", lambda t: F.struct(t["role"], F.char_length(t["text"]), F.right(t["text"], F.lit(3)))).alias("t")).first()
+            assert [tuple(x) for x in got["t"]] == [(r, n + 1, f"c\n{k}") for k, r in enumerate(roles)], got["layout"]
+            if len(roles) == 2:
+                break
+
+
+def test_chat_unreadable_records(spark):
+    """A record that is no JSON object raises; a null one has no turns."""
+    frame = lambda x: spark.createDataFrame([(1, x)], "conv_id long, record string")
+    assert chat.format_records(frame(None)).first()["formatted"] == ""
+    for bad in ('{"prompt": "a', "no json", ""):
+        with pytest.raises(Exception, match="no JSON object"):
+            chat.format_records(frame(bad)).collect()
+
+
 def fp(text):
     w = text.encode().lower().split()
     if not w:

@@ -10,8 +10,9 @@ reversibly, and reads it back.
 
 Defined cases: a null text or role is empty text; turns sort by number, then
 role, then text (null numbers first), so repeated rows and ties have one order;
-an unknown layout gives no turns and keeps its fingerprint; fields that no
-layout names are ignored; an empty table gives an empty result.
+an unknown layout gives no turns and keeps its fingerprint, a null record too; a
+record that is no JSON object raises; fields that no layout names are ignored;
+texts have any length that a string can have; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,26 +98,27 @@ def typed_turns(df: DataFrame, out: str = "turns") -> DataFrame:
     return df.withColumn(out, _mapped(LAYOUTS[name], lambda p: df[p]))
 
 
-def record_schema() -> str:
-    """All fields that layouts name, as one type."""
-    lists: dict[str, set[str]] = {}
-    for path in KNOWN:
-        name, dot, field = path.partition("[].")
-        lists.setdefault(name, set()).update([field] if dot else [])
-    return ", ".join(f"`{k}` " + (f"array<struct<{', '.join(f'`{f}`:string' for f in sorted(fields))}>>" if fields else "string") for k, fields in sorted(lists.items()))
+#: A text of a record can be as long as a string can be: the reader's own bound of 20 million characters would lose it.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def json_turns(df: DataFrame, payload: str, out: str = "turns") -> DataFrame:
-    """The same for JSON records whose layouts differ from row to row; also gives columns fingerprint and layout."""
+    """The same for JSON records whose layouts differ from row to row; also gives columns fingerprint and layout.
+
+    A record is read as a map of its fields, its lists as lists of maps, so the
+    paths of any layout come from what is read once. A record that is no JSON
+    object stops the query: it must not turn into empty texts.
+    """
     lists = sorted({p.partition("[]")[0] for p in KNOWN if "[]" in p})
-    json = F.col(payload)
-    top = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    read = F.from_json(payload, "map<string,string>", ANY_LENGTH)
+    rows = df.withColumn("_top", F.when(F.col(payload).isNotNull(), F.coalesce(read, F.raise_error(F.concat(F.lit("a record is no JSON object: "), F.substr(payload, F.lit(1), F.lit(80)))).cast("map<string,string>"))))
+    rows = rows.withColumns({f"_list_{x}": F.from_json(F.col("_top")[x], "array<map<string,string>>", ANY_LENGTH) for x in lists})
 
     def inside(name: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(json, f"$.{name}[0]"))
-        return F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>"))
+        return F.coalesce(F.transform(F.map_keys(F.get(f"_list_{name}", F.lit(0))), lambda k: F.concat(F.lit(f"{name}[]."), k)), none)
 
-    rows = df.withColumns({"_paths": F.array_sort(F.array_distinct(F.concat(top, *[inside(x) for x in lists]))), "_record": F.from_json(json, record_schema())})
+    rows = rows.withColumn("_paths", F.array_sort(F.array_distinct(F.concat(F.coalesce(F.map_keys("_top"), none), *[inside(x) for x in lists]))))
     # Of each layout: the hash of those of the record's paths that it names.
     prints = {name: F.md5(F.array_join(F.array_intersect("_paths", F.array(*[F.lit(p) for p in LAYOUTS[name]["paths"]])), "\n").cast("binary")) for name in BY_SIZE}
     name, print_ = F.lit(None).cast("string"), F.md5(F.array_join("_paths", "\n").cast("binary"))
@@ -127,8 +129,8 @@ def json_turns(df: DataFrame, payload: str, out: str = "turns") -> DataFrame:
         print_ = F.when(prints[layout] == key_of[layout], key_of[layout]).otherwise(print_)
     rows = rows.withColumns({"fingerprint": print_, "layout": name})
     for layout in BY_SIZE:
-        turns = F.when(F.col("layout") == layout, _mapped(LAYOUTS[layout], lambda p: F.col("_record")[p])).otherwise(turns)
-    return rows.withColumn(out, F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).drop("_paths", "_record")
+        turns = F.when(F.col("layout") == layout, _mapped(LAYOUTS[layout], lambda p: F.col(f"_list_{p}") if p in lists else F.col("_top")[p])).otherwise(turns)
+    return rows.withColumn(out, F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).drop("_paths", "_top", *[f"_list_{x}" for x in lists])
 
 
 def records(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
