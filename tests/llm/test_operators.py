@@ -542,6 +542,27 @@ def test_html_fixed_texts_inside_regions(spark):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<article class="post share-story">text</article>', "text"),
+    ('<nav>menu</nav><main><div class="login-guide"><p>how to log in</p></div></main>', "how to log in"),
+    ('<main class="subscribe-page"><p>a long text of the page</p><div class="share">Share</div></main>', "a long text of the page"),
+    ('<article class="review sponsored"><p>one</p><section id="comments"><p>a long comment by a reader of the page</p></section></article>', "one"),
+    ('<main><article class="newsletter-issue"><p>the issue and all that it says</p></article><article class="promo"><p>buy</p></article></main>', "the issue and all that it says"),
+])
+def test_html_words_remove_no_article(page, want):
+    tree = html.parse(page)
+    assert html.Wrapper(html.page_wrapper(tree)).text(tree) == want
+
+
+def test_html_repeated_headings_stay(spark):
+    """Headings and a quotation that all articles of a host share are theirs; what all end or begin with is not."""
+    page = lambda k, box: f"<body><nav>menu</nav><{box}><h2>Introduction</h2><p>first {k}</p><blockquote>As the saying goes.</blockquote><p>Note.</p><p>second {k}</p><h2>Conclusion</h2><p>third {k}</p><p>Thank you for reading.</p><div>Share this page</div></{box.split()[0]}><footer>f</footer></body>"
+    boxes = ("article", "div class=content", "article class='share-story post'")
+    frame = spark.createDataFrame([(6 * h + k, f"http://h{h}.example/", page(k, box)) for h, box in enumerate(boxes) for k in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(frame).collect()}
+    assert got == {6 * h + k: f"Introduction\nfirst {k}\nAs the saying goes.\nNote.\nsecond {k}\nConclusion\nthird {k}" for h in range(3) for k in range(6)}
+
+
 def segment_by_hand(run, counts, log_n):
     """All ways to split a run; the first of the cheapest."""
     cost = lambda w: log_n - np.log(counts[w]) if w in counts else log_n + urls.UNSEEN * len(w)

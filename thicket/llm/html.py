@@ -15,7 +15,9 @@ that all of them share. Nodes of links, of fixed texts and of HTML's own page
 furniture are labelled out; the main region is where the varying text of the
 host gathers, article and main elements (and blocks named so) counting several
 times. Names of classes alone never overrule a content name: there the wrapper
-says whether the block varies. A page is read by matching it with its host's
+says whether the block varies; nor do they label out an article or main element
+or the block that holds most of its text. A text that all pages share stays
+where it is a heading or quotation of an article, or stands between texts that vary. A page is read by matching it with its host's
 wrapper: a block that matches no node has no text.
 
 Partial wrappers form where the pages are read, one a host and task, and merge
@@ -58,6 +60,8 @@ CLOSES = {
 #: Names that mark furniture whatever stands beside them, and those that a content name beside them outweighs.
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond disqus pagination pager toolbar hidden".split())
 WEAK = frozenset("promotion banner notice notices alert social related recommended recommendations discussion widget search skip legal disclaimer copyright form".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond".split())
+HEADINGS, QUOTED = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("blockquote pre figure".split())
 HEADER = frozenset("header topbar site-header".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 LEXICON = STRONG | WEAK | HEADER | CONTENT
@@ -346,6 +350,9 @@ class Wrapper:
         self.out: set[int] = set()
         self.main: set[int] = set()
         chars, links, moving, self.mass, self.evidence, self.rank = {}, {}, {}, {}, {}, {}
+        #: Flow blocks beside which others vary: what is fixed in them can be the article's own.
+        self.flow: dict[int, str] = {}
+        self.measure(order)
         for w in reversed(order):
             k = id(w)
             chars[k] = w.chars + sum(chars[id(x)] for x in w.kids)
@@ -353,8 +360,15 @@ class Wrapper:
             moving[k] = w.varied or any(moving[id(x)] for x in w.kids)
             tag, *words = w.sig.rstrip("+~").split(".")
             fixed = self.varies and w.pages >= FIXED_PAGES and not moving[k]
-            if self.furniture(tag, words, fixed):
+            if self.furniture(tag, words, fixed) and not self.spared(w, tag, words):
                 self.named.add(k)
+            if w.sig == GROUP and moving[k]:
+                stack = list(w.kids)
+                while stack:
+                    x = stack.pop()
+                    if (own := x.sig.rstrip("+~").split(".")[0]) in FLOW:
+                        self.flow[id(x)] = own
+                        stack += x.kids
             self.rank[k] = TAGGED if tag in MAIN else NAMED if CONTENT.intersection(words) and tag in ("div", "section", "td") else 1
             self.evidence[k] = max([self.rank[k], *(self.evidence[id(x)] for x in w.kids if id(x) not in self.named)])
             idle = self.evidence[k] == 1 and (fixed and chars[k] or links[k] > LINK_SHARE * chars[k])
@@ -364,6 +378,36 @@ class Wrapper:
             self.mass[k] = own + sum(self.mass[id(x)] for x in w.kids if id(x) not in self.named)
         self.find_main()
 
+    def measure(self, order: list[Part]) -> None:
+        """The text outside of links below each node, all of it and what differs between pages; the article or main element, or block named so, around each node; and whether other such elements are free of words of furniture."""
+        self.told: dict[int, tuple[float, float]] = {}
+        self.around: dict[int, Part | None] = {id(order[0]): None}
+        free = 0
+        for w in order:
+            tag, *words = w.sig.rstrip("+~").split(".")
+            region = tag in MAIN or bool(CONTENT.intersection(words)) and tag in ("div", "section", "td")
+            plain = not (STRONG | WEAK).intersection(words)
+            free += region and plain
+            for x in w.kids:
+                self.around[id(x)] = w if region and plain else self.around[id(w)]
+        self.free = free
+        for w in reversed(order):
+            own = w.chars - w.links
+            self.told[id(w)] = own + sum(self.told[id(x)][0] for x in w.kids), own * w.varied + sum(self.told[id(x)][1] for x in w.kids)
+
+    def spared(self, w: Part, tag: str, words: list[str]) -> bool:
+        """Whether a word of furniture says nothing here: the element is itself an article, or holds most of the text of what is around it."""
+        if tag in SKIPPED or "hidden" in words:
+            return False
+        around, (text, moving) = self.around[id(w)], self.told[id(w)]
+        if COMMENTS.intersection(words) and self.free:
+            return False
+        if around is not None:
+            return 2 * text > self.told[id(around)][0]
+        if tag in MAIN:
+            return True
+        return self.varies and not self.free and 2 * moving > self.told[id(self.root)][1] > 0
+
     @staticmethod
     def furniture(tag: str, words: list[str], fixed: bool) -> bool:
         """HTML's own furniture, and blocks named so; where a content name stands beside a weak one, a block that varies is content."""
@@ -425,13 +469,23 @@ class Wrapper:
         found = self.matched(page)
         lines: list[str] = []
         for regions, out, drop in ((self.main, self.named, self.varies), (self.main, self.named, False), (None, self.out, self.varies), (None, self.named, False)):
-            lines = list(self.lines(page, found, regions, out, drop))
+            lines = self.trimmed(self.lines(page, found, regions, out, drop))
             if lines:
                 break
         return "\n".join(lines)
 
-    def lines(self, page: Node, found: dict[int, Part], regions: set[int] | None, out: set[int], drop: bool) -> Iterator[str]:
-        """The lines inside regions (None: anywhere), less nodes of out and, with drop, fixed texts."""
+    @staticmethod
+    def trimmed(lines: Iterator[tuple[str, str]]) -> list[str]:
+        """The texts of lines, less the fixed ones at either end: those before the first heading or own line, and those behind the last own one; quotations stay."""
+        rows = list(lines)
+        own = [k for k, (_, fixed) in enumerate(rows) if not fixed or fixed in QUOTED]
+        if not own:
+            return []
+        first = next(k for k, (_, fixed) in enumerate(rows) if not fixed or fixed in QUOTED or fixed in HEADINGS)
+        return [text for text, _ in rows[first : own[-1] + 1]]
+
+    def lines(self, page: Node, found: dict[int, Part], regions: set[int] | None, out: set[int], drop: bool) -> Iterator[tuple[str, str]]:
+        """The lines inside regions (None: anywhere), less nodes of out and, with drop, fixed texts. Those of flow blocks beside which others vary come with their tag instead."""
         label: Callable[[Node], Part | None] = lambda block: found.get(id(block))
         stack: list[tuple[Part | None, bool, Iterator]] = [(label(page), regions is None or id(label(page)) in regions, iter(page.items))]
         while stack:
@@ -440,8 +494,11 @@ class Wrapper:
             if item is None:
                 stack.pop()
             elif isinstance(item, str):
-                if inside and w is not None and not (drop and self.fixed(w, regions is not None) and digest(item) in w.common):
-                    yield item
+                if inside and w is not None:
+                    fixed = drop and self.fixed(w, regions is not None) and digest(item) in w.common
+                    tag = self.flow.get(id(w), "") if fixed and regions is not None else ""
+                    if tag or not fixed:
+                        yield item, tag
             else:
                 own = label(item)
                 # Outside a region, only what cannot lead to one is left out.
