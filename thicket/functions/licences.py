@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..storage import stored
+
 #: Id, OSI approved, FSF libre, copyleft, category.
 LICENCES = (
     ("MIT", True, True, "none", "permissive"),
@@ -85,6 +88,36 @@ def satisfied(program: list[str] | None, allowed: frozenset[str]) -> bool:
     return stack[-1]
 
 
+def choice(program: list[str] | None, allowed: frozenset[str]) -> list[str] | None:
+    """The licences of the first choice that holds allowed ones only, left alternatives first; None if there is none."""
+    stack: list[tuple[str, list[str] | None]] = []
+    for x in program or ():
+        if x not in ("OR", "AND", "WITH"):
+            stack.append((x, [x] if x in allowed else None))
+            continue
+        (right, b), (left, a) = stack.pop(), stack.pop()
+        if x == "WITH":
+            stack.append((left, None if a is None else [f"{a[0]} WITH {right}"]))
+        elif x == "AND":
+            stack.append((left, None if a is None or b is None else a + b))
+        else:
+            stack.append((left, b if a is None else a))
+    return stack[-1][1] if stack else None
+
+
+def with_choice(rows: DataFrame, expression: str, allowed: tuple[str, ...], out: str = "choice") -> DataFrame:
+    """rows with the satisfying choice of an expression, an array, null where none is. Each distinct expression is parsed once."""
+    known = frozenset(allowed)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"_e": frame["_e"], out: [choice(postfix(x), known) for x in frame["_e"]]})
+
+    distinct = rows.where(F.col(expression).isNotNull()).select(F.col(expression).alias("_e")).distinct()
+    found = stored(distinct.mapInPandas(run, f"_e string, `{out}` array<string>"), "choices")
+    return rows.join(found, F.col(expression) == F.col("_e"), "left").drop("_e")
+
+
 def spdx_ids(line: Column | str) -> Column:
     """Distinct licence ids of an expression, in order; exceptions after WITH are not ids."""
     plain = F.regexp_replace(line, r"\bWITH\s+[^\s()]+", "")
@@ -122,6 +155,17 @@ def violations(policy: Policy) -> Column:
     return F.when(F.col("licence").isin(*policy.denied), F.array(F.lit("denied_license"))).otherwise(found) if policy.denied else found
 
 
+def warnings(policy: Policy, deprecated: tuple[str, ...] = ()) -> Column:
+    """What a policy lets pass but reports of one licence id, over the columns of the reference table; a denied one has violations only."""
+    known = F.col("category").isNotNull()
+    rules = F.array(
+        F.when(known & F.col("licence").isin(*deprecated), F.concat(F.lit("License '"), "licence", F.lit("' is deprecated"))) if deprecated else F.lit(None).cast("string"),
+        F.when(~known, F.concat(F.lit("Unknown license '"), "licence", F.lit("' - manual review recommended"))) if policy.unknown else F.lit(None).cast("string"),
+    )
+    found = F.filter(rules, lambda x: x.isNotNull())
+    return F.when(~F.col("licence").isin(*policy.denied), found).otherwise(F.array().cast("array<string>")) if policy.denied else found
+
+
 def spdx_satisfied(allowed: tuple[str, ...]):
     known = frozenset(allowed)
 

@@ -140,6 +140,25 @@ def _(t: Tables) -> DataFrame:
     return t.fx_licence.select("id", licences.spdx_satisfied(PERMISSIVE)("expression").alias("satisfied"))
 
 
+@query("spdx_choice", f"SELECT id, CASE WHEN id % 4 = 0 THEN CASE WHEN l1 IN {LISTED} THEN l1 END WHEN id % 4 = 2 THEN CASE WHEN l1 IN {LISTED} AND l2 IN {LISTED} THEN l1 || ',' || l2 END WHEN l1 IN {LISTED} THEN l1 || CASE WHEN id % 4 = 3 THEN ' WITH Classpath-exception-2.0' ELSE '' END WHEN l2 IN {LISTED} THEN l2 END AS choice FROM fx_licence WHERE expression IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    """The licences that an expression is used under: the first alternative from the left that is allowed as a whole."""
+    rows = licences.with_choice(t.fx_licence.where("expression IS NOT NULL").select("id", "expression"), "expression", PERMISSIVE)
+    return rows.select("id", F.array_join("choice", ",").alias("choice"))
+
+
+HOUSE = licences.Policy("house", denied=("GPL-3.0-only",), denied_categories=("proprietary",), network=True, unknown=True)
+OLD_NAMES = ("GPL-2.0-only", "LGPL-2.1-only")
+
+
+@query("license_findings", f"WITH r AS (SELECT r.id, r.licence, l.category FROM {ID_ROWS} r LEFT JOIN {LICENCE_ROWS} ON l.licence = r.licence) SELECT id, licence, 'violation' AS kind, CASE WHEN licence = 'GPL-3.0-only' THEN 'denied_license' ELSE 'denied_category' END AS finding FROM r WHERE licence = 'GPL-3.0-only' OR category = 'proprietary' UNION ALL SELECT id, licence, 'warning', CASE WHEN category IS NULL THEN 'Unknown license ''' || licence || ''' - manual review recommended' ELSE 'License ''' || licence || ''' is deprecated' END FROM r WHERE category IS NULL OR licence IN ('GPL-2.0-only', 'LGPL-2.1-only')")
+def _(t: Tables) -> DataFrame:
+    """Violations and warnings under a policy that denies a category, lets unknown licences pass and reports old names."""
+    rows = licence_ids(t).join(F.broadcast(licences.table(t.spark)), "licence", "left")  # 16 rows
+    found = F.concat(F.transform(licences.violations(HOUSE), lambda v: F.struct(F.lit("violation").alias("kind"), v.alias("finding"))), F.transform(licences.warnings(HOUSE, OLD_NAMES), lambda w: F.struct(F.lit("warning").alias("kind"), w.alias("finding"))))
+    return rows.select("id", "licence", F.explode(found).alias("f")).select("id", "licence", "f.kind", "f.finding")
+
+
 DENIED = "(" + ", ".join(repr(x) for x in licences.DENIED) + ")"
 
 

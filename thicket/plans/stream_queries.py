@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import timeseries
+from ..sources import keyset, protobuf
 from ..storage import shared_dir, stored
-from ..streaming import published, state, views
+from ..streaming import partitions, published, state, views
 from .registry import Tables, query
 
 
@@ -63,3 +66,115 @@ def _(t: Tables) -> DataFrame:
         stream = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
         views.run_available(state.limited(stream, "client", "at", "event_id", tiers=RATES, late="0 seconds"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return state.denied_by(t.spark.read.parquet(f"{place}/out"), F.coalesce("tier", F.lit("none")).alias("plan"))
+
+
+# Polling by (time, id): pages of 2,500 events, whose times are cut to hours so that many tie.
+
+PAGE = 2500
+
+
+@query("keyset_pages", f"SELECT CAST(floor((n - 1) / {PAGE}) AS BIGINT) AS page, count(*) AS n, min(event_id) AS least, max(hour) AS latest FROM (SELECT event_id, date_trunc('hour', published_at) AS hour, row_number() OVER (ORDER BY date_trunc('hour', published_at), event_id) AS n FROM fx_package_event) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """What each page of the stream holds; the stream stops after its first pages and goes on from its checkpoint."""
+    place = folder(t, "polled")
+    rows = t.fx_package_event.select("event_id", F.date_trunc("hour", F.col("published_at").cast("timestamp")).alias("hour"))
+    rows.write.parquet(f"{place}/in")
+    t.spark.dataSource.register(keyset.KeysetSource)
+
+    def page(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/page-{number:06d}")
+
+    def poll(pages: int | None) -> None:
+        source = t.spark.readStream.format("keyset").schema("event_id long, hour timestamp").options(path=f"{place}/in", time="hour", id="event_id", page=PAGE).load()
+        running = source.writeStream.foreachBatch(page).option("checkpointLocation", f"{place}/checkpoint").trigger(**({"availableNow": True} if pages else {"processingTime": "0 seconds"})).start()
+        if pages:
+            running.awaitTermination()
+        else:
+            running.processAllAvailable()
+            running.stop()
+
+    poll(1)
+    poll(None)
+    got = t.spark.read.schema("event_id long, hour timestamp, batch long").option("recursiveFileLookup", "true").parquet(f"{place}/out")
+    pages = got.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"), F.max("hour").cast("timestamp_ntz").alias("latest"))
+    # Batches without rows have numbers too.
+    order = got.groupBy("batch").agg(F.min(F.struct("hour", "event_id")).alias("first"))
+    ranked = order.withColumn("page", F.row_number().over(Window.orderBy("first")).cast("long") - 1)  # a row a page
+    return pages.join(ranked.select("batch", "page"), "batch").select("page", "n", "least", "latest")
+
+
+# Protobuf: orders as published versions, a part of them yanked, without an archive, cut off, or as JSON.
+
+PROTOBUF = """SELECT o_orderkey AS id, CASE WHEN k = 1 THEN 'malformed' WHEN k = 2 THEN 'yanked' WHEN k = 3 THEN 'no archive' END AS error, CASE WHEN k NOT IN (1, 2, 3) THEN 'npm:customer' || o_custkey END AS package_id, CASE WHEN k NOT IN (1, 2, 3) THEN '1.0.' || o_orderkey END AS version,
+  CASE WHEN k NOT IN (1, 2, 3) THEN CAST(epoch(o_orderdate) AS BIGINT) ELSE 0 END AS seconds, CASE WHEN k IN (0, 1, 2, 3) THEN 0 ELSE coalesce(n, 0) END AS dependencies, CASE WHEN k IN (0, 1, 2, 3) THEN '' ELSE coalesce(names, '') END AS names
+FROM (SELECT *, o_orderkey % 9 AS k FROM orders) o LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg('part' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS names FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey"""
+
+
+def records(t: Tables) -> DataFrame:
+    """id, value: a binary record of each order."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.struct(F.concat(F.lit("part"), x["l_partkey"].cast("string")).alias("name"), F.lit("^1").alias("version_range"), (x["l_linenumber"] % 2 == 1).alias("is_peer"))).alias("dependencies"))
+    o = t.orders.withColumn("id", F.col("o_orderkey")).join(lines, "id", "left")
+    k, name = F.col("id") % 9, F.concat(F.lit("customer"), F.col("o_custkey").cast("string"))
+    version, archive = F.concat(F.lit("1.0."), F.col("id").cast("string")), F.lit("https://archive.test/p.tgz")
+    stamp = F.struct(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("seconds"), F.lit(5000).alias("nanos"))
+    meta = F.struct(F.col("id").cast("string").alias("event_id"), F.lit("orders").alias("source"))
+    message = F.struct(meta.alias("meta"), F.lit("npm").alias("ecosystem"), name.alias("package_name"), version.alias("version"), (k == 2).alias("yanked"), F.when(k != 3, archive).otherwise(" ").alias("tarball_url"), (F.col("id") * 1000).alias("size_bytes"), stamp.alias("published_at"), F.coalesce("dependencies", F.array().cast("array<struct<name:string,version_range:string,is_peer:boolean>>")).alias("dependencies"))
+    wired = protobuf.encoded(o.select("id", "o_custkey", "o_orderdate", message.alias("m")), "m", protobuf.VERSION_UPSERTED)
+    json = F.to_json(F.struct(F.concat(F.lit("npm:"), name).alias("package_id"), version.alias("version"), F.lit("npm").alias("ecosystem"), archive.alias("tarball_url"), F.col("o_orderdate").cast("timestamp").alias("published_at")))
+    cut = F.substring("value", F.lit(1), F.octet_length("value") - 1)
+    return wired.select("id", F.when(k == 0, json.cast("binary")).when(k == 1, cut).otherwise(F.col("value")).alias("value"))
+
+
+@query("decode_protobuf", PROTOBUF)
+def _(t: Tables) -> DataFrame:
+    """Versions from records of both forms, JSON first, with what is wrong about the others."""
+    got = protobuf.version_events(records(t), "value")
+    n = F.coalesce(F.size("dependencies"), F.lit(0))
+    return got.select(
+        "id", F.regexp_replace("error", ":.*", "").alias("error"), "package_id", "version", F.coalesce(F.unix_seconds("published_at"), F.lit(0)).alias("seconds"),
+        F.when(n > 0, n).otherwise(0).cast("long").alias("dependencies"), F.coalesce(F.array_join(F.transform("dependencies", lambda d: d["name"]), ","), F.lit("")).alias("names"),
+    )
+
+
+# Range vectors: evaluations each hour, over ranges of six hours and of a day.
+
+GROWN = "(SELECT event_type, ts, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS inc FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM events))"
+
+
+def steps(seconds: int, width: int, source: str) -> str:
+    """Each evaluation that sees a row, by a join of the rows with all evaluations between the first and the last."""
+    grid = f"(SELECT unnest(range(CAST(ceil(epoch(min(ts)) / {seconds}) AS BIGINT), CAST(ceil(epoch(max(ts)) / {seconds}) AS BIGINT) + {width // seconds})) AS g FROM events)"
+    return f"{grid} x JOIN {source} e ON epoch(e.ts) > x.g * {seconds} - {width} AND epoch(e.ts) <= x.g * {seconds}"
+
+
+@query("error_rate_ratio", f"SELECT make_timestamp(g * 3600000000) AS evaluated, round(sum(inc) FILTER (event_type = 'error') / sum(inc), 6) AS ratio FROM {steps(3600, 21600, GROWN)} GROUP BY g HAVING sum(inc) > 0 AND coalesce(sum(inc) FILTER (event_type = 'error'), 0) > 0.05 * sum(inc)")
+def _(t: Tables) -> DataFrame:
+    """Where the rate of errors is over a twentieth of all rates, both over six hours."""
+    series = t.events.withColumn("order", F.struct("ts", "event_id"))
+    found = timeseries.rate_ratio(series, ["event_type", "user_id"], "ts", "order", "value", F.col("event_type") == "error", 3600, 21600)
+    return found.where("ratio > 0.05").select(F.col("at").cast("timestamp_ntz").alias("evaluated"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("availability_over_time", f"SELECT make_timestamp(g * 3600000000) AS evaluated, user_id % 3 AS job, round(avg(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END), 6) AS availability, count(*) AS n FROM {steps(3600, 86400, 'events')} GROUP BY ALL HAVING avg(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) < 0.8")
+def _(t: Tables) -> DataFrame:
+    """Hours whose last day's average of up samples, by job, is below the target."""
+    up = F.when(F.col("event_type") == "error", 0).otherwise(1)
+    found = timeseries.avg_over_time(t.events.withColumn("job", F.col("user_id") % 3), ["job"], "ts", up, 3600, 86400)
+    return found.where("average < 0.8").select(F.col("at").cast("timestamp_ntz").alias("evaluated"), "job", F.round("average", 6).alias("availability"), "n")
+
+
+# The audit log by month.
+
+AUDIT = "id long, tenant_id string, user_id long, action string, status_code int, created_at timestamp"
+
+
+@query("audit_partitioned", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT tenant_id) AS tenants FROM fx_audit_log WHERE created_at >= TIMESTAMP '2024-01-10 12:00:00' AND created_at < TIMESTAMP '2024-01-20' GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """Days of a range, from the log's monthly partitions, written in two batches of which one runs twice."""
+    place = folder(t, "audit")
+    rows = t.fx_audit_log.select("id", "tenant_id", F.col("user_id").cast("long").alias("user_id"), "action", F.col("status_code").cast("int").alias("status_code"), F.col("created_at").cast("timestamp").alias("created_at"))
+    for batch in (0, 1, 1):
+        partitions.write(rows.where(F.col("id") % 2 == batch), place, "created_at", batch)
+    partitions.create_ahead(t.spark, place, dt.date(2024, 2, 1))
+    found = partitions.read(t.spark, place, AUDIT, "created_at", dt.datetime(2024, 1, 10, 12), dt.datetime(2024, 1, 20))
+    return found.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tenant_id").alias("tenants"))
