@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import registry
-from .plans import document_queries, domain_queries, event_queries, governance_queries, graph_queries, source_queries, stream_queries, symbol_queries  # noqa: F401  (they register)
+from .plans import detail_queries, document_queries, domain_queries, event_queries, governance_queries, graph_queries, source_queries, stream_queries, symbol_queries  # noqa: F401  (they register)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -103,3 +103,24 @@ def build_level(score: dict[str, Column]) -> Column:
     hosted = signed & at_least("Branch-Protection", 5) & at_least("Token-Permissions", 5) & at_least("CI-Tests", 5)
     hardened = at_least("Dangerous-Workflow", 7) & at_least("Pinned-Dependencies", 5)
     return F.when(~provenance, 0).when(hosted & hardened, 3).when(hosted, 2).otherwise(1)
+
+
+#: What is recommended where a repository falls short.
+ADVICE = {
+    "provenance": ("Generate SLSA provenance in CI/CD (e.g., GitHub Actions + provenance attestation)", "Publish provenance alongside release artifacts"),
+    "signed": "Sign provenance using Sigstore keyless signing",
+    "Branch-Protection": "Enable branch protection for release branches",
+    "Token-Permissions": "Restrict GitHub Action token permissions",
+    "CI-Tests": "Add CI tests to strengthen build integrity",
+    "Dangerous-Workflow": "Audit workflows for dangerous patterns",
+    "Pinned-Dependencies": "Pin CI/CD workflow dependencies",
+}
+
+
+def build_advice(score: dict[str, Column]) -> Column:
+    """What would raise the build level, in a fixed order; a score that is not known falls short."""
+    at_least = lambda name, n: F.coalesce(score[name] >= n, F.lit(False))
+    provenance = at_least("Packaging", 5) | at_least("Signed-Releases", 5) | at_least("Binary-Artifacts", 5)
+    short = [(~provenance, text) for text in ADVICE["provenance"]] + [(provenance & ~at_least("Signed-Releases", 7), ADVICE["signed"])]
+    short += [(~at_least(name, 7 if name == "Dangerous-Workflow" else 5), ADVICE[name]) for name in ("Branch-Protection", "Token-Permissions", "CI-Tests", "Dangerous-Workflow", "Pinned-Dependencies")]
+    return F.filter(F.array(*[F.when(test, text) for test, text in short]), lambda x: x.isNotNull())

@@ -116,3 +116,15 @@ def floats_of(raw: pd.Series) -> pd.Series:
 @F.pandas_udf(BinaryType())
 def bytes_of(vectors: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else np.asarray(x, "<f4").tobytes() for x in vectors], dtype=object)
+
+
+def yanked_file(value: Column) -> Column:
+    """Whether a file is withdrawn, by its data-yanked of any JSON type: true, or a reason that is not empty."""
+    kind = F.schema_of_variant(value)
+    return F.coalesce(F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind == "STRING", F.try_variant_get(value, "$", "string") != ""), F.lit(False))
+
+
+def yanked_release(document: Column) -> Column:
+    """Whether any file of a release's document (files with data-yanked) is withdrawn; false without files."""
+    files = F.from_json(document, "files array<struct<`data-yanked` variant>>")["files"]
+    return F.coalesce(F.exists(files, lambda f: yanked_file(f["data-yanked"])), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,6 +42,39 @@ def breaking_changes(results: DataFrame) -> DataFrame:
     return counted.where("changes > 0").select("package_id", "version", "changes")
 
 
+#: Severities of breaking changes, the slightest first.
+RANKS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for the slightest; null for names that are no severity."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in RANKS]), F.upper(severity)), F.lit(0)) - 1
+
+
+def subscribed(events: DataFrame, ecosystem: str | None = None, package_id: str | None = None, min_severity: str | None = None, min_impact: float | None = None) -> DataFrame:
+    """The events that a subscription is for, of a batch or a stream; a filter that is not given lets all pass."""
+    tests = []
+    if ecosystem is not None:
+        tests.append(F.col("ecosystem") == ecosystem)
+    if package_id is not None:
+        tests.append(F.col("package_id") == package_id)
+    if min_severity is not None:
+        tests.append(severity_rank(F.col("severity")) >= RANKS.index(min_severity.upper()))
+    if min_impact is not None:
+        tests.append(F.col("impact_score") >= min_impact)
+    for test in tests:
+        events = events.where(test)
+    return events
+
+
+def recent_activity(events: DataFrame, at: str, width: str, *keys: str) -> DataFrame:
+    """By keys: events of the last width (an SQL interval) up to the latest in the table, those of the one before, and the change in percent."""
+    as_of = F.broadcast(events.agg(F.max(at).alias("_a")))  # one row
+    age = F.col("_a") - F.col(at)
+    now, before = F.count_if(age < F.expr(f"INTERVAL {width}")), F.count_if((age >= F.expr(f"INTERVAL {width}")) & (age < F.expr(f"2 * INTERVAL {width}")))
+    return events.crossJoin(as_of).groupBy(*keys).agg(now.alias("now"), before.alias("before"), (100.0 * (now - before) / F.nullif(before, F.lit(0))).alias("change_percent"))
+
+
 def deduped(events: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
     """The first event of each key; a stream forgets keys behind its watermark."""
     if events.isStreaming:
