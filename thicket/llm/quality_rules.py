@@ -19,6 +19,7 @@ empty result.
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -83,13 +84,16 @@ def main_script(text: str) -> str:
     return min(counts, key=lambda s: (-counts[s], s)) if counts else "OTHER"
 
 
+#: Where a text can be cut: before white space behind anything else, a place that no token of either vocabulary spans.
+CUT_AT = re.compile(r"(?<=\S)(?: (?!\Z)|[\t\n\x0b\x0c])")
+
+
 def cuts(text: str, most: int = CUT) -> Iterator[str]:
-    """The text in parts of ``most`` to twice as many characters, each but the first with the space before it; a run without spaces is cut as it comes."""
+    """The text in parts of at least ``most`` characters, each but the first with the white space before it; a run without white space is never cut."""
     at = 0
     while at < len(text):
-        end = at + most
-        if end < len(text) and (space := text.find(" ", end, end + most)) >= 0:
-            end = space
+        found = CUT_AT.search(text, at + most)
+        end = found.start() if found else len(text)
         yield text[at:end]
         at = end
 
@@ -131,8 +135,10 @@ class Meter:
             return (0.0,) * len(MEASURES)
         tokens, n = [], 0
         for k, part in enumerate(cuts(text)):
-            # The library puts a space before each text itself.
-            tokens.append(np.array(self.pieces.encode(part[1:] if k and part[0] == " " else part, num_threads=1), np.int64))
+            # The library puts a space before each text itself: the part's own goes, or the one put before another sign.
+            own = k and part[0] == " "
+            found = self.pieces.encode(part[1:] if own else part, num_threads=1)
+            tokens.append(np.array(found[1:] if k and not own else found, np.int64))
             n += len(self.multi.encode_ordinary(part))
         ids = np.concatenate(tokens)
         low, high = BYTES
