@@ -338,12 +338,32 @@ def test_main_script():
 
 
 def test_cuts_keep_tokens():
+    """Cut texts give the tokens of whole ones in both vocabularies; runs without white space stay whole."""
     rng = random.Random(6)
-    for _ in range(200):
-        text = "".join(rng.choice("ab é\n") for _ in range(rng.randrange(60)))
+    meter = quality_rules.Meter(*map(quality_rules.public_tokenizers.path, (quality_rules.PIECES, quality_rules.MULTI)))
+    pools = ("ab é\n", "a. 1\t\r\n  ,'s", "中文\u3000字 \x0b\xa0", "don't \n\n  (x) 12 ", "\u2028 a\x85b ")
+    for _ in range(600):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(60)))
         for most in (1, 3, 8):
             parts = list(quality_rules.cuts(text, most))
-            assert "".join(parts) == text and all(0 < len(x) <= 2 * most for x in parts)
+            assert "".join(parts) == text and all(len(x) >= most for x in parts[:-1])
+            assert [t for x in parts for t in meter.multi.encode_ordinary(x)] == meter.multi.encode_ordinary(text)
+            ids = []
+            for k, x in enumerate(parts):
+                own = k and x[0] == " "
+                found = meter.pieces.encode(x[1:] if own else x)
+                ids += found[1:] if k and not own else found
+            assert ids == meter.pieces.encode(text)
+    assert len(list(quality_rules.cuts("字" * 100_000))) == 1
+
+
+def test_fertility_of_lines_alone(monkeypatch):
+    """Texts cut at line feeds measure as whole ones."""
+    meter = quality_rules.Meter(*map(quality_rules.public_tokenizers.path, (quality_rules.PIECES, quality_rules.MULTI)))
+    text = "\n".join(f"line{k}\twith.tabs" for k in range(400))
+    whole = meter.fertility(text, 5000)
+    monkeypatch.setattr(quality_rules.cuts, "__defaults__", (50,))
+    assert meter.fertility(text, 5000) == whole
 
 
 def test_repeated_words_of_many_numbers(monkeypatch):
@@ -790,10 +810,10 @@ def test_media_equals_brute_force(docs, texts):
 
 def test_media_ids_of_text(spark):
     """Ids of any type come back as they were, and ranges over several archives read each member once."""
-    rows = [("a/b ü", "x"), (None, "y"), ("", None), ("a/b ü", "x")]
+    rows = [("a/b ü", "x"), (None, "y"), ("", None), ("a/b ü", "x"), ("long" * 20_000, "z")]
     frame = spark.createDataFrame(rows, "key string, body string").repartition(3)
     got = sorted(((r["key"], r["n_bytes"]) for r in media.media_columns(frame, "key", "body", range_bytes=1 << 20).collect()), key=str)
-    assert got == sorted([("a/b ü", 1), (None, 1), ("", 0), ("a/b ü", 1)], key=str)
+    assert got == sorted([("a/b ü", 1), (None, 1), ("", 0), ("a/b ü", 1), ("long" * 20_000, 1)], key=str)
     assert media.media_columns(frame.where("false"), "key", "body").count() == 0
 
 

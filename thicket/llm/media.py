@@ -10,7 +10,8 @@ speculative task writes an archive of its own name, and only archives that a
 finished task reported are read.
 
 Defined cases: a null text is empty; an empty payload is 64 zero bytes; null or
-repeated ids are members like any other, and may be of any type that has a text; a member that stays unreadable gives a
+repeated ids are members like any other, and may be of any type that has a text,
+of any length; a member that stays unreadable gives a
 row with ``error`` set and the other columns null; an empty table gives an
 empty result; further columns of the input are ignored.
 """
@@ -26,7 +27,6 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
-from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import shared_dir, stored, text_batches
 
 PAD = 64
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 #: Ranges that are planned at most; beyond, each covers more bytes and several archives.
 MOST_RANGES = 100_000
 BATCH_BYTES = 4 << 20
+#: The member that holds the ids of the others, whose names are their numbers.
+IDS = "ids"
 TRIES = 3
 WAV_HEADER = "<4sI4s4sIHHIIHH4sI"
 LOCAL_HEADER = "<4s5H3I2H"
@@ -73,9 +75,15 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = fs.FileSystem.from_uri(root)
         files.create_dir(where, recursive=True)
-        done, out, archive, name, count = [], None, None, "", 0
+        done, out, archive, name, count, ids = [], None, None, "", 0, []
 
         def close() -> None:
+            table = pa.table({"id": pa.array(ids, pa.string())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            archive.writestr(IDS, sink.getvalue().to_pybytes(), compresslevel=1)
+            ids.clear()
             archive.close()
             done.append((name, out.tell(), count))
             out.close()
@@ -87,9 +95,10 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out = io.BufferedWriter(_Raw(files.open_output_stream(name)), 1 << 20)
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 raw = text.as_py().encode() if text.is_valid else b""
-                member = zipfile.ZipInfo(f"{'=' + quote(key.as_py(), safe='') if key.is_valid else ''}/{len(raw)}.wav")
+                member = zipfile.ZipInfo(f"{count}/{len(raw)}.wav")
                 member.compress_type = zipfile.ZIP_DEFLATED
                 archive.writestr(member, to_wav(padded(raw)), compresslevel=1)
+                ids.append(key.as_py())
                 count += 1
                 if out.tell() >= archive_bytes:
                     close()
@@ -165,9 +174,10 @@ class MediaReader(DataSourceReader):
                 listed, error = self.tried(files, f, path, lambda source: zipfile.ZipFile(source).infolist())
                 if listed is None:
                     raise OSError(f"{path}: {error}")  # no member is known, so the task fails and Spark runs it anew
+                ids = self.ids(files, f, path, listed)
                 rows, held = [], 0
-                for m in sorted((m for m in listed if start <= m.header_offset < end), key=lambda m: m.header_offset):
-                    rows.append(self.member(files, f, path, m))
+                for m in sorted((m for m in listed if start <= m.header_offset < end and m.filename != IDS), key=lambda m: m.header_offset):
+                    rows.append(self.member(files, f, path, m, ids))
                     held += m.file_size
                     if held >= BATCH_BYTES:
                         yield self.batch(rows)
@@ -185,9 +195,19 @@ class MediaReader(DataSourceReader):
                 time.sleep(0.1 * 2**k if k + 1 < self.tries else 0)
         return None, error
 
-    def member(self, files, f, path: str, m: zipfile.ZipInfo) -> tuple:
-        key, _, rest = m.filename.partition("/")
-        key = unquote(key[1:]) if key else None
+    def ids(self, files, f, path: str, listed: list[zipfile.ZipInfo]) -> list[str | None]:
+        """The ids of an archive's members, by number. An archive of another writer has none."""
+        own = [m for m in listed if m.filename == IDS]
+        if not own:
+            return []
+        raw, error = self.tried(files, f, path, lambda source: read_member(source, own[0]))
+        if raw is None:
+            raise OSError(f"{path}: {error}")
+        return pa.ipc.open_stream(raw).read_all().column("id").to_pylist()
+
+    def member(self, files, f, path: str, m: zipfile.ZipInfo, ids: list[str | None]) -> tuple:
+        number, _, rest = m.filename.partition("/")
+        key = ids[int(number)] if ids else None
 
         def read(source) -> tuple[bytes, bytes]:
             media = read_member(source, m)

@@ -51,7 +51,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"))
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    # A member that stays unreadable is no result.
+    return found.withColumn("payload_bytes", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("long")).otherwise(F.col("payload_bytes")))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +117,9 @@ WITH RECURSIVE t AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged
 ), faults AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*\z') AS is_cut,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS is_cut,
     left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS previous
   FROM placed
 ), symbols AS (
