@@ -673,6 +673,47 @@ def test_urls_held_out(spark):
     assert all((r["verdict"] == "block") == (r["page_id"] // 10 % 3 == 0) for r in held)
 
 
+def lucky_hosts():
+    """Unwanted hosts whose words come with seeds; later ones bear the same words written together, and no seed."""
+    rng = random.Random(9)
+    odd, plain = ["lucky", "royal", "spin", "fortune", "chips"], ["meadow", "kitchen", "history", "engine", "violin", "harbour"]
+    teach = [f"http://casino-{rng.choice(odd)}-{rng.choice(odd)}-{k}.example.net/fr/x" for k in range(60)] + [f"http://{rng.choice(plain)}-{rng.choice(plain)}-{k}.example.net/fr/y" for k in range(240)]
+    later = [("block", f"http://{a}{b}{k}.example.net/fr/z") for k, (a, b) in enumerate((x, y) for x in odd for y in odd)] + [("allow", f"http://{a}{b}{k}.example.net/fr/z") for k, (a, b) in enumerate((x, y) for x in plain for y in plain)]
+    return teach, later
+
+
+@pytest.mark.parametrize("labels", ["seeds", "known"])
+def test_urls_segmentation_decides(spark, monkeypatch, labels):
+    """Hosts without a seed, their words written together, are told apart by their words; without segmentation they are not."""
+    teach, later = lucky_hosts()
+    rows = teach + [u for _, u in later]
+    frame = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")
+    known = spark.createDataFrame([(u.split("/")[2], k < 60) for k, u in enumerate(teach)], "host string, bad boolean") if labels == "known" else None
+    first = {u.split("/")[2] for u in teach}
+    judged = lambda: {r["page_id"]: r["verdict"] for r in urls.judge(frame, train=lambda h: h.isin(*first), known=known).collect()}
+    want = [v for v, _ in later]
+    got = judged()
+    right = [got[len(teach) + k] == v for k, v in enumerate(want)]
+    assert sum(right) == len(right)
+    monkeypatch.setattr(urls, "segmented", lambda runs, *_: runs.select("run", F.array("run").alias("words")))
+    got = judged()
+    assert len({got[len(teach) + k] for k in range(len(want))}) == 1  # both classes look alike
+
+
+def test_urls_long_hosts(spark):
+    """Runs of any length are split like short ones, in time that grows with their length."""
+    long = "casinoriver" * 2000
+    frame = spark.createDataFrame([(1, f"http://{long}.example.net/fr/1"), (2, "http://river-house.example.net/fr/2"), (3, "http://river-house2.example.net/fr/2")], "page_id long, url string")
+    began = __import__("time").perf_counter()
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(frame).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"} and __import__("time").perf_counter() - began < 60
+    counts = spark.createDataFrame([("ab", 5.0), ("abc", 5.0), ("c", 9.0)], "w string, n double")
+    run = "abcab" * 300
+    monkey = {r["run"]: r["words"] for r in urls.segmented(spark.createDataFrame([(run,)], "run string"), counts, 4.0, [1, 2, 3]).collect()}
+    spans = [(i, m, n) for i in range(len(run)) for m, w, n in ((2, "ab", 5.0), (3, "abc", 5.0), (1, "c", 9.0)) if run[i : i + m] == w]
+    assert monkey[run] == urls.segment(run, spans, 4.0)
+
+
 def test_urls_of_many_words(spark):
     """A word not seen stays unseen however many others there are; long words count."""
     rng = random.Random(7)

@@ -27,6 +27,8 @@ from .common import stored
 
 #: What a word that was never seen costs for each letter, in nats.
 UNSEEN = 2.5
+#: Letters of a run that are cut into substrings at once.
+PIECE = 256
 #: Added to the count of each word in each class.
 SMOOTHING = 0.5
 #: Words that mark a host as unwanted, and common words of host names; both give the segmenter its first counts.
@@ -99,33 +101,47 @@ def unigrams(urls: DataFrame, lexicon: tuple[str, ...] = (*BLOCK_SEEDS, *COMMON_
 
 
 def segmented(runs: DataFrame, counts: DataFrame, log_n: float, lengths: list[int]) -> DataFrame:
-    """run, words for each row of runs (run: distinct letter runs); stored."""
-    spans = runs.select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
-    fitting = F.filter(F.lit(lengths), lambda m: m <= F.length("run") - F.col("start"))
-    spans = spans.select("run", "start", F.explode(fitting).alias("length"))
-    seen = spans.withColumn("w", F.substring("run", F.col("start") + 1, F.col("length"))).join(counts, "w")
-    by = seen.groupBy("run").agg(F.collect_list(F.struct("start", "length", "n")).alias("spans"))  # as many as a run has substrings
+    """run, words for each row of runs (run: distinct letter runs); stored.
+
+    Substrings bear the run's number, and are taken from pieces of PIECE letters
+    (and as many more as the longest word), so a run of n letters costs about n
+    times the number of lengths, however long it is.
+    """
+    runs = stored(runs.select("run", F.monotonically_increasing_id().alias("no")), "runs")
+    size, most = F.length("run"), max(lengths)
+    pieces = F.transform(F.sequence(F.lit(0), size - 1, F.lit(PIECE)), lambda at: F.struct(at.alias("at"), F.substring(F.col("run"), at + 1, F.lit(PIECE + most)).alias("text")))
+    cut = runs.select("no", F.explode(pieces).alias("p")).select("no", "p.at", "p.text")
+
+    def words(start: Column) -> Column:
+        fitting = F.filter(F.lit(lengths), lambda m: m <= F.length("text") - start)
+        return F.transform(fitting, lambda m: F.struct((F.col("at") + start).alias("start"), m.alias("length"), F.substring(F.col("text"), start + 1, m).alias("w")))
+
+    starts = F.sequence(F.lit(0), F.least(F.lit(PIECE), F.length("text")) - 1)
+    spans = cut.select("no", F.explode(F.flatten(F.transform(starts, words))).alias("s")).select("no", "s.start", "s.length", "s.w")
+    seen = spans.join(counts, "w")
+    by = seen.groupBy("no").agg(F.collect_list(F.struct("start", "length", "n")).alias("spans"))  # as many as a run has substrings
 
     @F.pandas_udf("array<string>")
     def split(run: pd.Series, found: pd.Series) -> pd.Series:
         rows = zip(run, found, strict=True)
         return pd.Series([segment(r, [(s["start"], s["length"], s["n"]) for s in x] if x is not None else [], log_n) for r, x in rows], dtype=object)
 
-    return stored(runs.join(by, "run", "left").select("run", split("run", "spans").alias("words")), "segments")
+    return stored(runs.join(by, "no", "left").select("run", split("run", "spans").alias("words")), "segments")
 
 
 class Model:
     """Naive Bayes over the words of urls, as tables: host_words (host, w), labels (host, bad, n), odds (w, odds)."""
 
-    def __init__(self, urls: DataFrame, train: Callable[[Column], Column] | None = None):
-        """urls: host, path, n, each distinct; train: which hosts teach (all if None)."""
+    def __init__(self, urls: DataFrame, train: Callable[[Column], Column] | None = None, known: DataFrame | None = None):
+        """urls: host, path, n, each distinct; train: which hosts teach (all if None); known: hosts whose class is known (host, bad), in place of the seed words."""
         counts, log_n, lengths = unigrams(urls)
         hosts = urls.groupBy("host").agg(F.sum("n").alias("n"))
         runs = hosts.select("host", F.explode(words_of(F.col("host"))).alias("run"))
         split = segmented(runs.select("run").distinct(), counts, log_n, lengths)
         self.host_words = stored(runs.join(split, "run").select("host", F.explode("words").alias("w")), "host-words")
         bad = self.host_words.groupBy("host").agg(F.bool_or(F.col("w").isin(*BLOCK_SEEDS)).alias("bad"))
-        self.labels = stored(hosts.join(bad, "host", "left").select("host", "n", F.coalesce("bad", F.lit(False)).alias("bad")), "host-labels")
+        labels = hosts.join(bad, "host", "left").select("host", "n", F.coalesce("bad", F.lit(False)).alias("bad")) if known is None else hosts.join(known.groupBy("host").agg(F.bool_or("bad").alias("bad")), "host")
+        self.labels = stored(labels, "host-labels")
         teach = self.labels if train is None else self.labels.where(train(F.col("host")))
         of_hosts = self.host_words.join(teach, "host").select("w", "n", "bad")
         of_paths = urls.select("host", "path", "n").join(teach.select("host", "bad"), "host").select(F.explode(words_of(F.col("path"))).alias("w"), "n", "bad")
@@ -146,20 +162,23 @@ class Model:
 
     def scored(self, urls: DataFrame) -> DataFrame:
         """urls (any rows with host and path) with log_odds."""
-        hosts = stored(self.sums(self.host_words, "host"), "host-odds")
+        hosts = self.sums(self.host_words, "host")
         paths = urls.select("path").distinct().select("path", F.explode(words_of(F.col("path"))).alias("w"))
-        paths = stored(self.sums(paths, "path"), "path-odds")
+        paths = self.sums(paths, "path")
         found = urls.join(hosts, "host", "left").join(paths, "path", "left")
         total = F.lit(self.prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
         return found.withColumn("log_odds", F.round(total, 9)).drop("host_odds", "path_odds")
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", train: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Per page: host, path, the rule that fits or null, verdict (the rule's, else the classifier's) and the classifier's log-odds."""
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", train: Callable[[Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Per page: host, path, the rule that fits or null, verdict (the rule's, else the classifier's) and the classifier's log-odds.
+
+    Hosts of known class (host, bad), where there are such, teach in place of the seed words.
+    """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     urls = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     distinct = stored(urls.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    scored = Model(distinct, train).scored(urls).withColumn("rule", rule)
+    scored = Model(distinct, train, known).scored(urls).withColumn("rule", rule)
     by_method = F.when((F.col("host") != "") & (F.col("log_odds") > 0), "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce(verdict, by_method)).select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "log_odds")
