@@ -833,6 +833,14 @@ def test_lm_many_buckets(docs):
     assert many == pytest.approx(few)
 
 
+def test_lm_many_chunks_a_bucket(docs, monkeypatch):
+    """Requests that are merged in groups, and groups of groups, get the same counts."""
+    want = {r["doc_id"]: tuple(r)[1:] for r in lm.score(docs, chunk=3000).collect()}
+    monkeypatch.setattr(lm.answers, "__defaults__", (3,))
+    got = {r["doc_id"]: tuple(r)[1:] for r in lm.score(docs, chunk=3000).collect()}
+    assert got == want and len(want) == 200
+
+
 def test_media_equals_brute_force(docs, texts):
     got = {r["doc_id"]: r for r in media.media_columns(docs).collect()}
     for k, t in texts.items():

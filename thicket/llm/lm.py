@@ -9,8 +9,9 @@ held-out counts: each training occurrence is scored with its own count deleted.
 The corpus is cut into chunks of CHUNK words. A chunk keeps its token numbers
 and its vocabulary (64-bit hashes) in a stored table, and asks for the counts of
 its distinct unigrams and bigrams. Requests meet in hash buckets, which add up
-the training counts of all chunks and answer each; so no task holds more than
-one chunk or one bucket, and the volume follows the corpus.
+the training counts of all chunks and answer each, in groups of FAN where more
+chunks ask; so no task holds more than one chunk or that many requests, and the
+volume follows the corpus.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and
 ids are rows like any other (a null id counts as empty text in the split); with
@@ -49,6 +50,8 @@ NONE = 500
 ROUNDS = 100
 #: Numbers that are not worth a compressed frame: a chunk asks a bucket for few once there are many buckets.
 FEW = 16
+#: Requests that a bucket answers at once.
+FAN = 4096
 
 
 class Numbers(dict):
@@ -191,15 +194,49 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(k, 1).to_pylist()[0]
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """bucket, chunk, kind, counts: the total training counts in the order asked; total, known: their sum and number, in one row (chunk null) of each bucket of words."""
+REPLY = "bucket int, chunk string, kind int, counts binary, total long, known long"
+
+
+def merged(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys that the requests of a group hold, their counts, which of them each asked key is, and where each request's keys end."""
+    keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]]
+    found, of = distinct(np.concatenate(keys))
+    counts = np.bincount(of, weights=np.concatenate([unpack(x, "<u8") for x in group["counts"]]), minlength=len(found)).astype("<u8")
+    return found, counts, of, np.cumsum([len(k) for k in keys])[:-1]
+
+
+def answers(asked: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
+    """bucket, chunk, kind, counts: the total training counts in the order asked; total, known: their sum and number, in one row (chunk null) of each bucket of words.
+
+    A word that every chunk holds brings a request of each to its bucket. Up to
+    ``fan`` of them are answered at once; of more, groups of that many are merged
+    to one request each, which is answered in the same way, and then
+    answer their own. So no task holds more than about ``fan`` requests.
+    """
+    groups = -(-chunks // fan)
+    if groups > 1:
+        part = asked.withColumn("g", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("string"))
+
+        def merge(group: pd.DataFrame) -> pd.DataFrame:
+            found, counts, _, _ = merged(group)
+            first = group.iloc[0]
+            return pd.DataFrame({"bucket": [first["bucket"]], "chunk": [first["g"]], "kind": [first["kind"]], "keys": [pack(np.diff(found, prepend=np.uint64(0)))], "counts": [pack(counts)]})
+
+        whole = answers(stored(part.groupBy("bucket", "kind", "g").applyInPandas(merge, REQUEST), "lm-merged"), groups, fan)
+
+        def pass_on(group: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+            _, _, of, bounds = merged(group)
+            counts = unpack(reply["counts"].iloc[0], "<u8")
+            out = group[["bucket", "chunk", "kind"]].copy()
+            out["counts"] = [pack(counts[x]) for x in np.split(of, bounds)]
+            return out.assign(total=0, known=0)
+
+        replies = whole.where("chunk IS NOT NULL").withColumnRenamed("chunk", "g")
+        own = part.groupBy("bucket", "kind", "g").cogroup(replies.groupBy("bucket", "kind", "g")).applyInPandas(pass_on, REPLY)
+        return stored(own.unionByName(whole.where("chunk IS NULL")), "lm-answers")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in group["keys"]]
-        found, of = distinct(np.concatenate(keys))
-        bounds = np.cumsum([len(k) for k in keys])[:-1]
-        del keys
-        counts = np.bincount(of, weights=np.concatenate([unpack(x, "<u8") for x in group["counts"]]), minlength=len(found)).astype("<u8")
+        _, counts, of, bounds = merged(group)
         out = group[["bucket", "chunk", "kind"]].copy()
         out["counts"] = [pack(counts[part]) for part in np.split(of, bounds)]
         if group["kind"].iloc[0] == 1:
@@ -209,7 +246,7 @@ def answers(asked: DataFrame) -> DataFrame:
             out["total"], out["known"] = 0, 0
         return out
 
-    return stored(asked.groupBy("bucket", "kind").applyInPandas(run, "bucket int, chunk string, kind int, counts binary, total long, known long"), "lm-answers")
+    return stored(asked.groupBy("bucket", "kind").applyInPandas(run, REPLY), "lm-answers")
 
 
 def counted(chunks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
@@ -272,10 +309,10 @@ def fit(cells: list[tuple[int, int, int, float]]) -> np.ndarray:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (the interpolated model), log10."""
     chunks = chunked(docs, id_col, text_col, folds, held, chunk)
-    total = chunks.select(F.sum("n").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
+    total = chunks.select(F.sum("n").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs"), F.count(F.lit(1)).alias("chunks")).first()
     tokens, train_docs = int(total["n"] or 0), int(total["docs"] or 0)
     buckets = max(1, math.ceil(tokens / BUCKET_KEYS))
-    replies = answers(requests(chunks, buckets))
+    replies = answers(requests(chunks, buckets), total["chunks"])
     n_train, n_vocabulary = (int(x or 0) for x in replies.where("chunk is null").agg(F.sum("total"), F.sum("known")).first())
     uniform = 1 / (n_vocabulary + 1)
     full = counted(chunks, replies, buckets)
