@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, stored_counted
 
 MAX_DEPTH = 10
 
@@ -35,9 +35,9 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = False) -
     found = []
     for k in range(1, clamp(depth) + 1):
         new = steps.join(frontier, "id").select("origin", F.col("_next").alias("id")).distinct()
-        level = stored(new.join(seen, ["origin", "id"], "left_anti").withColumn("depth", F.lit(k)), "level")
+        level, rows = stored_counted(new.join(seen, ["origin", "id"], "left_anti").withColumn("depth", F.lit(k)), "level")
         found.append(level)
-        if k == clamp(depth) or level.isEmpty():
+        if k == clamp(depth) or not rows:
             break
         seen = seen.unionByName(level)
         frontier = level.select("origin", "id")
@@ -55,13 +55,11 @@ def reach(edges: DataFrame, root: str | int, depth: int, forward: bool = False)
 
 def core(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without an edge in, or without one out, are peeled off until none is: all cycles are in there."""
-    now = stored(edges.where("src <> dst").distinct(), "edges")
-    left = now.count()
+    now, left = stored_counted(edges.where("src <> dst").distinct(), "edges")
     while left:
         ends = now.select(F.col("dst").alias("src")).distinct()
         starts = now.select(F.col("src").alias("dst")).distinct()
-        after = stored(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"), "core")
-        n = after.count()
+        after, n = stored_counted(now.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"), "core")
         if n == left:
             return after
         now, left = after, n

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import changes, documents, licences, text, vectors
+from ..operators import symbols as symbols_of
 from ..operators import vector_index
 from .registry import Tables, query
 
@@ -78,16 +75,6 @@ def _(t: Tables) -> DataFrame:
     return t.fx_vector.join(t.fx_vector.where("ecosystem = '2'").select("vec_id"), "vec_id", "left_anti").select("vec_id")
 
 
-@query("search_quality", f"WITH r AS (SELECT v.package_id, q.package_id AS want, q.vec_id AS qid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS rank FROM fx_vector v JOIN fx_vector q ON q.vec_id < 20 AND v.vec_id <> q.vec_id), b AS (SELECT qid, min(rank) FILTER (package_id = want) AS best FROM r WHERE rank <= 20 GROUP BY qid) SELECT round(avg(coalesce(1.0 / best, 0)), 6) AS mrr, round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 END), 6) AS recall FROM b")
-def _(t: Tables) -> DataFrame:
-    """MRR and recall at 20 of a golden set of 20 queries against all vectors."""
-    golden = F.broadcast(t.fx_vector.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("package_id").alias("want"), F.col("vector").alias("q")))  # 20 rows
-    hits = t.fx_vector.join(golden, F.col("vec_id") != F.col("qid")).withColumn("score", F.round(vectors.cosine(F.col("vector"), F.col("q")), 6))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    best = hits.withColumn("rank", F.row_number().over(w)).where("rank <= 20").groupBy("qid").agg(F.min(F.when(F.col("package_id") == F.col("want"), F.col("rank"))).alias("best"))
-    return best.agg(F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("best").isNull(), 0).otherwise(1)), 6).alias("recall"))
-
-
 def vector_table(t: Tables) -> tuple[vector_index.Index, DataFrame]:
     """The index of all vectors, and the queries: every row whose id is divisible by 50."""
     return vector_index.build(t.fx_vector, "vec_id", "vector", keep=("ecosystem",)), t.fx_vector.where("vec_id % 50 = 0")
@@ -118,6 +105,39 @@ def _(t: Tables) -> DataFrame:
     return vector_index.recall(index, asked, "vec_id", "vector")
 
 
+RANKED = f"(SELECT v.package_id, q.package_id AS want, q.vec_id AS qid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS rank FROM fx_vector v JOIN fx_vector q ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)"
+BEST = f"b AS (SELECT qid, min(rank) FILTER (package_id = want) AS best, count(*) FILTER (package_id = want) AS hits FROM {RANKED} WHERE rank <= 20 GROUP BY qid)"
+
+
+def best_hits(t: Tables) -> DataFrame:
+    """Per query of the set that grows with the table: the best rank of its own package among its 20 nearest rows, and how many of them are its own."""
+    index, asked = vector_table(t)
+    found = vector_index.search(index, asked, "vec_id", "vector", k=20, exact=True)
+    hits = found.join(t.fx_vector.select(F.col("vec_id").alias("id"), "package_id"), "id").join(asked.select(F.col("vec_id").alias("qid"), F.col("package_id").alias("want")), "qid")
+    same = F.col("package_id") == F.col("want")
+    return hits.groupBy("qid").agg(F.min(F.when(same, F.col("rank"))).alias("best"), F.count_if(same).alias("hits"))
+
+
+MRR, RECALL = "round(avg(coalesce(1.0 / best, 0)), 6) AS mrr", "round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 END), 6) AS recall"
+
+
+def rank_means() -> tuple[Column, Column]:
+    """Mean reciprocal rank and recall over best."""
+    return F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.when(F.col("best").isNull(), 0).otherwise(1)), 6).alias("recall")
+
+
+@query("search_quality", f"WITH {BEST} SELECT {MRR}, {RECALL} FROM b")
+def _(t: Tables) -> DataFrame:
+    """MRR and recall at 20 of every row whose id is divisible by 50, against all rows."""
+    return best_hits(t).agg(*rank_means())
+
+
+@query("retrieval_quality", f"WITH {BEST} SELECT count(*) AS queries, {MRR}, {RECALL}, round(avg(hits / 20.0), 6) AS precision FROM b")
+def _(t: Tables) -> DataFrame:
+    """The same with the precision at 20 and the number of queries."""
+    return best_hits(t).agg(rows_n().alias("queries"), *rank_means(), F.round(F.avg(F.col("hits") / 20), 6).alias("precision"))
+
+
 # Licences: every part has an expression of one or two licences.
 
 PERMISSIVE = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC")
@@ -499,13 +519,13 @@ def _(t: Tables) -> DataFrame:
     return param_changes(t).select("severity").unionByName(return_changes(t).select("severity")).unionByName(gone).groupBy("severity").agg(rows_n())
 
 
-RAW_SIGNATURE = "'fn  t(  ' || substr(text, 1, 30) || '  ,  b:' || chr(9) || substr(text, 40, 20) || '  )  '"
+RAW_SIGNATURE = "'fn  t(  ' || text || '  ,  b:' || chr(9) || coalesce(source, '') || '  )  '"
 
 
 @query("normalize_signature", f"SELECT doc_id AS id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({RAW_SIGNATURE}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '[(] ', '(', 'g'), ' [)]', ')', 'g'), ' ,', ',', 'g') AS signature FROM documents")
 def _(t: Tables) -> DataFrame:
-    """White space runs are one blank, none inside brackets or before commas; passages of the texts are the parameters."""
-    raw = F.concat(F.lit("fn  t(  "), F.substr("text", F.lit(1), F.lit(30)), F.lit("  ,  b:\t"), F.substr("text", F.lit(40), F.lit(20)), F.lit("  )  "))
+    """White space runs are one blank, none inside brackets or before commas; the texts are the parameters."""
+    raw = F.concat(F.lit("fn  t(  "), "text", F.lit("  ,  b:\t"), F.coalesce("source", F.lit("")), F.lit("  )  "))
     return t.documents.select(F.col("doc_id").alias("id"), text.normal_signature(raw).alias("signature"))
 
 
@@ -541,25 +561,12 @@ def _(t: Tables) -> DataFrame:
     return t.fx_version.select("id", F.lag("version").over(Window.partitionBy("package_id").orderBy("published_at", "id")).alias("previous"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def python_symbols(sources: pd.Series) -> pd.Series:
-    """Public functions and classes of Python sources; a source that does not parse has none."""
-
-    def names(source: str) -> list[str]:
-        try:
-            tree = ast.parse(source or "")
-        except (SyntaxError, ValueError):
-            return []
-        return [n.name for n in tree.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) and not n.name.startswith("_")]
-
-    return sources.map(names)
-
-
 @query("extract_symbols_py", "SELECT doc_id AS id, unnest(['f' || CAST(doc_id AS VARCHAR), 'C' || CAST(doc_id AS VARCHAR)]) AS symbol FROM documents WHERE doc_id % 4 <> 0")
 def _(t: Tables) -> DataFrame:
     k = F.col("doc_id").cast("string")
     source = F.when(F.col("doc_id") % 4 == 0, "def broken(").otherwise(F.concat(F.lit("def f"), k, F.lit("(a, b=1):\n    return a\n\nclass C"), k, F.lit(":\n    pass\n\ndef _hidden():\n    pass\n")))
-    return t.documents.select(F.col("doc_id").alias("id"), F.explode(python_symbols(source)).alias("symbol"))
+    found = symbols_of.extract(t.documents.select(F.col("doc_id").alias("id"), F.lit("python").alias("language"), source.alias("source")), keep_broken=False)
+    return found.where((F.col("path") == F.col("name")) & (F.col("visibility") == "public") & F.col("kind").isin("function", "class")).select("id", F.col("name").alias("symbol"))
 
 
 @query("split_name_version", "SELECT id, name, CAST(id AS VARCHAR) || '.0' AS version FROM (SELECT p_partkey AS id, '@scope/' || CAST(p_partkey AS VARCHAR) AS name FROM part)")

@@ -186,10 +186,10 @@ def _(t: Tables) -> DataFrame:
     return rows.select(F.col("project").alias("id"), sbom.cyclonedx(F.col("project"), F.lit("1.0.0"), F.col("packages"), links, F.col("vulns"), CREATED, F.md5(F.col("project").cast("binary"))).alias("document"))
 
 
-@query("spdx_ids", "SELECT doc_id AS id, regexp_replace(text, '[^\\p{L}\\p{N}.-]', '-', 'g') AS spdx_id FROM (SELECT doc_id, substr(text, 1 + CAST(doc_id % 50 AS INT), 40) AS text FROM documents)")
+@query("spdx_ids", "SELECT doc_id AS id, regexp_replace(text, '[^\\p{L}\\p{N}.-]', '-', 'g') AS spdx_id FROM documents")
 def _(t: Tables) -> DataFrame:
-    """Identifiers for a document of names as they come; here a passage of each text serves as the name."""
-    return t.documents.select(F.col("doc_id").alias("id"), sbom.spdx_id(F.substr("text", (1 + F.col("doc_id") % 50).cast("int"), F.lit(40))).alias("spdx_id"))
+    """Identifiers for a document of names as they come; here each text serves as the name."""
+    return t.documents.select(F.col("doc_id").alias("id"), sbom.spdx_id(F.col("text")).alias("spdx_id"))
 
 
 # Release notes and predictions.

@@ -301,9 +301,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("degree_counts", "SELECT coalesce(o.id, i.id) AS id, coalesce(o.n, 0) AS dependency_count, coalesce(i.n, 0) AS dependent_count FROM (SELECT src AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY src) o FULL JOIN (SELECT dst AS id, count(*) AS n FROM fx_depends_on_pkg GROUP BY dst) i ON o.id = i.id")
 def _(t: Tables) -> DataFrame:
-    """Both degrees in one aggregate instead of a full join of two."""
-    ends = t.fx_depends_on_pkg.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))
-    return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.o").alias("dependency_count"), F.sum(1 - F.col("e.o")).alias("dependent_count"))
+    """Both degrees in one aggregate over pairs of numbers instead of a full join of two."""
+    pairs = fixtures.coded_edges(t).distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("e"))
+    by = ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.o").alias("dependency_count"), F.sum(1 - F.col("e.o")).alias("dependent_count"))
+    return by.withColumn("id", fixtures.name_of(F.col("id")))
 
 
 @query("page_cursor", f"SELECT id, CAST(base64(CAST(CAST(row_number() OVER (ORDER BY id) - 1 AS VARCHAR) AS BLOB)) AS VARCHAR) AS page_mark FROM (SELECT id FROM fx_package WHERE {LIVE} ORDER BY id LIMIT 30)")
