@@ -1,4 +1,4 @@
-"""SPDX expressions: a small parser inside a pandas UDF, and the reference table of licences."""
+"""SPDX expressions, each distinct one parsed once, and the reference table of licences."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..storage import stored
 
@@ -164,13 +163,3 @@ def warnings(policy: Policy, deprecated: tuple[str, ...] = ()) -> Column:
     )
     found = F.filter(rules, lambda x: x.isNotNull())
     return F.when(~F.col("licence").isin(*policy.denied), found).otherwise(F.array().cast("array<string>")) if policy.denied else found
-
-
-def spdx_satisfied(allowed: tuple[str, ...]):
-    known = frozenset(allowed)
-
-    @F.pandas_udf(BooleanType())
-    def run(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: satisfied(postfix(x), known))
-
-    return run

@@ -136,6 +136,22 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+# Records of a topic: analysis results as JSON bytes, of which some are cut off or lack their package.
+
+RESULTS = "(SELECT event_id, package_id, version, breaking_changes, analyzed_at, event_id % 11 AS k FROM fx_analysis_result)"
+
+
+@query("analysis_records", f"SELECT event_id, CASE WHEN k = 0 THEN 'not json' WHEN k = 1 THEN 'no package_id' END AS reason, CASE WHEN k > 1 THEN package_id || '@' || version END AS release, CASE WHEN k > 1 THEN json_array_length(breaking_changes) ELSE 0 END AS changes FROM {RESULTS}")
+def _(t: Tables) -> DataFrame:
+    """Records decoded as they come from their source, and the dead letters with their reasons."""
+    k = F.col("event_id") % 11
+    body = F.to_json(F.struct(F.when(k != 1, F.col("package_id")).alias("package_id"), "version", "breaking_changes", "analyzed_at"))
+    records = t.fx_analysis_result.select("event_id", F.when(k == 0, F.left(body, F.char_length(body) - 1)).otherwise(body).alias("value"))
+    good, letters = views.split_letters(records, "value", "package_id string, version string, breaking_changes string", "package_id")
+    kept = good.select("event_id", F.lit(None).cast("string").alias("reason"), F.concat_ws("@", "package_id", "version").alias("release"), F.json_array_length("breaking_changes").cast("long").alias("changes"))
+    return kept.unionByName(letters.select("event_id", "reason", F.lit(None).cast("string").alias("release"), F.lit(0).cast("long").alias("changes")))
+
+
 # Range vectors: evaluations each hour, over ranges of six hours and of a day.
 
 GROWN = "(SELECT event_type, ts, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS inc FROM (SELECT *, lag(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM events))"
