@@ -49,6 +49,21 @@ def test_graph_by_hand(spark):
     assert graph.core(edges.where("src <> 'z'")).count() == 0
 
 
+def test_typed_edges_reach_the_same(spark):
+    """Edges apart by kind give what one table of them gives, with a cycle between two kinds and a kind without edges."""
+    from thicket.operators import graph
+
+    a, b, c = (lambda k: k * 8), (lambda k: k * 8 + 1), (lambda k: k * 8 + 2)
+    frame = lambda pairs: spark.createDataFrame(pairs, "src long, dst long")
+    types = {("a", "b"): frame([(a(1), b(1)), (a(1), b(2)), (a(2), b(3)), (a(1), b(1))]), ("b", "a"): frame([(b(1), a(2)), (b(3), a(1))]), ("b", "c"): frame([(b(2), c(1))]), ("c", "c"): frame([(c(1), c(2)), (c(2), c(1))]), ("x", "y"): frame([])}
+    whole = frame([]).unionByName(types["a", "b"]).unionByName(types["b", "a"]).unionByName(types["b", "c"]).unionByName(types["c", "c"])
+    for forward in (True, False):
+        for kind, root in (("a", a(1)), ("c", c(2)), ("b", b(3)), ("y", 77)):
+            for depth in (1, 2, 9):
+                got = sorted(map(tuple, graph.typed_reach(types, kind, root, depth, forward).collect()))
+                assert got == sorted(map(tuple, graph.reach(whole, root, depth, forward).collect()))
+
+
 def test_lookups_push_their_keys(spark):
     plan = catalog.queries()["package_lookup"](spark, SF)._jdf.queryExecution().toString()
     assert "EqualTo(p_partkey,10)" in plan and "c_custkey" not in plan

@@ -53,6 +53,42 @@ def reach(edges: DataFrame, root: str | int, depth: int, forward: bool = False)
     return bfs(edges, roots.select(*[F.col(c).cast(edges.schema["src"].dataType) for c in ("origin", "id")]), depth, forward).select("id", "depth")
 
 
+def typed_reach(types: dict[tuple[str, str], DataFrame], kind: str, root: int, depth: int, forward: bool = False) -> DataFrame:
+    """id, depth of what root, a node of that kind, reaches over edges that lie apart by the kinds of their ends.
+
+    A level reads those edges alone whose near end is of a kind that the last
+    level found; ids of different kinds differ, so what is known is kept by kind.
+    """
+    near, far = (0, 1) if forward else (1, 0)
+    here, there = ("src", "dst") if forward else ("dst", "src")
+    spark = next(iter(types.values())).sparkSession
+    start = spark.range(1).select(F.lit(root).cast("long").alias("id"))
+    seen: dict[str, DataFrame] = {kind: start}
+    frontier, found = {kind: start}, []
+    for k in range(1, clamp(depth) + 1):
+        reached: dict[str, DataFrame] = {}
+        for kinds, edges in types.items():
+            if kinds[near] in frontier:
+                new = edges.select(F.col(here).alias("id"), F.col(there).cast("long").alias("_next")).join(frontier[kinds[near]], "id").select(F.col("_next").alias("id"))
+                reached[kinds[far]] = reached[kinds[far]].unionByName(new) if kinds[far] in reached else new
+        frontier = {}
+        for own, new in reached.items():
+            new = new.distinct()
+            level, rows = stored_counted(new.join(seen[own], "id", "left_anti") if own in seen else new, "level")
+            if rows:
+                frontier[own] = level
+                seen[own] = seen[own].unionByName(level) if own in seen else level
+                found.append(level.withColumn("depth", F.lit(k)))
+        if not frontier:
+            break
+    if not found:
+        return start.where("false").withColumn("depth", F.lit(0))
+    out = found[0]
+    for level in found[1:]:
+        out = out.unionByName(level)
+    return out
+
+
 def core(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without an edge in, or without one out, are peeled off until none is: all cycles are in there."""
     now, left = stored_counted(edges.where("src <> dst").distinct(), "edges")

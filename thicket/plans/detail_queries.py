@@ -126,7 +126,7 @@ def _(t: Tables) -> DataFrame:
     """Dependencies of a package by depth: nodes, edges from them inside the view, and the greatest depth."""
     edges = fixtures.coded_edges(t)
     root = fixtures.code_of(VIEW_ROOT)
-    found = graph.reach(edges, root, VIEW_DEPTH, forward=True)
+    found = graph.typed_reach(fixtures.edge_types(t), VIEW_ROOT.partition(":")[0], root, VIEW_DEPTH, forward=True)
     nodes = found.unionByName(t.spark.range(1).select(F.lit(root).cast("long").alias("id"), F.lit(0).alias("depth")))
     inside = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
     by = nodes.join(inside.groupBy(F.col("src").alias("id")).agg(rows_n()), "id", "left").groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))

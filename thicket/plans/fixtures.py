@@ -70,16 +70,24 @@ VIEWS = {
 CODE = "CAST({key} AS BIGINT) * 8 + {kind}"
 
 
-def coded_edges(tables) -> DataFrame:
-    """The package edges as pairs of node codes (src, dst), repeats included: no text is built and nothing is shuffled but the join of lines and orders."""
+def edge_types(tables) -> dict[tuple[str, str], DataFrame]:
+    """The package edges by the kinds of their ends, as pairs of node codes (src, dst), repeats included: no text is built, and nothing is shuffled but the join of lines and orders."""
     c = {name: CODE.replace("{kind}", str(k)) for k, (name, _, _) in enumerate(KINDS)}
-    sql = (
-        f"SELECT {c['customer'].format(key='o_custkey')} AS src, {c['part'].format(key='l_partkey')} AS dst FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"
-        f" UNION ALL SELECT {c['part'].format(key='l_partkey')}, {c['supplier'].format(key='l_suppkey')} FROM {{lineitem}}"
-        f" UNION ALL SELECT {c['supplier'].format(key='s_suppkey')}, {c['nation'].format(key='s_nationkey')} FROM {{supplier}}"
-        f" UNION ALL SELECT {c['nation'].format(key='n_nationkey')}, {c['region'].format(key='n_regionkey')} FROM {{nation}}"
-    )
-    return tables.spark.sql(sql, **{t: getattr(tables, t) for t in ("lineitem", "orders", "supplier", "nation")})
+    sql = {
+        ("customer", "part"): f"SELECT {c['customer'].format(key='o_custkey')} AS src, {c['part'].format(key='l_partkey')} AS dst FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey",
+        ("part", "supplier"): f"SELECT {c['part'].format(key='l_partkey')} AS src, {c['supplier'].format(key='l_suppkey')} AS dst FROM {{lineitem}}",
+        ("supplier", "nation"): f"SELECT {c['supplier'].format(key='s_suppkey')} AS src, {c['nation'].format(key='s_nationkey')} AS dst FROM {{supplier}}",
+        ("nation", "region"): f"SELECT {c['nation'].format(key='n_nationkey')} AS src, {c['region'].format(key='n_regionkey')} AS dst FROM {{nation}}",
+    }
+    return {kinds: tables.spark.sql(text, **{t: getattr(tables, t) for t in ("lineitem", "orders", "supplier", "nation") if f"{{{t}}}" in text}) for kinds, text in sql.items()}
+
+
+def coded_edges(tables) -> DataFrame:
+    """All of them as one table."""
+    first, *rest = edge_types(tables).values()
+    for other in rest:
+        first = first.unionByName(other)
+    return first
 
 
 def code_of(node: str) -> int:

@@ -20,8 +20,8 @@ def reached(name: str, root: str = ROOT, depth: int = DEPTH) -> str:
 
 
 def reach_of(t: Tables, root: str = ROOT, depth: int = DEPTH) -> DataFrame:
-    """id, depth of the dependents of root, over coded edges."""
-    found = graph.reach(fixtures.coded_edges(t), fixtures.code_of(root), depth)
+    """id, depth of the dependents of root, over coded edges by the kinds of their ends."""
+    found = graph.typed_reach(fixtures.edge_types(t), root.partition(":")[0], fixtures.code_of(root), depth)
     return found.select(fixtures.name_of(F.col("id")).alias("id"), "depth")
 
 
