@@ -181,6 +181,15 @@ def test_mixing_rows_match_plan(docs):
     assert mixed[0].asDict().keys() == set(docs.columns)
 
 
+def test_mixing_many_rows_without_an_id(spark):
+    """They spread over the shards of their source, and get their share."""
+    rows = [(None, "a", f"w{k} x y") for k in range(3000)] + [(k, "b", "one two") for k in range(1500)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), shard_docs=100).collect()
+    taken = [r["taken"] for r in plan if r["source"] == "a"]
+    target = next(r["target"] for r in plan if r["source"] == "a")
+    assert len(taken) == 3000 and abs(sum(taken) - target) <= 2 and all(0 <= t <= 9 for t in taken)
+
+
 def test_mixing_odd(odd):
     assert mixing.plan_mix(odd.drop("size")).count() == len(ODD)
     assert mixing.plan_mix(odd.drop("size").where("false")).count() == 0

@@ -71,7 +71,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     With keep_text all input columns stay; else only the id and the source. Sizes
     are counted once and stored, as three aggregates read them.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    # Rows without an id are dealt by their texts: they can be many, and would else be one shard.
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.xxhash64(text_col).cast("string")))).cast("binary"))
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     if keep_text:
         sized = docs.withColumn("size", size)
