@@ -533,6 +533,14 @@ def test_html_names(page, want):
     assert html.Wrapper(html.page_wrapper(tree)).text(tree) == want
 
 
+def test_html_merges_in_rounds(spark, monkeypatch):
+    """However many tasks read a host's pages, and however few wrappers meet at once, the texts are the same."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    monkeypatch.setattr(html, "FAN", 2)
+    assert {r["page_id"]: r["text"] for r in html.extract(pages.repartition(11)).collect()} == want
+
+
 def test_html_odd(spark):
     """Nulls, an empty table, repeated rows and further columns of clashing names."""
     rows = [(1, None, None, "x"), (None, "http://h.example/", "<p>t</p>", "y"), (3, None, "<p>a</p>", None), (3, None, "<p>a</p>", None)]

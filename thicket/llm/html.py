@@ -21,7 +21,8 @@ where it is a heading or quotation of an article, or stands between texts that v
 wrapper: a block that matches no node has no text.
 
 Partial wrappers form where the pages are read, one a host and task, and merge
-by host in two steps, so a host with a third of all pages is never gathered.
+by host in rounds of at most FAN, so a host with a third of all pages is never
+gathered, whatever the number of tasks.
 
 Defined cases: null or empty html has empty text; a page without a known host
 uses the wrapper of the empty host; unclosed or cut-off markup ends where the
@@ -69,6 +70,9 @@ LEXICON = STRONG | WEAK | HEADER | CONTENT
 GROUP = "()"
 #: Pages that a fixed text must stand on before it counts as furniture.
 FIXED_PAGES = 3
+#: Wrappers of a host that meet in one merge.
+FAN = 64
+WRAPPER = "host string, part int, wrapper string"
 #: Share of a subtree's text inside links from which it is navigation.
 LINK_SHARE = 0.6
 #: Share of the (weighted) text of a node that one container must hold to be its main region, and the weights of blocks named so and of article and main.
@@ -521,20 +525,24 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 for x in nodes_of(w):
                     x.cover = []  # a wrapper keeps no page
                 found[host] = merge(found[host], w) if host in found else w
-        # A task that runs anew deals its rows as before.
-        salt = TaskContext.get().partitionId() % 64
-        yield pd.DataFrame({"host": [*found], "salt": [salt] * len(found), "wrapper": [packed(w) for w in found.values()]}).astype({"host": object, "salt": "int32", "wrapper": object})
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"host": [*found], "part": [part] * len(found), "wrapper": [packed(w) for w in found.values()]}).astype({"host": object, "part": "int32", "wrapper": object})
 
     def both(group: pd.DataFrame) -> pd.DataFrame:
         total = None
         for line in sorted(group["wrapper"]):
             total = unpacked(line) if total is None else merge(total, unpacked(line))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [packed(total)]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["part"].iloc[0]], "wrapper": [packed(total)]})
 
     rows = text_batches(pages).select(F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
-    part = rows.mapInPandas(read, "host string, salt int, wrapper string")
-    step = part.groupBy("host", "salt").applyInPandas(both, "host string, wrapper string")
-    return stored(step.groupBy("host").applyInPandas(both, "host string, wrapper string"), "wrappers")
+    found = stored(rows.mapInPandas(read, WRAPPER), "wrapper-parts")
+    last = found.agg(F.max("part").alias("last")).first()["last"] or 0
+    while True:
+        # Tasks whose numbers agree but for the last digit to the base FAN meet.
+        last //= FAN
+        found = stored(found.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("host", "part").applyInPandas(both, WRAPPER), "wrappers")
+        if not last:
+            return found.select("host", "wrapper")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
