@@ -136,6 +136,33 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+# The life of packages as records of three topics: orders by their number, some of a topic that the graph does not know.
+
+LIFE = """SELECT event_id, CASE WHEN k = 3 THEN 'no such topic: other' END AS error, CASE k WHEN 0 THEN CASE WHEN event_id % 5 = 0 THEN 'yanked' ELSE 'published' END WHEN 1 THEN 'yanked' WHEN 2 THEN 'deleted' END AS kind, CASE WHEN k < 3 THEN 'cargo:c' || o_custkey END AS package_id, CASE WHEN k < 2 THEN 'v' || event_id WHEN k = 2 AND event_id % 3 = 0 THEN 'v' || event_id END AS version, CASE WHEN k < 3 THEN CAST(epoch(o_orderdate) AS BIGINT) ELSE 0 END AS seconds, CASE WHEN k = 0 THEN 'cargo:d' || event_id % 10 || '=^' || event_id % 4 ELSE '' END AS needs FROM (SELECT o_orderkey AS event_id, o_orderkey % 4 AS k, o_custkey, o_orderdate FROM orders)"""
+
+
+@query("decode_life", LIFE)
+def _(t: Tables) -> DataFrame:
+    """Publications, yanks and deletions as events of the package graph; deletions take the time of their envelope where they have none."""
+    o, e = t.orders, F.col("event_id")
+    o = o.withColumns({"event_id": F.col("o_orderkey"), "k": F.col("o_orderkey") % 4})
+    stamp = F.struct(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("seconds"), F.lit(0).alias("nanos"))
+    meta = F.struct(e.cast("string").alias("event_id"), stamp.alias("occurred_at")).alias("meta")
+    named = [meta, F.lit("cargo").alias("ecosystem"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("package_name")]
+    version = F.concat(F.lit("v"), e.cast("string"))
+    need = F.struct(F.concat(F.lit("d"), (e % 10).cast("string")).alias("name"), F.concat(F.lit("^"), (e % 4).cast("string")).alias("version_range"))
+    upserted = F.struct(*named, version.alias("version"), (e % 5 == 0).alias("yanked"), stamp.alias("published_at"), F.array(need).alias("dependencies"))
+    yanked = F.struct(*named, version.alias("version"), stamp.alias("yanked_at"))
+    deleted = F.struct(*named, F.when(e % 3 == 0, version).alias("last_version"))
+    found = None
+    for k, (topic, message, fields) in enumerate((("version_upserted", upserted, protobuf.VERSION_UPSERTED), ("version_yanked", yanked, protobuf.VERSION_YANKED), ("package_deleted", deleted, protobuf.PACKAGE_DELETED), ("other", yanked, protobuf.VERSION_YANKED))):
+        part = protobuf.encoded(o.where(F.col("k") == k).select("event_id", message.alias("m")), "m", fields).withColumn("topic", F.lit(topic))
+        found = part if found is None else found.unionByName(part)
+    got = protobuf.graph_events(found, "value", "topic", "event_id")
+    needs = F.coalesce(F.array_join(F.transform("dependencies", lambda d: F.concat_ws("=", d["dependency"], d["requirement"])), ","), F.lit(""))
+    return got.select("event_id", "error", "kind", "package_id", "version", F.coalesce(F.unix_seconds("at"), F.lit(0)).alias("seconds"), needs.alias("needs"))
+
+
 # Records of a topic: analysis results as JSON bytes, of which some are cut off or lack their package.
 
 RESULTS = "(SELECT event_id, package_id, version, breaking_changes, analyzed_at, event_id % 11 AS k FROM fx_analysis_result)"
