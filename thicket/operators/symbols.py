@@ -29,7 +29,8 @@ LINE = r"(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
 QUOTED = r'"[^"\\]*(?:\\.[^"\\]*)*"'
 #: A regular expression of JavaScript, which stands where no value has just ended.
 EXPRESSION = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-SPACE = r"(?P<end>\n)|(?P<space>[^\S\n]+)"
+#: Blanks before a token are a part of its match.
+SPACE = r"[^\S\n]*(?:(?P<end>\n)"
 #: How sources of a language fall into tokens.
 SCANNERS = {
     "rust": rf"""{SPACE}|{LINE})|(?P<text>b?r(?P<h>\#*)".*?"(?P=h)|b?{QUOTED}|'(?:\\[^\n']+|[^\\'\n])')|(?P<life>'\w+)|{WORDS}|{SIGNS}""",
@@ -38,7 +39,7 @@ SCANNERS = {
     "java": rf"""{SPACE}|{LINE})|(?P<text>\"\"\".*?\"\"\"|{QUOTED}|'(?:\\[^\n']+|[^\\'\n])')|{WORDS}|{SIGNS}""",
     "python": rf"""{SPACE}|(?P<comment>\#[^\n]*|\\\n)|(?P<text>[A-Za-z]{{0,2}}(?:\"\"\".*?\"\"\"|'''.*?'''|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'))|{WORDS}|{SIGNS}""",
 }
-SCANNERS = {name: re.compile(p, re.S) for name, p in (SCANNERS | {"typescript": SCANNERS["javascript"]}).items()}
+SCANNERS = {name: re.compile(p + ")", re.S) for name, p in (SCANNERS | {"typescript": SCANNERS["javascript"]}).items()}
 #: Languages whose statements can end with their line, and what a line that goes on begins with.
 BY_LINE = {"go": frozenset(), "javascript": frozenset(". ? : { ( [ , = + - * / % & | < > && || => == !=".split()), "python": frozenset()}
 BY_LINE["typescript"] = BY_LINE["javascript"]
@@ -53,6 +54,9 @@ CONTAINERS = {
 CONTAINERS = {name: re.compile(p) for name, p in (CONTAINERS | {"typescript": CONTAINERS["javascript"]}).items()}
 STARTS = frozenset("= ( , : [ ! & | ? { } ; + - * % < > => && || == != return typeof case".split())
 ANGLES = frozenset(("rust", "java", "typescript"))
+ANGLE = re.compile(r" ?<[^<>]*>")
+#: Tokens that do more than stand in their head.
+STRUCTURE = frozenset("{ } ( ) [ ] ; , < >".split())
 HEADS = "ok boolean, heads array<struct<line:int,end_line:int,head:string,groups:array<array<string>>,scope:array<string>,within:string,nested:int,opens:boolean>>"
 
 
@@ -60,7 +64,7 @@ class Scanner:
     """The heads of one source."""
 
     def __init__(self, language: str):
-        self.language, self.rows = language, []
+        self.language, self.rows, self.may, self.may_in_type = language, [], MAY[language].search, MAY_IN_TYPE.get(language, NEVER).search
         self.blocks: list[dict[str, Any]] = [self.block(None, None, None, -1)]  # open blocks, the file itself first
         self.marks: list[str] = []  # open brackets since the last block
         self.fresh()
@@ -76,14 +80,14 @@ class Scanner:
     def text(self) -> str:
         """The head without type parameters."""
         text = " ".join(self.tokens).replace("->", "→").replace("=>", "⇒")
-        while self.language in ANGLES and (less := re.sub(r" ?<[^<>]*>", "", text).strip()) != text:
+        while self.language in ANGLES and "<" in text and (less := ANGLE.sub("", text).strip()) != text:
             text = less
         return text
 
     def emit(self, opens: bool, line: int) -> int | None:
         head = self.text()
         row = None
-        if head:
+        if head and (self.may(head) or self.blocks[-1]["keyword"] in HELD and self.may_in_type(head)):
             row, named = len(self.rows), [b for b in self.blocks[1:] if b["name"]]
             groups = [[" ".join(p) for p in g if p] for g in self.groups]
             self.rows.append({"line": self.line, "end_line": line, "head": head, "groups": groups, "scope": [b["name"] for b in named], "within": self.blocks[-1]["keyword"] or "", "nested": len(self.blocks) - 1 - len(named), "opens": opens})
@@ -155,21 +159,11 @@ class Scanner:
     def run(self, source: str) -> tuple[bool, list[dict[str, Any]]]:
         line, last, ended, python = 1, "", False, self.language == "python"
         by_line, good, indent, start = BY_LINE.get(self.language), True, 0, True
+        javascript, rust, angles = self.language in ("javascript", "typescript"), self.language == "rust", self.language in ANGLES
         pieces = SCANNERS[self.language]
-        place = 0
-        while place < len(source):
-            m = pieces.match(source, place)
-            if m is None:
-                place += 1
-                continue
-            kind, token = m.lastgroup, m.group()
-            if token == "/" and self.language in ("javascript", "typescript") and (last in STARTS or not last) and (found := EXPRESSION.match(source, place)):
-                kind, token = "text", found.group()
-            elif self.language == "rust" and token.startswith("/*"):
-                token = source[place : self.comment_end(source, place)]
-            elif kind == "h":
-                kind = "text"
-            first, place = place, place + len(token)
+        following = pieces.scanner(source).match
+        while (m := following()) is not None:
+            kind, token = m.lastgroup, m[m.lastindex]
             if kind == "end":
                 line += 1
                 ended = True
@@ -179,22 +173,32 @@ class Scanner:
                     self.python_line(line - 1, last)
                     start = True
                 continue
-            if kind in ("space", "comment"):
+            if kind == "comment":
+                if rust and token.startswith("/*"):
+                    first = m.start(m.lastindex)
+                    token = source[first : self.comment_end(source, first)]
+                    following = pieces.scanner(source, first + len(token)).match
                 line += token.count("\n")
                 continue
+            if token == "/" and javascript and (last in STARTS or not last) and (found := EXPRESSION.match(source, m.start(m.lastindex))):
+                kind, token = "text", found.group()
+                following = pieces.scanner(source, found.end()).match
             if python and start:
+                first = m.start(m.lastindex)
                 indent, start = first - source.rfind("\n", 0, first) - 1, False
                 self.dedent(indent, line)
                 self.indent = indent
-            if kind == "text":
-                at, line = line, line + token.count("\n")
+            at = line
+            if kind == "text" or kind == "h":
+                line += (m["text"] if kind == "h" else token).count("\n")
                 token = '""'
-            else:
-                at = line
-            if by_line is not None and not python and ended and self.tokens and not self.marks and (last in (")", "]", "}", '""') or re.match(r"\w", last)) and token not in by_line:
-                self.emit(False, line)
-            ended = False
-            if token == "{" and not python:
+            if ended:
+                if by_line is not None and not python and self.tokens and not self.marks and (last in (")", "]", "}", '""') or re.match(r"\w", last)) and token not in by_line:
+                    self.emit(False, line)
+                ended = False
+            if token not in STRUCTURE:
+                self.add(token, at)
+            elif token == "{" and not python:
                 self.open(line)
             elif token == "}" and not python:
                 good &= len(self.blocks) > 1 and not self.marks
@@ -209,7 +213,7 @@ class Scanner:
             elif token == ",":
                 self.comma(token) if self.marks else self.add(token, at)
             else:
-                if self.marks == ["("] and self.language in ANGLES and token in ("<", ">"):
+                if angles and self.marks == ["("] and token != ";":
                     self.angle = max(0, self.angle + (1 if token == "<" else -1))
                 self.add(token, at)
             last = token
@@ -301,6 +305,20 @@ PARAMETER = {"rust": r"(?:mut )?(\w+)(?: :|$)", "javascript": r"(?:public |priva
 PARAMETER["typescript"] = PARAMETER["javascript"]
 
 
+#: What a head holds that declares something, or something in a type: heads without it match no pattern and stay in the scanner.
+NEVER = re.compile(r"(?!)")
+MAY = {
+    "rust": r"\b(?:fn|struct|enum|trait|mod|const|static|type)\b",
+    "javascript": r"\b(?:function|class|interface|enum|namespace|module|type|const|let|var)\b",
+    "go": r"^(?:func|type|const|var)\b",
+    "java": r"\b(?:class|record|interface|enum)\b",
+    "python": r"\b(?:def|class)\b",
+}
+MAY = {name: re.compile(p) for name, p in (MAY | {"typescript": MAY["javascript"]}).items()}
+MAY_IN_TYPE = {name: re.compile(p) for name, patterns in PATTERNS.items() for kind, p, _, _ in patterns if kind == "method"}
+HELD = ("impl", "trait", "class", "interface", "enum", "record")
+
+
 def scanned(files: DataFrame, language: str, source: str) -> DataFrame:
     """files with the heads of each source."""
     columns = files.columns
@@ -359,7 +377,7 @@ def extract(files: DataFrame, language: str = "language", source: str = "source"
     # Exploded, as Catalyst would else write the patterns out for each field that is read.
     rows = rows.withColumn("_d", F.explode(F.filter(F.array(by_language(lang, first)), lambda d: d.isNotNull())))
     kind, name, scope, within = F.col("_d.kind"), F.col("_d.name"), h["scope"], h["within"]
-    held = within.isin("impl", "trait", "class", "interface", "enum", "record")
+    held = within.isin(*HELD)
     kind = F.when((kind == "function") & held, "method").otherwise(kind)
     # Methods stand in types; a constructor bears the name of its type; values are symbols outside of functions only.
     typed = head.rlike(MODIFIERS + r"[\w$.]+(?: \. [\w$]+)*(?: \[ ?\])* [\w$]+ \(\d+\)")
