@@ -157,3 +157,21 @@ def test_policy_severities(spark):
     rows = spark.createDataFrame([(1, 5, 0, 0, 0), (2, 0, 3, 0, 0), (3, 0, 0, 2, 1), (4, 0, 0, 0, 0)], "id int, n_critical int, n_high int, n_medium int, n_low int")
     got = {limit: {r["id"]: r["o"]["result"] for r in rows.select("id", policy.condition(("max_severity", limit)).alias("o")).collect()} for limit in ("critical", "high", "low")}
     assert got == {"critical": dict.fromkeys((1, 2, 3, 4), "pass"), "high": {1: "fail", 2: "pass", 3: "pass", 4: "pass"}, "low": {1: "fail", 2: "fail", 3: "fail", 4: "pass"}}
+
+
+def test_package_edges_are_compared_as_numbers(spark, tmp_path):
+    """Texts of edges were shuffled, repeated rows of suppliers came twice out of a union; rows without a key equal nothing."""
+    sql = {
+        "orders": "SELECT * FROM VALUES (1L, 7L), (2L, 8L), (3L, NULL) t(o_orderkey, o_custkey)",
+        "lineitem": "SELECT * FROM VALUES (1L, 4L, 5L), (1L, 4L, 5L), (2L, 4L, 6L), (3L, 9L, 6L) t(l_orderkey, l_partkey, l_suppkey)",
+        "supplier": "SELECT * FROM VALUES (5L, 1), (5L, 1), (6L, 2) t(s_suppkey, s_nationkey)",
+        "nation": "SELECT * FROM VALUES (1, 0), (2, 0) t(n_nationkey, n_regionkey)",
+    }
+    for name, text in sql.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    queries = catalog.queries()
+    got = sorted((str(r["src"]), r["dst"]) for r in queries["backfill_pkg_edges"](spark, str(tmp_path)).collect())
+    assert got == sorted([("customer:7", "part:4"), ("customer:8", "part:4"), ("None", "part:9"), ("part:4", "supplier:5"), ("part:4", "supplier:6"), ("part:9", "supplier:6"), ("supplier:5", "nation:1"), ("supplier:6", "nation:2"), ("nation:1", "region:0"), ("nation:2", "region:0")])
+    # Three edges of parts, three rows of suppliers, two of nations, and the edge without a customer.
+    assert queries["check_orphaned_pkg_deps"](spark, str(tmp_path)).first()["n"] == 9
+    assert queries["check_missing_pkg_deps"](spark, str(tmp_path)).first()["n"] == 1

@@ -82,6 +82,12 @@ def edge_types(tables) -> dict[tuple[str, str], DataFrame]:
     return {kinds: tables.spark.sql(text, **{t: getattr(tables, t) for t in ("lineitem", "orders", "supplier", "nation") if f"{{{t}}}" in text}) for kinds, text in sql.items()}
 
 
+def version_pairs(tables) -> DataFrame:
+    """What versions depend on, as pairs of codes of their package and of the other, repeats included: fx_version and fx_depends_on without texts."""
+    src, dst = CODE.format(key="o_custkey", kind=0), CODE.format(key="l_partkey", kind=1)
+    return tables.spark.sql(f"SELECT {src} AS src, {dst} AS dst FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey", lineitem=tables.lineitem, orders=tables.orders)
+
+
 def coded_edges(tables) -> DataFrame:
     """All of them as one table."""
     first, *rest = edge_types(tables).values()
