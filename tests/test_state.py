@@ -72,3 +72,11 @@ def test_limiter_of_a_hot_key(spark):
         room = sum(passed[x] for x in range(s - 59, s + 1)) < 30
         assert r["allowed"] == room
         passed[s] += r["allowed"]
+
+
+def test_distinct_packages_need_no_python(spark, tmp_path):
+    """Each package was a call of Python with a frame of its own."""
+    spark.range(1).selectExpr("'new_version' AS event_type", "'p' AS package_id", "'e' AS ecosystem", "timestamp'2024-01-01' AS published_at").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_type string, package_id string, ecosystem string, published_at timestamp").parquet(f"{tmp_path}/in")
+    plan = state.package_deltas(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Deduplicate" in plan

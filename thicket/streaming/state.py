@@ -20,20 +20,13 @@ TOTALS = {"ecosystems": Table("ecosystem string, packages long, versions long, l
 
 
 def package_deltas(events: DataFrame) -> DataFrame:
-    """What each micro-batch adds: ecosystem, packages (1 where one is new), versions, last_published. State is one number a package."""
+    """What each micro-batch adds, by rows: ecosystem, packages (1 where one is new), versions, last_published. State is one key a package.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = 0, None
-        for frame in frames:
-            n += len(frame)
-            top = frame["published_at"].max()
-            last = top if last is None or top > last else last
-        new = not state.exists
-        state.update(((0 if new else state.get[0]) + n,))
-        yield pd.DataFrame({"ecosystem": [key[0]], "packages": [int(new)], "versions": [n], "last_published": [last]})
-
-    by = events.where("event_type = 'new_version'").select("ecosystem", "package_id", "published_at").groupBy("ecosystem", "package_id")
-    return by.applyInPandasWithState(run, "ecosystem string, packages long, versions long, last_published timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
+    Spark itself tells which packages are new; a version is a row as it comes.
+    """
+    new = events.where("event_type = 'new_version'").select("ecosystem", "package_id", "published_at")
+    first = new.dropDuplicates(["ecosystem", "package_id"]).select("ecosystem", F.lit(1).cast("long").alias("packages"), F.lit(0).cast("long").alias("versions"), F.lit(None).cast("timestamp").alias("last_published"))
+    return first.unionByName(new.select("ecosystem", F.lit(0).cast("long").alias("packages"), F.lit(1).cast("long").alias("versions"), F.col("published_at").alias("last_published")))
 
 
 def total_changes(deltas: DataFrame, store: Store) -> dict[str, Change]:
