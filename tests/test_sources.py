@@ -159,3 +159,28 @@ def test_over_time_by_hand(spark):
 ])
 def test_licence_choice(line, allowed, want):
     assert licences.choice(licences.postfix(line), frozenset(allowed)) == want
+
+
+def test_keyset_batches_of_pages_read_no_rows_far_behind(spark, tmp_path):
+    """A batch holds whole pages, is read by several tasks, and opens row groups up to its last row only."""
+    spark.dataSource.register(keyset.KeysetSource)
+    spark.range(100).selectExpr("id", "id div 3 AS t").repartitionByRange(5, "t", "id").sortWithinPartitions("t", "id").write.parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    reader = keyset.KeysetReader({"path": f"{tmp_path}/in", "time": "t", "id": "id", "page": "4"}, schema)
+    assert reader.marks(reader.initialOffset(), 3) == [{"time": k // 3, "id": k} for k in (3, 7, 11)]
+    assert reader.marks({"time": 31, "id": 95}, 3) == [{"time": 33, "id": 99}] and reader.marks({"time": 33, "id": 99}, 3) == []
+    assert len(reader.groups(reader.table(), {"time": 20, "id": 60})) < 5
+    batches = {}
+
+    def run():
+        source = spark.readStream.format("keyset").schema("id long, t long").options(path=f"{tmp_path}/in", time="t", id="id", page=4, pages=3).load()
+        q = source.writeStream.foreachBatch(lambda b, n: batches.update({n: ([r["id"] for r in b.collect()], b.rdd.getNumPartitions())})).option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="0 seconds").start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    kept = [ids for _, (ids, _) in sorted(batches.items()) if ids]
+    assert [len(x) for x in kept] == [12] * 8 + [4] and sum(kept, []) == list(range(100))
+    assert batches[0][1] == 3
+    run()
+    assert sorted(sum((ids for ids, _ in batches.values()), [])) == list(range(100))

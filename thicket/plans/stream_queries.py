@@ -71,21 +71,26 @@ def _(t: Tables) -> DataFrame:
 # Polling by (time, id): pages of 2,500 events, whose times are cut to hours so that many tie.
 
 PAGE = 2500
+#: Pages in a micro-batch.
+BATCH = 200
 
 
 @query("keyset_pages", f"SELECT CAST(floor((n - 1) / {PAGE}) AS BIGINT) AS page, count(*) AS n, min(event_id) AS least, max(hour) AS latest FROM (SELECT event_id, date_trunc('hour', published_at) AS hour, row_number() OVER (ORDER BY date_trunc('hour', published_at), event_id) AS n FROM fx_package_event) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    """What each page of the stream holds; the stream stops after its first pages and goes on from its checkpoint."""
+    """What each page of the stream holds; the stream stops after its first batch of pages and goes on from its checkpoint.
+
+    The polled table lies in the order of its key, as under an index. Its hours are numbers, as Spark's Parquet keeps no least and greatest timestamps.
+    """
     place = folder(t, "polled")
-    rows = t.fx_package_event.select("event_id", F.date_trunc("hour", F.col("published_at").cast("timestamp")).alias("hour"))
-    rows.write.parquet(f"{place}/in")
+    rows = t.fx_package_event.select("event_id", F.unix_micros(F.date_trunc("hour", F.col("published_at").cast("timestamp"))).alias("hour"))
+    rows.repartitionByRange("hour", "event_id").sortWithinPartitions("hour", "event_id").write.parquet(f"{place}/in")
     t.spark.dataSource.register(keyset.KeysetSource)
 
     def page(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/page-{number:06d}")
 
     def poll(pages: int | None) -> None:
-        source = t.spark.readStream.format("keyset").schema("event_id long, hour timestamp").options(path=f"{place}/in", time="hour", id="event_id", page=PAGE).load()
+        source = t.spark.readStream.format("keyset").schema("event_id long, hour long").options(path=f"{place}/in", time="hour", id="event_id", page=PAGE, pages=BATCH).load()
         running = source.writeStream.foreachBatch(page).option("checkpointLocation", f"{place}/checkpoint").trigger(**({"availableNow": True} if pages else {"processingTime": "0 seconds"})).start()
         if pages:
             running.awaitTermination()
@@ -95,12 +100,12 @@ def _(t: Tables) -> DataFrame:
 
     poll(1)
     poll(None)
-    got = t.spark.read.schema("event_id long, hour timestamp, batch long").option("recursiveFileLookup", "true").parquet(f"{place}/out")
-    pages = got.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"), F.max("hour").cast("timestamp_ntz").alias("latest"))
+    got = t.spark.read.schema("event_id long, hour long, batch long").option("recursiveFileLookup", "true").parquet(f"{place}/out")
+    inside = F.floor((F.row_number().over(Window.partitionBy("batch").orderBy("hour", "event_id")) - 1) / PAGE)  # a batch is a bounded number of rows
+    pages = got.withColumn("inside", inside).groupBy("batch", "inside").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"), F.max(F.timestamp_micros("hour")).cast("timestamp_ntz").alias("latest"))
     # Batches without rows have numbers too.
-    order = got.groupBy("batch").agg(F.min(F.struct("hour", "event_id")).alias("first"))
-    ranked = order.withColumn("page", F.row_number().over(Window.orderBy("first")).cast("long") - 1)  # a row a page
-    return pages.join(ranked.select("batch", "page"), "batch").select("page", "n", "least", "latest")
+    ranked = pages.withColumn("page", F.row_number().over(Window.orderBy("batch", "inside")).cast("long") - 1)  # a row a page
+    return ranked.select("page", "n", "least", "latest")
 
 
 # Protobuf: orders as published versions, a part of them yanked, without an archive, cut off, or as JSON.
