@@ -175,3 +175,15 @@ def test_package_edges_are_compared_as_numbers(spark, tmp_path):
     # Three edges of parts, three rows of suppliers, two of nations, and the edge without a customer.
     assert queries["check_orphaned_pkg_deps"](spark, str(tmp_path)).first()["n"] == 9
     assert queries["check_missing_pkg_deps"](spark, str(tmp_path)).first()["n"] == 1
+
+
+def test_renames_are_not_sorted(spark, tmp_path):
+    """All pairs of a package were sorted by symbol, as their best match was kept as text."""
+    from thicket.plans import domain_queries
+
+    kinds = "pkg string, path string, name string, kind string, signature string"
+    gone = spark.createDataFrame([("p", "m.fn_12", "fn_12", "f", "fn(a)"), ("p", "m.zzz", "zzz", "f", "other(x, y)")], kinds)
+    new = spark.createDataFrame([("p", "b.fn_13", "fn_13", "f", "fn(a)"), ("p", "a.fn_11", "fn_11", "f", "fn(a)"), ("p", "a.fn_12", "fn_12", "g", "fn(a)")], kinds)
+    found = domain_queries.best_of(gone, new)
+    assert [tuple(r) for r in found.collect()] == [("p", "m.fn_12", "f", "fn(a)", "a.fn_11")]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

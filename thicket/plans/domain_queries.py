@@ -443,13 +443,26 @@ LIKE = "CASE WHEN g.{0} = n.{0} THEN 1.0::DOUBLE ELSE 1 - levenshtein(g.{0}, n.{
 def renamed(t: Tables) -> DataFrame:
     """The best match of each removed symbol among all new symbols of its package and kind: 0.4 by name, 0.6 by signature, 0.7 at least.
 
-    Each distinct name and signature is compared once: a pair whose signatures
-    alone rule 0.7 out is not compared by name.
+    A pair whose signatures alone rule 0.7 out is not compared by name. The best
+    pair is the least of one number, made of its similarity and the rank of the
+    new path, so that pairs are aggregated by hash as they come; none is sorted.
     """
-    new = symbols(t, SYMBOLS_NEW).select("pkg", "kind", F.col("path").alias("new_path"), F.col("name").alias("new_name"), F.col("signature").alias("new_signature"))
-    pairs = removed(t).join(new, ["pkg", "kind"]).withColumn("_s", 0.6 * similarity("signature", "new_signature")).where("_s >= 0.3 - 1e-9")
+    return best_of(removed(t), symbols(t, SYMBOLS_NEW))
+
+
+def best_of(gone: DataFrame, new: DataFrame) -> DataFrame:
+    new = new.select("pkg", "kind", F.col("path").alias("new_path"), F.col("name").alias("new_name"), F.col("signature").alias("new_signature"))
+    ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("pkg", "kind").orderBy("new_path")).cast("long"))
+    # Signatures repeat, so each two of a package and kind are compared once.
+    alike = gone.select("pkg", "kind", "signature").distinct().join(new.select("pkg", "kind", "new_signature").distinct(), ["pkg", "kind"])
+    alike = alike.withColumn("_s", 0.6 * similarity("signature", "new_signature")).where("_s >= 0.3 - 1e-9")
+    pairs = gone.join(alike, ["pkg", "kind", "signature"]).join(ranked.drop("new_path"), ["pkg", "kind", "new_signature"])
     sim = F.round(0.4 * similarity("name", "new_name") + F.col("_s"), 9)
-    return pairs.withColumn("sim", sim).where("sim >= 0.7").groupBy("pkg", "path", "kind", "signature").agg(F.min_by("new_path", F.struct(-F.col("sim"), "new_path")).alias("new_path"))
+    # Similarities have nine digits, ranks 32 bits.
+    order = F.shiftleft(10**9 - F.round(F.col("sim") * 1e9).cast("long"), 32) + F.col("rank")
+    best = pairs.withColumn("sim", sim).where("sim >= 0.7").groupBy("pkg", "path", "kind", "signature").agg(F.min(order).alias("best"))
+    best = best.withColumn("rank", F.col("best").bitwiseAND(2**32 - 1))
+    return best.join(ranked.select("pkg", "kind", "rank", "new_path"), ["pkg", "kind", "rank"]).select("pkg", "path", "kind", "signature", "new_path")
 
 
 query("api_renamed", f"WITH gone AS (SELECT * FROM {GONE}), m AS (SELECT g.pkg, g.path, g.kind, g.signature, n.path AS new_path, round(0.4 * {LIKE.format('name')} + 0.6 * {LIKE.format('signature')}, 9) AS sim FROM gone g JOIN {SYMBOLS_NEW} n ON n.pkg = g.pkg AND n.kind = g.kind) SELECT pkg, path, kind, signature, arg_min(new_path, (-sim, new_path)) AS new_path FROM m WHERE sim >= 0.7 GROUP BY pkg, path, kind, signature")(renamed)
