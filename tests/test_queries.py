@@ -187,3 +187,14 @@ def test_renames_are_not_sorted(spark, tmp_path):
     found = domain_queries.best_of(gone, new)
     assert [tuple(r) for r in found.collect()] == [("p", "m.fn_12", "f", "fn(a)", "a.fn_11")]
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexical_slots_are_those_of_the_vectors(spark):
+    """Whole vectors, most of them zeros, left Python."""
+    from pyspark.sql import functions as F
+
+    from thicket.functions import embedding
+
+    rows = spark.createDataFrame([(1, "left-pad core"), (2, ""), (3, None)], "id long, name string")
+    want = embedding.lexical_vectors(rows, "id", "name").select("id", F.posexplode("vector").alias("slot", "value")).where("value <> 0")
+    assert sorted(embedding.lexical_slots(rows, "id", "name").collect()) == sorted(want.collect())

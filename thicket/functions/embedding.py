@@ -57,22 +57,39 @@ def fnv1a(values: list[str]) -> np.ndarray:
     return out
 
 
+def grid_of(lists: pd.Series, dimension: int) -> np.ndarray:
+    """A row a list of features, of length 1: each feature adds its weight at its hash modulo dimension, odd hashes negatively."""
+    codes, known = pd.factorize(np.concatenate([np.asarray(x, object) for x in lists] or [np.array([], object)]))
+    known = known.tolist()
+    hashes = fnv1a(known)
+    sign = 1.0 - 2.0 * (hashes & np.uint64(1)).astype(np.float64)
+    weight = np.array([WEIGHTS[v.partition(":")[0]] for v in known], np.float64) * sign
+    grid = np.zeros((len(lists), dimension))
+    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    np.add.at(grid, (at, (hashes % np.uint64(dimension)).astype(np.int64)[codes]), weight[codes])
+    size = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
+    return grid / np.where(size > TINY, size, 1.0)
+
+
 def lexical_vectors(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """key and vector of each row, of length 1: each feature adds its weight at its hash modulo dimension, odd hashes negatively."""
+    """key and vector of each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            lists = frame["f"]
-            codes, known = pd.factorize(np.concatenate([np.asarray(x, object) for x in lists] or [np.array([], object)]))
-            known = known.tolist()
-            hashes = fnv1a(known)
-            sign = 1.0 - 2.0 * (hashes & np.uint64(1)).astype(np.float64)
-            weight = np.array([WEIGHTS[v.partition(":")[0]] for v in known], np.float64) * sign
-            grid = np.zeros((len(lists), dimension))
-            at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            np.add.at(grid, (at, (hashes % np.uint64(dimension)).astype(np.int64)[codes]), weight[codes])
-            size = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
-            yield pd.DataFrame({key: frame[key], "vector": list(grid / np.where(size > TINY, size, 1.0))})
+            yield pd.DataFrame({key: frame[key], "vector": list(grid_of(frame["f"], dimension))})
 
     kind = dict(rows.select(key).dtypes)[key]
     return rows.select(key, features(F.col(text)).alias("f")).mapInPandas(run, f"`{key}` {kind}, vector array<double>")
+
+
+def lexical_slots(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
+    """key, slot and value of what is not zero in the vector of each row: a few of its slots, so whole vectors stay in the task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            grid = grid_of(frame["f"], dimension)
+            at, slot = np.nonzero(grid)
+            yield pd.DataFrame({key: frame[key].to_numpy()[at], "slot": slot.astype(np.int32), "value": grid[at, slot]})
+
+    kind = dict(rows.select(key).dtypes)[key]
+    return rows.select(key, features(F.col(text)).alias("f")).mapInPandas(run, f"`{key}` {kind}, slot int, value double")

@@ -30,7 +30,7 @@ SELECT id, slot, value FROM sized WHERE value <> 0""",
 )
 def _(t: Tables) -> DataFrame:
     """The slots of each package name's vector that are not zero."""
-    each = embedding.lexical_vectors(t.fx_package, "id", "name").select("id", F.posexplode("vector").alias("slot", "value"))
+    each = embedding.lexical_slots(t.fx_package, "id", "name")
     return each.withColumn("value", F.round("value", 6)).where("value <> 0")
 
 
