@@ -52,3 +52,28 @@ def test_one_batch_and_reruns(spark, tmp_path):
     assert not store.commit(0, analysis.analysed(releases, files, store))
     store.commit(1, analysis.analysed(releases, files, store))
     assert {k: r["id"] for k, r in events(store).items()} == once
+
+
+def test_sources_are_scanned_once(spark):
+    """Broken files are counted with the symbols, not by a second pass of the scanner."""
+    releases, files = tables(spark, RELEASES, FILES)
+    got = analysis.snapshots(releases, files)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["package_id"], r["version"]): (r["files"], r["errors"]) for r in got.collect()}["p", "2"] == (2, 1)
+
+
+def test_dear_rows_are_computed_once(spark, tmp_path):
+    """Of a change with owners each row is computed one time a batch, in the first batch and in one that meets stored rows."""
+    seen = spark.sparkContext.accumulator(0)
+    store = published.Store(spark, f"file://{tmp_path}/store", {"t": published.Table("k long, v long", ("k",), ("k",))}, 4)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    for batch, (start, end) in enumerate(((0, 20), (10, 30))):
+        rows = spark.range(start, end).select(F.col("id").alias("k"), F.lit(batch).cast("long").alias("v"))
+        store.commit(batch, {"t": published.Change(rows.mapInPandas(counted, "k long, v long"), ("v",), owners=rows.select("k"), unique=True)})
+    assert seen.value == 40
+    assert sorted(map(tuple, store.read("t").collect())) == [(k, int(k >= 10)) for k in range(30)]

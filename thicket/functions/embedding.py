@@ -71,15 +71,16 @@ def grid_of(lists: pd.Series, dimension: int) -> np.ndarray:
     return grid / np.where(size > TINY, size, 1.0)
 
 
-def lexical_vectors(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """key and vector of each row."""
+def lexical_vectors(rows: DataFrame, key: str | list[str], text: str, dimension: int = DIMENSION) -> DataFrame:
+    """key (one column or several) and vector of each row."""
+    keys = [key] if isinstance(key, str) else key
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "vector": list(grid_of(frame["f"], dimension))})
+            yield pd.DataFrame({k: frame[k] for k in keys} | {"vector": list(grid_of(frame["f"], dimension))})
 
-    kind = dict(rows.select(key).dtypes)[key]
-    return rows.select(key, features(F.col(text)).alias("f")).mapInPandas(run, f"`{key}` {kind}, vector array<double>")
+    kinds = dict(rows.select(*keys).dtypes)
+    return rows.select(*keys, features(F.col(text)).alias("f")).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", vector array<double>")
 
 
 def lexical_slots(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:

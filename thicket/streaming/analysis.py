@@ -42,14 +42,15 @@ def snapshots(releases: DataFrame, files: DataFrame) -> DataFrame:
     known = files.withColumn("language", text.language(F.col("path"))).where("language IS NOT NULL").select(*KEY, F.col("path").alias("file"), "language", "source")
     counts = known.groupBy(*KEY).agg(F.count(F.lit(1)).alias("files"))
     found = symbols.extract(known)
-    by_path = found.groupBy(*KEY, "path").agg(
+    # Dealt once by release, so that both groupings stay in their tasks; what is broken comes with the symbols, as a second pass would scan the sources again.
+    by_path = found.select(*KEY, "path", "kind", "visibility", "signature", F.when(~F.col("balanced"), F.col("file")).alias("bad")).repartition(*KEY).groupBy(*KEY, "path").agg(
         F.min("kind").alias("kind"),
         F.max(F.col("visibility") == "public").alias("public"),
         F.array_join(F.sort_array(F.collect_set("signature")), " | ").alias("signature"),
+        F.collect_set("bad").alias("bad"),
     )
-    lists = by_path.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("path", "kind", "public", "signature"))).alias("symbols"))
-    broken = found.where("NOT balanced").groupBy(*KEY).agg(F.count_distinct("file").alias("errors"))
-    out = releases.join(counts, KEY, "left").join(lists, KEY, "left").join(broken, KEY, "left")
+    lists = by_path.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("path", "kind", "public", "signature"))).alias("symbols"), F.size(F.array_distinct(F.flatten(F.collect_list("bad")))).cast("long").alias("errors"))
+    out = releases.join(counts, KEY, "left").join(lists, KEY, "left")
     listed = F.coalesce("symbols", F.array().cast(f"array<{SYMBOL}>"))
     public = F.transform(F.filter(listed, lambda s: s["public"]), lambda s: F.concat_ws("|", s["path"], s["kind"], s["signature"]))
     return out.select(*KEY, F.sha2(F.array_join(public, ";").cast("binary"), 256).alias("api_hash"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("errors", F.lit(0)).alias("errors"), listed.alias("symbols"), "at", "event_id", "previous_version")
@@ -73,8 +74,11 @@ def diffs(now: DataFrame, before: DataFrame) -> DataFrame:
     pairs = now.where("previous_version IS NOT NULL").select(*KEY, "previous_version", F.col("symbols").alias("new"))
     past = before.select("package_id", F.col("version").alias("previous_version"), F.col("symbols").alias("old"))
     both = pairs.join(past, ["package_id", "previous_version"])
-    side = lambda name, field: both.select(*KEY, F.explode(name).alias(field)).select(*KEY, F.col(f"{field}.path").alias("path"), field)
-    met = side("old", "o").join(side("new", "n"), [*KEY, "path"], "full_outer").withColumn("c", change(F.col("o"), F.col("n"))).where("c IS NOT NULL")
+    # A pair's lists are one row, so they come apart where they lie and no symbol is shuffled alone.
+    side = lambda name: F.transform(name, lambda s: F.struct(F.lit(name).alias("side"), s.alias("s")))
+    rows = both.repartition(*KEY).select(*KEY, F.explode(F.concat(side("old"), side("new"))).alias("x")).select(*KEY, F.col("x.s.path").alias("path"), "x.side", "x.s")
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("s"))).alias(name)  # noqa: E731 - a path is there once a side
+    met = rows.groupBy(*KEY, "path").agg(of("old"), of("new")).withColumn("c", change(F.col("old"), F.col("new"))).where("c IS NOT NULL")
     return met.groupBy(*KEY).agg(F.sort_array(F.collect_list("c")).alias("changes"))
 
 
@@ -87,9 +91,9 @@ def analysed(releases: DataFrame, files: DataFrame, store: Store, most_bytes: in
     here = now.select(*KEY, "symbols")
     # A snapshot of this batch takes the place of a stored one.
     before = store.read("snapshots").select(*KEY, "symbols").join(here.select(*KEY), KEY, "left_anti").unionByName(here)
-    public = now.select(*KEY, F.explode(F.filter("symbols", lambda s: s["public"])).alias("s")).select(*KEY, "s.path")
-    keyed = embedding.lexical_vectors(public.select(F.to_json(F.struct(*KEY, "path")).alias("k"), F.regexp_replace("path", "[^A-Za-z0-9]+", " ").alias("t")), "k", "t")
-    vectors = keyed.select(F.from_json("k", "package_id string, version string, path string").alias("k"), "vector").select("k.*", "vector").join(now.select(*KEY, "at", "event_id"), KEY)
+    public = now.select(*KEY, "at", "event_id", F.explode(F.filter("symbols", lambda s: s["public"])).alias("s")).select(*KEY, "s.path", F.unix_micros("at").alias("us"), "event_id")
+    named = public.withColumn("t", F.regexp_replace("path", "[^A-Za-z0-9]+", " "))
+    vectors = embedding.lexical_vectors(named, [*KEY, "path", "us", "event_id"], "t").select(*KEY, "path", "vector", F.timestamp_micros("us").alias("at"), "event_id")
     counted = now.withColumns({"n": F.size("symbols").cast("long"), "p": F.size(F.filter("symbols", lambda s: s["public"])).cast("long")}).join(diffs(now, before), KEY, "left")
     changes = F.coalesce("changes", F.array().cast("array<struct<path:string,change:string,severity:string>>"))
     breaking = F.size(F.filter(changes, lambda c: c["severity"] == "breaking")).cast("long")
@@ -101,7 +105,13 @@ def analysed(releases: DataFrame, files: DataFrame, store: Store, most_bytes: in
         F.when(is_diff, F.col("previous_version")).alias("previous_version"), F.col("n").alias("symbols"), F.col("p").alias("public_symbols"), "api_hash",
         F.when(is_diff, breaking).alias("breaking"), F.when(is_diff, changes).alias("changes"), "at",
     )
-    return {"snapshots": Change(now, ("at", "event_id")), "vectors": Change(vectors, ("at", "event_id")), "events": Change(events, ("at",))}
+    # Where a batch's events can lie is known from its releases.
+    possible = now.select(F.explode(F.array(*[cdc.event_id(F.lit(k), F.col("package_id"), F.col("version")) for k in ("api_parsed", "embeddings_generated", "breaking_changes_detected")])).alias("id"))
+    return {
+        "snapshots": Change(now, ("at", "event_id"), owners=now.select(*KEY)),
+        "vectors": Change(vectors, ("at", "event_id"), owners=now.select(*KEY), unique=True),
+        "events": Change(events, ("at",), owners=possible),
+    }
 
 
 def analyse(releases: DataFrame, files: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:

@@ -40,12 +40,17 @@ class Table:
 class Change:
     """What a batch does to a table: its rows take the place of those of their keys that come before them by order.
 
-    Of the columns in least, the least value stays.
+    Of the columns in least, the least value stays. Where rows are dear, owners
+    gives the owner columns of all that they can have, and unique says that each
+    key is there once, so that rows are computed one time and, in an empty table,
+    not compared.
     """
 
     rows: DataFrame
     order: tuple[str, ...]
     least: tuple[str, ...] = ()
+    owners: DataFrame | None = None
+    unique: bool = False
 
 
 @dataclass
@@ -104,19 +109,27 @@ class Store:
         table = self.tables[name]
         columns = [f.name for f in self._files(name, []).schema.fields]
         rows = change.rows.select(*columns)
-        touched = sorted(r[0] for r in rows.select(self._bucket(table).alias("b")).distinct().collect())  # at most ``buckets`` numbers
-        if not touched:
-            return
-        kept = self._files(name, [old[str(b)] for b in touched if str(b) in old])
-        both = kept.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-        # Of equal orders the newer batch's row stays.
-        last = both.groupBy(*table.keys).agg(F.max_by(F.struct(*columns), F.struct(*change.order, "_new")).alias("_r"), *[F.min(c).alias(f"_{c}") for c in change.least])
-        last = last.select(*[F.col(f"_{c}" if c in change.least else f"_r.{c}").alias(c) for c in columns])
+        touched: list[int] = []
+        if old:  # else there is nothing to read again
+            owners = rows if change.owners is None else change.owners
+            touched = sorted(r[0] for r in owners.select(self._bucket(table).alias("b")).distinct().collect())  # at most ``buckets`` numbers
+            if not touched:
+                return
+        kept = [old[str(b)] for b in touched if str(b) in old]
+        if kept or not change.unique:
+            both = rows.withColumn("_new", F.lit(1))
+            if kept:
+                both = self._files(name, kept).withColumn("_new", F.lit(0)).unionByName(both)
+            # Of equal orders the newer batch's row stays.
+            last = both.groupBy(*table.keys).agg(F.max_by(F.struct(*columns), F.struct(*change.order, "_new")).alias("_r"), *[F.min(c).alias(f"_{c}") for c in change.least])
+            last = last.select(*[F.col(f"_{c}" if c in change.least else f"_r.{c}").alias(c) for c in columns])
+        else:
+            last = rows
         out = last.withColumn("bucket", self._bucket(table))
         out.repartition("bucket", F.pmod(F.xxhash64(*table.keys), F.lit(8))).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{folder}")
         place, files = self._place(f"{self.path}/{folder}")
         written = {s.getPath().getName().partition("=")[2] for s in files.listStatus(place) if s.isDirectory()}
-        for b in map(str, touched):
+        for b in {*map(str, touched), *written}:
             new.pop(b, None)
             if b in written:
                 new[b] = f"{folder}/bucket={b}"
