@@ -112,6 +112,15 @@ ENTERPRISE = (
 )
 
 
+def checks_of(tree: tuple) -> set[str]:
+    """The names of the checks that a condition reads."""
+    kind, *args = tree
+    if kind == "min_check":
+        return {args[0]}
+    inner = args[0] if kind in ("all", "any") else args if kind == "not" else ()
+    return {name for x in inner for name in checks_of(x)}
+
+
 def evaluated(rules: tuple[Rule, ...]) -> Column:
     """All rules in one pass: an array of rule, severity, blocking, result, message."""
     one = lambda r: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.blocking).alias("blocking"), condition(r.tree).alias("o"))
