@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,24 @@ def test_keyset_batches_of_pages_read_no_rows_far_behind(spark, tmp_path):
     assert batches[0][1] == 3
     run()
     assert sorted(sum((ids for ids, _ in batches.values()), [])) == list(range(100))
+
+
+def test_protobuf_tags_are_made_once_a_table(monkeypatch):
+    """A writer knows the tags of its fields, so messages of short texts call for no number; long texts and large numbers do."""
+    write = protobuf.writer(protobuf.VERSION_UPSERTED)
+    small = {"meta": {"event_id": "1"}, "ecosystem": "npm", "dependencies": [{"name": "a", "version_range": "^1", "is_peer": False}, {"name": "", "is_peer": False}, None]}
+    large = {"version": "x" * 300, "size_bytes": -1, "published_at": {"seconds": 1 << 40, "nanos": 0}}
+    want = protobuf.encode(small, protobuf.VERSION_UPSERTED)
+    with monkeypatch.context() as m:
+        m.setattr(protobuf, "number_bytes", None)
+        assert write(small) == want
+    assert want == b"\x0a\x03\x0a\x01" + b"1" + b"\x12\x03npm" + b"\x52\x07\x0a\x01a\x12\x02^1" + b"\x52\x00"
+    got = protobuf.decode(write(large), protobuf.VERSION_UPSERTED)
+    assert (got["version"], got["size_bytes"], got["published_at"]) == (large["version"], -1, large["published_at"])
+
+
+def test_protobuf_takes_arrays_apart_by_columns():
+    rows = [None, {"a": [1, None], "b": None}, {"a": None, "b": {"c": "x"}}, {"a": [], "b": {"c": None}}]
+    for array in (pa.array(rows), pa.array([rows, None, [], rows]), pa.array([b"ab", None])):
+        for part in (array, array[1:], array[2:3], array[:0]):
+            assert protobuf.values_of(part) == part.to_pylist()
