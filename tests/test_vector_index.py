@@ -92,3 +92,12 @@ def test_search_reads_few_columns_of_few_cells(clustered):
     probed[0, :2] = True
     plan = vi.kept(index.table, index.centroids[:1], np.array([0]), index.centroids, probed, np.array([-np.inf]), 3)._jdf.queryExecution().executedPlan().toString()
     assert "In(cell, [0,1])" in plan and "vector" not in plan.partition("ReadSchema")[2].partition("\n")[0]
+
+
+def test_scores_come_in_pieces():
+    """However many rows of a cell come together, a task holds a fixed number of scores, and passes over none."""
+    for n, queries in ((10_000, 4096), (3, 1 << 21), (10_000, 1), (0, 5)):
+        found = vi.pieces(np.arange(n), queries)
+        assert all(len(p) * queries <= max(vi.PIECE, queries) for p in found)
+        assert [x for p in found for x in p.tolist()] == list(range(n))
+    assert vi.pieces(np.arange(3), 0) == []

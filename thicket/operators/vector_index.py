@@ -41,6 +41,8 @@ from ..storage import stored
 #: Rows that the centroids are fitted on, and cells, at most; rounds of fitting.
 TRAIN_ROWS, MAX_CELLS, FIT_ROUNDS = 16_384, 4096, 8
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once, so that large cells need no more memory than small ones.
+PIECE = 1 << 20
 #: What a search of some cells shall find of the nearest rows, and the rows of the sample that it is measured on.
 RECALL, MEASURED, NEIGHBOURS = 0.95, 256, 10
 #: What single precision may add to a score, and rounding to six digits.
@@ -129,6 +131,12 @@ def build(rows: DataFrame, id_col: str, vector_col: str, keep: tuple[str, ...] =
     return Index(table, found, radii, needed(sample, found, recall) if count else 1)
 
 
+def pieces(rows_at: np.ndarray, queries: int) -> list[np.ndarray]:
+    """Rows in parts whose scores against that many queries are at most PIECE (one row at least); none without queries."""
+    step = max(1, PIECE // max(1, queries))
+    return [rows_at[k : k + step] for k in range(0, len(rows_at), step)] if queries else []
+
+
 def kept(rows: DataFrame, asked: np.ndarray, numbers: np.ndarray, centroids: np.ndarray, probed: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
     """What can be among the best k of each query (a row of asked) in its probed cells: q (its number), cell, id, low, high (bounds of the score)."""
     base = (asked @ centroids.T).astype(np.float32)
@@ -158,10 +166,11 @@ def kept(rows: DataFrame, asked: np.ndarray, numbers: np.ndarray, centroids: np.
             cell, scale, error = (np.asarray(b.column(c)) for c in ("cell", "scale", "error"))
             codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.int8).reshape(len(b), -1)
             same = np.asarray(b.column("same"))
+            pairs: list[tuple[int, np.ndarray, np.ndarray]] = []
             for c in np.unique(cell).tolist():
-                rows_at, qs = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
-                if not len(qs):
-                    continue
+                qs = np.flatnonzero(probed[:, c])
+                pairs.extend((c, qs, rows_at) for rows_at in pieces(np.flatnonzero(cell == c), len(qs)))
+            for c, qs, rows_at in pairs:
                 score = base[qs, c][:, None] + (asked[qs] @ codes[rows_at].T.astype(np.float32)) * scale[rows_at]
                 high = score + (error[rows_at] + SLACK)
                 x, y = np.nonzero(high >= least[qs][:, None])
