@@ -77,3 +77,31 @@ def test_dear_rows_are_computed_once(spark, tmp_path):
         store.commit(batch, {"t": published.Change(rows.mapInPandas(counted, "k long, v long"), ("v",), owners=rows.select("k"), unique=True)})
     assert seen.value == 40
     assert sorted(map(tuple, store.read("t").collect())) == [(k, int(k >= 10)) for k in range(30)]
+
+
+def test_equal_sources_are_one(spark):
+    """A source that many releases hold is read once; files of a release are put together by path, and one file alone gives the same."""
+    releases, files = tables(spark, [(p, "1", None, None, "2024-01-01", k) for k, p in enumerate("abcd")], [(p, "1", f"{p}.rs", OLD) for p in "abc"] + [("c", "1", "x.rs", "pub fn g(y: u8) {}\nfn own() {"), ("c", "1", "y.py", "")])
+    read = analysis.sources(files)
+    assert read.count() == 2
+    held = analysis.held(releases.drop("size_bytes"), files)
+    ones = held.where("package_id <> 'c'")
+    got = {r["package_id"]: r for r in analysis.of_several(held, read).collect()}
+    assert {r["package_id"]: r for r in analysis.of_one(ones, read).collect()} == {p: got[p] for p in "abd"}
+    assert got["a"]["hash"] == got["b"]["hash"] != got["c"]["hash"] and not got["d"]["symbols"]
+    assert (got["c"]["files"], got["c"]["errors"]) == (3, 1)
+    assert {s["path"]: s["signature"] for s in got["c"]["symbols"] if s["path"] in ("g", "own")} == {"g": "g() | g(y : u8)", "own": "own()"}
+
+
+def test_vectors_are_kept_by_slot(spark, tmp_path):
+    """What is stored of a vector are its few slots, what is read is whole."""
+    from thicket.functions import embedding
+
+    releases, files = tables(spark, RELEASES, FILES)
+    store = published.Store(spark, f"file://{tmp_path}/store", analysis.TABLES, 4)
+    store.commit(0, analysis.analysed(releases, files, store))
+    kept = store._files("vectors", [*store.manifest()["vectors"].values()])
+    assert "vector" not in kept.columns and kept.where("size(slots) > 60").count() == 0
+    got = {r["path"]: r["vector"] for r in store.read("vectors").where("version = '1'").collect()}
+    want = embedding.lexical_vectors(spark.createDataFrame([(p, p.replace("::", " ")) for p in got], "path string, t string"), "path", "t").collect()
+    assert got == {r["path"]: r["vector"] for r in want}

@@ -83,6 +83,24 @@ def lexical_vectors(rows: DataFrame, key: str | list[str], text: str, dimension:
     return rows.select(*keys, features(F.col(text)).alias("f")).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", vector array<double>")
 
 
+def lexical_sparse(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
+    """key, slots and values: what is not zero in the vector of each row, by ascending slot."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            grid = grid_of(frame["f"], dimension)
+            at, slot = np.nonzero(grid)
+            ends = np.searchsorted(at, np.arange(1, len(frame)))
+            yield pd.DataFrame({key: frame[key], "slots": np.split(slot.astype(np.int32), ends), "values": np.split(grid[at, slot], ends)})
+
+    kind = dict(rows.select(key).dtypes)[key]
+    return rows.select(key, features(F.col(text)).alias("f")).mapInPandas(run, f"`{key}` {kind}, slots array<int>, values array<double>")
+
+
+#: SQL: the whole vector of such slots and values, each value behind its run of zeros.
+WHOLE = "flatten(concat(transform(slots, (s, k) -> concat(array_repeat(0D, s - if(k = 0, 0, slots[k - 1] + 1)), array(`values`[k]))), array(array_repeat(0D, {} - coalesce(element_at(slots, -1) + 1, 0)))))"
+
+
 def lexical_slots(rows: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
     """key, slot and value of what is not zero in the vector of each row: a few of its slots, so whole vectors stay in the task."""
 

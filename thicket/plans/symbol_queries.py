@@ -94,9 +94,13 @@ def releases(t: Tables) -> tuple[DataFrame, DataFrame]:
     own = F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("package_id")
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     found = t.orders.select(own, F.col("o_orderkey").cast("string").alias("version"), before.cast("string").alias("previous_version"), F.lit(None).cast("long").alias("size_bytes"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("event_id"))
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 7).alias("p")).agg((F.max("l_returnflag") == "R").alias("open"), F.min(F.col("l_suppkey") % 2).alias("s"))
-    code = filled("{mod}fn f{p}(a: T{s}) {{ let x = \"{{\"; }}\n", mod=F.when(F.col("open"), "pub ").otherwise(""), p=F.col("p").cast("string"), s=F.col("s").cast("string"))
-    files = lines.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list(code)), "").alias("code"))
+    # Numbers of each function are aggregated: R is the greatest flag if there is one and none beyond.
+    flag = F.when(F.col("l_returnflag") > "R", 2).when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    lines = t.lineitem.select(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 7).cast("int").alias("p"), flag.alias("flag"), (F.col("l_suppkey") % 2).cast("int").alias("s"))
+    of = lambda k, c: F.when(F.col("p") == k, F.col(c))
+    lines = lines.groupBy("event_id").agg(*[x for k in range(7) for x in (F.max(of(k, "flag")).alias(f"flag{k}"), F.min(of(k, "s")).alias(f"s{k}"))])
+    code = lambda k: F.when(F.col(f"flag{k}").isNotNull(), filled("{mod}fn f{p}(a: T{s}) {{ let x = \"{{\"; }}\n", mod=F.when(F.col(f"flag{k}") == 1, "pub ").otherwise(""), p=F.lit(str(k)), s=F.col(f"s{k}").cast("string")))
+    files = lines.select("event_id", F.concat_ws("", *[code(k) for k in range(7)]).alias("code"))
     both = F.explode(F.array(F.struct(F.lit("src/lib.rs").alias("path"), F.col("code").alias("source")), F.struct(F.lit("README.md").alias("path"), F.lit("pub fn no() {}").alias("source"))))
     return found, files.join(found.select("package_id", "version", "event_id"), "event_id").select("package_id", "version", both.alias("x")).select("package_id", "version", "x.*")
 
@@ -105,7 +109,7 @@ def releases(t: Tables) -> tuple[DataFrame, DataFrame]:
 def _(t: Tables) -> DataFrame:
     """The events of all releases, analysed in two batches by time, the second of which runs twice."""
     found, files = releases(t)
-    found = stored(found, "releases")
+    found, files = stored(found, "releases"), stored(files, "files")
     middle = found.agg(F.percentile_approx("at", 0.5)).first()[0]
     store = published.Store(t.spark, f"{shared_dir(t.spark)}/analysis-{uuid.uuid4().hex}", analysis.TABLES, buckets=8)
     for number, part in ((0, found.where(F.col("at") < F.lit(middle))), (1, found.where(F.col("at") >= F.lit(middle))), (1, found)):

@@ -18,22 +18,29 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from .views import remove
 
 MANIFESTS = "_manifests"
+#: Tasks that a bucket's rows are dealt to at most.
+PARTS = 32
 
 
 @dataclass(frozen=True)
 class Table:
-    """schema in DDL; rows are told apart by keys and lie in buckets by owner, columns of every key."""
+    """schema in DDL; rows are told apart by keys and lie in buckets by owner, columns of every key.
+
+    A reader sees the columns of schema, or the expressions in shown over them.
+    """
 
     schema: str
     keys: tuple[str, ...]
     owner: tuple[str, ...]
+    shown: tuple[str, ...] = ()
 
 
 @dataclass
@@ -43,7 +50,9 @@ class Change:
     Of the columns in least, the least value stays. Where rows are dear, owners
     gives the owner columns of all that they can have, and unique says that each
     key is there once, so that rows are computed one time and, in an empty table,
-    not compared.
+    not compared. Where the table's rows are wide, rows can hold only what they
+    are made from, with the owner columns: late, an array of structs over it, is
+    evaluated after the shuffle.
     """
 
     rows: DataFrame
@@ -51,6 +60,7 @@ class Change:
     least: tuple[str, ...] = ()
     owners: DataFrame | None = None
     unique: bool = False
+    late: Column | None = None
 
 
 @dataclass
@@ -82,11 +92,13 @@ class Store:
     def read(self, table: str, manifest: dict[str, dict[str, str]] | None = None) -> DataFrame:
         """The rows of a table; tables that are read by one manifest belong together."""
         found = (self.manifest() if manifest is None else manifest).get(table, {})
-        return self._files(table, [*found.values()])
+        rows, shown = self._files(table, [*found.values()]), self.tables[table].shown
+        return rows.selectExpr(*shown) if shown else rows
 
     def _files(self, table: str, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.tables[table].schema)
+        if not folders:  # Catalyst knows that it is empty, and leaves out the joins with it
+            fields = StructType.fromDDL(self.tables[table].schema).fields
+            return self.spark.range(0).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         return self.spark.read.schema(self.tables[table].schema).parquet(*[f"{self.path}/{x}" for x in folders])
 
     def commit(self, number: int, changes: dict[str, Change]) -> bool:
@@ -107,8 +119,8 @@ class Store:
 
     def _merge(self, name: str, change: Change, old: dict[str, str], new: dict[str, str], folder: str) -> None:
         table = self.tables[name]
-        columns = [f.name for f in self._files(name, []).schema.fields]
-        rows = change.rows.select(*columns)
+        columns = StructType.fromDDL(table.schema).names
+        rows = change.rows if change.late is not None else change.rows.select(*columns)
         touched: list[int] = []
         if old:  # else there is nothing to read again
             owners = rows if change.owners is None else change.owners
@@ -116,17 +128,30 @@ class Store:
             if not touched:
                 return
         kept = [old[str(b)] for b in touched if str(b) in old]
+        # Dealt once: rows of a key meet in their task, are compared there and written from there.
+        by = table.owner if change.late is not None else table.keys
+        place = [self._bucket(table).alias("bucket"), F.pmod(F.hash(*by), F.lit(PARTS)).alias("_part")]
+        dealt = rows.select(*place, F.lit(1).alias("_new"), F.struct(*rows.columns).alias("_r"))
+        if kept:
+            before = self._files(name, kept)
+            if change.late is None:
+                dealt = dealt.unionByName(before.select(*place, F.lit(0).alias("_new"), F.struct(*columns).alias("_r")))
+            else:
+                dealt = dealt.unionByName(before.select(*place, F.lit(0).alias("_new"), F.struct(*columns).alias("_old")), allowMissingColumns=True)
+        dealt = dealt.repartition("bucket", "_part")
+        if change.late is not None:
+            made = dealt.select("bucket", "_part", "_new", "_r.*", *(["_old"] if kept else []))
+            made = made.withColumn("_made", F.when(F.col("_new") == 0, F.array("_old")).otherwise(change.late) if kept else change.late)
+            # Outer, as Catalyst would else ask for arrays that are not empty, and evaluate them before the shuffle too.
+            dealt = made.select("bucket", "_part", "_new", F.explode_outer("_made").alias("_r")).where("_r IS NOT NULL")
+        out = dealt.select("bucket", "_part", "_new", *[F.col(f"_r.{c}").alias(c) for c in columns])
         if kept or not change.unique:
-            both = rows.withColumn("_new", F.lit(1))
-            if kept:
-                both = self._files(name, kept).withColumn("_new", F.lit(0)).unionByName(both)
-            # Of equal orders the newer batch's row stays.
-            last = both.groupBy(*table.keys).agg(F.max_by(F.struct(*columns), F.struct(*change.order, "_new")).alias("_r"), *[F.min(c).alias(f"_{c}") for c in change.least])
-            last = last.select(*[F.col(f"_{c}" if c in change.least else f"_r.{c}").alias(c) for c in columns])
-        else:
-            last = rows
-        out = last.withColumn("bucket", self._bucket(table))
-        out.repartition("bucket", F.pmod(F.xxhash64(*table.keys), F.lit(8))).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{folder}")
+            # Of equal orders the newer batch's row stays. Hashes come first, as they sort faster than keys.
+            same = Window.partitionBy("bucket", "_part", "_hash", *table.keys)
+            later = F.lag(F.lit(1)).over(same.orderBy(*[F.desc(c) for c in (*change.order, "_new")]))
+            out = out.withColumn("_hash", F.xxhash64(*table.keys)).withColumns({"_later": later} | {f"_{c}": F.min(c).over(same) for c in change.least}).where("_later IS NULL")
+        out = out.select("bucket", *[F.col(f"_{c}" if c in change.least else c).alias(c) for c in columns])
+        out.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         place, files = self._place(f"{self.path}/{folder}")
         written = {s.getPath().getName().partition("=")[2] for s in files.listStatus(place) if s.isDirectory()}
         for b in {*map(str, touched), *written}:
