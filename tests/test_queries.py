@@ -198,3 +198,52 @@ def test_lexical_slots_are_those_of_the_vectors(spark):
     rows = spark.createDataFrame([(1, "left-pad core"), (2, ""), (3, None)], "id long, name string")
     want = embedding.lexical_vectors(rows, "id", "name").select("id", F.posexplode("vector").alias("slot", "value")).where("value <> 0")
     assert sorted(embedding.lexical_slots(rows, "id", "name").collect()) == sorted(want.collect())
+
+
+def test_renames_in_blocks_equal_brute_force(spark, monkeypatch):
+    """A large package comes apart in blocks, whose symbols reach their task in several Arrow batches; symbols are not shuffled for every step."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from thicket.operators import renames
+    from thicket.plans import domain_queries, registry
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, line = line, [i]
+            for j, y in enumerate(b, 1):
+                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
+        return line[-1]
+
+    def like(a, b):
+        return 1.0 if a == b else 1 - edits(a, b) / max(len(a.encode()), len(b.encode()))
+
+    rng = random.Random(4)
+    some = lambda n: {(p, f"m{rng.randrange(3)}.{x}", x, rng.choice("fg"), rng.choice(["fn(a)", "fn(a: T)", "fn()", "ü"])) for p in ("p", "q") for x in ["".join(rng.choice("abé") for _ in range(rng.randrange(6))) for _ in range(n)]}
+    gone, new = some(40), some(60) | {("only new", "x", "x", "f", "fn()")}
+    want = []
+    for p, path, name, kind, signature in gone:
+        found = [(-Decimal(repr(0.4 * like(name, n) + 0.6 * like(signature, s))).quantize(Decimal("1e-9"), ROUND_HALF_UP), other) for q, other, n, k, s in new if (q, k) == (p, kind)]
+        found = min((f for f in found if -f[0] >= Decimal("0.7")), key=lambda f: (f[0], f[1].encode()), default=None)
+        if found:
+            want.append((p, path, kind, signature, found[1]))
+    kinds = "pkg string, path string, name string, kind string, signature string"
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(renames, "BLOCK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = domain_queries.best_of(spark.createDataFrame(list(gone), kinds), spark.createDataFrame(list(new), kinds)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(want) > 40 and sorted(map(tuple, got)) == sorted(want)
+    assert domain_queries.renamed(registry.Tables(spark, SF))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+
+
+def test_similarities_round_half_up():
+    """The ninth digit is rounded by the decimal digits of a number, as Spark's round does."""
+    import numpy as np
+
+    from thicket.operators import renames
+
+    assert renames.billionths(np.array([0.7000000005, 0.70000000049, 0.6 + 0.4 * (1 - 1 / 3), 1.0])).tolist() == [700000001, 700000000, 866666667, 10**9]

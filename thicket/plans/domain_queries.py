@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import changes, documents, licences, text, vectors
 from ..operators import symbols as symbols_of
-from ..operators import vector_index
+from ..operators import renames, vector_index
 from .registry import Tables, query
 
 
@@ -432,37 +432,37 @@ def _(t: Tables) -> DataFrame:
     return removed(t).select("pkg", "path", "kind", "signature")
 
 
-def similarity(a: str, b: str) -> Column:
-    """1 for equal strings, less by the share of edits."""
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b)))
-
-
 LIKE = "CASE WHEN g.{0} = n.{0} THEN 1.0::DOUBLE ELSE 1 - levenshtein(g.{0}, n.{0})::DOUBLE / greatest(strlen(g.{0}), strlen(n.{0})) END"
 
 
 def renamed(t: Tables) -> DataFrame:
     """The best match of each removed symbol among all new symbols of its package and kind: 0.4 by name, 0.6 by signature, 0.7 at least.
 
-    A pair whose signatures alone rule 0.7 out is not compared by name. The best
-    pair is the least of one number, made of its similarity and the rank of the
-    new path, so that pairs are aggregated by hash as they come; none is sorted.
+    Lines are dealt by package once, as numbers; what both snapshots hold is told
+    apart in the tasks, and only then symbols become text.
     """
-    return best_of(removed(t), symbols(t, SYMBOLS_NEW))
+    kept = F.col("key") % 17 != 0
+    moved = F.col("key") + F.when(F.col("key") % 10 == 0, 1).otherwise(0)
+    lines = t.lineitem.select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("p"), (F.col("l_orderkey") % 5).cast("int").alias("m"), F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("kind"), (F.col("l_linestatus") == "O").alias("o"))
+    pkg = F.concat(F.lit("pkg"), F.col("p").cast("string")).alias("pkg")
+    sizes = lines.groupBy("p", "kind").agg(F.count(F.lit(1)).alias("n")).select(pkg, "kind", "n")
+    both = F.explode(F.array(F.struct("key", F.lit(True).alias("old"), F.lit(False).alias("new")), F.struct(F.when(kept, moved).alias("key"), F.lit(False).alias("old"), kept.alias("new")))).alias("x")
+    each = lines.repartition(8 * lines.rdd.getNumPartitions(), "p").select("p", "m", "kind", F.coalesce("o", F.lit(False)).alias("o"), both).select("p", "m", "kind", "o", "x.*").where("key IS NOT NULL")
+    # One sort serves all three; no table of the symbols is held.
+    same = Window.partitionBy("p", "m", "key", "kind", "o")
+    each = each.withColumn("again", F.lag(F.lit(1)).over(same.orderBy("old"))).withColumns({"old": F.max("old").over(same), "new": F.max("new").over(same)})
+    each = each.withColumn("gone", F.col("old") & ~F.max("new").over(Window.partitionBy("p", "m", "key"))).where("again IS NULL")
+    name = F.concat(F.lit("fn_"), F.col("key").cast("string"))
+    return renames.best(each.select(
+        pkg, F.concat(F.lit("mod"), F.col("m").cast("string"), F.lit("."), name).alias("path"), name.alias("name"), "kind",
+        F.concat(F.lit("fn(a: T"), (F.col("key") % 6).cast("string"), F.lit(", b: "), F.when(F.col("o"), "String").otherwise("Bytes"), F.lit(")")).alias("signature"), "gone", "new",
+    ), sizes)
 
 
 def best_of(gone: DataFrame, new: DataFrame) -> DataFrame:
-    new = new.select("pkg", "kind", F.col("path").alias("new_path"), F.col("name").alias("new_name"), F.col("signature").alias("new_signature"))
-    ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("pkg", "kind").orderBy("new_path")).cast("long"))
-    # Signatures repeat, so each two of a package and kind are compared once.
-    alike = gone.select("pkg", "kind", "signature").distinct().join(new.select("pkg", "kind", "new_signature").distinct(), ["pkg", "kind"])
-    alike = alike.withColumn("_s", 0.6 * similarity("signature", "new_signature")).where("_s >= 0.3 - 1e-9")
-    pairs = gone.join(alike, ["pkg", "kind", "signature"]).join(ranked.drop("new_path"), ["pkg", "kind", "new_signature"])
-    sim = F.round(0.4 * similarity("name", "new_name") + F.col("_s"), 9)
-    # Similarities have nine digits, ranks 32 bits.
-    order = F.shiftleft(10**9 - F.round(F.col("sim") * 1e9).cast("long"), 32) + F.col("rank")
-    best = pairs.withColumn("sim", sim).where("sim >= 0.7").groupBy("pkg", "path", "kind", "signature").agg(F.min(order).alias("best"))
-    best = best.withColumn("rank", F.col("best").bitwiseAND(2**32 - 1))
-    return best.join(ranked.select("pkg", "kind", "rank", "new_path"), ["pkg", "kind", "rank"]).select("pkg", "path", "kind", "signature", "new_path")
+    """The same of two tables of symbols."""
+    tagged = lambda rows, is_new: rows.select("pkg", "kind", "path", "name", "signature", F.lit(not is_new).alias("gone"), F.lit(is_new).alias("new")).distinct()
+    return renames.best(tagged(gone, False).unionByName(tagged(new, True)))
 
 
 query("api_renamed", f"WITH gone AS (SELECT * FROM {GONE}), m AS (SELECT g.pkg, g.path, g.kind, g.signature, n.path AS new_path, round(0.4 * {LIKE.format('name')} + 0.6 * {LIKE.format('signature')}, 9) AS sim FROM gone g JOIN {SYMBOLS_NEW} n ON n.pkg = g.pkg AND n.kind = g.kind) SELECT pkg, path, kind, signature, arg_min(new_path, (-sim, new_path)) AS new_path FROM m WHERE sim >= 0.7 GROUP BY pkg, path, kind, signature")(renamed)
