@@ -100,8 +100,20 @@ def test_vectors_are_kept_by_slot(spark, tmp_path):
     releases, files = tables(spark, RELEASES, FILES)
     store = published.Store(spark, f"file://{tmp_path}/store", analysis.TABLES, 4)
     store.commit(0, analysis.analysed(releases, files, store))
-    kept = store._files("vectors", [*store.manifest()["vectors"].values()])
+    kept = store._files("vectors", sum(store.manifest()["vectors"].values(), []))
     assert "vector" not in kept.columns and kept.where("size(slots) > 60").count() == 0
     got = {r["path"]: r["vector"] for r in store.read("vectors").where("version = '1'").collect()}
     want = embedding.lexical_vectors(spark.createDataFrame([(p, p.replace("::", " ")) for p in got], "path string, t string"), "path", "t").collect()
     assert got == {r["path"]: r["vector"] for r in want}
+
+
+def test_rows_that_stay_are_not_written_again(spark, tmp_path):
+    """A batch of other keys leaves the stored folders as they are; one with a stored owner writes that bucket anew."""
+    store = published.Store(spark, f"file://{tmp_path}/store", {"t": published.Table("k long, v long", ("k",), ("k",))}, 1)
+    folders = []
+    for batch, (start, end) in enumerate(((0, 5), (5, 9), (4, 6))):
+        rows = spark.range(start, end).select(F.col("id").alias("k"), F.lit(batch).cast("long").alias("v"))
+        store.commit(batch, {"t": published.Change(rows, ("v",), owners=rows.select("k"), unique=True)})
+        folders.append(store.manifest()["t"]["0"])
+    assert folders[1][:-1] == folders[0] and len(folders[2]) == 1 and folders[2][0] not in folders[1]
+    assert sorted(map(tuple, store.read("t").collect())) == [(k, 2 if k in (4, 5) else int(k > 5)) for k in range(9)]

@@ -2,9 +2,10 @@
 
 A store is a folder with a folder of files for each table and a list of
 manifests, one a batch. A batch writes the buckets that it touches as new files,
-of all tables, and then one manifest, which names the files of every
+of all tables, and then one manifest, which names the folders of every
 bucket; only that makes them visible, so a reader sees all tables before a
-batch or all after it. A batch that runs again after its manifest was written
+batch or all after it. A bucket whose stored rows a batch cannot replace is not
+written again, but gets one more folder. A batch that runs again after its manifest was written
 changes nothing; one that failed before it starts anew.
 
 Files that neither the newest manifest nor the one before names are removed, so
@@ -28,6 +29,8 @@ from .views import remove
 MANIFESTS = "_manifests"
 #: Tasks that a bucket's rows are dealt to at most.
 PARTS = 32
+#: Folders of a bucket at most; then its rows are written together.
+FOLDERS = 8
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,8 @@ class Change:
 
     Of the columns in least, the least value stays. Where rows are dear, owners
     gives the owner columns of all that they can have, and unique says that each
-    key is there once, so that rows are computed one time and, in an empty table,
-    not compared. Where the table's rows are wide, rows can hold only what they
+    key is there once, so that rows are computed one time and are compared only
+    in buckets that hold some of their owners. Where the table's rows are wide, rows can hold only what they
     are made from, with the owner columns: late, an array of structs over it, is
     evaluated after the shuffle.
     """
@@ -81,18 +84,18 @@ class Store:
         found = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
         return sorted(int(x[:-5]) for x in found if x.endswith(".json") and not x.startswith(("_", ".")))
 
-    def manifest(self, number: int | None = None) -> dict[str, dict[str, str]]:
-        """Table -> bucket -> folder, as of a batch (the newest); empty before the first."""
+    def manifest(self, number: int | None = None) -> dict[str, dict[str, list[str]]]:
+        """Table -> bucket -> folders, as of a batch (the newest); empty before the first."""
         known = self.batches()
         if not known:
             return {t: {} for t in self.tables}
         name = f"{self.path}/{MANIFESTS}/{known[-1] if number is None else number:012d}.json"
         return json.loads("\n".join(r["value"] for r in self.spark.read.text(name, wholetext=True).collect()))
 
-    def read(self, table: str, manifest: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    def read(self, table: str, manifest: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
         """The rows of a table; tables that are read by one manifest belong together."""
         found = (self.manifest() if manifest is None else manifest).get(table, {})
-        rows, shown = self._files(table, [*found.values()]), self.tables[table].shown
+        rows, shown = self._files(table, sum(found.values(), [])), self.tables[table].shown
         return rows.selectExpr(*shown) if shown else rows
 
     def _files(self, table: str, folders: list[str]) -> DataFrame:
@@ -117,17 +120,22 @@ class Store:
     def _bucket(self, table: Table) -> Column:
         return F.pmod(F.xxhash64(*table.owner), F.lit(self.buckets)).cast("int")
 
-    def _merge(self, name: str, change: Change, old: dict[str, str], new: dict[str, str], folder: str) -> None:
+    def _merge(self, name: str, change: Change, old: dict[str, list[str]], new: dict[str, list[str]], folder: str) -> None:
         table = self.tables[name]
         columns = StructType.fromDDL(table.schema).names
         rows = change.rows if change.late is not None else change.rows.select(*columns)
         touched: list[int] = []
+        met: list[int] = []  # buckets that can hold rows of the same keys, or have many folders
         if old:  # else there is nothing to read again
             owners = rows if change.owners is None else change.owners
             touched = sorted(r[0] for r in owners.select(self._bucket(table).alias("b")).distinct().collect())  # at most ``buckets`` numbers
             if not touched:
                 return
-        kept = [old[str(b)] for b in touched if str(b) in old]
+            met = [b for b in touched if str(b) in old]
+            if change.unique and change.owners is not None:
+                met = self._shared(table, self._files(name, sum((old[str(b)] for b in met), [])), change.owners)
+                met += [b for b in touched if b not in met and len(old.get(str(b), [])) >= FOLDERS]
+        kept = sum((old[str(b)] for b in met), [])
         # Dealt once: rows of a key meet in their task, are compared there and written from there.
         by = table.owner if change.late is not None else table.keys
         place = [self._bucket(table).alias("bucket"), F.pmod(F.hash(*by), F.lit(PARTS)).alias("_part")]
@@ -154,12 +162,18 @@ class Store:
         out.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         place, files = self._place(f"{self.path}/{folder}")
         written = {s.getPath().getName().partition("=")[2] for s in files.listStatus(place) if s.isDirectory()}
-        for b in {*map(str, touched), *written}:
+        for b in map(str, met):
             new.pop(b, None)
-            if b in written:
-                new[b] = f"{folder}/bucket={b}"
+        for b in written:
+            new[b] = [*new.get(b, []), f"{folder}/bucket={b}"]
 
-    def _publish(self, number: int, manifest: dict[str, dict[str, str]]) -> None:
+    def _shared(self, table: Table, stored: DataFrame, owners: DataFrame) -> list[int]:
+        """The buckets of stored rows whose owners are among these."""
+        a, b = stored.select(*table.owner).alias("a"), owners.select(*table.owner).alias("b")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in table.owner]
+        return sorted(r[0] for r in a.join(b, same, "left_semi").select(self._bucket(table).alias("b")).distinct().collect())
+
+    def _publish(self, number: int, manifest: dict[str, dict[str, list[str]]]) -> None:
         """The manifest appears whole, by a rename."""
         name = f"{self.path}/{MANIFESTS}/{number:012d}.json"
         draft, files = self._place(f"{self.path}/{MANIFESTS}/_{number:012d}")
@@ -169,10 +183,10 @@ class Store:
         if not files.rename(draft, self._place(name)[0]):
             raise OSError(f"cannot publish {name}")
 
-    def _clean(self, live: list[dict[str, dict[str, str]]], old: dict[str, dict[str, str]]) -> None:
-        used = {x for m in live for folders in m.values() for x in folders.values()}
-        for folders in old.values():
-            for x in set(folders.values()) - used:
+    def _clean(self, live: list[dict[str, dict[str, list[str]]]], old: dict[str, dict[str, list[str]]]) -> None:
+        used = {x for m in live for buckets in m.values() for folders in buckets.values() for x in folders}
+        for buckets in old.values():
+            for x in set(sum(buckets.values(), [])) - used:
                 remove(self.spark, f"{self.path}/{x}")
 
 
